@@ -37,66 +37,36 @@ def score_1_5(response: Column, last: bool = False) -> Column:
     return F.coalesce(*tries, _one_to_five(number))
 
 
-def _json_object(response: Column) -> tuple[Column, Column]:
-    """(outermost braces, parsed map); the map is null for bad JSON.
+def json_object(response: Column) -> Column:
+    """The text from the first to the last brace, or null."""
+    return F.nullif(F.regexp_extract(response, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object as a map of texts, null for bad JSON.
 
     The object is parsed as the only entry of an array, which makes the
     parser reject anything that follows it.
     """
-    text = F.nullif(F.regexp_extract(response, r"(?s)\{.*\}", 0), F.lit(""))
     boxed = F.from_json(
         F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT_JSON
     )
-    return text, F.when(F.size(boxed) == 1, F.get(boxed, F.lit(0)))
+    return F.when(F.size(boxed) == 1, F.get(boxed, F.lit(0)))
 
 
-def binary_rubrics(response: Column) -> Column:
-    """Struct of six verdicts, feedback and parse status.
+def names_all_rubrics(m: Column) -> Column:
+    """Whether a map has an entry for each rubric under either of its keys."""
+    out = m.isNotNull()
+    for rubric in V.RUBRICS:
+        out = out & (F.map_contains_key(m, V.RUBRIC_ALIASES[rubric]) | F.map_contains_key(m, rubric))
+    return F.coalesce(out, F.lit(False))
 
-    Verdicts may be nested under ``scores`` or lie at the top; either must
-    name all six rubrics. A value counts as passed if it is true or the text
-    "true". Otherwise all six are false and the feedback says why.
-    """
-    text, top = _json_object(response)
-    nested = F.from_json(
-        F.when(F.startswith(top["scores"], F.lit("{")), top["scores"]), "map<string,string>", _STRICT_JSON
-    )
 
-    def verdict(m: Column, rubric: str) -> Column:
-        alias = V.RUBRIC_ALIASES[rubric]
-        value = F.when(F.map_contains_key(m, alias), m[alias]).otherwise(m[rubric])
-        return F.coalesce(F.lower(value) == "true", F.lit(False))
-
-    def complete(m: Column) -> Column:
-        out = F.lit(True)
-        for rubric in V.RUBRICS:
-            here = F.map_contains_key(m, rubric) | F.map_contains_key(m, V.RUBRIC_ALIASES[rubric])
-            out = out & here
-        return F.coalesce(out, F.lit(False))
-
-    def chosen(rubric: str) -> Column:
-        return (
-            F.when(complete(nested), verdict(nested, rubric))
-            .when(complete(top), verdict(top, rubric))
-            .otherwise(F.lit(False))
-        )
-
-    parsed = complete(nested) | complete(top)
-    feedback = (
-        F.when(parsed, F.when(F.map_contains_key(top, "feedback"), top["feedback"]).otherwise(""))
-        .when(text.isNotNull() & top.isNull(), V.BINARY_BAD_JSON)
-        .otherwise(V.BINARY_NOT_PARSED)
-    )
-    status = (
-        F.when(complete(nested), "nested")
-        .when(complete(top), "flat")
-        .when(text.isNull(), "no_json")
-        .when(top.isNull(), "bad_json")
-        .otherwise("incomplete")
-    )
-    return F.struct(
-        *[chosen(r).alias(r) for r in V.RUBRICS], feedback.alias("feedback"), status.alias("parse_status")
-    )
+def map_verdict(m: Column, rubric: str) -> Column:
+    """A rubric's verdict in a map; only true or the text "true" passes."""
+    alias = V.RUBRIC_ALIASES[rubric]
+    value = F.when(F.map_contains_key(m, alias), m[alias]).otherwise(m[rubric])
+    return F.coalesce(F.lower(value) == "true", F.lit(False))
 
 
 def corrected_text(response: Column, original: Column) -> Column:

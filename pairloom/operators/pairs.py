@@ -245,7 +245,7 @@ def pairs_by_score_gap(
     lower = F.filter("levels", lambda v: F.col("score") - v["score"] >= min_gap)
     chosen = (
         rows.select("*", F.explode(lower).alias("lv"))
-        .withColumn("_row", F.pmod(spot, cells(F.col("n_all"))))
+        .withColumn("_row", F.pmod(spot, cells(F.col("n_all"))).cast("int"))
         .select(
             *keys,
             F.col("lv.score").alias("low_score"),
@@ -260,7 +260,7 @@ def pairs_by_score_gap(
     rejected = rows.where(F.exists("levels", lambda v: v["score"] - F.col("score") >= min_gap)).select(
         *keys,
         F.col("score").alias("low_score"),
-        F.explode(F.sequence(F.lit(0), cells(F.col("n_all")) - 1)).cast("bigint").alias("_row"),
+        F.explode(F.sequence(F.lit(0), cells(F.col("n_all")) - 1)).alias("_row"),
         F.pmod(spot, cells(own)).cast("int").alias("_column"),
         F.col("passage_id").alias("rejected_id"),
         *[F.col(c).alias(f"rejected_{c}") for c in carry],

@@ -30,17 +30,43 @@ def parse_scores(responses: DataFrame, default: int = 3, last: bool = False) ->
 def parse_binary_rubric(responses: DataFrame, n_guidelines: Column | None = None) -> DataFrame:
     """Six verdicts, feedback and status of each response.
 
-    ``n_guidelines`` is the smaller number of problem types and goals; below
-    three nothing was asked, and all verdicts are false.
+    Verdicts may be nested under ``scores`` or lie at the top; either must
+    name all six rubrics, otherwise all six are false and the feedback says
+    why. ``n_guidelines`` is the smaller number of problem types and goals;
+    below three nothing was asked, and all verdicts are false as well.
     """
-    out = responses.withColumn("_b", P.binary_rubrics(F.col("response")))
+    top, scores = F.col("_top"), F.col("_top")["scores"]
     enough = F.lit(True) if n_guidelines is None else F.coalesce(n_guidelines >= 3, F.lit(False))
-    columns = [F.when(enough, F.col(f"_b.{r}")).otherwise(F.lit(False)).alias(r) for r in V.RUBRICS]
-    return out.select(
+    # One column per step: each JSON text is parsed once and then looked up.
+    steps = (
+        responses.withColumn("_enough", enough)
+        .withColumn("_json", P.json_object(F.col("response")))
+        .withColumn("_top", P.json_map(F.col("_json")))
+        .withColumn("_nested", P.json_map(F.when(F.startswith(scores, F.lit("{")), scores)))
+        .withColumn(
+            "parse_status",
+            F.when(~F.col("_enough"), "no_guidelines")
+            .when(F.col("_json").isNull(), "no_json")
+            .when(top.isNull(), "bad_json")
+            .when(P.names_all_rubrics(F.col("_nested")), "nested")
+            .when(P.names_all_rubrics(top), "flat")
+            .otherwise("incomplete"),
+        )
+    )
+    status = F.col("parse_status")
+    held = steps.withColumn("_held", F.when(status == "nested", F.col("_nested")).when(status == "flat", top))
+    given = F.when(F.map_contains_key(top, "feedback"), top["feedback"]).otherwise(F.lit(""))
+    feedback = (
+        F.when(status.isin("nested", "flat"), given)
+        .when(status == "no_guidelines", F.lit(V.BINARY_NO_METADATA))
+        .when(status == "bad_json", F.lit(V.BINARY_BAD_JSON))
+        .otherwise(F.lit(V.BINARY_NOT_PARSED))
+    )
+    return held.select(
         *responses.columns,
-        *columns,
-        F.when(enough, F.col("_b.feedback")).otherwise(F.lit(V.BINARY_NO_METADATA)).alias("feedback"),
-        F.when(enough, F.col("_b.parse_status")).otherwise("no_guidelines").alias("parse_status"),
+        *[P.map_verdict(F.col("_held"), r).alias(r) for r in V.RUBRICS],
+        feedback.alias("feedback"),
+        "parse_status",
     )
 
 

@@ -33,7 +33,6 @@ def score_with(
         for batch in batches:
             yield scorer(batch).astype("float64")
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     out = with_text(df, text).withColumn(to, F.pandas_udf(score, "double")(F.col(text)))
     return out if model is None else out.withColumn("evaluation_model", F.lit(model))
 
@@ -52,10 +51,6 @@ def compare_with(pairs: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFra
                 {"chosen": scorer(chosen).astype("float64"), "rejected": scorer(rejected).astype("float64")}
             )
 
-    score.__annotations__ = {
-        "batches": Iterator[tuple[pd.Series, pd.Series]],
-        "return": Iterator[pd.DataFrame],
-    }
     both = F.pandas_udf(score, "chosen double, rejected double")
     scored = complete_pairs(pairs).withColumn("_s", both("chosen", "rejected"))
     return with_difference(

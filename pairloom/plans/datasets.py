@@ -67,13 +67,12 @@ def build_template_pairs(
 
 def score_gap_records(evals: DataFrame, min_gap: int = 1) -> tuple[DataFrame, DataFrame]:
     """(counted score levels, records) of evaluations with a passage_id."""
-    item, text = F.col("source_item"), F.col("generated_passage")
-    rows = evals.where(item.isNotNull()).withColumn("source_key", source_key(item))
-    keep = ["passage_id", "source_key"]
-    scores = scores_long(rows, keep)
-    carried = rows.select("passage_id", F.struct(text.alias("text"), item.alias("item")).alias("body"))
-    pairs = J.pairs_by_score_gap(scores.join(carried, "passage_id"), min_gap, carry=["body"])
-    flat = pairs.select(
+    body = F.struct(F.col("generated_passage").alias("text"), F.col("source_item").alias("item"))
+    rows = evals.where(F.col("source_item").isNotNull()).select(
+        "passage_id", source_key(F.col("source_item")).alias("source_key"), "evaluation", body.alias("body")
+    )
+    scores = scores_long(rows, ["passage_id", "source_key", "body"])
+    flat = J.pairs_by_score_gap(scores, min_gap, carry=["body"]).select(
         "*",
         F.col("chosen_body.text").alias("chosen_text"),
         F.col("rejected_body.text").alias("rejected_text"),
@@ -82,14 +81,16 @@ def score_gap_records(evals: DataFrame, min_gap: int = 1) -> tuple[DataFrame, Da
     return J.score_gap_counts(scores, min_gap), R.to_rm_record_with_margin(flat)
 
 
-def build_score_gap(spark: SparkSession, eval_root: str, root: str, min_gap: int = 1) -> DataFrame:
+def build_score_gap(
+    spark: SparkSession, eval_root: str, root: str, min_gap: int = 1, pattern: str = V.EVALUATION_FILE
+) -> DataFrame:
     """Score-gap pairs of an evaluation tree for all rubrics in one scan.
 
     Records go below ``rubric=…``. Returns the counts by margin, high and low
     score; they come from level sizes and do not touch the pairs.
     """
-    passage_id = F.md5(F.concat_ws("|", "file_path", F.to_json("source_item"), "generated_passage"))
-    evals = read_eval_tree(spark, eval_root).withColumn("passage_id", passage_id)
+    spot = F.xxhash64("file_path", "source_item", "generated_passage")
+    evals = read_eval_tree(spark, eval_root, pattern=pattern).withColumn("passage_id", spot)
     levels, records = score_gap_records(evals, min_gap)
     records.withColumn("rubric", F.col("metadata.rubric")).write.mode("overwrite").partitionBy("rubric").json(root)
     return A.pair_stats(levels)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,16 +48,22 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
 
 
 def evaluation_model(path: Column) -> Column:
-    """Model name from the first path part that holds ``_evaluation``."""
-    part = F.regexp_extract(path, r"(?:^|/)([^/]*_evaluation[^/]*)", 1)
+    """Model name from the first path part that holds ``_evaluation``.
+
+    A partition folder ``name=value`` counts by its value.
+    """
+    part = F.regexp_extract(path, r"(?:^|/)(?:[^/=]*=)?([^/]*_evaluation[^/]*)", 1)
     return F.coalesce(F.nullif(F.replace(part, F.lit("_evaluation"), F.lit("")), F.lit("")), F.lit("unknown"))
 
 
-def read_eval_tree(spark: SparkSession, root: str, keep_unknown: bool = True) -> DataFrame:
+def read_eval_tree(
+    spark: SparkSession, root: str, keep_unknown: bool = True, pattern: str = V.EVALUATION_FILE
+) -> DataFrame:
     """All evaluation files below ``root`` with the model that was evaluated.
 
     One scan serves every rubric. ``keep_unknown=False`` drops files that lie
-    under no model folder.
+    under no model folder. ``pattern`` is matched with file names; files Spark
+    wrote need ``"*"``.
     """
     rows = (
         spark.read.schema(_with_corrupt(EVALUATION))
@@ -62,7 +71,7 @@ def read_eval_tree(spark: SparkSession, root: str, keep_unknown: bool = True) ->
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("ignoreCorruptFiles", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", V.EVALUATION_FILE)
+        .option("pathGlobFilter", pattern)
         .json(root)
         .where(F.col(_CORRUPT).isNull())
         .select(*EVALUATION.names, F.col("_metadata.file_path").alias("file_path"))
@@ -89,6 +98,30 @@ def flatten_entries(df: DataFrame, raw: str, entry: T.DataType) -> DataFrame:
     ).where(F.col("entry").isNotNull())
 
 
+def write_json_arrays(df: DataFrame, path: str, by: list[str] = []) -> None:
+    """JSON files that hold one array each, for readers of whole files.
+
+    Every task writes its own rows as an array (per folder with ``by``), so
+    file size follows partition size and no group is gathered.
+    """
+    row = F.to_json(F.struct(*[c for c in df.columns if c not in by]))
+    rows = df.select(*by, row.alias("value"))
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, list[str]] = {}
+        for batch in batches:
+            if by:
+                for key, group in batch.groupby(by, dropna=False, sort=False):
+                    found.setdefault(key, []).extend(group["value"])
+            else:
+                found.setdefault((), []).extend(batch["value"])
+        for key, values in found.items():
+            yield pd.DataFrame([[*key, "[" + ",".join(values) + "]"]], columns=[*by, "value"])
+
+    out = rows.mapInPandas(arrays, rows.schema).write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).text(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Line JSON, text as it is."""
     df.write.mode("overwrite").json(path)

@@ -34,8 +34,8 @@ def with_path_metadata(df: DataFrame, path: str = "file_path") -> DataFrame:
 def list_outputs(spark: SparkSession, root: str) -> DataFrame:
     """One row per file below ``root/<model>/<template>/``.
 
-    Only names are read. The inventory stays a table: a model may own any
-    number of files.
+    Only names are read; of a partition folder ``name=value`` the value
+    counts. The inventory stays a table: a model may own any number of files.
     """
     files = (
         spark.read.format("binaryFile")
@@ -45,9 +45,13 @@ def list_outputs(spark: SparkSession, root: str) -> DataFrame:
         .select(F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified"))
     )
     parts = F.split("file_path", "/", -1)
+
+    def folder(up: int) -> Column:
+        return F.regexp_replace(F.try_element_at(parts, F.lit(-1 - up)), "^[^=]*=", "")
+
     return files.select(
-        F.try_element_at(parts, F.lit(-3)).alias("model"),
-        F.try_element_at(parts, F.lit(-2)).alias("template"),
+        folder(2).alias("model"),
+        folder(1).alias("template"),
         "file_path",
         "length",
         "modified",
