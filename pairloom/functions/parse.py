@@ -12,29 +12,26 @@ _STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"
 _FULL_WIDTH, _ASCII = "０１２３４５６７８９", "0123456789"
 
 
-def _one_to_five(digits: Column) -> Column:
-    n = digits.try_cast("bigint")
-    return F.when(n.between(1, 5), n.cast("int"))
-
-
 def score_1_5(response: Column, last: bool = False) -> Column:
     """The score a judge gave, or null.
 
     The patterns are tried in order; each offers its first match only (with
     ``last`` its last one), and a value outside 1..5 passes on to the next.
-    At the end the first number of the first (last) line is tried.
+    At the end the first number of the first (last) line is tried. The
+    candidates sit in one array, so each pattern runs once per response.
     """
-    text = F.translate(response, _FULL_WIDTH, _ASCII)
 
-    def found(where: Column, pattern: str) -> Column:
+    def found(pattern: str) -> Column:
         if last:
-            return F.try_element_at(F.regexp_extract_all(where, F.lit(pattern), F.lit(1)), F.lit(-1))
-        return F.nullif(F.regexp_extract(where, pattern, 1), F.lit(""))
+            return F.try_element_at(F.regexp_extract_all(response, F.lit(pattern), F.lit(1)), F.lit(-1))
+        return F.regexp_extract(response, pattern, 1)
 
-    tries = [_one_to_five(found(text, f"(?Ud){p}")) for p in V.SCORES]
-    line = F.substring_index(strip(text), "\n", -1 if last else 1)
-    number = F.nullif(F.regexp_extract(line, r"(\d+)", 1), F.lit(""))
-    return F.coalesce(*tries, _one_to_five(number))
+    line = F.substring_index(strip(response), "\n", -1 if last else 1)
+    digits = F.array(
+        *[found(f"(?Ud){p}") for p in V.SCORES], F.regexp_extract(line, r"(?U)(\d+)", 1)
+    )
+    numbers = F.transform(digits, lambda d: F.translate(d, _FULL_WIDTH, _ASCII).try_cast("bigint"))
+    return F.get(F.filter(numbers, lambda n: n.between(1, 5)), F.lit(0)).cast("int")
 
 
 def json_object(response: Column) -> Column:
@@ -83,23 +80,27 @@ def correction_grade(response: Column, passage: Column) -> Column:
     return F.coalesce(scale_1_5(normalized_similarity(original, corrected)), F.lit(5))
 
 
-def pass_fail(response: Column) -> Column:
-    """Struct of result, score and reason from a PASS/FAIL answer."""
-    reason = strip(response)
-    head = F.upper(reason)
-    result = (
-        F.when(response.isNull(), "error")
-        .when(F.startswith(head, F.lit("PASS")), "pass")
-        .when(F.startswith(head, F.lit("FAIL")), "fail")
+def pass_fail(reason: Column) -> Column:
+    """``pass``, ``fail``, ``uncertain`` or ``error`` from a stripped answer."""
+    head = F.upper(F.substring(reason, 1, 4))
+    return (
+        F.when(reason.isNull(), "error")
+        .when(head == "PASS", "pass")
+        .when(head == "FAIL", "fail")
         .otherwise("uncertain")
     )
-    score = F.when(result == "pass", 1.0).when(result == "uncertain", 0.5).otherwise(0.0)
-    return F.struct(result.alias("result"), score.alias("score"), reason.alias("reason"))
 
 
-def ab_choice(response: Column) -> Column:
-    """``A``, ``B`` or null. The first letter decides, so "Answer: B" is A."""
-    line = strip(F.substring_index(strip(response), "\n", 1))
+def pass_score(result: Column) -> Column:
+    """1 for pass, 0.5 for uncertain, else 0."""
+    return F.when(result == "pass", 1.0).when(result == "uncertain", 0.5).otherwise(0.0)
+
+
+def ab_choice(line: Column, response: Column) -> Column:
+    """``A``, ``B`` or null from the stripped first line and the whole answer.
+
+    The first letter decides, so "Answer: B" is A.
+    """
 
     def says(texts: list[str]) -> Column:
         return F.contains(response, F.lit(texts[0])) | F.contains(response, F.lit(texts[1]))
@@ -112,34 +113,35 @@ def ab_choice(response: Column) -> Column:
     )
 
 
-def topic_pair(response: Column) -> Column:
-    """Struct of the two topics in a generated list, or null."""
-    text = strip(response)
-    listed = F.from_json(
-        F.nullif(F.regexp_extract(text, r"\[[^\]]+\]", 0), F.lit("")), "array<string>", _STRICT_JSON
-    )
+def first_line(response: Column) -> Column:
+    """The first line, stripped."""
+    return strip(F.substring_index(strip(response), "\n", 1))
 
-    def unquoted(i: int) -> Column:
-        out = strip(F.coalesce(F.get(listed, F.lit(i)), F.lit("None")))
-        return F.btrim(F.btrim(out, F.lit('"')), F.lit("'"))
 
-    parts = F.split(F.translate(text, "[]\"'", ""), ",", -1)
+def listed_topics(text: Column) -> Column:
+    """The first bracketed list that is JSON, as texts, or null."""
+    found = F.nullif(F.regexp_extract(text, r"\[[^\]]+\]", 0), F.lit(""))
+    return F.from_json(found, "array<string>", _STRICT_JSON)
 
-    def plain(i: int) -> Column:
-        return strip(F.substring_index(strip(F.get(parts, F.lit(i))), ":", 1))
 
-    def pair(first: Column, second: Column) -> Column:
-        return F.struct(first.alias("korean_topic"), second.alias("foreign_topic"))
+def listed_topic(listed: Column, i: int) -> Column:
+    """An entry of the list without quotes around it."""
+    out = strip(F.coalesce(F.get(listed, F.lit(i)), F.lit("None")))
+    return F.btrim(F.btrim(out, F.lit('"')), F.lit("'"))
 
-    return F.when(F.size(listed) >= 2, pair(unquoted(0), unquoted(1))).when(
-        F.contains(text, F.lit(",")), pair(plain(0), plain(1))
-    )
+
+def plain_topics(text: Column) -> Column:
+    """Comma separated parts without brackets and quotes; null without comma."""
+    parts = F.split(F.translate(text, "[]\"'", ""), ",", -1)
+    return F.when(F.contains(text, F.lit(",")), parts)
+
+
+def plain_topic(parts: Column, i: int) -> Column:
+    """A part up to its colon."""
+    return strip(F.substring_index(strip(F.get(parts, F.lit(i))), ":", 1))
 
 
-def explanation(response: Column, score: Column) -> Column:
-    """Text after the first ``<score>점``, or the whole answer."""
-    mark = F.concat(score.cast("string"), F.lit(V.SCORE_MARK))
-    at = F.instr(response, mark)
-    rest = strip(F.substring(response, at + F.length(mark), F.length(response)))
-    rest = strip(F.regexp_replace(rest, "^:+", ""))
-    return F.when(at > 0, rest).otherwise(strip(response))
+def explanation(response: Column, mark: Column) -> Column:
+    """Text after the first ``mark``; the whole answer if there is none."""
+    rest = F.get(F.split(response, F.concat(F.lit("\\Q"), mark, F.lit("\\E")), 2), F.lit(1))
+    return F.coalesce(strip(F.regexp_replace(strip(rest), "^:+", "")), strip(response))

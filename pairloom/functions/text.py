@@ -18,7 +18,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove white space at both ends."""
-    return F.regexp_replace(_col(c), f"(?U)^{V.WS}+|{V.WS}+\\z", "")
+    return F.btrim(_col(c), F.lit(V.WHITE_SPACE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -80,8 +80,7 @@ def n_sentences(c: Column | str) -> Column:
 def mean_sentence_words(c: Column | str) -> Column:
     """Mean number of words per sentence, 0 for a text without sentence."""
     in_sentences = F.regexp_count(_col(c), F.lit(r"(?U)[^.!?\s\x1c-\x1f]+"))
-    count = n_sentences(c)
-    return F.when(count > 0, in_sentences / count).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(in_sentences, n_sentences(c)), F.lit(0.0))
 
 
 def text_counts(c: Column | str) -> dict[str, Column]:

@@ -44,7 +44,7 @@ def to_rm_record(pairs: DataFrame, templates: dict[str, str], keep: list[str] =
     )
 
 
-def to_rm_record_with_margin(pairs: DataFrame) -> DataFrame:
+def to_rm_record_with_margin(pairs: DataFrame, keep: list[str] = []) -> DataFrame:
     """Score-gap pairs as conversations with their scores as metadata.
 
     ``pairs`` holds source_key, rubric, high_score, low_score, margin,
@@ -70,6 +70,7 @@ def to_rm_record_with_margin(pairs: DataFrame) -> DataFrame:
         guidelines.alias("guidelines"),
     )
     return pairs.select(
+        *keep,
         *_record(margin_prompt(F.col("rubric")), F.col("chosen_text"), F.col("rejected_text")),
         metadata.alias("metadata"),
     )

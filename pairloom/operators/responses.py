@@ -96,24 +96,45 @@ def parse_correction(responses: DataFrame, passage: str = "passage", source: str
 
 def parse_pass_fail(responses: DataFrame) -> DataFrame:
     """Result, score and reason of each PASS/FAIL response."""
-    out = responses.withColumn("_p", P.pass_fail(F.col("response")))
-    return out.select(*responses.columns, "_p.*")
+    return (
+        responses.withColumn("reason", strip("response"))
+        .withColumn("result", P.pass_fail(F.col("reason")))
+        .withColumn("score", P.pass_score(F.col("result")))
+    )
 
 
 def parse_ab_choice(responses: DataFrame) -> DataFrame:
     """The preferred text, A or B, or null."""
-    return responses.withColumn("choice", P.ab_choice(F.col("response")))
+    lines = responses.withColumn("_line", P.first_line(F.col("response")))
+    return lines.withColumn("choice", P.ab_choice(F.col("_line"), F.col("response"))).drop("_line")
 
 
 def parse_topic_pair(responses: DataFrame) -> DataFrame:
-    """The two generated topics, null where there are none."""
-    out = responses.withColumn("_t", P.topic_pair(F.col("response")))
-    return out.select(*responses.columns, "_t.korean_topic", "_t.foreign_topic")
+    """The two generated topics, null where there are none.
+
+    A JSON list of at least two entries wins; otherwise the text is cut at
+    its commas.
+    """
+    steps = (
+        responses.withColumn("_text", strip("response"))
+        .withColumn("_listed", P.listed_topics(F.col("_text")))
+        .withColumn("_parts", P.plain_topics(F.col("_text")))
+    )
+
+    def topic(i: int) -> Column:
+        return F.when(F.size("_listed") >= 2, P.listed_topic(F.col("_listed"), i)).otherwise(
+            P.plain_topic(F.col("_parts"), i)
+        )
+
+    return steps.select(
+        *responses.columns, topic(0).alias("korean_topic"), topic(1).alias("foreign_topic")
+    )
 
 
 def extract_explanation(responses: DataFrame) -> DataFrame:
     """Explanation after the score mark; needs response and score."""
-    return responses.withColumn("explanation", P.explanation(F.col("response"), F.col("score")))
+    mark = F.concat(F.col("score").cast("string"), F.lit(V.SCORE_MARK))
+    return responses.withColumn("explanation", P.explanation(F.col("response"), mark))
 
 
 def status_counts(parsed: DataFrame, by: list[str] = []) -> DataFrame:

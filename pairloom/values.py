@@ -121,6 +121,7 @@ CHAT_URL = "/v1/chat/completions"
 # (?U) makes \s and \d Unicode-aware, (?d) keeps \n the only line end. The
 # whitespace class adds the four separators the JVM does not count as space.
 
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = r"[\s\x1c-\x1f]"
 NOT_WS = r"[^\s\x1c-\x1f]"
 

@@ -98,20 +98,19 @@ def binary_responses(spark, sf):
     """Answers with the six verdicts as JSON of several kinds after the text."""
     rows = binary(spark, sf).join(passages(spark, sf).select("passage_id", "generated_passage", "n_chars"), "passage_id")
 
-    def parts(names, quoted=False):
-        out = []
-        for rubric, name in zip(RUBRICS, names):
-            value = F.col(rubric).cast("string")
-            value = F.concat(lit('"'), F.initcap(value), lit('"')) if quoted else value
-            out.append(F.concat(lit(f'"{name}": '), value))
-        return F.concat_ws(", ", *out)
-
-    aliases = [RUBRIC_ALIASES[r] for r in RUBRICS]
-    nested = F.concat(lit('{"scores": {'), parts(aliases), lit('}, "feedback": "'), "model", lit('"}'))
-    flat = F.concat(lit("{"), parts(RUBRICS), lit(', "feedback": "'), "model", lit('"}'))
-    quoted = F.concat(lit("{"), parts(aliases, quoted=True), lit("}"))
-    five = F.concat(lit("{"), parts(RUBRICS[:5]), lit("}"))
-    broken = F.concat(lit("{"), parts(RUBRICS), lit(",, }"))
+    def held(names, quoted=False):
+        out = [F.initcap(F.col(r).cast("string")) if quoted else F.col(r) for r in RUBRICS]
+        return [c.alias(n) for c, n in zip(out, names)]
+
+    def json_of(*fields):
+        return F.to_json(F.struct(*fields))
+
+    aliases, feedback = [RUBRIC_ALIASES[r] for r in RUBRICS], F.col("model").alias("feedback")
+    nested = json_of(F.struct(*held(aliases)).alias("scores"), feedback)
+    flat = json_of(*held(RUBRICS), feedback)
+    quoted = json_of(*held(aliases, quoted=True))
+    five = json_of(*held(RUBRICS[:5]))
+    broken = F.concat(F.rtrim(json_of(*held(RUBRICS)), F.lit("}")), lit(",, }"))
     kind = F.col("passage_id") % 6
     json = (
         F.when(kind == 0, nested)
