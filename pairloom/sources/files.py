@@ -19,6 +19,15 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
 
 
+def _parsed(schema: T.StructType) -> Column:
+    """Whether a record could be parsed.
+
+    Spark refuses queries that read the corrupt record column alone, as a
+    plain count would, so the condition also names one other column.
+    """
+    return F.col(_CORRUPT).isNull() & (F.size(F.array(schema.names[0])) == 1)
+
+
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Rows of files holding one JSON array each; an object is one row.
 
@@ -31,7 +40,7 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
         .option("ignoreCorruptFiles", True)
         .option("recursiveFileLookup", True)
         .json(path)
-        .where(F.col(_CORRUPT).isNull())
+        .where(_parsed(schema))
         .select(*schema.names, F.col("_metadata.file_path").alias("file_path"))
     )
 
@@ -42,7 +51,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
         spark.read.schema(_with_corrupt(schema))
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .json(path)
-        .where(F.col(_CORRUPT).isNull())
+        .where(_parsed(schema))
         .drop(_CORRUPT)
     )
 
@@ -73,7 +82,7 @@ def read_eval_tree(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .json(root)
-        .where(F.col(_CORRUPT).isNull())
+        .where(_parsed(EVALUATION))
         .select(*EVALUATION.names, F.col("_metadata.file_path").alias("file_path"))
         .withColumn("model", evaluation_model(F.col("file_path")))
     )
