@@ -5,55 +5,37 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import values as V
 from pairloom.schemas import EVALUATION
 
-_CORRUPT = "_corrupt"
 
-
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-
-
-def _parsed(schema: T.StructType) -> Column:
-    """Whether a record could be parsed.
-
-    Spark refuses queries that read the corrupt record column alone, as a
-    plain count would, so the condition also names one other column.
-    """
-    return F.col(_CORRUPT).isNull() & (F.size(F.array(schema.names[0])) == 1)
+def _json(spark: SparkSession, schema: T.StructType, whole_files: bool) -> DataFrameReader:
+    """A reader that leaves out records which do not fit the columns read."""
+    return (
+        spark.read.schema(schema)
+        .option("mode", "DROPMALFORMED")
+        .option("multiLine", whole_files)
+        .option("ignoreCorruptFiles", whole_files)
+        .option("recursiveFileLookup", whole_files)
+    )
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Rows of files holding one JSON array each; an object is one row.
 
-    Files that cannot be read add no rows. ``_metadata`` stays available.
+    Files that cannot be read add no rows. Adds the column file_path.
     """
-    return (
-        spark.read.schema(_with_corrupt(schema))
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("ignoreCorruptFiles", True)
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .where(_parsed(schema))
-        .select(*schema.names, F.col("_metadata.file_path").alias("file_path"))
-    )
+    rows = _json(spark, schema, True).json(path)
+    return rows.select(*schema.names, F.col("_metadata.file_path").alias("file_path"))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Rows of line JSON; blank and broken lines add no rows."""
-    return (
-        spark.read.schema(_with_corrupt(schema))
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(path)
-        .where(_parsed(schema))
-        .drop(_CORRUPT)
-    )
+    return _json(spark, schema, False).json(path)
 
 
 def evaluation_model(path: Column) -> Column:
@@ -74,17 +56,9 @@ def read_eval_tree(
     under no model folder. ``pattern`` is matched with file names; files Spark
     wrote need ``"*"``.
     """
-    rows = (
-        spark.read.schema(_with_corrupt(EVALUATION))
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("ignoreCorruptFiles", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .json(root)
-        .where(_parsed(EVALUATION))
-        .select(*EVALUATION.names, F.col("_metadata.file_path").alias("file_path"))
-        .withColumn("model", evaluation_model(F.col("file_path")))
+    found = _json(spark, EVALUATION, True).option("pathGlobFilter", pattern).json(root)
+    rows = found.select(*EVALUATION.names, F.col("_metadata.file_path").alias("file_path")).withColumn(
+        "model", evaluation_model(F.col("file_path"))
     )
     return rows if keep_unknown else rows.where(F.col("model") != "unknown")
 
