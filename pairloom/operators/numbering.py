@@ -18,6 +18,7 @@ def number_within(
     order: list[Column],
     to: str = "pos",
     rows_per_task: int = ROWS_PER_TASK,
+    id: str | None = None,
 ) -> DataFrame:
     """Number the rows of every key group 1..n in the given total order.
 
@@ -27,20 +28,35 @@ def number_within(
     task then numbers its own stretch, and the stretch lengths, one small row
     per task and key, give the numbers to add. The sorted rows are written
     once in between: task limits come from a sample and must not move.
+
+    With ``id``, a column without repeats, only keys, order and id are sorted
+    and written, and the numbers join the wide rows afterwards.
     """
     if keys:
         sizes = df.groupBy(*keys).count().agg(F.max("count"))
     else:
         sizes = df.agg(F.count(F.lit(1)))
     if (sizes.first()[0] or 0) <= rows_per_task:
-        return df.withColumn(to, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+        return df.withColumn(to, _row_number(keys, order))
+    if id is None:
+        return _numbered_over_tasks(df, keys, order, to)
+    narrow = _numbered_over_tasks(df, keys, order, to, [id])
+    return df.join(narrow.select(id, to), id).select(*df.columns, to)
+
+
+def _row_number(keys: list[str], order: list[Column]) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
 
-    columns = df.columns
+
+def _numbered_over_tasks(
+    df: DataFrame, keys: list[str], order: list[Column], to: str, keep: list[str] | None = None
+) -> DataFrame:
     by = [F.col(k) for k in keys] + list(order)
+    columns = df.columns if keep is None else list(dict.fromkeys([*keys, *keep]))
     rows = durable(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .select(*columns, F.monotonically_increasing_id().alias("_at"))
         .withColumn("_task", F.shiftright("_at", 33))
     )
     before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,18 +67,21 @@ def number_within(
         .drop("_n")
     )
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, "_task"]]
+    number = F.col("_skip") + F.col("_at") - F.col("_first") + 1
     return (
         rows.alias("r")
         .join(stretches.alias("s"), reduce(Column.__and__, same))
-        .select(
-            *[F.col(f"r.{c}") for c in columns],
-            (F.col("_skip") + F.col("_at") - F.col("_first") + 1).alias(to),
-        )
+        .select(*[F.col(f"r.{c}") for c in columns], number.alias(to))
     )
 
 
 def first_within(
-    df: DataFrame, keys: list[str], order: list[Column], n: int | None, to: str = "pos"
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    n: int | None,
+    to: str = "pos",
+    id: str | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of every group, numbered; all rows for ``None``.
 
@@ -72,9 +91,9 @@ def first_within(
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n is not None and n <= limit:
-        numbered = df.withColumn(to, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+        numbered = df.withColumn(to, _row_number(keys, order))
     else:
-        numbered = number_within(df, keys, order, to)
+        numbered = number_within(df, keys, order, to, id=id)
     return numbered if n is None else numbered.where(F.col(to) <= n)
 
 

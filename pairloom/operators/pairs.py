@@ -40,15 +40,17 @@ def _check_rubrics(rubrics: list[str]) -> None:
         raise ValueError(f"unknown rubric {sorted(unknown)}; known are {V.RUBRICS}")
 
 
-def _side(df: DataFrame, order: list[str], item: str, cap: int | None) -> DataFrame:
+def _side(df: DataFrame, order: list[str], item: str, cap: int | None, id: str | None) -> DataFrame:
     rows = df.select(
         group_key(df, item).alias("_key"),
         F.col(item).alias("_item"),
         passage_text(df).alias("_text"),
+        *([F.col(id).alias("_id")] if id else []),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     ).where(F.col("_key").isNotNull())
     by = [F.col(f"_o{i}") for i in range(len(order))]
-    return first_within(rows, ["_key"], by, cap).select("_key", "pos", "_item", "_text")
+    numbered = first_within(rows, ["_key"], by, cap, id="_id" if id else None)
+    return numbered.select("_key", "pos", "_item", "_text")
 
 
 def _positional(
@@ -61,13 +63,15 @@ def _positional(
     kind: str,
     created_at: str | None,
     item: str,
+    id: str | None,
 ) -> DataFrame:
     _check_rubrics(rubrics)
     fields = high.schema[item].dataType.names
     if fields != low.schema[item].dataType.names:
         raise ValueError("both sides need the same source item fields")
     per_key = cap if cap_scope == "key" else None
-    h, lo = _side(high, order, item, per_key).alias("h"), _side(low, order, item, per_key).alias("l")
+    h = _side(high, order, item, per_key, id).alias("h")
+    lo = _side(low, order, item, per_key, id).alias("l")
     joined = h.join(lo, ["_key", "pos"]).select(
         "_key",
         "pos",
@@ -100,6 +104,7 @@ def pairs_inter_model(
     cap_scope: str = "key",
     created_at: str | None = None,
     item: str = "source_item",
+    id: str | None = None,
 ) -> DataFrame:
     """Pair the i-th passage of a strong model with the i-th of a weak one.
 
@@ -108,8 +113,10 @@ def pairs_inter_model(
     passages evenly. The pairs do not depend on the rubric, so they are made
     once and then repeated for every rubric. ``cap`` bounds the pairs per
     item (or per rubric with ``cap_scope="rubric"``); ``None`` takes all.
+    ``id`` names a column without repeats; with it the numbering of very
+    large items moves ids instead of texts.
     """
-    return _positional(high, low, rubrics, order, cap, cap_scope, "IMP", created_at, item)
+    return _positional(high, low, rubrics, order, cap, cap_scope, "IMP", created_at, item, id)
 
 
 def pairs_intra_model(
@@ -119,9 +126,10 @@ def pairs_intra_model(
     order: list[str] = ["benchmark_id", "pos"],
     created_at: str | None = None,
     item: str = "source_item",
+    id: str | None = None,
 ) -> DataFrame:
     """Pair good passages with passages that violate one rubric on purpose."""
-    return _positional(high, low, [rubric], order, None, "key", "ICP", created_at, item)
+    return _positional(high, low, [rubric], order, None, "key", "ICP", created_at, item, id)
 
 
 def rubric_of_template(template: Column) -> Column:
@@ -173,7 +181,8 @@ def pairs_by_template(
             F.lit(created_at).cast("timestamp").alias("created_at"),
         ).alias("metadata"),
     )
-    return number_within(rows, [], [F.col("benchmark_id"), F.col("pos")], "reply_id").drop("benchmark_id", "pos")
+    order = [F.col("benchmark_id"), F.col("pos")]
+    return number_within(rows, [], order, "reply_id", id="data_id").drop("benchmark_id", "pos")
 
 
 def score_groups(scores: DataFrame) -> DataFrame:

@@ -37,13 +37,13 @@ def rank_passages(
     by: list[str] = [],
     to: str = "rm_ranking",
 ) -> DataFrame:
-    """Rank 1..n by combined score, best first, ties broken by id.
+    """Rank 1..n by combined score, best first, ties broken by the unique id.
 
     With or without ``by`` the numbering spreads over tasks once a group
     outgrows one.
     """
     scored = df.withColumn("_total", combine_scores(columns, how))
-    return number_within(scored, by, [F.col("_total").desc(), F.col(id)], to).drop("_total")
+    return number_within(scored, by, [F.col("_total").desc(), F.col(id)], to, id=id).drop("_total")
 
 
 def top_k_select(
@@ -52,7 +52,7 @@ def top_k_select(
     """The ``k`` best passages (of each group) with their rank."""
     scored = df.withColumn("_total", combine_scores(columns, how))
     order = [F.col("_total").desc(), F.col(id)]
-    return first_within(scored, by, order, k, "rm_ranking").drop("_total")
+    return first_within(scored, by, order, k, "rm_ranking", id).drop("_total")
 
 
 def hardest_pairs(scored: DataFrame, k: int = 5, id: str = "pair_id") -> DataFrame:

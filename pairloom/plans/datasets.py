@@ -34,16 +34,25 @@ def build_spf(
 
 
 def build_imp(
-    high: DataFrame, low: DataFrame, guidelines: DataFrame, root: str, cap: int | None = 1000
+    high: DataFrame,
+    low: DataFrame,
+    guidelines: DataFrame,
+    root: str,
+    cap: int | None = 1000,
+    id: str | None = None,
 ) -> DataFrame:
     """Inter-model pairs: add guidelines, pair, write, count."""
-    pairs = J.pairs_inter_model(J.with_guideline(high, guidelines), J.with_guideline(low, guidelines), cap=cap)
+    high, low = J.with_guideline(high, guidelines), J.with_guideline(low, guidelines)
+    pairs = J.pairs_inter_model(high, low, cap=cap, id=id)
     return A.dataset_stats(_stored(pairs, root))
 
 
-def build_icp(high: DataFrame, low: DataFrame, guidelines: DataFrame, rubric: str, root: str) -> DataFrame:
+def build_icp(
+    high: DataFrame, low: DataFrame, guidelines: DataFrame, rubric: str, root: str, id: str | None = None
+) -> DataFrame:
     """Intra-model contrastive pairs of one rubric."""
-    pairs = J.pairs_intra_model(J.with_guideline(high, guidelines), J.with_guideline(low, guidelines), rubric)
+    high, low = J.with_guideline(high, guidelines), J.with_guideline(low, guidelines)
+    pairs = J.pairs_intra_model(high, low, rubric, id=id)
     return A.dataset_stats(_stored(pairs, root))
 
 
@@ -86,12 +95,15 @@ def build_score_gap(
 ) -> DataFrame:
     """Score-gap pairs of an evaluation tree for all rubrics in one scan.
 
-    Records go below ``rubric=…``. Returns the counts by margin, high and low
-    score; they come from level sizes and do not touch the pairs.
+    The JSON is parsed once into Parquet, which both sides of the pairing and
+    the counts then read with the columns they need. Records go below
+    ``rubric=…``. Returns the counts by margin, high and low score; they come
+    from level sizes and do not touch the pairs.
     """
     spot = F.xxhash64("file_path", "source_item", "generated_passage")
-    evals = read_eval_tree(spark, eval_root, pattern=pattern).withColumn("passage_id", spot)
-    levels, records = score_gap_records(evals, min_gap)
+    staged = new_path(spark, "evaluations")
+    read_eval_tree(spark, eval_root, pattern=pattern).withColumn("passage_id", spot).write.parquet(staged)
+    levels, records = score_gap_records(spark.read.parquet(staged), min_gap)
     # The join leaves rows sorted by rubric, so writing by rubric needs no sort.
     records.write.mode("overwrite").partitionBy("rubric").json(root)
     return A.pair_stats(levels)

@@ -81,27 +81,35 @@ def flatten_entries(df: DataFrame, raw: str, entry: T.DataType) -> DataFrame:
     ).where(F.col("entry").isNotNull())
 
 
-def write_json_arrays(df: DataFrame, path: str, by: list[str] = []) -> None:
+def write_json_arrays(df: DataFrame, path: str, by: list[str] = [], max_chars: int = 32_000_000) -> None:
     """JSON files that hold one array each, for readers of whole files.
 
-    Every task writes its own rows as an array (per folder with ``by``), so
-    file size follows partition size and no group is gathered.
+    Every task cuts its own rows into arrays of about ``max_chars``, each of
+    which becomes a file (below ``by`` folders); no group is gathered.
     """
     row = F.to_json(F.struct(*[c for c in df.columns if c not in by]))
     rows = df.select(*by, row.alias("value"))
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple, list[str]] = {}
+        held: dict[tuple, list[str]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = [[*key, "[" + ",".join(values) + "]"] for key, values in held.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=[*by, "value"])
+
+        size = 0
         for batch in batches:
-            if by:
-                for key, group in batch.groupby(by, dropna=False, sort=False):
-                    found.setdefault(key, []).extend(group["value"])
-            else:
-                found.setdefault((), []).extend(batch["value"])
-        for key, values in found.items():
-            yield pd.DataFrame([[*key, "[" + ",".join(values) + "]"]], columns=[*by, "value"])
-
-    out = rows.mapInPandas(arrays, rows.schema).write.mode("overwrite")
+            for *key, value in batch.itertuples(index=False):
+                held.setdefault(tuple(key), []).append(value)
+                size += len(value)
+                if size >= max_chars:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    out = rows.mapInPandas(arrays, rows.schema).write.mode("overwrite").option("maxRecordsPerFile", 1)
     (out.partitionBy(*by) if by else out).text(path)
 
 

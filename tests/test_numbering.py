@@ -23,8 +23,8 @@ def test_spread_numbers_equal_window_numbers(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k string, o int, id int").repartition(5)
     order = [F.col("o"), F.col("id").desc()]
-    for limit in (10**6, 10):
-        got = number_within(df, ["k"], order, "n", rows_per_task=limit)
+    for limit, id in ((10**6, None), (10, None), (10, "id"), (10**6, "id")):
+        got = number_within(df, ["k"], order, "n", rows_per_task=limit, id=id)
         assert got.columns == ["k", "o", "id", "n"]
         assert {r["id"]: r["n"] for r in got.collect()} == expected(rows)
 

@@ -197,3 +197,20 @@ def test_common_keys(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "k string")
     b = spark.createDataFrame([("x",), ("z",), (None,)], "k string")
     assert [r["k"] for r in J.common_keys(a, b, "k").collect()] == ["x"]
+
+
+def test_large_items_pair_alike(spark, monkeypatch):
+    """Pairs do not depend on whether an item's passages fit one task."""
+    from pairloom.operators import numbering
+
+    rows = [("hot" if i % 3 else f"k{i % 5}", "x", f"t{i}", i) for i in range(300)]
+    high, low = (side(spark, rows).withColumn("id", F.col("pos")) for _ in range(2))
+    want = sorted(J.pairs_inter_model(high, low, RUBRICS[:1], cap=None).collect())
+    spread = numbering.number_within
+
+    def small_tasks(*args, **more):
+        return spread(*args, **{**more, "rows_per_task": 10})
+
+    monkeypatch.setattr(numbering, "number_within", small_tasks)
+    for id in (None, "id"):
+        assert sorted(J.pairs_inter_model(high, low, RUBRICS[:1], cap=None, id=id).collect()) == want

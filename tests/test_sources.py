@@ -127,7 +127,8 @@ def test_arrays_round_trip(spark, tmp_path):
     S.write_json_arrays(rows, str(tmp_path / "a"))
     back = S.read_json_array(spark, str(tmp_path / "a"), T.StructType([T.StructField("name", T.StringType())]))
     assert {r["name"] for r in back.collect()} == {str(i) for i in range(100)}
-    S.write_json_arrays(rows, str(tmp_path / "b"), ["g"])
+    S.write_json_arrays(rows.coalesce(1), str(tmp_path / "b"), ["g"], max_chars=100)
+    assert len(list((tmp_path / "b" / "g=1").glob("part-*"))) > 3
     back = S.read_json_array(spark, str(tmp_path / "b"), T.StructType([T.StructField("name", T.StringType())]))
     assert back.where(F.contains("file_path", F.lit("g=1"))).count() == 33 and back.count() == 100
 

@@ -60,7 +60,7 @@ def build_spf(spark, sf):
 )
 def build_imp(spark, sf):
     high, low = high_low(spark, sf)
-    return D.build_imp(high, low, guidelines(spark, sf), new_path(spark, "imp"))
+    return D.build_imp(high, low, guidelines(spark, sf), new_path(spark, "imp"), id="passage_id")
 
 
 @query(
@@ -70,7 +70,7 @@ def build_imp(spark, sf):
 def build_icp(spark, sf):
     high, low = high_low(spark, sf)
     rubric = D.icp_rubric("passage_agent.violate_korean_quality_severely")
-    return D.build_icp(high, low, guidelines(spark, sf), rubric, new_path(spark, "icp"))
+    return D.build_icp(high, low, guidelines(spark, sf), rubric, new_path(spark, "icp"), id="passage_id")
 
 
 @query(

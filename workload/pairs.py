@@ -66,7 +66,7 @@ def pairs_intra_model(spark, sf):
     high, low = high_low(spark, sf)
     g = guidelines(spark, sf)
     rubric = VIOLATION_TEMPLATES["passage_agent.violate_flow_severely"]
-    return flat(J.pairs_intra_model(J.with_guideline(high, g), J.with_guideline(low, g), rubric))
+    return flat(J.pairs_intra_model(J.with_guideline(high, g), J.with_guideline(low, g), rubric, id="passage_id"))
 
 
 @query(

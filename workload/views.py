@@ -166,7 +166,7 @@ def imp_pairs(spark: SparkSession, sf: str, rubrics: list[str] = RUBRICS) -> Dat
 
     high, low = high_low(spark, sf)
     g = guidelines(spark, sf)
-    return pairs_inter_model(with_guideline(high, g), with_guideline(low, g), rubrics, cap=None)
+    return pairs_inter_model(with_guideline(high, g), with_guideline(low, g), rubrics, cap=None, id="passage_id")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +190,7 @@ TURNS = """turns AS (
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Passages of a language and model as numbered attempts at one item."""
     rows = passages(spark, sf).select("lang", "model", "passage_id", F.col("generated_passage").alias("text"))
-    return number_within(rows, ["lang", "model"], [F.col("passage_id")], "attempt")
+    return number_within(rows, ["lang", "model"], [F.col("passage_id")], "attempt", id="passage_id")
 
 
 ATTEMPTS = """attempts AS (
