@@ -105,17 +105,17 @@ def test_score_gap_join_has_no_cross_product(spark):
 
 def test_by_label(spark):
     rows = [
-        ("고품질_01_회식_문화", "high", "h1", 0),
+        ("고품질_01_봄_축제", "high", "h1", 0),
         ("고품질_02_명절", "high", "h2", 1),
-        ("저품질_01_회식_문화", "low", "l1", 2),
-        ("저품질_07_회식_문화", "low", "l2", 3),
+        ("저품질_01_봄_축제", "low", "l1", 2),
+        ("저품질_07_봄_축제", "low", "l2", 3),
         ("다른_01_명절", "low", "l3", 4),
-        ("다른_01_회식_문화", "high", "h3", 5),
+        ("다른_01_봄_축제", "high", "h3", 5),
     ]
     df = spark.createDataFrame(rows, "name string, quality string, text string, pos int")
     got = J.pairs_by_label(df).collect()
-    assert [(r["pair_id"], r["chosen"], r["rejected"]) for r in got] == [("preference_pair_회식_문화", "h1", "l1")]
-    assert got[0]["metadata"]["rejected_name"] == "저품질_01_회식_문화"
+    assert [(r["pair_id"], r["chosen"], r["rejected"]) for r in got] == [("preference_pair_봄_축제", "h1", "l1")]
+    assert got[0]["metadata"]["rejected_name"] == "저품질_01_봄_축제"
     assert [tuple(r) for r in J.unmatched_by_label(df).collect()] == [("고품질_02_명절", "명절")]
 
 

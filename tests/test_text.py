@@ -105,7 +105,7 @@ def test_similarity_and_grades(one, spark):
 def test_preview_and_topic(one):
     assert one(lambda c: T.preview(c, 3), "가나다라") == "가나다..."
     assert one(lambda c: T.preview(c, 9, always=False), "가나다라") == "가나다라"
-    assert one(T.topic_from_name, "고품질_01_회식_문화") == "회식_문화"
+    assert one(T.topic_from_name, "고품질_01_봄_축제") == "봄_축제"
     assert one(T.topic_from_name, "저품질_02") == ""
     assert one(T.topic_from_name, "기타_02_주제") is None
 

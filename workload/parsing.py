@@ -12,7 +12,7 @@ from pairloom.operators import responses as X
 from pairloom.values import RUBRIC_ALIASES, RUBRICS
 from workload.registry import query
 from workload.text import _URL, normal_url
-from workload.views import BINARY, PASSAGES, SCORES, binary, passages, table, wide_scores
+from workload.views import BINARY, PASSAGES, SCORES, binary, passages, texts, wide_scores
 
 
 def lit(x):
@@ -31,7 +31,7 @@ def score_responses(spark, sf):
         .when(kind == 4, F.concat(score, lit(" (매우 적합) "), "text"))
         .otherwise(F.col("text"))
     )
-    return table(spark, sf, "documents").select("doc_id", "n_chars", text.alias("response"))
+    return texts(spark, sf).select("doc_id", "n_chars", text.alias("response"))
 
 
 _SCORE_RESPONSES = r"""responses AS (
@@ -191,7 +191,7 @@ def parse_correction(spark, sf):
         .when(kind == 1, lit("오류 없음"))
         .otherwise(lit("2점"))
     )
-    rows = table(spark, sf, "pages").select("page_id", F.col("url").alias("passage"), response.alias("response"))
+    rows = texts(spark, sf, "pages").select("page_id", F.col("url").alias("passage"), response.alias("response"))
     return X.parse_correction(rows, source="auto").select("page_id", "score", "parse_status")
 
 
@@ -206,7 +206,7 @@ FROM documents""",
 def parse_pass_fail(spark, sf):
     kind = F.col("doc_id") % 3
     head = F.when(kind == 0, "\n Pass: ").when(kind == 1, "FAIL ").otherwise("판단: ")
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(head, "text").alias("response"))
+    rows = texts(spark, sf).select("doc_id", F.concat(head, "text").alias("response"))
     return X.parse_pass_fail(rows).select("doc_id", "result", "score", F.md5("reason").alias("reason"))
 
 
@@ -227,7 +227,7 @@ def parse_ab_choice(spark, sf):
         .when(kind == 2, F.concat(lit("- 선택: B\n"), "text"))
         .otherwise(F.concat(lit("1. "), "text", lit(" 선택:A")))
     )
-    return X.parse_ab_choice(table(spark, sf, "documents").select("doc_id", response.alias("response"))).select(
+    return X.parse_ab_choice(texts(spark, sf).select("doc_id", response.alias("response"))).select(
         "doc_id", "choice"
     )
 
@@ -247,5 +247,5 @@ def parse_topic_pair(spark, sf):
     listed = F.concat(lit('답: ["'), "source", lit(' ", "'), "lang", lit("\"] \n"), "text")
     plain = F.concat("lang", lit(" topic: why, '"), "source", lit("': because\n"), F.translate("text", "[]", "()"))
     response = F.when(kind == 0, listed).when(kind == 1, plain).otherwise(F.translate("text", "[]", ""))
-    rows = table(spark, sf, "documents").select("doc_id", response.alias("response"))
+    rows = texts(spark, sf).select("doc_id", response.alias("response"))
     return X.parse_topic_pair(rows).select("doc_id", "korean_topic", "foreign_topic")

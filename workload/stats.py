@@ -8,7 +8,7 @@ from pairloom.operators import pairs as J
 from pairloom.operators import stats as A
 from workload.registry import query
 from workload.text import _SENTENCES
-from workload.views import IMP, SCORES, imp_pairs, long_scores, table
+from workload.views import IMP, SCORES, imp_pairs, long_scores, texts
 
 _MEASURED = rf"""measured AS (
   SELECT lang, length(text)::DOUBLE AS chars,
@@ -36,12 +36,12 @@ def _rounded(stats, by):
 
 @query("corpus_stats", _stats_sql(""))
 def corpus_stats(spark, sf):
-    return _rounded(A.corpus_stats(table(spark, sf, "documents")), [])
+    return _rounded(A.corpus_stats(texts(spark, sf)), [])
 
 
 @query("corpus_stats_by_language", _stats_sql("lang"))
 def corpus_stats_by_language(spark, sf):
-    return _rounded(A.corpus_stats(table(spark, sf, "documents"), by=["lang"]), ["lang"])
+    return _rounded(A.corpus_stats(texts(spark, sf), by=["lang"]), ["lang"])
 
 
 _TOKENS = r"""tokens AS (
@@ -54,7 +54,7 @@ _TOKENS = r"""tokens AS (
 SELECT count(*) AS tokens, count(DISTINCT token) AS types, round(count(DISTINCT token) / count(*), 6) AS ttr FROM tokens""",
 )
 def type_token_ratio(spark, sf):
-    rows = A.type_token_ratio(table(spark, sf, "documents"))
+    rows = A.type_token_ratio(texts(spark, sf))
     return rows.select("tokens", "types", F.round("ttr", 6).alias("ttr"))
 
 
@@ -65,7 +65,7 @@ SELECT lang, count(*) AS tokens, count(DISTINCT token) AS types, round(count(DIS
 FROM tokens GROUP BY lang""",
 )
 def type_token_ratio_by_language(spark, sf):
-    rows = A.type_token_ratio(table(spark, sf, "documents"), by=["lang"])
+    rows = A.type_token_ratio(texts(spark, sf), by=["lang"])
     return rows.select("lang", "tokens", "types", F.round("ttr", 6).alias("ttr"))
 
 
@@ -80,7 +80,7 @@ _LONG = r"""long_ones AS (
     f"WITH {_LONG} SELECT doc_id, original_length, cleaned_length, original_length - cleaned_length AS reduction FROM long_ones",
 )
 def long_passages(spark, sf):
-    rows = A.long_passages(table(spark, sf, "documents"))
+    rows = A.long_passages(texts(spark, sf))
     return rows.select("doc_id", "original_length", "cleaned_length", "reduction")
 
 
@@ -94,7 +94,7 @@ SELECT lang, count(*) AS n_long, round(avg(original_length), 6) AS original_leng
 FROM long_ones GROUP BY lang""",
 )
 def long_passage_summary(spark, sf):
-    rows = A.long_passage_summary(A.long_passages(table(spark, sf, "documents")), ["lang"])
+    rows = A.long_passage_summary(A.long_passages(texts(spark, sf)), ["lang"])
     return rows.select(*[F.round(c, 6).alias(c) if c.endswith("_mean") else F.col(c) for c in rows.columns])
 
 

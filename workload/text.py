@@ -8,7 +8,7 @@ from pairloom.functions import text as T
 from pairloom.operators.responses import context_block
 from pairloom.operators.stats import distinct_tokens
 from workload.registry import query
-from workload.views import PASSAGES, passages, table
+from workload.views import PASSAGES, passages, texts
 
 # The documents hold no white space beyond blank, tab and line ends, so the
 # ASCII classes of the SQL find what the Unicode ones of the library find.
@@ -24,7 +24,7 @@ _SQUEEZE = r"trim(regexp_replace({0}, '[ \t\n\r]+', ' ', 'g'))"
     + " AS c FROM pages)",
 )
 def clean_brackets(spark, sf):
-    c = table(spark, sf, "pages").select("page_id", T.clean_brackets("html").alias("c"))
+    c = texts(spark, sf, "pages").select("page_id", T.clean_brackets("html").alias("c"))
     return c.select("page_id", F.md5("c").alias("cleaned"), F.length("c").alias("n"))
 
 
@@ -44,7 +44,7 @@ SELECT doc_id, md5(regexp_replace(trim(t, E' \t\n\r'), '\n+', ' ', 'g')) AS body
       ELSE text END AS s FROM documents))""",
 )
 def remove_title(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
 
     def lit(x):
         return F.lit(x)
@@ -62,7 +62,7 @@ def remove_title(spark, sf):
 
 @query("normalize_ws", f"SELECT doc_id, md5({_SQUEEZE.format('text')}) AS body FROM documents")
 def normalize_ws(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_ws("text")).alias("body"))
+    return texts(spark, sf).select("doc_id", F.md5(T.normalize_ws("text")).alias("body"))
 
 
 _SENTENCES = (
@@ -77,7 +77,7 @@ _SENTENCES = (
     f"FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)",
 )
 def split_sentences(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", T.split_sentences("text").alias("s"))
+    s = texts(spark, sf).select("doc_id", T.split_sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("sentences"))
 
 
@@ -94,7 +94,7 @@ FROM (SELECT doc_id, text, {_SENTENCES} AS s FROM documents)""",
 def text_counts(spark, sf):
     counts = T.text_counts("text")
     counts["sentence_words"] = F.round(counts["sentence_words"], 6)
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in counts.items()])
+    return texts(spark, sf).select("doc_id", *[c.alias(n) for n, c in counts.items()])
 
 
 @query(
@@ -103,7 +103,7 @@ def text_counts(spark, sf):
     "ELSE 'ok' END AS gate FROM documents",
 )
 def length_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.length_gate("text").alias("gate"))
+    return texts(spark, sf).select("doc_id", T.length_gate("text").alias("gate"))
 
 
 @query(
@@ -116,7 +116,7 @@ SELECT doc_id, length(t)::INTEGER AS n, md5(t) AS body FROM (SELECT doc_id,
        ELSE substr(text, 1, 500) END AS t FROM documents)""",
 )
 def truncate_at_period(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", T.truncate_at_period("text").alias("t"))
+    t = texts(spark, sf).select("doc_id", T.truncate_at_period("text").alias("t"))
     return t.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("body"))
 
 
@@ -138,7 +138,7 @@ FROM (SELECT page_id, d, 1.0::DOUBLE - d::DOUBLE / n AS s FROM (SELECT page_id,
   levenshtein(url, {_URL})::INTEGER AS d, greatest(length(url), length({_URL})) AS n FROM pages))""",
 )
 def edit_distance(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("b", normal_url())
+    pages = texts(spark, sf, "pages").withColumn("b", normal_url())
     s = T.normalized_similarity("url", "b")
     return pages.select(
         "page_id",
@@ -154,7 +154,7 @@ def edit_distance(spark, sf):
     "CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS longer FROM documents",
 )
 def preview(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", T.preview("text", 50).alias("always"), T.preview("text", 200, always=False).alias("longer")
     )
 
@@ -169,7 +169,7 @@ def topic_from_name(spark, sf):
         F.array(F.lit("고품질"), F.lit("저품질"), F.lit("다른")), (F.col("doc_id") % 3 + 1).cast("int")
     )
     name = F.concat_ws("_", label, "doc_id", "source", "lang")
-    return table(spark, sf, "documents").select("doc_id", T.topic_from_name(name).alias("topic"))
+    return texts(spark, sf).select("doc_id", T.topic_from_name(name).alias("topic"))
 
 
 @query(
@@ -177,7 +177,7 @@ def topic_from_name(spark, sf):
     r"SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '')) AS token FROM documents",
 )
 def vocabulary(spark, sf):
-    return distinct_tokens(table(spark, sf, "documents"))
+    return distinct_tokens(texts(spark, sf))
 
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
@@ -197,7 +197,7 @@ def context(spark, sf):
     from pairloom.operators.numbering import number_within
 
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    pages = table(spark, sf, "pages").select(
+    pages = texts(spark, sf, "pages").select(
         host.alias("topic"),
         "page_id",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators.numbering import number_within
+from pairloom.storage import spread
 from pairloom.values import RUBRICS
 
 # Multipliers of doc_id and n_chars that give each rubric its own scores.
@@ -30,6 +31,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", columns: tuple[str, ...] = ()) -> DataFrame:
+    """A table whose texts are about to be worked on, on all cores."""
+    df = table(spark, sf, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """documents as generated passages of benchmark items."""
     number = F.substring("source", 4, 10).cast("int")
