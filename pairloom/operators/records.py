@@ -134,23 +134,6 @@ def merge_pairs(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def read_merged(spark, root: str, schema) -> DataFrame:
-    """Every ``<model pair>/<rubric>/rm_pairwise.json`` below ``root``.
-
-    One recursive read; model pair and rubric come from the path.
-    """
-    from pairloom.sources.files import read_json_array
-
-    rows = read_json_array(spark, root, schema)
-    parts = F.split("file_path", "/", -1)
-    return (
-        rows.where(F.endswith(F.col("file_path"), F.lit("/rm_pairwise.json")))
-        .withColumn("model_pair", F.try_element_at(parts, F.lit(-3)))
-        .withColumn("rubric", F.try_element_at(parts, F.lit(-2)))
-        .drop("file_path")
-    )
-
-
 def merge_counts(pairs: DataFrame) -> DataFrame:
     """Merged pairs per rubric."""
     return pairs.groupBy("rubric").agg(F.count(F.lit(1)).alias("n_pairs"))

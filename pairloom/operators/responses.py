@@ -176,12 +176,17 @@ def scores_long(evals: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def evaluation_summary(evals: DataFrame, keep: list[str]) -> DataFrame:
-    """Total and the six scores as text, missing ones as N/A."""
-    names = [f"{r}_score" for r in V.RUBRICS]
+    """Total, the six scores, time and template as text, missing ones as N/A."""
+    scores = [f"{r}_score" for r in V.RUBRICS]
+
+    def shown(name: str) -> Column:
+        value = F.col(name).cast("string") if name in evals.columns else F.lit(None)
+        return F.coalesce(value, F.lit(V.MISSING)).alias(name)
+
     return evals.select(
         *keep,
-        combine_scores(names).alias("total"),
-        *[F.coalesce(F.col(n).cast("string"), F.lit(V.MISSING)).alias(n) for n in names],
+        combine_scores(scores).alias("total"),
+        *[shown(n) for n in [*scores, "evaluation_timestamp", "template_used"]],
     )
 
 

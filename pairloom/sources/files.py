@@ -38,6 +38,28 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
     return _json(spark, schema, False).json(path)
 
 
+def read_merged(
+    spark: SparkSession, root: str, schema: T.StructType, pattern: str = V.RECORD_FILE
+) -> DataFrame:
+    """Record files below ``<model pair>/<rubric>/`` as one table, repeats kept.
+
+    One recursive read; model pair and rubric come from the path, of a
+    partition folder ``name=value`` the value. ``pattern`` is matched with
+    file names; files Spark wrote need ``"*"``.
+    """
+    rows = (
+        _json(spark, schema, True)
+        .option("pathGlobFilter", pattern)
+        .json(root)
+        .select(*schema.names, F.split("_metadata.file_path", "/", -1).alias("_parts"))
+    )
+
+    def folder(up: int) -> Column:
+        return F.regexp_replace(F.try_element_at("_parts", F.lit(-1 - up)), "^[^=]*=", "")
+
+    return rows.withColumn("model_pair", folder(2)).withColumn("rubric", folder(1)).drop("_parts")
+
+
 def evaluation_model(path: Column) -> Column:
     """Model name from the first path part that holds ``_evaluation``.
 
@@ -121,9 +143,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def write_pairs(pairs: DataFrame, root: str) -> None:
     """Pairs as line JSON below ``dataset_type=…/rubric=…``.
 
-    The complete set is the same table read without a filter.
+    Only the folders of types and rubrics in ``pairs`` are replaced. The
+    complete set is the same table read without a filter.
     """
-    pairs.write.mode("overwrite").partitionBy("dataset_type", "rubric").json(root)
+    writer = pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset_type", "rubric").json(root)
 
 
 def read_pairs(

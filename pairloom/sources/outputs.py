@@ -58,6 +58,18 @@ def list_outputs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the JSON files below ``root``, relative to it."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.json")
+        .option("recursiveFileLookup", True)
+        .load(root)
+    )
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    return files.select(F.substring_index("path", f"/{name}/", -1).alias("file_path"))
+
+
 def count_outputs(files: DataFrame) -> DataFrame:
     """Files and bytes per model and template."""
     return files.groupBy("model", "template").agg(
@@ -92,6 +104,68 @@ def load_outputs(
     return outputs
 
 
+def _one_file(outputs: DataFrame, highest: bool) -> DataFrame:
+    """Rows of one (benchmark, template) only, picked by one small aggregate."""
+    which = F.struct("benchmark_id", "template")
+    pick = F.max(which) if highest else F.min(which)
+    return outputs.where(which == outputs.agg(pick.alias("which")).scalar())
+
+
+def _load_kind(outputs: DataFrame, kind: str, template: str | None, **wanted) -> DataFrame:
+    found = load_outputs(outputs, template=template, **wanted)
+    if template is not None:
+        return _one_file(found, highest=False)
+    return _one_file(found.where(infer_output_type(F.col("template")) == kind), highest=True)
+
+
+def load_passages(
+    outputs: DataFrame,
+    model: str,
+    benchmark_id: int | None = None,
+    version: str = "v1.0.0",
+    template: str | None = None,
+    date: str | None = None,
+) -> DataFrame:
+    """Passages a model wrote for one benchmark.
+
+    Without a template, templates named like passages are looked through and
+    the highest benchmark id is taken; with one, the lowest.
+    """
+    kind = {"output_type": "passage"} if date is not None else {}
+    return _load_kind(
+        outputs, "passage", template, model=model, benchmark_id=benchmark_id, version=version, date=date, **kind
+    )
+
+
+def load_stems(
+    outputs: DataFrame,
+    model: str,
+    benchmark_id: int | None = None,
+    version: str = "v1.0.0",
+    template: str | None = None,
+    date: str | None = None,
+) -> DataFrame:
+    """Question stems a model wrote, chosen like :func:`load_passages`."""
+    kind = {"output_type": "stem"} if date is not None else {}
+    return _load_kind(
+        outputs, "stem", template, model=model, benchmark_id=benchmark_id, version=version, date=date, **kind
+    )
+
+
+def load_options(
+    outputs: DataFrame,
+    model: str,
+    benchmark_id: int | None = None,
+    version: str = "v1.0.0",
+    template: str = V.OPTIONS_TEMPLATE,
+    date: str | None = None,
+) -> DataFrame:
+    """Answer options a model wrote with one template."""
+    return _load_kind(
+        outputs, "options", template, model=model, benchmark_id=benchmark_id, version=version, date=date
+    )
+
+
 def read_outputs(spark: SparkSession, root: str, schema) -> DataFrame:
     """Outputs written by :func:`write_outputs`; partition values as columns."""
     return spark.read.schema(schema).json(root)
@@ -167,6 +241,16 @@ def output_path(date: Column, model: Column, benchmark_id: Column, version: Colu
     return F.concat_ws("/", date.cast("string"), output_type(template), model, template, F.concat(name, F.lit(".json")))
 
 
+def benchmark_by_id(benchmarks: DataFrame, benchmark_id: int) -> DataFrame:
+    """The benchmark with an id; no row if there is none."""
+    return benchmarks.where(F.col("id") == benchmark_id)
+
+
+def guidelines(benchmarks: DataFrame) -> DataFrame:
+    """Problem types and goals of each benchmark, to be joined by its id."""
+    return benchmarks.select(F.col("id").alias("benchmark_id"), "problem_types", "eval_goals")
+
+
 def benchmark_items(benchmarks: DataFrame, item_index: int | None = None) -> DataFrame:
     """One row per benchmark item with its position from 0.
 

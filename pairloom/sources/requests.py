@@ -9,25 +9,36 @@ from pairloom import values as V
 
 
 def build_requests(
-    prompts: DataFrame, model: str, key: str = "request_key", temperature: float | None = None, max_tokens: int | None = None
+    prompts: DataFrame,
+    model: str,
+    key: str = "request_key",
+    temperature: float | None = None,
+    max_tokens: int | None = None,
+    **more,
 ) -> DataFrame:
-    """One chat request per prompt.
+    """One chat request per row.
 
-    ``key`` is a stable id of the prompt; the custom id is made from it, so a
-    rerun gives the same ids however rows are spread.
+    Rows hold ``messages`` (an array of role and content) or one user
+    ``prompt``. ``key`` is a stable id of the row; the custom id is made from
+    it, so a rerun gives the same ids however rows are spread. ``more`` adds
+    to or replaces fields of the body.
     """
-    message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
-    body = F.struct(
-        F.lit(model).alias("model"),
-        F.array(message).alias("messages"),
-        F.lit(temperature).cast("double").alias("temperature"),
-        F.lit(max_tokens).cast("int").alias("max_tokens"),
-    )
+    if "messages" in prompts.columns:
+        messages = F.col("messages")
+    else:
+        messages = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    fields = {
+        "model": F.lit(model),
+        "messages": messages,
+        "temperature": F.lit(temperature).cast("double"),
+        "max_tokens": F.lit(max_tokens).cast("int"),
+        **{name: F.lit(value) for name, value in more.items()},
+    }
     return prompts.select(
         F.concat(F.lit("request_"), F.col(key).cast("string")).alias("custom_id"),
         F.lit(V.CHAT_METHOD).alias("method"),
         F.lit(V.CHAT_URL).alias("url"),
-        body.alias("body"),
+        F.struct(*[c.alias(n) for n, c in fields.items()]).alias("body"),
     )
 
 

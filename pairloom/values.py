@@ -164,6 +164,8 @@ PAGE_SEPARATOR = "\n\n---\n\n"
 
 FILE_NAME = r"benchmark_(\d+)_([^_]+)_(.+)"
 EVALUATION_FILE = "*eval_rubric*.json"
+RECORD_FILE = "rm_pairwise.json"
+OPTIONS_TEMPLATE = "passage_options"
 
 # Smallest normalised similarity for each grade, best first; otherwise 1.
 GRADES = [(0.99, 5), (0.95, 4), (0.90, 3), (0.80, 2)]

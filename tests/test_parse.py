@@ -160,3 +160,4 @@ def test_evaluation_long_and_summary(spark):
     assert len([r for r in long if r["id"] == 2]) == 5
     s = X.evaluation_summary(rows, ["id"]).first()
     assert (s["total"], s["logical_flow_score"], s["korean_quality_score"]) == (15.0, "N/A", "3")
+    assert (s["evaluation_timestamp"], s["template_used"]) == ("N/A", "N/A")

@@ -3,7 +3,6 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.operators.records import read_merged
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
 from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, QUALITY_SAMPLE, RECORD
@@ -147,7 +146,7 @@ def test_merged_tree(spark, tmp_path):
     put(tmp_path / "p1" / "logical_flow" / "rm_pairwise.json", [record("a"), record("a")])
     put(tmp_path / "p2" / "logical_flow" / "rm_pairwise.json", [record("b")])
     put(tmp_path / "p2" / "logical_flow" / "else.json", [record("c")])
-    rows = read_merged(spark, str(tmp_path), RECORD).collect()
+    rows = S.read_merged(spark, str(tmp_path), RECORD).collect()
     assert sorted((r["model_pair"], r["rubric"], r["chosen"]["value"]) for r in rows) == [
         ("p1", "logical_flow", "a"), ("p1", "logical_flow", "a"), ("p2", "logical_flow", "b"),
     ]
@@ -165,6 +164,9 @@ def test_requests_and_responses(spark, tmp_path):
         "custom_id": "request_0", "method": "POST", "url": "/v1/chat/completions",
         "body": {"model": "m", "messages": [{"role": "user", "content": "질문0"}], "temperature": 0.5, "max_tokens": None},
     }
+    talk = spark.createDataFrame([(7, [("system", "s"), ("user", "u")])], "request_key int, messages array<struct<role:string,content:string>>")
+    body = json.loads(Q.request_lines(Q.build_requests(talk, "m", top_p=0.9, max_tokens=5)).first()["line"])["body"]
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and (body["top_p"], body["max_tokens"]) == (0.9, 5)
     put(tmp_path / "r.jsonl", "\n".join([answer(2, "둘"), answer(0, "영"), answer(2, "둘"), answer(9, "모름"), '{"custom_id": "request_1"}']))
     responses = S.read_jsonl(spark, str(tmp_path), CHAT_RESPONSE)
     got = {r["custom_id"]: r["response"] for r in Q.join_responses(requests, responses).collect()}
@@ -225,5 +227,41 @@ def test_pairs_round_trip(spark, tmp_path):
     rows = [("p1", "logical_flow", None, "c", "r", "SPF", None), ("p2", "korean_quality", None, "c", "r", "SPF", None)]
     S.write_pairs(spark.createDataFrame(rows, PAIR), str(tmp_path / "p"))
     assert S.read_pairs(spark, str(tmp_path / "p"), PAIR).count() == 2
+    more = [("p3", "logical_flow", None, "c", "r", "IMP", None), ("p4", "korean_quality", None, "c", "r", "SPF", None)]
+    S.write_pairs(spark.createDataFrame(more, PAIR), str(tmp_path / "p"))
+    assert sorted(r["pair_id"] for r in S.read_pairs(spark, str(tmp_path / "p"), PAIR).collect()) == ["p1", "p3", "p4"]
     one = S.read_pairs(spark, str(tmp_path / "p"), PAIR, "SPF", "logical_flow").collect()
     assert [r["pair_id"] for r in one] == ["p1"]
+
+
+def test_loaders_pick_one_file(spark):
+    rows = [
+        ("m", "2025-08-05", "passage", "passage_agent.a", 2, "v1.0.0", "p2"),
+        ("m", "2025-08-05", "passage", "passage_agent.a", 10, "v1.0.0", "p10"),
+        ("m", "2025-08-05", "passage", "passage_stem", 11, "v1.0.0", "s11"),
+        ("m", "2025-08-05", "passage", "passage_eval", 12, "v1.0.0", "e12"),
+        ("m", "2025-08-06", "passage", "passage_options", 3, "v1.0.0", "o3"),
+        ("n", "2025-08-05", "passage", "passage_agent.a", 20, "v1.0.0", "n20"),
+        ("m", "2025-08-05", "passage", "passage_agent.a", 30, "v2.0.0", "v30"),
+    ]
+    df = spark.createDataFrame(rows, "model string, date string, output_type string, template string, benchmark_id int, version string, t string")
+
+    def texts(found):
+        return [r["t"] for r in found.collect()]
+
+    assert texts(O.load_passages(df, "m")) == ["p10"]
+    assert texts(O.load_passages(df, "m", template="passage_agent.a")) == ["p2"]
+    assert texts(O.load_passages(df, "m", 2)) == ["p2"]
+    assert texts(O.load_passages(df, "m", version="v2.0.0", date="2025-08-05")) == ["v30"]
+    assert texts(O.load_passages(df, "x")) == []
+    assert texts(O.load_stems(df, "m")) == ["s11"]
+    assert texts(O.load_options(df, "m")) == ["o3"]
+
+
+def test_benchmark_lookups(spark, tmp_path):
+    put(tmp_path / "v1" / "b.json", [{"id": 2, "problem_types": ["a"], "eval_goals": ["g"], "items": []}, {"id": 1, "items": []}])
+    b = S.read_json_array(spark, str(tmp_path), BENCHMARK)
+    assert [r["problem_types"] for r in O.benchmark_by_id(b, 2).collect()] == [["a"]]
+    assert O.benchmark_by_id(b, 9).count() == 0
+    assert {r["benchmark_id"]: r["eval_goals"] for r in O.guidelines(b).collect()} == {2: ["g"], 1: None}
+    assert [r["file_path"] for r in O.list_files(spark, str(tmp_path)).collect()] == ["v1/b.json"]

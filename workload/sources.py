@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, PASSAGE
+from pairloom.operators import pairs as J
+from pairloom.operators import records as R
+from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, PASSAGE, RECORD
 from pairloom.sources import files as S
 from pairloom.sources import outputs as O
 from pairloom.sources import requests as Q
@@ -373,3 +375,68 @@ def join_responses(spark, sf):
     requests = Q.build_requests(prompts, "judge", key="turn_id")
     responses = S.read_jsonl(spark, response_files(spark, sf, turns(spark, sf), "turn_id"), CHAT_RESPONSE)
     return Q.join_responses(requests, responses).select("custom_id", F.md5("response").alias("response"))
+
+
+@query(
+    "load_passages",
+    f"""WITH {PASSAGES}, {_OUT}, f AS (
+  SELECT * FROM out WHERE model = 'src3' AND contains(template, 'passage') AND NOT contains(template, 'eval')),
+best AS (SELECT benchmark_id, template FROM f ORDER BY benchmark_id DESC, template DESC LIMIT 1)
+SELECT benchmark_id, template, md5(generated_passage) AS body FROM f JOIN best USING (benchmark_id, template)""",
+)
+def load_passages(spark, sf):
+    rows = O.read_outputs(spark, written_outputs(spark, sf), _OUTPUT)
+    return O.load_passages(rows, "src3").select("benchmark_id", "template", F.md5("generated_passage").alias("body"))
+
+
+@query(
+    "load_stems",
+    f"""WITH {PASSAGES}, {_OUT}
+SELECT benchmark_id, md5(generated_passage) AS body FROM out
+WHERE model = 'src6' AND template = 'stem_agent.few_shot' AND output_type = 'stem'""",
+)
+def load_stems(spark, sf):
+    rows = O.read_outputs(spark, written_outputs(spark, sf), _OUTPUT)
+    found = O.load_stems(rows, "src6", date="2025-08-05")
+    return found.select("benchmark_id", F.md5("generated_passage").alias("body"))
+
+
+@query(
+    "load_options",
+    f"""WITH {PASSAGES}, {_OUT}
+SELECT benchmark_id, md5(generated_passage) AS body FROM out
+WHERE model = 'src7' AND template = 'options_agent.create_option'""",
+)
+def load_options(spark, sf):
+    rows = O.read_outputs(spark, written_outputs(spark, sf), _OUTPUT)
+    found = O.load_options(rows, "src7", template="options_agent.create_option")
+    return found.select("benchmark_id", F.md5("generated_passage").alias("body"))
+
+
+@query(
+    "guidelines",
+    f"""WITH {PASSAGES}, {GUIDELINES}
+SELECT passage_id, array_to_string(eval_goals, ', ') AS eval_goals FROM passages JOIN guidelines USING (benchmark_id)""",
+)
+def guidelines_(spark, sf):
+    b = S.read_json_array(spark, written_benchmarks(spark, sf), BENCHMARK)
+    rows = passages(spark, sf).select("passage_id", "benchmark_id").join(O.guidelines(b), "benchmark_id")
+    return rows.select("passage_id", F.array_join("eval_goals", ", ").alias("eval_goals"))
+
+
+@query(
+    "read_merged",
+    f"""WITH {IMP}
+SELECT model_pair, rubric, count(*) AS n, sum(length(chosen))::BIGINT AS chars
+FROM imp, (SELECT unnest(['strong-weak', 'strong-weak-2']) AS model_pair) GROUP BY ALL""",
+)
+def read_merged(spark, sf):
+    """Records of two model pairs, written as array files and merged."""
+    records = R.to_rm_record(imp_pairs(spark, sf), {r: "{korean_topic}" for r in RUBRICS}, ["rubric"])
+    both = J.generation_grid(records, ["strong-weak", "strong-weak-2"], ["-"]).drop("template")
+    path = new_path(spark, "merged")
+    S.write_json_arrays(both.withColumnRenamed("model", "model_pair"), path, ["model_pair", "rubric"])
+    rows = S.read_merged(spark, path, RECORD, pattern="*")
+    return rows.groupBy("model_pair", "rubric").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("chosen.value")).alias("chars")
+    )
