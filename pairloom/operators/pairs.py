@@ -186,7 +186,12 @@ def pairs_by_template(
 
 
 def score_groups(scores: DataFrame) -> DataFrame:
-    """Passages per rubric, source key and score; rows without score are out."""
+    """Passages per rubric, source key and score; rows without score are out.
+
+    Scores are whole numbers of a short scale, so a source has few levels.
+    """
+    if scores.schema["score"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("scores are whole numbers")
     kept = scores.where(F.col("score").isNotNull() & F.col("source_key").isNotNull())
     return kept.groupBy("rubric", "source_key", "score").agg(F.count(F.lit(1)).alias("n"))
 
@@ -230,8 +235,9 @@ def pairs_by_score_gap(
 
     ``scores`` holds passage_id, rubric, source_key and score. ``chosen_id``
     always has the higher score; columns named in ``carry`` come along as
-    ``chosen_…`` and ``rejected_…``. Use :func:`score_gap_counts` first: the
-    result itself grows with the square of a source's passages.
+    ``chosen_…`` and ``rejected_…``. The result itself grows with the square
+    of a source's passages: ask :func:`score_gap_counts` first. Its rows and
+    the scores say the same in factored form, where no pair need be written.
 
     The join makes result rows only. A chosen passage is addressed to each
     lower score level that exists, a rejected one to its own level, and the

@@ -95,6 +95,8 @@ def test_score_gap_carries_columns_and_checks_gap(spark):
     assert [(r["chosen_text"], r["rejected_text"], r["margin"]) for r in rows] == [("좋은", "나쁜", 3)] * 2
     with pytest.raises(ValueError):
         J.pairs_by_score_gap(df, 0)
+    with pytest.raises(TypeError):
+        J.score_gap_counts(df.withColumn("score", F.lit(0.5)))
 
 
 def test_score_gap_join_has_no_cross_product(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import attempts as W
 from pairloom.operators import ranking as K
 from pairloom.operators import scoring as S
+from pairloom.operators.numbering import first_within, number_within, shuffled
 from pairloom.operators.responses import evaluation_long, evaluation_summary
 from pairloom.values import RUBRIC_LABELS, RUBRICS
 from workload.registry import query
@@ -83,9 +84,9 @@ def ab_order(spark, sf):
     return rows.select("pair_id", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b"), "correct_choice")
 
 
-def choices(spark, sf):
+def choices(pairs):
     """A judge that picks by length; no choice when both texts are as long."""
-    shown = S.ab_order(scored_pairs(spark, sf))
+    shown = S.ab_order(pairs)
     a, b = F.length("text_a"), F.length("text_b")
     return shown.withColumn("choice", F.when(a > b, "A").when(a < b, "B"))
 
@@ -100,7 +101,7 @@ SELECT count(*) AS total_pairs, count(*) FILTER ({_HIT}) AS correct_predictions,
        round(avg(({_HIT})::INT), 6) AS accuracy FROM scored""",
 )
 def judge_accuracy(spark, sf):
-    rows = S.judge_accuracy(choices(spark, sf))
+    rows = S.judge_accuracy(choices(scored_pairs(spark, sf)))
     return rows.select("total_pairs", "correct_predictions", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -112,8 +113,8 @@ SELECT count(*) AS total_comparisons, count(*) FILTER (rm = judge) AS agreements
        round(avg(rm::INT), 6) AS reward_model_accuracy, round(avg(judge::INT), 6) AS judge_accuracy FROM v""",
 )
 def agreement(spark, sf):
-    rm = S.with_difference(scored_pairs(spark, sf))
-    rows = S.agreement(rm, S.judge_results(choices(spark, sf)))
+    scored = scored_pairs(spark, sf)
+    rows = S.agreement(S.with_difference(scored), S.judge_results(choices(scored)))
     rates = ["agreement_rate", "reward_model_accuracy", "judge_accuracy"]
     return rows.select(
         "total_comparisons", "agreements", "disagreements", *[F.round(c, 6).alias(c) for c in rates]
@@ -302,3 +303,54 @@ def evaluation_summary_(spark, sf):
     known = F.when(F.col("n_chars") % 4 > 0, F.col("korean_quality_score"))
     rows = evaluation_summary(wide_scores(spark, sf).withColumn("korean_quality_score", known), ["passage_id"])
     return rows.select("passage_id", "total", "korean_quality_score", "logical_flow_score")
+
+
+_NEW = f"""{PASSAGES}, {ATTEMPTS}, clean AS (
+  SELECT lang, model, attempt, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '\\([^)]*\\)', '', 'g'), '\\[[^\\]]*\\]', '', 'g'), '\\{{[^}}]*\\}}', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS t
+  FROM attempts WHERE attempt <= 5),
+ok AS (SELECT lang, model, arg_min(t, attempt) FILTER (length(t) >= 300) AS t FROM clean GROUP BY lang, model)"""
+
+
+@query(
+    "regenerated",
+    f"""WITH {_NEW}
+SELECT lang, model, md5(coalesce(CASE WHEN length(t) <= 500 THEN t
+    WHEN strpos(reverse(t), '.') > 0 AND length(t) - strpos(reverse(t), '.') < 500
+      THEN substr(t, 1, length(t) - strpos(reverse(t), '.') + 1)
+    ELSE substr(t, 1, 500) END, '생성 실패')) AS body FROM ok""",
+)
+def regenerated(spark, sf):
+    rows = W.regenerated(attempts(spark, sf), ["lang", "model"])
+    return rows.select("lang", "model", F.md5("generated_passage").alias("body"))
+
+
+@query(
+    "number_within",
+    "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS pos FROM documents",
+)
+def number_within_(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    order = [F.col("n_chars").desc(), F.col("doc_id")]
+    return number_within(rows, ["lang"], order, id="doc_id").select("doc_id", "lang", "pos")
+
+
+@query(
+    "number_within_spread",
+    "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS pos FROM documents",
+)
+def number_within_spread(spark, sf):
+    """The same numbers on the way large groups take."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    order = [F.col("n_chars").desc(), F.col("doc_id")]
+    return number_within(rows, ["lang"], order, rows_per_task=1).select("doc_id", "lang", "pos")
+
+
+@query(
+    "first_within",
+    "SELECT * FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS n "
+    "FROM documents) WHERE n <= 30",
+)
+def first_within_(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang").withColumn("lot", shuffled(42, F.col("doc_id")))
+    return first_within(rows, ["lang"], [F.col("lot"), F.col("doc_id")], 30, "n").select("doc_id", "lang", "n")

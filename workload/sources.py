@@ -440,3 +440,13 @@ def read_merged(spark, sf):
     return rows.groupBy("model_pair", "rubric").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("chosen.value")).alias("chars")
     )
+
+
+@query(
+    "list_files",
+    f"""WITH {PASSAGES}, {_OUT}
+SELECT DISTINCT 'date=2025-08-05/output_type=' || output_type || '/model=' || model || '/template=' || template AS folder FROM out""",
+)
+def list_files(spark, sf):
+    files = O.list_files(spark, written_outputs(spark, sf))
+    return files.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder")).distinct()
