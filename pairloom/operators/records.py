@@ -139,15 +139,20 @@ def merge_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("rubric").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def train_eval_split(df: DataFrame, key: str, n_eval: int = 50, seed: int = 42, to: str = "split") -> DataFrame:
+def train_eval_split(
+    df: DataFrame, key: str, n_eval: int = 50, seed: int = 42, to: str = "split", ties: list[str] = []
+) -> DataFrame:
     """Mark ``n_eval`` rows drawn at random as ``eval``, the rest ``train``.
 
-    ``key`` is unique. With fewer than ``n_eval`` rows all are ``train``. The
-    draw only looks for the ``n_eval``-th smallest hash, a top-n over the key
-    column; the wide rows are then compared with that one value, without a
-    join, a global sort or a global window.
+    Rows are drawn in the hash order of ``key``; ``key`` and ``ties`` together
+    tell all rows apart. With fewer than ``n_eval`` rows all are ``train``.
+    The draw only looks for the ``n_eval``-th smallest hash, a top-n over the
+    key columns; the wide rows are then compared with that one value, without
+    a join, a global sort or a global window.
     """
-    lot = F.struct(shuffled(seed, F.col(key)).alias("lot"), F.col(key).alias("key"))
+    lot = F.struct(
+        shuffled(seed, F.col(key)).alias("lot"), *[F.col(c).alias(f"k{i}") for i, c in enumerate([key, *ties])]
+    )
     cut = (
         df.select(lot.alias("lot"))
         .orderBy("lot")

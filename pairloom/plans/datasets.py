@@ -120,18 +120,22 @@ def convert_pairs(
 ) -> DataFrame:
     """Pairs to train and eval line JSON; returns the rows per split.
 
-    With ``raw`` the pairs still lie inside JSON texts of that column. Pair
-    ids need to be unique; they decide the split and are not written.
+    With ``raw`` the pairs still lie inside JSON texts of that column. Rows
+    are drawn by pair id. Merged sets may repeat ids and whole pairs, so the
+    records are stored once, and repeats are told apart by content and place.
     """
     if raw is not None:
         pairs = flatten_entries(pairs, raw, PAIR).select("entry.*")
-    records = R.to_rm_record(pairs, templates)
-    rows = R.train_eval_split(R.flatten_rm_record(records, ["pair_id"]), "pair_id", n_eval, seed)
-    staged = new_path(pairs.sparkSession, "train-records")
-    rows.drop("pair_id").write.partitionBy("split").parquet(staged)
-    split = pairs.sparkSession.read.parquet(staged)
+    spark = pairs.sparkSession
+    texts = ["prompt", "chosen", "rejected"]
+    records = R.flatten_rm_record(R.to_rm_record(pairs, templates), ["pair_id"])
+    staged = new_path(spark, "train-records")
+    records.withColumn("content", F.md5(F.to_json(F.struct(*texts)))).write.parquet(staged)
+    place = ["file_name", "row_index"]
+    stored = spark.read.parquet(staged).select("*", *[f"_metadata.{c}" for c in place])
+    split = R.train_eval_split(stored, "pair_id", n_eval, seed, ties=["content", *place])
     for name, path in (("train", train_path), ("eval", eval_path)):
-        write_jsonl(split.where(F.col("split") == name).drop("split"), path)
+        write_jsonl(split.where(F.col("split") == name).select(*texts), path)
     return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 

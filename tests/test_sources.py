@@ -205,6 +205,16 @@ def test_convert_job(spark, tmp_path):
     assert {(r["prompt"], r["rejected"]) for r in rows} == {("봄 t", "r")} and all(r["chosen"].startswith("c") for r in rows)
 
 
+def test_convert_job_with_repeated_pairs(spark, tmp_path):
+    item = {"korean_topic": "봄"}
+    rows = [("same" if i < 90 else f"p{i}", "logical_flow", item, f"c{i % 2}", "r", "IMP", None) for i in range(120)]
+    pairs = spark.createDataFrame(rows, PAIR).repartition(6)
+    train, held = str(tmp_path / "train"), str(tmp_path / "eval")
+    counts = D.convert_pairs(pairs, {"logical_flow": "{korean_topic}"}, train, held)
+    assert {r["split"]: r["n"] for r in counts.collect()} == {"train": 70, "eval": 50}
+    assert (spark.read.json(train).count(), spark.read.json(held).count()) == (70, 50)
+
+
 def test_preference_ranking_job(spark):
     rows = [(f"고품질_{i:02d}_주제{i}", "high", "글" * (i + 2), i) for i in range(4)] + [(f"저품질_{i:02d}_주제{i}", "low", "글", 10 + i) for i in range(4)]
     samples = spark.createDataFrame(rows, "name string, quality string, text string, pos int")

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.operators import responses as X
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
 from pairloom.schemas import TRAIN_RECORD
 from pairloom.sources.files import read_jsonl
-from pairloom.sources.outputs import read_outputs
 from pairloom.storage import new_path
 from pairloom.streaming.responses import stream_responses, write_responses
-from pairloom.values import RUBRICS
-from workload.evaluation import SCORE_COLUMNS
 from workload.pairs import _EVALS, SAMPLES, listed, samples
 from workload.parsing import _SCORE, _SCORE_RESPONSES, score_responses
 from workload.records import _SPLIT, TEMPLATES
@@ -23,8 +19,6 @@ from workload.sources import response_files, written_evaluations
 from workload.stats import _PAIR_STATS
 from workload.views import (
     ATTEMPTS,
-    GUIDELINES,
-    HIGH_LOW,
     IMP,
     PASSAGES,
     SCORES,

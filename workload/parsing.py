@@ -12,7 +12,7 @@ from pairloom.operators import responses as X
 from pairloom.values import RUBRIC_ALIASES, RUBRICS
 from workload.registry import query
 from workload.text import _URL, normal_url
-from workload.views import BINARY, PASSAGES, SCORES, binary, passages, texts, wide_scores
+from workload.views import BINARY, SCORES, binary, passages, texts
 
 
 def lit(x):

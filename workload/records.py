@@ -8,9 +8,6 @@ from pairloom import values as V
 from pairloom.functions import prompts as G
 from pairloom.operators import pairs as J
 from pairloom.operators import records as R
-from pairloom.schemas import RECORD
-from pairloom.sources.files import write_json_arrays
-from pairloom.storage import new_path
 from pairloom.values import RUBRICS
 from workload.registry import query
 from workload.views import (

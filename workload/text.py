@@ -8,7 +8,7 @@ from pairloom.functions import text as T
 from pairloom.operators.responses import context_block
 from pairloom.operators.stats import distinct_tokens
 from workload.registry import query
-from workload.views import PASSAGES, passages, texts
+from workload.views import texts
 
 # The documents hold no white space beyond blank, tab and line ends, so the
 # ASCII classes of the SQL find what the Unicode ones of the library find.
