@@ -140,21 +140,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_pairs(pairs: DataFrame, root: str) -> None:
-    """Pairs as line JSON below ``dataset_type=…/rubric=…``.
+def write_pairs(pairs: DataFrame, root: str, format: str = "json") -> None:
+    """Pairs below ``dataset_type=…/rubric=…``, as line JSON or Parquet.
 
     Only the folders of types and rubrics in ``pairs`` are replaced. The
     complete set is the same table read without a filter.
     """
     writer = pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("dataset_type", "rubric").json(root)
+    writer.partitionBy("dataset_type", "rubric").format(format).save(root)
 
 
 def read_pairs(
-    spark: SparkSession, root: str, schema: T.StructType, dataset_type: str | None = None, rubric: str | None = None
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    dataset_type: str | None = None,
+    rubric: str | None = None,
+    format: str = "json",
 ) -> DataFrame:
     """Pairs written by :func:`write_pairs`, all or one rubric."""
-    df = spark.read.schema(schema).json(root)
+    df = spark.read.schema(schema).format(format).load(root)
     if dataset_type is not None:
         df = df.where(F.col("dataset_type") == dataset_type)
     return df if rubric is None else df.where(F.col("rubric") == rubric)

@@ -166,9 +166,9 @@ def load_options(
     )
 
 
-def read_outputs(spark: SparkSession, root: str, schema) -> DataFrame:
+def read_outputs(spark: SparkSession, root: str, schema, format: str = "json") -> DataFrame:
     """Outputs written by :func:`write_outputs`; partition values as columns."""
-    return spark.read.schema(schema).json(root)
+    return spark.read.schema(schema).format(format).load(root)
 
 
 def output_type(template: Column) -> Column:
@@ -222,16 +222,18 @@ def select_rubric_files(files: DataFrame, prefix: str, valid: list[str] = V.RUBR
     return named.groupBy("rubric").agg(F.min("file_path").alias("file_path"))
 
 
-def write_outputs(df: DataFrame, root: str) -> None:
+def write_outputs(df: DataFrame, root: str, format: str = "json") -> None:
     """Write results below date, type, model and template folders.
 
-    ``df`` needs the columns date, model and template.
+    ``df`` needs the columns date, model and template. Line JSON by default,
+    ``format="parquet"`` for data that is read often.
     """
     (
         df.withColumn("output_type", output_type(F.col("template")))
         .write.mode("append")
         .partitionBy(*PARTITIONS)
-        .json(root)
+        .format(format)
+        .save(root)
     )
 
 

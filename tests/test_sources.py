@@ -240,6 +240,8 @@ def test_pairs_round_trip(spark, tmp_path):
     more = [("p3", "logical_flow", None, "c", "r", "IMP", None), ("p4", "korean_quality", None, "c", "r", "SPF", None)]
     S.write_pairs(spark.createDataFrame(more, PAIR), str(tmp_path / "p"))
     assert sorted(r["pair_id"] for r in S.read_pairs(spark, str(tmp_path / "p"), PAIR).collect()) == ["p1", "p3", "p4"]
+    S.write_pairs(spark.createDataFrame(more, PAIR), str(tmp_path / "q"), "parquet")
+    assert S.read_pairs(spark, str(tmp_path / "q"), PAIR, rubric="logical_flow", format="parquet").count() == 1
     one = S.read_pairs(spark, str(tmp_path / "p"), PAIR, "SPF", "logical_flow").collect()
     assert [r["pair_id"] for r in one] == ["p1"]
 

@@ -150,12 +150,13 @@ _ALL = " AND ".join(RUBRICS)
     f"""WITH {SCORES}, {BINARY}
 SELECT passage_id, ({_ALL}) AS overall_passed, NOT ({_ALL}) AS skipped,
        CASE WHEN NOT ({_ALL}) THEN '이진 루브릭 평가에서 실패 항목 존재' END AS reason,
-       CASE WHEN {_ALL} THEN logical_flow_score END AS logical_flow_score
+       CASE WHEN {_ALL} THEN logical_flow_score END::VARCHAR AS logical_flow_score
 FROM verdict JOIN wide USING (passage_id)""",
 )
 def gate_detail(spark, sf):
     detail = wide_scores(spark, sf).select("passage_id", "logical_flow_score")
-    return S.gate_detail(binary(spark, sf), detail)
+    rows = S.gate_detail(binary(spark, sf), detail)
+    return rows.withColumn("logical_flow_score", F.col("logical_flow_score").cast("string"))
 
 
 @query(
@@ -261,7 +262,7 @@ def rbo_by_language(spark, sf):
     f"""WITH {PASSAGES}, {ATTEMPTS}, tries AS (SELECT * FROM attempts WHERE attempt <= 10),
 ok AS (SELECT lang, model, min(attempt) FILTER (length(text) BETWEEN 300 AND 500) AS first, count(*) AS tried
        FROM tries GROUP BY lang, model)
-SELECT ok.lang, ok.model, md5(t.text) AS body, length(t.text)::INTEGER AS passage_length,
+SELECT ok.lang, ok.model, md5(t.text) AS body, length(t.text)::VARCHAR AS passage_length,
        CASE WHEN first IS NULL THEN tried ELSE first - 1 END::INTEGER AS retries_used, first IS NOT NULL AS success,
        CASE WHEN first IS NULL THEN '최대 재시도 횟수(10)를 초과했습니다.' END AS error
 FROM ok LEFT JOIN tries t ON t.lang = ok.lang AND t.model = ok.model AND t.attempt = first""",
@@ -269,7 +270,13 @@ FROM ok LEFT JOIN tries t ON t.lang = ok.lang AND t.model = ok.model AND t.attem
 def first_valid_attempt(spark, sf):
     rows = W.first_valid_attempt(attempts(spark, sf), ["lang", "model"])
     return rows.select(
-        "lang", "model", F.md5("generated_passage").alias("body"), "passage_length", "retries_used", "success", "error"
+        "lang",
+        "model",
+        F.md5("generated_passage").alias("body"),
+        F.col("passage_length").cast("string").alias("passage_length"),
+        "retries_used",
+        "success",
+        "error",
     )
 
 
@@ -283,13 +290,16 @@ def null_passages(spark, sf):
 @query(
     "evaluation_long",
     f"""WITH {SCORES}
-SELECT passage_id, rubric, CASE WHEN passage_id % 2 = 0 THEN score END AS score,
-       CASE WHEN passage_id % 2 = 1 THEN score > 1 END AS passed FROM long""",
+SELECT passage_id, rubric, CASE WHEN passage_id % 2 = 0 THEN score END::VARCHAR AS score,
+       CASE WHEN passage_id % 2 = 1 THEN score > 1 END::VARCHAR AS passed FROM long""",
 )
 def evaluation_long_(spark, sf):
     kind = F.when(F.col("passage_id") % 2 == 1, "passage_eval.eval_rubric_binary").otherwise("passage_eval.eval_rubric")
     both = wide_scores(spark, sf).join(binary(spark, sf).select("passage_id", *RUBRICS), "passage_id")
-    return evaluation_long(both.withColumn("template", kind), ["passage_id"])
+    rows = evaluation_long(both.withColumn("template", kind), ["passage_id"])
+    return rows.select(
+        "passage_id", "rubric", F.col("score").cast("string").alias("score"), F.col("passed").cast("string").alias("passed")
+    )
 
 
 @query(

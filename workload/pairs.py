@@ -93,7 +93,7 @@ def listed(rows):
     """Passages with their list position in a benchmark and a short source item."""
     from pairloom.operators.numbering import number_within
 
-    numbered = number_within(rows.drop("pos"), ["benchmark_id"], [F.col("passage_id")])
+    numbered = number_within(rows.drop("pos"), ["benchmark_id"], [F.col("passage_id")], id="passage_id")
     item = F.struct(
         F.col("lang").alias("korean_topic"),
         F.lit("k").alias("korean_context"),
@@ -414,8 +414,8 @@ def common_source_item(spark, sf):
 
     high, low = high_low(spark, sf)
     order = [F.col("benchmark_id"), F.col("pos")]
-    h = number_within(high, ["lang"], order, "rn").alias("h")
-    lo = number_within(low, ["lang"], order, "rn").alias("l")
+    h = number_within(high, ["lang"], order, "rn", id="passage_id").alias("h")
+    lo = number_within(low, ["lang"], order, "rn", id="passage_id").alias("l")
     names = ["korean_topic", "foreign_topic", "korean_context", "foreign_context"]
     item = J.common_source_item(F.col("h.source_item"), F.col("l.source_item"), names)
     return h.join(lo, ["lang", "rn"]).select(

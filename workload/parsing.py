@@ -82,7 +82,7 @@ def status_counts(spark, sf):
     "extract_explanation",
     rf"""WITH {_SCORE_RESPONSES}, parsed AS (
   SELECT doc_id, response, {_SCORE} AS score FROM responses)
-SELECT doc_id, score::INTEGER AS score, md5(CASE
+SELECT doc_id, score::VARCHAR AS score, md5(CASE
   WHEN score IS NOT NULL AND strpos(response, score || '점') > 0
     THEN trim(ltrim(trim(substr(response, strpos(response, score || '점') + 2), E' \t\n\r'), ':'), E' \t\n\r')
   ELSE trim(response, E' \t\n\r') END) AS explanation FROM parsed""",
@@ -91,7 +91,8 @@ def extract_explanation(spark, sf):
     from pairloom.functions.parse import score_1_5
 
     rows = score_responses(spark, sf).withColumn("score", score_1_5(F.col("response")))
-    return X.extract_explanation(rows).select("doc_id", "score", F.md5("explanation").alias("explanation"))
+    found = X.extract_explanation(rows)
+    return found.select("doc_id", F.col("score").cast("string").alias("score"), F.md5("explanation").alias("explanation"))
 
 
 def binary_responses(spark, sf):

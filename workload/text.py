@@ -203,6 +203,6 @@ def context(spark, sf):
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.col("html").alias("summary"),
     )
-    numbered = number_within(pages, ["topic"], [F.col("page_id")]).withColumn("pos", F.col("pos") - 1)
+    numbered = number_within(pages, ["topic"], [F.col("page_id")], id="page_id").withColumn("pos", F.col("pos") - 1)
     topics = pages.select("topic").distinct()
     return context_block(numbered, topics).select("topic", F.md5("context").alias("context"))
