@@ -10,7 +10,7 @@ from pairloom.functions.prompts import group_key, passage_text, source_prompt
 from pairloom.functions.text import topic_from_name
 from pairloom.operators.numbering import first_within, number_within, shuffled
 
-CELL_ROWS = 4_000
+CELL_ROWS = 2_000
 
 
 def common_source_item(high: Column, low: Column, fields: list[str]) -> Column:
