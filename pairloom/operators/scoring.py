@@ -136,7 +136,7 @@ def compare_verdicts(rm: DataFrame, judge: DataFrame) -> DataFrame:
 def agreement(rm: DataFrame, judge: DataFrame) -> DataFrame:
     """How often a reward model and a judge agree on their common pairs.
 
-    The accuracies cover all pairs of each side. No common pair gives null
+    Pair ids do not repeat on either side. The accuracies cover all pairs of each side. No common pair gives null
     rates and zero counts.
     """
     both = compare_verdicts(rm, judge)
