@@ -12,6 +12,13 @@ from pairloom.storage import durable
 ROWS_PER_TASK = 200_000
 
 
+def largest_group(tables: list[DataFrame], keys: list[str]) -> int:
+    """Rows of the largest key group in any of the tables, found in one job."""
+    marked = [t.select(*keys, F.lit(i).alias("_table")) for i, t in enumerate(tables)]
+    counts = reduce(DataFrame.unionByName, marked).groupBy(*keys, "_table").count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
 def number_within(
     df: DataFrame,
     keys: list[str],
@@ -19,11 +26,12 @@ def number_within(
     to: str = "pos",
     rows_per_task: int = ROWS_PER_TASK,
     id: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Number the rows of every key group 1..n in the given total order.
 
     While the largest group fits one task this is a plain ``row_number``; the
-    check reads the key columns only. Beyond that the rows are sorted by key
+    check reads the key columns only, or is told ``largest``. Beyond that the rows are sorted by key
     and order over all tasks, so that a hot key lies on many of them; each
     task then numbers its own stretch, and the stretch lengths, one small row
     per task and key, give the numbers to add. The sorted rows are written
@@ -32,11 +40,9 @@ def number_within(
     With ``id``, a column without repeats, only keys, order and id are sorted
     and written, and the numbers join the wide rows afterwards.
     """
-    if keys:
-        sizes = df.groupBy(*keys).count().agg(F.max("count"))
-    else:
-        sizes = df.agg(F.count(F.lit(1)))
-    if (sizes.first()[0] or 0) <= rows_per_task:
+    if largest is None:
+        largest = largest_group([df], keys)
+    if largest <= rows_per_task:
         return df.withColumn(to, _row_number(keys, order))
     if id is None:
         return _numbered_over_tasks(df, keys, order, to)
@@ -75,6 +81,11 @@ def _numbered_over_tasks(
     )
 
 
+def _pushed_limit(df: DataFrame) -> int:
+    """Largest n for which Spark limits groups before the shuffle."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
 def first_within(
     df: DataFrame,
     keys: list[str],
@@ -82,6 +93,7 @@ def first_within(
     n: int | None,
     to: str = "pos",
     id: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of every group, numbered; all rows for ``None``.
 
@@ -89,11 +101,10 @@ def first_within(
     (WindowGroupLimit), so a hot group never gathers in one task. Larger
     ``n`` goes through :func:`number_within`.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n is not None and n <= limit:
+    if n is not None and n <= _pushed_limit(df):
         numbered = df.withColumn(to, _row_number(keys, order))
     else:
-        numbered = number_within(df, keys, order, to, id=id)
+        numbered = number_within(df, keys, order, to, id=id, largest=largest)
     return numbered if n is None else numbered.where(F.col(to) <= n)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom import values as V
 from pairloom.functions.prompts import group_key, passage_text, source_prompt
 from pairloom.functions.text import topic_from_name
-from pairloom.operators.numbering import first_within, number_within, shuffled
+from pairloom.operators.numbering import first_within, largest_group, number_within, shuffled
 
 CELL_ROWS = 2_000
 
@@ -40,17 +40,14 @@ def _check_rubrics(rubrics: list[str]) -> None:
         raise ValueError(f"unknown rubric {sorted(unknown)}; known are {V.RUBRICS}")
 
 
-def _side(df: DataFrame, order: list[str], item: str, cap: int | None, id: str | None) -> DataFrame:
-    rows = df.select(
+def _side(df: DataFrame, order: list[str], item: str, id: str | None) -> DataFrame:
+    return df.select(
         group_key(df, item).alias("_key"),
         F.col(item).alias("_item"),
         passage_text(df).alias("_text"),
         *([F.col(id).alias("_id")] if id else []),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     ).where(F.col("_key").isNotNull())
-    by = [F.col(f"_o{i}") for i in range(len(order))]
-    numbered = first_within(rows, ["_key"], by, cap, id="_id" if id else None)
-    return numbered.select("_key", "pos", "_item", "_text")
 
 
 def _positional(
@@ -69,10 +66,12 @@ def _positional(
     fields = high.schema[item].dataType.names
     if fields != low.schema[item].dataType.names:
         raise ValueError("both sides need the same source item fields")
+    sides = [_side(df, order, item, id) for df in (high, low)]
     per_key = cap if cap_scope == "key" else None
-    h = _side(high, order, item, per_key, id).alias("h")
-    lo = _side(low, order, item, per_key, id).alias("l")
-    joined = h.join(lo, ["_key", "pos"]).select(
+    by = [F.col(f"_o{i}") for i in range(len(order))]
+    largest = None if per_key else largest_group(sides, ["_key"])
+    h, lo = [first_within(s, ["_key"], by, per_key, id="_id" if id else None, largest=largest) for s in sides]
+    joined = h.alias("h").join(lo.alias("l"), ["_key", "pos"]).select(
         "_key",
         "pos",
         common_source_item(F.col("h._item"), F.col("l._item"), fields).alias("source_item"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,10 +14,15 @@ from pairloom.sources.requests import response_content
 
 
 def stream_responses(
-    spark: SparkSession, folder: str, within: str | None = None, files_per_batch: int = 1000
+    spark: SparkSession,
+    folder: str,
+    within: str | None = None,
+    files_per_batch: int = 1000,
+    parse: Callable[[DataFrame], DataFrame] = parse_scores,
 ) -> DataFrame:
-    """One parsed score per custom id out of response files in ``folder``.
+    """One parsed answer per custom id out of response files in ``folder``.
 
+    ``parse`` is any of the response parsers; they work row by row.
     Repeated answers are dropped by custom id. Without ``within`` the ids of
     the whole run are kept as state: fine for one batch of requests, on disk
     with the RocksDB state store. With it (for example ``"2 days"``) only ids
@@ -32,7 +39,7 @@ def stream_responses(
         once = rows.dropDuplicates(["custom_id"])
     else:
         once = rows.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["custom_id"])
-    return parse_scores(once.drop("arrived"))
+    return parse(once.drop("arrived"))
 
 
 def write_responses(parsed: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

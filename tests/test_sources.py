@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.operators.responses import parse_binary_rubric, parse_pass_fail
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
 from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, QUALITY_SAMPLE, RECORD
@@ -194,6 +195,19 @@ def test_stream_with_bounded_state(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_stream_with_other_parsers(spark, tmp_path):
+    verdicts = json.dumps({r: True for r in RUBRICS})
+    put(tmp_path / "in" / "a.json", "\n".join([answer(1, verdicts), answer(2, "PASS")]))
+    for parse in (parse_binary_rubric, parse_pass_fail):
+        out = str(tmp_path / parse.__name__)
+        parsed = stream_responses(spark, str(tmp_path / "in"), parse=parse)
+        write_responses(parsed, out, out + "-check").awaitTermination()
+    binary = {r["custom_id"]: r["logical_flow"] for r in spark.read.parquet(str(tmp_path / "parse_binary_rubric")).collect()}
+    assert binary == {"request_1": True, "request_2": False}
+    result = {r["custom_id"]: r["result"] for r in spark.read.parquet(str(tmp_path / "parse_pass_fail")).collect()}
+    assert result == {"request_1": "uncertain", "request_2": "pass"}
+
+
 def test_convert_job(spark, tmp_path):
     item = {"korean_topic": "봄", "problem_types": ["t"], "eval_goals": ["g"]}
     rows = [{"pair_id": f"p{i}", "rubric": "logical_flow", "source_item": item, "chosen": f" c{i}", "rejected": "r", "dataset_type": "IMP"} for i in range(60)]
