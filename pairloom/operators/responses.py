@@ -175,6 +175,27 @@ def scores_long(evals: DataFrame, keep: list[str]) -> DataFrame:
     return long.where(F.col("score").isNotNull())
 
 
+def evaluation_rows(evals: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per rubric of evaluation structs, scored or binary.
+
+    ``score`` comes from the ``…_score`` fields, ``passed`` from the map of
+    binary verdicts; rubrics with neither are out.
+    """
+    held = F.col("evaluation.scores")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(r).alias("rubric"),
+                F.col(f"evaluation.{r}_score").cast("int").alias("score"),
+                (F.lower(held[r]) == "true").alias("passed"),
+            )
+            for r in V.RUBRICS
+        ]
+    )
+    long = evals.select(*keep, F.explode(rows).alias("_e")).select(*keep, "_e.*")
+    return long.where(F.col("score").isNotNull() | F.col("passed").isNotNull())
+
+
 def evaluation_summary(evals: DataFrame, keep: list[str]) -> DataFrame:
     """Total, the six scores, time and template as text, missing ones as N/A."""
     scores = [f"{r}_score" for r in V.RUBRICS]

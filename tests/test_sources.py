@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.operators.responses import parse_binary_rubric, parse_pass_fail
+from pairloom.operators.responses import evaluation_rows, parse_binary_rubric, parse_pass_fail
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
 from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, QUALITY_SAMPLE, RECORD
@@ -65,6 +65,16 @@ def test_eval_tree(spark, tmp_path):
     assert S.read_eval_tree(spark, root, keep_unknown=False).count() == 5
 
 
+def test_scored_and_binary_evaluations(spark, tmp_path):
+    binary = {"source_item": {"korean_topic": "봄"}, "generated_passage": "x", "evaluation": {"scores": {"logical_flow": True, "korean_quality": False}, "feedback": "f"}}
+    put(tmp_path / "m_evaluation" / "a_eval_rubric.json", [evaluation("봄", 4)])
+    put(tmp_path / "m_evaluation" / "b_eval_rubric_binary.json", [binary, {"generated_passage": "none"}])
+    rows = evaluation_rows(S.read_eval_tree(spark, str(tmp_path)), ["generated_passage"]).collect()
+    got = {(r["generated_passage"], r["rubric"]): (r["score"], r["passed"]) for r in rows}
+    assert len(got) == 8 and got["봄 4", "korean_quality"] == (4, None)
+    assert (got["x", "logical_flow"], got["x", "korean_quality"]) == ((None, True), (None, False))
+
+
 def test_score_gap_job(spark, tmp_path):
     stats = D.build_score_gap(spark, eval_tree(tmp_path / "in"), str(tmp_path / "out"))
     got = {(r["rubric"], r["value"]): r["n_pairs"] for r in stats.where("kind = 'margin'").collect()}

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from pairloom.operators import pairs as J
 from pairloom.operators import records as R
+from pairloom.operators.responses import evaluation_rows
 from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, PASSAGE, RECORD
 from pairloom.sources import files as S
 from pairloom.sources import outputs as O
@@ -101,7 +102,10 @@ def written_evaluations(spark, sf) -> str:
     w = wide_scores(spark, sf).select("passage_id", *[f"{r}_score" for r in RUBRICS])
     score = F.struct(
         *[F.col(f"{r}_score") for r in RUBRICS],
-        F.lit(None).cast("map<string,string>").alias("scores"),
+        F.map_from_arrays(
+            F.array(*[F.lit(r) for r in RUBRICS]),
+            F.array(*[(F.col(f"{r}_score") > 1).cast("string") for r in RUBRICS]),
+        ).alias("scores"),
         F.lit(None).cast("string").alias("feedback"),
         F.lit("2025-08-05T00:00:00").alias("evaluation_timestamp"),
     )
@@ -128,6 +132,20 @@ def read_eval_tree(spark, sf):
     )
 
 
+@query(
+    "evaluation_rows",
+    f"""WITH {SCORES}
+SELECT model, rubric, count(*) AS n, sum(score)::BIGINT AS points, count(*) FILTER (score > 1) AS passed
+FROM long GROUP BY ALL""",
+)
+def evaluation_rows_(spark, sf):
+    evals = S.read_eval_tree(spark, written_evaluations(spark, sf), pattern="*")
+    rows = evaluation_rows(evals, ["model"])
+    return rows.groupBy("model", "rubric").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("points"), F.count_if("passed").alias("passed")
+    )
+
+
 def output_files(spark, sf):
     """A file path per document, as the output tree names them."""
     p = table(spark, sf, "documents").withColumn("template", template_of(F.col("doc_id")))
