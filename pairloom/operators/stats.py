@@ -60,18 +60,23 @@ def distinct_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(words(text)).alias("token")).distinct()
 
 
-def type_token_ratio(df: DataFrame, text: str = "text", by: list[str] = []) -> DataFrame:
+def type_token_ratio(
+    df: DataFrame, text: str = "text", by: list[str] = [], rsd: float | None = None
+) -> DataFrame:
     """Distinct words per word, 0 for a group without words.
 
     Words are first counted by (group, word), so a word that makes up much of
     the corpus is folded before it is moved and groups of any vocabulary are
-    spread over tasks.
+    spread over tasks. With ``rsd`` the distinct words are estimated with that
+    relative error instead, from sketches that move no words at all.
     """
-    per_group = (
-        token_counts(df, text, by)
-        .groupBy(*by)
-        .agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"))
-    )
+    if rsd is None:
+        counted = token_counts(df, text, by).groupBy(*by)
+        per_group = counted.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"))
+    else:
+        tokens = df.select(*by, F.explode(words(text)).alias("token")).groupBy(*by)
+        types = F.approx_count_distinct("token", rsd)
+        per_group = tokens.agg(F.count("token").alias("tokens"), types.alias("types"))
     if by:
         groups = df.select(*by).distinct()
         per_group = groups.join(per_group, by, "left")

@@ -74,13 +74,15 @@ def build_template_pairs(
     return R.issue_counts(R.validate_pairs(pairs))
 
 
-def score_gap_records(evals: DataFrame, min_gap: int = 1) -> tuple[DataFrame, DataFrame]:
+def score_gap_records(
+    evals: DataFrame, min_gap: int = 1, rubrics: list[str] = V.RUBRICS
+) -> tuple[DataFrame, DataFrame]:
     """(counted score levels, records) of evaluations with a passage_id."""
     body = F.struct(F.col("generated_passage").alias("text"), F.col("source_item").alias("item"))
     rows = evals.where(F.col("source_item").isNotNull()).select(
         "passage_id", source_key(F.col("source_item")).alias("source_key"), "evaluation", body.alias("body")
     )
-    scores = scores_long(rows, ["passage_id", "source_key", "body"])
+    scores = scores_long(rows, ["passage_id", "source_key", "body"]).where(F.col("rubric").isin(rubrics))
     flat = J.pairs_by_score_gap(scores, min_gap, carry=["body"]).select(
         "*",
         F.col("chosen_body.text").alias("chosen_text"),
@@ -91,9 +93,14 @@ def score_gap_records(evals: DataFrame, min_gap: int = 1) -> tuple[DataFrame, Da
 
 
 def build_score_gap(
-    spark: SparkSession, eval_root: str, root: str, min_gap: int = 1, pattern: str = V.EVALUATION_FILE
+    spark: SparkSession,
+    eval_root: str,
+    root: str,
+    min_gap: int = 1,
+    pattern: str = V.EVALUATION_FILE,
+    rubrics: list[str] = V.RUBRICS,
 ) -> DataFrame:
-    """Score-gap pairs of an evaluation tree for all rubrics in one scan.
+    """Score-gap pairs of an evaluation tree for all given rubrics in one scan.
 
     The JSON is parsed once into Parquet, which both sides of the pairing and
     the counts then read with the columns they need. Records go below
@@ -103,7 +110,7 @@ def build_score_gap(
     spot = F.xxhash64("file_path", "source_item", "generated_passage")
     staged = new_path(spark, "evaluations")
     read_eval_tree(spark, eval_root, pattern=pattern).withColumn("passage_id", spot).write.parquet(staged)
-    levels, records = score_gap_records(spark.read.parquet(staged), min_gap)
+    levels, records = score_gap_records(spark.read.parquet(staged), min_gap, rubrics)
     # The join leaves rows sorted by rubric, so writing by rubric needs no sort.
     records.write.mode("overwrite").partitionBy("rubric").json(root)
     return A.pair_stats(levels)
@@ -117,15 +124,19 @@ def convert_pairs(
     n_eval: int = 50,
     seed: int = 42,
     raw: str | None = None,
+    rubric: str | None = None,
 ) -> DataFrame:
     """Pairs to train and eval line JSON; returns the rows per split.
 
-    With ``raw`` the pairs still lie inside JSON texts of that column. Rows
+    With ``raw`` the pairs still lie inside JSON texts of that column.
+    ``rubric`` overrides the pairs' own, as the name of their file does. Rows
     are drawn by pair id. Merged sets may repeat ids and whole pairs, so the
     records are stored once, and repeats are told apart by content and place.
     """
     if raw is not None:
         pairs = flatten_entries(pairs, raw, PAIR).select("entry.*")
+    if rubric is not None:
+        pairs = pairs.withColumn("rubric", F.lit(rubric))
     spark = pairs.sparkSession
     texts = ["prompt", "chosen", "rejected"]
     records = R.flatten_rm_record(R.to_rm_record(pairs, templates), ["pair_id"])

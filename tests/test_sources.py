@@ -83,6 +83,9 @@ def test_score_gap_job(spark, tmp_path):
     rows = spark.read.json(str(tmp_path / "out"))
     assert rows.count() == 30 and rows.where("metadata.high_score <= metadata.low_score").count() == 0
     assert set(rows.columns) == {"conversations", "chosen", "rejected", "metadata", "rubric"}
+    one = D.build_score_gap(spark, str(tmp_path / "in"), str(tmp_path / "one"), min_gap=3, rubrics=["logical_flow"])
+    assert [(r["rubric"], r["n_pairs"]) for r in one.where("kind = 'margin'").collect()] == [("logical_flow", 2)]
+    assert spark.read.json(str(tmp_path / "one")).count() == 2
 
 
 def test_path_metadata(spark):
@@ -229,6 +232,13 @@ def test_convert_job(spark, tmp_path):
     assert {(r["prompt"], r["rejected"]) for r in rows} == {("봄 t", "r")} and all(r["chosen"].startswith("c") for r in rows)
 
 
+def test_convert_job_takes_the_rubric_of_the_file(spark, tmp_path):
+    rows = [("p", "logical_flow", {"korean_topic": "봄"}, "c", "r", "IMP", None)]
+    paths = [str(tmp_path / name) for name in ("train", "eval")]
+    D.convert_pairs(spark.createDataFrame(rows, PAIR), {"korean_quality": "Q"}, *paths, rubric="korean_quality")
+    assert [r["prompt"] for r in spark.read.json(paths[0]).collect()] == ["Q"]
+
+
 def test_convert_job_with_repeated_pairs(spark, tmp_path):
     item = {"korean_topic": "봄"}
     rows = [("same" if i < 90 else f"p{i}", "logical_flow", item, f"c{i % 2}", "r", "IMP", None) for i in range(120)]

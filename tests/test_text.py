@@ -19,6 +19,7 @@ SAMPLES = [
     "...",
     "\x1c가\x1f나\x85다",
     "no terminator at all",
+    "\u00a0끝 없는\u00a0공백\u2003",
 ]
 
 
@@ -126,6 +127,13 @@ def test_corpus_stats_and_ratio(spark):
     assert {r["g"]: r["ttr"] for r in by.collect()} == {True: pytest.approx(4 / 6), False: 0.0}
 
 
+def test_estimated_ratio(spark):
+    df = spark.range(3000).select(F.concat(F.lit("w"), F.col("id") % 1000, F.lit(" x")).alias("text"))
+    r = A.type_token_ratio(df, rsd=0.02).first()
+    assert r["tokens"] == 6000 and abs(r["types"] - 1001) < 80
+    assert A.type_token_ratio(df).first()["types"] == 1001
+
+
 def test_long_passages(spark):
     df = spark.createDataFrame([("a" * 500,), ("a  " * 200,)], "text string")
     rows = A.long_passages(df).collect()
