@@ -26,6 +26,7 @@ ARROW = {
     "string": pa.string(),
     "binary": pa.binary(),
     "array<bigint>": pa.list_(pa.int64()),
+    "array<string>": pa.list_(pa.string()),
 }
 
 #: Texts handled at once inside a task.

@@ -8,30 +8,102 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import pieces, tokens
+import corpus_pipeline
+from pairloom.llm import exact, language, licenses, packing, pieces, pii, quality, shards, simhash, tokens
+from pairloom.llm.common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = run
-    return run
+def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return add
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@query
+@query()
+def op1_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Base spans of every document, and the terms that disclose them."""
+    return pii.scan(documents(spark, sf)).drop("h")
+
+
+@query()
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict of every document, by cutoffs that labels prove for each language."""
+    measured = staged(quality.measure(documents(spark, sf)), "measures")
+    cutoffs = quality.learn(measured, spark.read.parquet(f"{sf}/labels.parquet"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(measured, cutoffs).select(columns)
+
+
+@query(
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """
+)
+def op3_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of equal texts of every document, and which one stays."""
+    return exact.exact_duplicates(documents(spark, sf))
+
+
+@query()
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document; over the limit beyond 512."""
     counted = tokens.count_tokens(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-@query
+@query()
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from those not held out."""
+    return language.identify(documents(spark, sf))
+
+
+@query()
 def op6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     found = pieces.digests(public_tokenizers.path("piece_bpe_32k.model"), F.col("text")).alias("d")
     return documents(spark, sf).select("doc_id", found).select("doc_id", "d.*")
+
+
+@query()
+def op7_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(documents(spark, sf))
+
+
+@query()
+def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf))
+    return found.select("doc_id", simhash.hexadecimal(F.col("f")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op9_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return shards.shard(documents(spark, sf), 24)
+
+
+@query()
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every piece in sequences of 4096 tokens."""
+    return packing.pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after the other."""
+    return corpus_pipeline.run(spark, sf)
