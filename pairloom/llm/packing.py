@@ -14,6 +14,8 @@ and their number among pieces of that length; they never leave their tasks.
 from __future__ import annotations
 
 import functools
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -30,7 +32,7 @@ from pairloom.llm.common import staged
 #: Tokens of a sequence; groups of large lengths; lengths above this share of a sequence are large.
 LENGTH, GROUPS, LARGE = 4096, 48, 1 / 8
 #: Words that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 @functools.cache
@@ -40,6 +42,10 @@ def tokenizer(path: str) -> Any:
     return Tokenizer.from_file(path)
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Ids:
     """Ids of texts as little-endian 32-bit numbers, for tokenizers that drop white space and cross no word."""
 
@@ -48,24 +54,53 @@ class Ids:
     #: A word between others, to see where the ids of each end.
     BETWEEN = "\x00"
 
+    #: Words that are one stretch of letters and at most one mark: the letters are in normal form, and each
+    #: has one small letter wherever it stands (fixed values).
+    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+    #: Other words that are encoded in one call.
+    TOGETHER = 32
+
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.between = self.encode(self.BETWEEN)
+        self.marks = {c: pack_ids(self.encode(c)) for c in ("", *".,;:!?")}
+        letters = "".join(map(chr, [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): "".join(part for part, _ in split(c)) for c in letters}
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def stem(self, letters: str) -> bytes:
+        """Ids of small letters, straight from the tokenizer's model: they need no other step."""
+        ids = self.stems.get(letters)
+        if ids is None:
+            found = self.tokenizer.model.tokenize(letters if letters.isascii() else letters.translate(self.letters))
+            ids = self.stems[letters] = pack_ids([t.id for t in found])
+        return ids
+
     def learn(self, new: set[str]) -> None:
-        plain = [w for w in new if self.BETWEEN not in w] if len(self.between) == 1 else []
-        ids = np.array(self.encode(f" {self.BETWEEN} ".join(plain)), "<u4")
-        cuts = np.flatnonzero(ids == self.between[0])
-        if plain and len(cuts) == len(plain) - 1:
-            raw = ids.tobytes()
-            edges = zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True)
-            self.known.update(zip(plain, (raw[a:b] for a, b in edges), strict=True))
-        for w in new.difference(self.known):
-            self.known[w] = np.array(self.encode(w), "<u4").tobytes()
+        if len(self.stems) + len(new) > REMEMBERED:
+            self.stems = {}
+        rest = []
+        for w in new:
+            if m := self.SIMPLE.fullmatch(w):
+                self.known[w] = self.stem(m[1].lower()) + self.marks[m[2]]
+            elif self.BETWEEN in w or len(self.between) != 1:
+                self.known[w] = pack_ids(self.encode(w))
+            else:
+                rest.append(w)
+        groups = [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined, strict=True):
+            ids = found.ids
+            cuts = [-1, *(k for k, i in enumerate(ids) if i == self.between[0]), len(ids)]
+            if len(cuts) == len(group) + 1:
+                self.known.update((w, pack_ids(ids[a + 1 : b])) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
+            else:
+                self.known.update((w, pack_ids(self.encode(w))) for w in group)
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in self.ODD):
@@ -91,7 +126,7 @@ def cut(path: str, end: int, length: int) -> Callable[[Iterator[pa.RecordBatch]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, task, numbers = Ids(path), TaskContext.get().partitionId(), Counter()
-        last = np.array([end], "<u4").tobytes()
+        last = pack_ids([end])
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 rows = []
