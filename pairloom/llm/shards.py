@@ -62,7 +62,7 @@ def walks(spark: SparkSession, n: int, seed: int) -> int:
     """
     a, b = sides(n)
     outside, steps = spark.range(n, a * b).select(F.col("id").alias("x")), 0
-    while outside.limit(1).count():
+    while n and outside.limit(1).count():
         outside = permuted(outside, "x", n, seed).filter(F.col("x") >= n)
         steps += 1
     return steps

@@ -211,30 +211,41 @@ def first_masks(bits: int) -> list[int]:
     return [signed(a | b) for a, b in combinations(blocks, 2)]
 
 
-def finer(mask: int, bits: int) -> list[int]:
-    """The mask with one of ``bits + 1`` parts of the bits that it leaves out."""
-    free = [k for k in range(64) if not mask >> k & 1]
+def finer(mask: int, varying: int, bits: int) -> list[int]:
+    """The mask with one of ``bits + 1`` parts of the bits in which the members of a bucket differ."""
+    free = [k for k in range(64) if varying >> k & 1]
     parts = [free[k :: bits + 1] for k in range(bits + 1)]
-    return [signed((mask & (1 << 64) - 1) | sum(1 << k for k in p)) for p in parts if p]
+    return [signed((mask & (1 << 64) - 1) | sum(1 << k for k in p)) for p in parts]
+
+
+def finer_masks(bits: int) -> Any:
+    def make():
+        return lambda rows: {"m": [finer(r["mask"], r["varying"], bits) for r in rows]}
+
+    return per_text(make, {"m": "array<bigint>"})(F.struct("mask", "varying"))["m"]
 
 
 def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect what is at most ``bits`` apart among distinct fingerprints ``f``."""
-    spark = distinct.sparkSession
+    """Links (a, b) that connect what is at most ``bits`` apart among distinct fingerprints ``f``.
+
+    Buckets above ``bucket`` members are dealt out anew until none is left:
+    with every step their members differ in fewer bits, and a bucket whose
+    members differ in v bits has 2**v of them at most.
+    """
+    bucket = max(bucket, 2**bits)
     todo = distinct.select("f", F.explode(F.array(*[F.lit(m) for m in first_masks(bits)])).alias("mask"))
     ready = []
     while True:
         keyed = todo.withColumn("part", F.col("f").bitwiseAND(F.col("mask")))
-        sizes = staged(keyed.groupBy("mask", "part").count().filter(F.col("count") > bucket), "large-buckets")
-        large = sizes.select("mask").distinct().collect()  # masks, not fingerprints: 15, or 5 for each of them
-        if not large:
+        members = keyed.groupBy("mask", "part").agg(F.count("*").alias("n"), F.bit_or("f").alias("any"), F.bit_and("f").alias("all"))
+        large = members.filter(F.col("n") > bucket).select("mask", "part", F.col("any").bitwiseXOR(F.col("all")).alias("varying"))
+        large = staged(large.select("mask", "part", finer_masks(bits).alias("masks")), "large-buckets")
+        if large.isEmpty():
             ready.append(keyed)
             break
-        ready.append(keyed.join(sizes, ["mask", "part"], "left_anti"))
-        split = [(m["mask"], x) for m in large for x in finer(m["mask"], bits)]
-        masks = spark.createDataFrame(split, "mask long, finer long")
-        hot = keyed.join(sizes, ["mask", "part"], "left_semi").join(masks, "mask")
-        todo = staged(hot.select("f", F.col("finer").alias("mask")).distinct(), "split-buckets")
+        ready.append(keyed.join(large, ["mask", "part"], "left_anti"))
+        split = keyed.join(large, ["mask", "part"]).select("f", F.explode("masks").alias("mask"))
+        todo = staged(split.distinct(), "split-buckets")
     rows = ready[0]
     for more in ready[1:]:
         rows = rows.unionByName(more)

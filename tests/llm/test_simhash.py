@@ -70,7 +70,7 @@ def near(n, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 40, 3])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 40, 16])
 def test_links_connect_what_is_near(spark, bucket):
     items = near(600, 3)
     items += [x for x in range(300)]  # many that share most bits: their buckets are dealt out anew
@@ -105,7 +105,7 @@ def test_masks_cover_four_differences():
     for _ in range(500):
         differ = sum({1 << rng.randrange(64) for _ in range(4)})
         assert any(m & differ == 0 for m in masks)
-        assert any(m & differ == 0 for m in simhash.finer(simhash.signed(0), 4))
+        assert any(m & differ == 0 for m in simhash.finer(0, (1 << 64) - 1, 4))
 
 
 def test_empty(empty):
