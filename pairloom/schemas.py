@@ -78,7 +78,9 @@ RANKED = T.StructType(
 
 CHAT_RESPONSE = _struct(
     custom_id="string",
+    error=_struct(code="string", message="string"),
     response=_struct(
+        status_code="int",
         body=_struct(
             choices=T.ArrayType(_struct(message=_struct(content="string"))),
         )

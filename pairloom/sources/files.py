@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,33 +10,97 @@ from pairloom import values as V
 from pairloom.schemas import EVALUATION
 
 
-def _json(spark: SparkSession, schema: T.StructType, whole_files: bool) -> DataFrameReader:
-    """A reader that leaves out records which do not fit the columns read."""
-    return (
-        spark.read.schema(schema)
-        .option("mode", "DROPMALFORMED")
-        .option("multiLine", whole_files)
-        .option("ignoreCorruptFiles", whole_files)
-        .option("recursiveFileLookup", whole_files)
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The type with every number and truth value read as text, so none can make its record unreadable."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _as_text(kind.valueType))
+    return kind if isinstance(kind, T.TimestampType) else T.StringType()
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """Values of :func:`_as_text` in their types; one that does not fit is null. ``4.0`` and ``"4"`` are the number 4."""
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_typed(value[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.when(value.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _typed(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _typed(v, kind.valueType))
+    if isinstance(kind, _NUMBERS):
+        number = value.try_cast("decimal(38,10)")
+        return F.coalesce(value.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+    return value if isinstance(kind, (T.StringType, T.TimestampType)) else value.try_cast(kind)
+
+
+def _records(texts: DataFrame, schema: T.StructType, keep: list[str], corrupt: str | None) -> DataFrame:
+    """One row per JSON text in ``value``, whatever columns are read later.
+
+    A text that is no JSON object gives no row, or with ``corrupt`` one row of
+    nulls. That column holds the text of every record not read in full.
+    """
+    loose = _as_text(schema)
+    marked = T.StructType([*loose.fields, T.StructField("_broken", T.StringType())])
+    rows = texts.select(
+        *keep,
+        F.from_json("value", marked, {"columnNameOfCorruptRecord": "_broken"}).alias("_r"),
+        F.json_object_keys("value").isNotNull().alias("_object"),
     )
+    found = [_typed(F.col("_r")[f.name], f.dataType).alias(f.name) for f in schema]
+    if corrupt is None:
+        return rows.where("_object").select(*found, *keep)
+    return rows.select(*found, *keep, F.col("_r._broken").alias(corrupt))
+
+
+def _elements(files: DataFrame, keep: list[str]) -> DataFrame:
+    """The elements of whole files that are a JSON array; any other file is one element."""
+    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>"))
+    return files.select(*keep, F.explode(F.coalesce(listed, F.array("value"))).alias("value"))
+
 
+def _whole_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
 
-def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+
+def read_json_array(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, corrupt: str | None = None
+) -> DataFrame:
     """Rows of files holding one JSON array each; an object is one row.
 
-    Files that cannot be read add no rows. Adds the column file_path.
+    A field of another type is null and leaves its record and its file as they
+    are. Files that are no JSON add no rows, unless ``corrupt`` names a column
+    for the text of what could not be read. Adds the column file_path.
     """
-    rows = _json(spark, schema, True).json(path)
-    return rows.select(*schema.names, F.col("_metadata.file_path").alias("file_path"))
+    return _records(_elements(_whole_files(spark, path), ["file_path"]), schema, ["file_path"], corrupt)
+
 
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, corrupt: str | None = None) -> DataFrame:
+    """Rows of line JSON; blank lines add no rows, nor do broken ones unless ``corrupt`` names a column for them."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return _records(lines, schema, [], corrupt)
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Rows of line JSON; blank and broken lines add no rows."""
-    return _json(spark, schema, False).json(path)
+
+def broken_records(rows: DataFrame, corrupt: str, by: list[str] = []) -> DataFrame:
+    """How many records were read, and how many of them not in full."""
+    broken = F.count_if(F.col(corrupt).isNotNull())
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"), broken.alias("n_broken"))
 
 
 def read_merged(
-    spark: SparkSession, root: str, schema: T.StructType, pattern: str = V.RECORD_FILE
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    pattern: str = V.RECORD_FILE,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """Record files below ``<model pair>/<rubric>/`` as one table, repeats kept.
 
@@ -47,17 +108,14 @@ def read_merged(
     partition folder ``name=value`` the value. ``pattern`` is matched with
     file names; files Spark wrote need ``"*"``.
     """
-    rows = (
-        _json(spark, schema, True)
-        .option("pathGlobFilter", pattern)
-        .json(root)
-        .select(*schema.names, F.split("_metadata.file_path", "/", -1).alias("_parts"))
-    )
+    files = _whole_files(spark, root, pattern).withColumn("_parts", F.split("file_path", "/", -1))
 
     def folder(up: int) -> Column:
         return F.regexp_replace(F.try_element_at("_parts", F.lit(-1 - up)), "^[^=]*=", "")
 
-    return rows.withColumn("model_pair", folder(2)).withColumn("rubric", folder(1)).drop("_parts")
+    placed = files.select("value", folder(2).alias("model_pair"), folder(1).alias("rubric"))
+    keep = ["model_pair", "rubric"]
+    return _records(_elements(placed, keep), schema, keep, corrupt)
 
 
 def evaluation_model(path: Column) -> Column:
@@ -70,7 +128,11 @@ def evaluation_model(path: Column) -> Column:
 
 
 def read_eval_tree(
-    spark: SparkSession, root: str, keep_unknown: bool = True, pattern: str = V.EVALUATION_FILE
+    spark: SparkSession,
+    root: str,
+    keep_unknown: bool = True,
+    pattern: str = V.EVALUATION_FILE,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """All evaluation files below ``root`` with the model that was evaluated.
 
@@ -78,10 +140,9 @@ def read_eval_tree(
     under no model folder. ``pattern`` is matched with file names; files Spark
     wrote need ``"*"``.
     """
-    found = _json(spark, EVALUATION, True).option("pathGlobFilter", pattern).json(root)
-    rows = found.select(*EVALUATION.names, F.col("_metadata.file_path").alias("file_path")).withColumn(
-        "model", evaluation_model(F.col("file_path"))
-    )
+    files = _whole_files(spark, root, pattern)
+    rows = _records(_elements(files, ["file_path"]), EVALUATION, ["file_path"], corrupt)
+    rows = rows.withColumn("model", evaluation_model(F.col("file_path")))
     return rows if keep_unknown else rows.where(F.col("model") != "unknown")
 
 
@@ -103,35 +164,21 @@ def flatten_entries(df: DataFrame, raw: str, entry: T.DataType) -> DataFrame:
     ).where(F.col("entry").isNotNull())
 
 
-def write_json_arrays(df: DataFrame, path: str, by: list[str] = [], max_chars: int = 32_000_000) -> None:
+def write_json_arrays(df: DataFrame, path: str, by: list[str] = [], rows_per_file: int = 10_000) -> None:
     """JSON files that hold one array each, for readers of whole files.
 
-    Every task cuts its own rows into arrays of about ``max_chars``, each of
-    which becomes a file (below ``by`` folders); no group is gathered.
+    Every task cuts its own rows into arrays of up to ``rows_per_file`` (below
+    ``by`` folders); no group is gathered and no row leaves the JVM. Rows are
+    numbered as they come, so where they lie decides the cut, not what is read
+    back.
     """
     row = F.to_json(F.struct(*[c for c in df.columns if c not in by]))
-    rows = df.select(*by, row.alias("value"))
-
-    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list[str]] = {}
-
-        def flush() -> pd.DataFrame:
-            out = [[*key, "[" + ",".join(values) + "]"] for key, values in held.items()]
-            held.clear()
-            return pd.DataFrame(out, columns=[*by, "value"])
-
-        size = 0
-        for batch in batches:
-            for *key, value in batch.itertuples(index=False):
-                held.setdefault(tuple(key), []).append(value)
-                size += len(value)
-                if size >= max_chars:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    out = rows.mapInPandas(arrays, rows.schema).write.mode("overwrite").option("maxRecordsPerFile", 1)
+    at = F.monotonically_increasing_id()
+    chunk = F.struct(F.shiftright(at, 33).alias("task"), F.expr(f"(monotonically_increasing_id() & 8589934591L) div {rows_per_file}").alias("n"))
+    rows = df.select(*by, row.alias("value"), chunk.alias("_chunk"))
+    arrays = rows.groupBy(*by, "_chunk").agg(F.collect_list("value").alias("_list"))
+    text = F.concat(F.lit("["), F.array_join("_list", ","), F.lit("]"))
+    out = arrays.select(*by, text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1)
     (out.partitionBy(*by) if by else out).text(path)
 
 

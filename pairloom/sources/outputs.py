@@ -49,9 +49,13 @@ def list_outputs(spark: SparkSession, root: str) -> DataFrame:
     def folder(up: int) -> Column:
         return F.regexp_replace(F.try_element_at(parts, F.lit(-1 - up)), "^[^=]*=", "")
 
+    def named(name: str, up: int) -> Column:
+        found = F.nullif(F.regexp_extract("file_path", f"/{name}=([^/]*)/", 1), F.lit(""))
+        return F.coalesce(found, folder(up))
+
     return files.select(
-        folder(2).alias("model"),
-        folder(1).alias("template"),
+        named("model", 2).alias("model"),
+        named("template", 1).alias("template"),
         "file_path",
         "length",
         "modified",
@@ -223,15 +227,19 @@ def select_rubric_files(files: DataFrame, prefix: str, valid: list[str] = V.RUBR
 
 
 def write_outputs(df: DataFrame, root: str, format: str = "json") -> None:
-    """Write results below date, type, model and template folders.
+    """Write results below date, type, model, template, benchmark id and version.
 
-    ``df`` needs the columns date, model and template. Line JSON by default,
-    ``format="parquet"`` for data that is read often.
+    ``df`` needs the columns date, model and template; benchmark_id and
+    version add folders where it has them. Writing the same folders again
+    replaces them and leaves all others, so a rerun changes nothing. Line JSON
+    by default, ``format="parquet"`` for data that is read often.
     """
+    folders = PARTITIONS + [c for c in ("benchmark_id", "version") if c in df.columns]
     (
         df.withColumn("output_type", output_type(F.col("template")))
-        .write.mode("append")
-        .partitionBy(*PARTITIONS)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders)
         .format(format)
         .save(root)
     )

@@ -54,14 +54,26 @@ def response_content(response: str | Column = "response") -> Column:
     return F.get(r["body"]["choices"], F.lit(0))["message"]["content"]
 
 
+def failure(responses: DataFrame) -> Column:
+    """Why a response has no text: its error message or code, else its status, else null."""
+    error = F.lit(None).cast("string")
+    if "error" in responses.columns:
+        error = F.coalesce(F.nullif(F.col("error.message"), F.lit("")), F.col("error.code"))
+    if "status_code" in responses.schema["response"].dataType.names:
+        error = F.coalesce(error, F.concat(F.lit("status "), F.col("response.status_code")))
+    return F.when(response_content().isNull(), error)
+
+
 def join_responses(requests: DataFrame, responses: DataFrame, reason: str = "no response") -> DataFrame:
     """Add the answer to every request, matched by custom id.
 
-    A request without answer gets an error text. Of several answers to one
-    request the greatest text is taken, whatever order files arrive in.
+    A request without answer gets an error text with the cause that its
+    response gives, or ``reason``. Of several answers to one request the
+    greatest text is taken, whatever order files arrive in.
     """
-    answers = responses.groupBy("custom_id").agg(F.max(response_content()).alias("response"))
-    error = V.REQUEST_ERROR.format(reason=reason)
-    return requests.join(answers, "custom_id", "left").withColumn(
-        "response", F.coalesce("response", F.lit(error))
-    )
+    answers = responses.select("custom_id", response_content().alias("response"), failure(responses).alias("_why"))
+    answers = answers.groupBy("custom_id").agg(F.max("response").alias("response"), F.max("_why").alias("_why"))
+    before, after = V.REQUEST_ERROR.split("{reason}")
+    error = F.concat(F.lit(before), F.coalesce("_why", F.lit(reason)), F.lit(after))
+    joined = requests.join(answers, "custom_id", "left")
+    return joined.withColumn("response", F.coalesce("response", error)).drop("_why")

@@ -20,10 +20,12 @@ def stream_responses(
     files_per_batch: int = 1000,
     parse: Callable[[DataFrame], DataFrame] = parse_scores,
 ) -> DataFrame:
-    """One parsed answer per custom id out of response files in ``folder``.
+    """Parsed answers out of response files in ``folder``, equal ones of a custom id once.
 
-    ``parse`` is any of the response parsers; they work row by row.
-    Repeated answers are dropped by custom id. Without ``within`` the ids of
+    ``parse`` is any of the response parsers; they work row by row. Different
+    answers to one request all come through, whichever file is read first:
+    :func:`one_answer` then takes the greatest, as ``join_responses`` does.
+    Without ``within`` the ids of
     the whole run are kept as state: fine for one batch of requests, on disk
     with the RocksDB state store. With it (for example ``"2 days"``) only ids
     seen that long before the newest file are kept, and state stays bounded.
@@ -36,12 +38,19 @@ def stream_responses(
         .where(F.col("custom_id").isNotNull())
     )
     if within is None:
-        once = rows.dropDuplicates(["custom_id"])
+        once = rows.dropDuplicates(["custom_id", "response"])
     else:
-        once = rows.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["custom_id"])
+        once = rows.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["custom_id", "response"])
     return parse(once.drop("arrived"))
 
 
+def one_answer(parsed: DataFrame) -> DataFrame:
+    """Of the answers to one request that with the greatest text."""
+    best = parsed.groupBy("custom_id").agg(F.max("response").alias("_best"))
+    on = (F.col("custom_id") == F.col("_id")) & F.col("response").eqNullSafe(F.col("_best"))
+    return parsed.join(best.withColumnRenamed("custom_id", "_id"), on).drop("_id", "_best")
+
+
 def write_responses(parsed: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append parsed responses to Parquet.
 
