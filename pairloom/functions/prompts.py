@@ -13,17 +13,20 @@ from pairloom import values as V
 _LOOSE_FIELD = re.compile(r"\{([a-zA-Z0-9_]+)\}")
 
 
-def fill(template: str, fields: dict[str, Column]) -> Column:
+def fill(template: str, fields: dict[str, Column], only: str | None = None) -> Column:
     """Render a ``str.format`` template; unknown placeholders raise KeyError.
 
     The template is split once, on the driver, into literals and columns, so
-    inserted text is never expanded a second time.
+    inserted text is never expanded a second time. With ``only`` that one
+    placeholder is filled and all other braces stay as they are. A field that
+    is null makes the prompt null.
     """
-    if list(fields) == ["problem_json"]:  # braces of the template stay literal
-        parts = [p for p in re.split(r"(\{problem_json\})", template) if p]
-        return F.concat(
-            *[fields["problem_json"] if p == "{problem_json}" else F.lit(p) for p in parts], F.lit("")
-        )
+    if only is not None:
+        first, *rest = template.split("{" + only + "}")
+        out = [F.lit(first)]
+        for part in rest:
+            out += [fields[only].cast("string"), F.lit(part)]
+        return F.concat(*out)
     out = [F.lit("")]
     for literal, name, _, _ in Formatter().parse(template):
         if literal:
@@ -59,15 +62,22 @@ def fill_loose(template: str, source_item: Column, known: list[str]) -> Column:
 
 
 def render_prompt(
-    df: DataFrame, template: str, strict: bool = True, to: str = "prompt", item: str = "source_item"
+    df: DataFrame,
+    template: str,
+    strict: bool = True,
+    to: str = "prompt",
+    item: str = "source_item",
+    only: str | None = None,
 ) -> DataFrame:
     """Add a rendered prompt column.
 
     ``strict`` takes placeholders from the columns of ``df`` and fails at plan
-    time if one is missing; otherwise they come from the ``item`` struct.
+    time if one is missing; a prompt is null where one of its columns is.
+    Otherwise placeholders come from the ``item`` struct. ``only`` names the
+    one column to fill in templates whose other braces are text.
     """
     if strict:
-        return df.withColumn(to, fill(template, {c: F.col(c) for c in df.columns}))
+        return df.withColumn(to, fill(template, {c: F.col(c) for c in df.columns}, only))
     fields = df.schema[item].dataType
     plain = [f.name for f in fields if f.dataType.typeName() not in ("array", "struct", "map")]
     return df.withColumn(to, fill_loose(template, F.col(item), plain))

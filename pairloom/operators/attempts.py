@@ -17,15 +17,18 @@ def null_passages(df: DataFrame, text: str = "generated_passage") -> DataFrame:
 def _first(attempts: DataFrame, keys: list[str], text: Column, valid: Column, n: int) -> DataFrame:
     """Earliest valid attempt per item among the first ``n``.
 
-    An item has at most ``n`` rows after the filter, and the minimum combines
-    on the map side.
+    The number of the attempt is found first, by an aggregate that combines on
+    the map side; its text joins afterwards. An item numbers each attempt once.
     """
-    return (
-        attempts.where(F.col("attempt") <= n)
-        .withColumn("_ok", F.when(valid, F.struct(F.col("attempt").alias("attempt"), text.alias("text"))))
-        .groupBy(*keys)
-        .agg(F.min("_ok").alias("_ok"), F.count(F.lit(1)).alias("_tried"))
-    )
+    tries = attempts.where(F.col("attempt") <= n)
+    number = F.min(F.when(valid, F.col("attempt"))).alias("_at")
+    best = tries.groupBy(*keys).agg(number, F.count(F.lit(1)).alias("_tried"))
+    texts = tries.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("attempt").alias("_n"), text.alias("_text"))
+    on = F.col("_at") == F.col("_n")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ok = F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("attempt"), F.col("_text").alias("text")))
+    return best.join(texts, on, "left").select(*keys, ok.alias("_ok"), "_tried")
 
 
 def first_valid_attempt(

@@ -9,56 +9,32 @@ from pyspark.sql import functions as F
 
 from pairloom.storage import durable
 
-ROWS_PER_TASK = 200_000
+#: Parts a hot key is cut into before its first rows are picked.
+SALTS = 64
 
 
-def largest_group(tables: list[DataFrame], keys: list[str]) -> int:
-    """Rows of the largest key group in any of the tables, found in one job."""
-    marked = [t.select(*keys, F.lit(i).alias("_table")) for i, t in enumerate(tables)]
-    counts = reduce(DataFrame.unionByName, marked).groupBy(*keys, "_table").count()
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
-def number_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    to: str = "pos",
-    rows_per_task: int = ROWS_PER_TASK,
-    id: str | None = None,
-    largest: int | None = None,
-) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], order: list[Column], to: str = "pos", spread: bool = False) -> DataFrame:
     """Number the rows of every key group 1..n in the given total order.
 
-    While the largest group fits one task this is a plain ``row_number``; the
-    check reads the key columns only, or is told ``largest``. Beyond that the rows are sorted by key
-    and order over all tasks, so that a hot key lies on many of them; each
-    task then numbers its own stretch, and the stretch lengths, one small row
-    per task and key, give the numbers to add. The sorted rows are written
-    once in between: task limits come from a sample and must not move.
-
-    With ``id``, a column without repeats, only keys, order and id are sorted
-    and written, and the numbers join the wide rows afterwards.
+    Pass ids and join wide columns afterwards: all columns of ``df`` move. By
+    default this is ``row_number``, which sorts a group in one task. With
+    ``spread`` the rows are sorted by key and order over all tasks, so that a
+    hot key lies on many of them; each task then numbers its own stretch, and
+    the stretch lengths, one small row per task and key, give the numbers to
+    add. The sorted rows are written once in between: task limits come from a
+    sample and must not move. Both ways give the same numbers; rows with null
+    or repeated values stay as they are.
     """
-    if largest is None:
-        largest = largest_group([df], keys)
-    if largest <= rows_per_task:
-        return df.withColumn(to, _row_number(keys, order))
-    if id is None:
-        return _numbered_over_tasks(df, keys, order, to)
-    narrow = _numbered_over_tasks(df, keys, order, to, [id])
-    return df.join(narrow.select(id, to), id).select(*df.columns, to)
+    return _numbered_over_tasks(df, keys, order, to) if spread else df.withColumn(to, _row_number(keys, order))
 
 
 def _row_number(keys: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
 
 
-def _numbered_over_tasks(
-    df: DataFrame, keys: list[str], order: list[Column], to: str, keep: list[str] | None = None
-) -> DataFrame:
+def _numbered_over_tasks(df: DataFrame, keys: list[str], order: list[Column], to: str) -> DataFrame:
     by = [F.col(k) for k in keys] + list(order)
-    columns = df.columns if keep is None else list(dict.fromkeys([*keys, *keep]))
+    columns = df.columns
     rows = durable(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
@@ -81,31 +57,21 @@ def _numbered_over_tasks(
     )
 
 
-def _pushed_limit(df: DataFrame) -> int:
-    """Largest n for which Spark limits groups before the shuffle."""
-    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-
-
 def first_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    n: int | None,
-    to: str = "pos",
-    id: str | None = None,
-    largest: int | None = None,
+    df: DataFrame, keys: list[str], order: list[Column], n: int | None, to: str = "pos", spread: bool = False
 ) -> DataFrame:
     """The first ``n`` rows of every group, numbered; all rows for ``None``.
 
-    Small ``n`` lets Spark drop later rows before the shuffle
-    (WindowGroupLimit), so a hot group never gathers in one task. Larger
-    ``n`` goes through :func:`number_within`.
+    Rows are picked in two steps, from parts of a group and then from what
+    these give, so that a hot group never gathers in one task. Up to 1,000 rows
+    Spark also drops later ones before each shuffle (WindowGroupLimit). All
+    columns of ``df`` move: pass ids.
     """
-    if n is not None and n <= _pushed_limit(df):
-        numbered = df.withColumn(to, _row_number(keys, order))
-    else:
-        numbered = number_within(df, keys, order, to, id=id, largest=largest)
-    return numbered if n is None else numbered.where(F.col(to) <= n)
+    if n is None:
+        return number_within(df, keys, order, to, spread)
+    part = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    some = part.withColumn(to, _row_number([*keys, "_salt"], order)).where(F.col(to) <= n).drop(to, "_salt")
+    return some.withColumn(to, _row_number(keys, order)).where(F.col(to) <= n)
 
 
 def shuffled(seed: int, *parts: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import values as V
 from pairloom.functions.prompts import group_key, passage_text, source_prompt
 from pairloom.functions.text import topic_from_name
-from pairloom.operators.numbering import first_within, largest_group, number_within, shuffled
+from pairloom.operators.numbering import first_within, number_within, shuffled
 
 CELL_ROWS = 2_000
 
@@ -40,14 +40,16 @@ def _check_rubrics(rubrics: list[str]) -> None:
         raise ValueError(f"unknown rubric {sorted(unknown)}; known are {V.RUBRICS}")
 
 
-def _side(df: DataFrame, order: list[str], item: str, id: str | None) -> DataFrame:
-    return df.select(
+def _side(df: DataFrame, order: list[str], item: str, id: str | None) -> tuple[DataFrame, list[str]]:
+    """A side of positional pairs, and the columns that tell its rows apart."""
+    side = df.select(
+        *([F.col(id).alias("_id")] if id else []),
         group_key(df, item).alias("_key"),
         F.col(item).alias("_item"),
         passage_text(df).alias("_text"),
-        *([F.col(id).alias("_id")] if id else []),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-    ).where(F.col("_key").isNotNull())
+    )
+    return side.where(F.col("_key").isNotNull()), ["_id"] if id else ["_key", *[f"_o{i}" for i in range(len(order))]]
 
 
 def _positional(
@@ -61,25 +63,36 @@ def _positional(
     created_at: str | None,
     item: str,
     id: str | None,
+    spread: bool,
 ) -> DataFrame:
     _check_rubrics(rubrics)
     fields = high.schema[item].dataType.names
     if fields != low.schema[item].dataType.names:
         raise ValueError("both sides need the same source item fields")
-    sides = [_side(df, order, item, id) for df in (high, low)]
     per_key = cap if cap_scope == "key" else None
     by = [F.col(f"_o{i}") for i in range(len(order))]
-    largest = None if per_key else largest_group(sides, ["_key"])
-    h, lo = [first_within(s, ["_key"], by, per_key, id="_id" if id else None, largest=largest) for s in sides]
-    joined = h.alias("h").join(lo.alias("l"), ["_key", "pos"]).select(
+
+    def numbered(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Numbered ids, and the columns that they stand for."""
+        side, own = _side(df, order, item, id)
+        ids = side.select(*dict.fromkeys(["_key", *[f"_o{i}" for i in range(len(order))], *own]))
+        at = F.struct(*own).alias(f"_{name}")
+        found = first_within(ids, ["_key"], by, per_key, spread=spread).select("_key", "pos", at)
+        return found, side.select(at, F.col("_item").alias(f"_{name}_item"), F.col("_text").alias(f"_{name}_text"))
+
+    (h, h_texts), (lo, lo_texts) = numbered(high, "high"), numbered(low, "low")
+    drawn = h.join(lo, ["_key", "pos"])
+    if cap_scope == "rubric" and cap is not None:
+        drawn = drawn.orderBy("_key", "pos").limit(cap)
+    h_texts, lo_texts = h_texts.withColumnRenamed("_high", "_h"), lo_texts.withColumnRenamed("_low", "_l")
+    joined = drawn.join(h_texts, F.col("_high").eqNullSafe(F.col("_h"))).join(lo_texts, F.col("_low").eqNullSafe(F.col("_l")))
+    joined = joined.select(
         "_key",
         "pos",
-        common_source_item(F.col("h._item"), F.col("l._item"), fields).alias("source_item"),
-        F.col("h._text").alias("chosen"),
-        F.col("l._text").alias("rejected"),
+        common_source_item(F.col("_high_item"), F.col("_low_item"), fields).alias("source_item"),
+        F.col("_high_text").alias("chosen"),
+        F.col("_low_text").alias("rejected"),
     )
-    if cap_scope == "rubric" and cap is not None:
-        joined = joined.orderBy("_key", "pos").limit(cap)
     topic = F.col("_key")
     if "korean_topic" in fields:
         topic = F.coalesce(F.col("source_item.korean_topic"), topic)
@@ -98,24 +111,26 @@ def pairs_inter_model(
     high: DataFrame,
     low: DataFrame,
     rubrics: list[str] = V.RUBRICS,
-    cap: int | None = 1000,
+    cap: int | None = None,
     order: list[str] = ["benchmark_id", "pos"],
     cap_scope: str = "key",
     created_at: str | None = None,
     item: str = "source_item",
     id: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Pair the i-th passage of a strong model with the i-th of a weak one.
 
     Both sides are numbered per benchmark item in the declared total order
     and joined on (item, number), which spreads an item with very many
-    passages evenly. The pairs do not depend on the rubric, so they are made
-    once and then repeated for every rubric. ``cap`` bounds the pairs per
-    item (or per rubric with ``cap_scope="rubric"``); ``None`` takes all.
-    ``id`` names a column without repeats; with it the numbering of very
-    large items moves ids instead of texts.
+    passages evenly. Only keys and order columns are numbered; texts join the
+    pairs by ``id``, a column without repeats, or else by key and order. The
+    pairs do not depend on the rubric, so they are made once and then repeated
+    for every rubric. All passages are paired; ``cap`` bounds the pairs per item
+    (or per rubric with ``cap_scope="rubric"``). ``spread`` numbers a very large
+    item over many tasks.
     """
-    return _positional(high, low, rubrics, order, cap, cap_scope, "IMP", created_at, item, id)
+    return _positional(high, low, rubrics, order, cap, cap_scope, "IMP", created_at, item, id, spread)
 
 
 def pairs_intra_model(
@@ -126,9 +141,10 @@ def pairs_intra_model(
     created_at: str | None = None,
     item: str = "source_item",
     id: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Pair good passages with passages that violate one rubric on purpose."""
-    return _positional(high, low, [rubric], order, None, "key", "ICP", created_at, item, id)
+    return _positional(high, low, [rubric], order, None, "key", "ICP", created_at, item, id, spread)
 
 
 def rubric_of_template(template: Column) -> Column:
@@ -149,26 +165,33 @@ def pairs_by_template(
         "passage_agent.create_passage_with_korean_errors",
     ),
     created_at: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Zip two templates' passages by list position inside a benchmark.
 
     Both sides carry benchmark_id, pos (from 0), source_item and
     generated_passage; ``chosen`` also problem_types and eval_goals. Pairs
     whose source items differ are dropped. Reply ids run over the whole
-    result in benchmark and position order.
+    result in benchmark and position order: places are numbered inside their
+    benchmark, counts of benchmarks give the rest, and texts join last.
     """
-    c, r = chosen.alias("c"), rejected.alias("r")
-    same = F.col("c.source_item").eqNullSafe(F.col("r.source_item"))
-    joined = c.join(r, ["benchmark_id", "pos"]).where(same)
-    rows = joined.select(
-        "benchmark_id",
-        "pos",
+    place = ["benchmark_id", "pos"]
+    items = chosen.select(*place, F.col("source_item").alias("_c")).join(
+        rejected.select(*place, F.col("source_item").alias("_r")), place
+    )
+    matched = items.where(F.col("_c").eqNullSafe(F.col("_r"))).select(*place)
+    before = F.sum("_n").over(Window.orderBy("benchmark_id")) - F.col("_n")  # a row per benchmark
+    sizes = matched.groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("_n")).select("benchmark_id", before.alias("_before"))
+    numbered = number_within(matched, ["benchmark_id"], [F.col("pos")], "_at", spread).join(sizes, "benchmark_id")
+    ids = numbered.select(*place, (F.col("_before") + F.col("_at")).alias("reply_id"))
+    c, r = chosen.alias("c"), rejected.select(*place, F.col("generated_passage").alias("_rejected")).alias("r")
+    return ids.join(c, place).join(r, place).select(
         F.concat(F.lit("benchmark_"), "benchmark_id", F.lit(".item_"), "pos").alias("data_id"),
         F.array(F.lit("chosen"), F.lit("rejected")).alias("reply_type"),
         F.lit(model).alias("model_name"),
         source_prompt(F.col("c.source_item"), F.col("c.problem_types"), F.col("c.eval_goals")).alias("prompt"),
         F.col("c.generated_passage").alias("chosen"),
-        F.col("r.generated_passage").alias("rejected"),
+        F.col("_rejected").alias("rejected"),
         F.struct(
             F.col("benchmark_id").alias("benchmark_id"),
             F.lit(version).alias("benchmark_version"),
@@ -179,9 +202,8 @@ def pairs_by_template(
             F.lit(templates[1]).alias("rejected_template"),
             F.lit(created_at).cast("timestamp").alias("created_at"),
         ).alias("metadata"),
+        "reply_id",
     )
-    order = [F.col("benchmark_id"), F.col("pos")]
-    return number_within(rows, [], order, "reply_id", id="data_id").drop("benchmark_id", "pos")
 
 
 def score_groups(scores: DataFrame) -> DataFrame:
@@ -289,14 +311,16 @@ def pairs_by_score_gap(
 def pairs_by_label(samples: DataFrame, order: list[str] = ["pos"]) -> DataFrame:
     """Pair each high quality sample with the first low one of its topic.
 
-    Samples whose name carries no known label are ignored. A topic has one
-    low row after the aggregate, so many high rows of a topic join it without
-    multiplying.
+    Samples whose name carries no known label are ignored. ``order`` tells the
+    samples of a topic apart: the first low one is found by it alone, then its
+    text joins, so many high rows of a topic meet one row. They share their
+    pair id and differ in ``metadata.chosen_name``.
     """
     high, low = _labelled(samples, "high", V.HIGH_PREFIX), _labelled(samples, "low", V.LOW_PREFIX)
-    first = low.groupBy("topic").agg(
-        F.min_by(F.struct("text", "name"), F.struct(*order)).alias("low")
-    )
+    places = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    first = low.select("topic", *places).groupBy("topic").agg(F.min(F.struct(*[f"_o{i}" for i in range(len(order))])).alias("_o"))
+    texts = low.select(F.col("topic").alias("_t"), F.struct(*places).alias("_p"), F.struct("text", "name").alias("low"))
+    first = first.join(texts, (F.col("topic") == F.col("_t")) & F.col("_o").eqNullSafe(F.col("_p"))).select("topic", "low")
     return high.join(first, "topic").select(
         F.concat(F.lit("preference_pair_"), "topic").alias("pair_id"),
         "topic",
@@ -344,21 +368,35 @@ def verdicts(evals: DataFrame, mode: str = "per_rubric", rubrics: list[str] = V.
     )
 
 
+def _whole_item(passages: DataFrame) -> Column:
+    """The source item with problem types and goals, from beside it where it has none."""
+    names = passages.schema["source_item"].dataType.names
+    more = ["problem_types", "eval_goals"]
+    held = {n: F.col("source_item")[n] for n in names}
+    for n in more:
+        if n in passages.columns:
+            held[n] = F.coalesce(held[n], F.col(n)) if n in held else F.col(n)
+    return F.when(F.col("source_item").isNotNull(), F.struct(*[c.alias(n) for n, c in held.items()]))
+
+
 def pairs_by_filter(
     evals: DataFrame,
     passages: DataFrame,
-    target: int | None = 1000,
+    target: int | None = None,
     seed: int = 42,
     mode: str = "per_rubric",
     same_source: bool = False,
     created_at: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Sample passed and failed passages without replacement and zip them.
 
     ``evals`` has passage_id, rubric and result; ``passages`` passage_id,
-    source_item and a text column. Up to ``target`` pairs per rubric (per
-    rubric and source key with ``same_source``) are drawn in a seeded hash
-    order. Only ids are ordered; texts join the drawn pairs afterwards.
+    source_item and a text column. All passages are paired, or up to
+    ``target`` pairs per rubric (per rubric and source key with
+    ``same_source``), drawn in a seeded hash order. Only ids are ordered; texts
+    join the drawn pairs afterwards. Problem types and goals that lie beside
+    the source item are put into it where it has none.
     """
     drawn = verdicts(evals, mode)
     groups = ["rubric"]
@@ -368,12 +406,13 @@ def pairs_by_filter(
         groups = ["rubric", "_source"]
     lot = shuffled(seed, F.col("rubric"), F.col("passage_id"))
     numbered = first_within(
-        drawn.withColumn("_lot", lot), [*groups, "passed"], [F.col("_lot"), F.col("passage_id")], target, "n"
+        drawn.withColumn("_lot", lot), [*groups, "passed"], [F.col("_lot"), F.col("passage_id")], target, "n", spread
     )
     good = numbered.where("passed").select(*groups, "n", F.col("passage_id").alias("good_id"))
     bad = numbered.where("not passed").select(*groups, "n", F.col("passage_id").alias("bad_id"))
     text = passage_text(passages)
-    chosen = passages.select(F.col("passage_id").alias("good_id"), "source_item", text.alias("chosen"))
+    item = _whole_item(passages).alias("source_item")
+    chosen = passages.select(F.col("passage_id").alias("good_id"), item, text.alias("chosen"))
     rejected = passages.select(F.col("passage_id").alias("bad_id"), text.alias("rejected"))
     topic = F.coalesce(F.col("source_item.korean_topic"), F.lit("unknown"))
     return (

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, log
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.operators.numbering import first_within, number_within
@@ -36,23 +34,30 @@ def rank_passages(
     how: str = "sum",
     by: list[str] = [],
     to: str = "rm_ranking",
+    spread: bool = False,
 ) -> DataFrame:
     """Rank 1..n by combined score, best first, ties broken by the unique id.
 
-    With or without ``by`` the numbering spreads over tasks once a group
-    outgrows one.
+    Ids and scores are ranked, then joined with the other columns. ``spread``
+    ranks a very large group, or the whole table, over many tasks.
     """
-    scored = df.withColumn("_total", combine_scores(columns, how))
-    return number_within(scored, by, [F.col("_total").desc(), F.col(id)], to, id=id).drop("_total")
+    total = combine_scores(columns, how).alias("_total")
+    narrow = df.select(*by, id, total)
+    ranked = number_within(narrow, by, [F.col("_total").desc(), F.col(id)], to, spread)
+    return df.join(ranked.select(id, to), id).select(*df.columns, to)
 
 
 def top_k_select(
     df: DataFrame, id: str, k: int = 25, columns: list[str] = SCORE_COLUMNS, how: str = "sum", by: list[str] = []
 ) -> DataFrame:
-    """The ``k`` best passages (of each group) with their rank."""
-    scored = df.withColumn("_total", combine_scores(columns, how))
+    """The ``k`` best passages (of each group) with their rank; only ids and scores are sorted."""
+    narrow = df.select(*by, id, combine_scores(columns, how).alias("_total"))
     order = [F.col("_total").desc(), F.col(id)]
-    return first_within(scored, by, order, k, "rm_ranking", id).drop("_total")
+    if by:
+        best = first_within(narrow, by, order, k, "rm_ranking")
+    else:  # a top-n: k rows are left to be numbered
+        best = number_within(narrow.orderBy(*order).limit(k), [], order, "rm_ranking")
+    return df.join(best.select(id, "rm_ranking"), id).select(*df.columns, "rm_ranking")
 
 
 def hardest_pairs(scored: DataFrame, k: int = 5, id: str = "pair_id") -> DataFrame:
@@ -65,12 +70,12 @@ def sample_head(df: DataFrame, order: list[str], k: int = 3) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def _both(ranked: DataFrame, gold: DataFrame, by: list[str], id: str, depth: int) -> DataFrame:
-    """Ranks of each item on both sides, down to ``depth``; null if absent."""
+def _both(ranked: DataFrame, gold: DataFrame, by: list[str], id: str) -> DataFrame:
+    """Ranks of each item on both sides; null if absent."""
     none = F.lit(None).cast("bigint")
-    r, g = F.col("rank").cast("bigint"), F.col("rank").cast("bigint")
-    left = ranked.where(F.col("rank") <= depth).select(*by, id, r.alias("a"), none.alias("b"))
-    right = gold.where(F.col("rank") <= depth).select(*by, id, none.alias("a"), g.alias("b"))
+    rank = F.col("rank").cast("bigint")
+    left = ranked.select(*by, id, rank.alias("a"), none.alias("b"))
+    right = gold.select(*by, id, none.alias("a"), rank.alias("b"))
     return left.unionByName(right).groupBy(*by, id).agg(F.min("a").alias("a"), F.min("b").alias("b"))
 
 
@@ -80,7 +85,25 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int = 25, by: list[str] =
     Both sides have ``id`` and ``rank``; ranks beyond ``k`` are filtered first.
     """
     hits = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return _both(ranked, gold, by, id, k).groupBy(*by).agg(hits.alias("hits"), (hits / k).alias("recall"))
+    top = [side.where(F.col("rank") <= k) for side in (ranked, gold)]
+    return _both(*top, by, id).groupBy(*by).agg(hits.alias("hits"), (hits / k).alias("recall"))
+
+
+#: Depths whose weights are added up in one row's range; ranges are added up next.
+DEPTHS = 4096
+
+
+def _weights(deepest: DataFrame, p: float) -> DataFrame:
+    """For each depth d up to ``deepest`` (one row) the sum of p^(j-1)/j from d on, small ones added first."""
+    ranges = deepest.select(F.explode(F.sequence(F.lit(0), F.expr(f"deep div {DEPTHS}"))).alias("range"), "deep")
+    inside = F.sequence(F.greatest(F.lit(1), F.col("range") * DEPTHS), F.least("deep", F.col("range") * DEPTHS + DEPTHS - 1))
+    depths = ranges.repartition("range").select("range", F.explode(inside).alias("d"))
+    each = depths.withColumn("w", F.pow(F.lit(p), F.col("d") - 1) / F.col("d"))
+    own = each.withColumn("w", F.sum("w").over(Window.partitionBy("range").orderBy(F.desc("d"))))
+    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = own.groupBy("range").agg(F.max("w").alias("w"))  # a row for each 4,096 depths
+    rest = whole.select("range", F.coalesce(F.sum("w").over(later), F.lit(0.0)).alias("rest"))
+    return own.join(rest, "range").select("d", (F.col("w") + F.col("rest")).alias("w"))
 
 
 def rbo(ranked: DataFrame, gold: DataFrame, p: float = 0.9, by: list[str] = [], id: str = "id") -> DataFrame:
@@ -88,31 +111,22 @@ def rbo(ranked: DataFrame, gold: DataFrame, p: float = 0.9, by: list[str] = [],
 
     ``(1-p) * sum over d of p^(d-1) * overlap(d) / d``. An item found on both
     sides counts in overlap(d) from its worse rank on, so the sum over depths
-    becomes a sum over items of a weight that depends on that rank only: one
-    aggregate instead of a running window over all ranks. Weights below
-    double precision are left out, which bounds the ranks that are read.
+    becomes a sum over items of the weights from that rank to the last. Items
+    are counted by worse rank and meet a table of summed weights; every rank
+    counts.
     """
     if not 0 < p < 1:
         raise ValueError("p lies between 0 and 1")
-    depth = ceil(log(1e-18 * (1 - p)) / log(p))
-    tails = [0.0]
-    for d in range(depth, 0, -1):
-        tails.append(tails[-1] + p ** (d - 1) / d)
-    weight = F.array(*[F.lit(w) for w in reversed(tails)])  # weight[m-1] = tail from depth m
-
-    def tail(m: Column) -> Column:
-        return F.element_at(weight, m.cast("int"))
-
-    met = F.greatest("a", "b")
     found = F.col("a").isNotNull() & F.col("b").isNotNull()
-    items = _both(ranked, gold, by, id, depth).select(
-        *by, F.when(found, tail(met)).alias("w"), F.greatest("a", "b").alias("deep"), found.alias("found")
-    )
-    sums = items.groupBy(*by).agg(
-        F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"),
-        F.count_if("found").alias("n"),
-        F.max("deep").alias("deep"),
-    )
-    return sums.select(
-        *by, ((F.col("w") - F.col("n") * tail(F.col("deep") + 1)) * (1 - p)).alias("rbo")
+    met = F.when(found, F.greatest("a", "b"))
+    items = _both(ranked, gold, by, id).select(*by, met.alias("met"), F.greatest("a", "b").alias("deep"))
+    levels = items.groupBy(*by, "met").agg(F.count(F.lit(1)).alias("n"), F.max("deep").alias("deep"))
+    weights = _weights(levels.agg(F.max("deep").alias("deep")).where("deep IS NOT NULL"), p)
+    here = F.col("met").isNotNull()
+    sums = levels.join(weights.withColumnRenamed("d", "met"), "met", "left").groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(here, F.col("n") * F.col("w"))), F.lit(0.0)).alias("own"),
+        (F.max("deep") + 1).alias("d"),
     )
+    overlap = F.col("own") - F.col("n") * F.coalesce("w", F.lit(0.0))  # nothing counts beyond the longer ranking
+    return sums.join(weights, "d", "left").select(*by, (overlap * (1 - p)).alias("rbo"))

@@ -139,6 +139,36 @@ def merge_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("rubric").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+def _lot(key: str, seed: int, ties: list[str]) -> Column:
+    drawn = [F.col(c).alias(f"k{i}") for i, c in enumerate([key, *ties])]
+    return F.struct(shuffled(seed, F.col(key)).alias("lot"), *drawn)
+
+
+def _cut_of(df: DataFrame, key: str, n_eval: int, seed: int, ties: list[str]) -> DataFrame:
+    return (
+        df.select(_lot(key, seed, ties).alias("lot"))
+        .orderBy("lot")
+        .limit(n_eval)
+        .agg(F.max("lot").alias("last"), F.count(F.lit(1)).alias("n"))
+        .select(F.when(F.col("n") == n_eval, F.col("last")).alias("last"))
+    )
+
+
+def split_cut(df: DataFrame, key: str, n_eval: int, seed: int, ties: list[str] = []) -> tuple | None:
+    """The ``n_eval``-th smallest lot, found now by a top-n over the key columns; null with fewer rows."""
+    last = _cut_of(df, key, n_eval, seed, ties).first()["last"]
+    return None if last is None else tuple(last)
+
+
+def split_at(df: DataFrame, cut: tuple | None, key: str, seed: int, ties: list[str] = [], to: str = "split") -> DataFrame:
+    """Mark the rows up to a cut of :func:`split_cut` as ``eval``, the rest ``train``."""
+    if cut is None:
+        return df.withColumn(to, F.lit("train"))
+    names = ["lot", *[f"k{i}" for i in range(len(cut) - 1)]]
+    last = F.struct(*[F.lit(v).alias(n) for n, v in zip(names, cut)]).cast(df.select(_lot(key, seed, ties).alias("l")).schema["l"].dataType)
+    return df.withColumn(to, F.when(_lot(key, seed, ties) <= last, "eval").otherwise("train"))
+
+
 def train_eval_split(
     df: DataFrame, key: str, n_eval: int = 50, seed: int = 42, to: str = "split", ties: list[str] = []
 ) -> DataFrame:
@@ -148,16 +178,8 @@ def train_eval_split(
     tell all rows apart. With fewer than ``n_eval`` rows all are ``train``.
     The draw only looks for the ``n_eval``-th smallest hash, a top-n over the
     key columns; the wide rows are then compared with that one value, without
-    a join, a global sort or a global window.
+    a join, a global sort or a global window. The plan of ``df`` runs for the
+    draw and for the rows: store what is costly first.
     """
-    lot = F.struct(
-        shuffled(seed, F.col(key)).alias("lot"), *[F.col(c).alias(f"k{i}") for i, c in enumerate([key, *ties])]
-    )
-    cut = (
-        df.select(lot.alias("lot"))
-        .orderBy("lot")
-        .limit(n_eval)
-        .agg(F.max("lot").alias("last"), F.count(F.lit(1)).alias("n"))
-        .select(F.when(F.col("n") == n_eval, F.col("last")).alias("last"))
-    )
-    return df.withColumn(to, F.when(lot <= cut.scalar(), "eval").otherwise("train"))
+    cut = _cut_of(df, key, n_eval, seed, ties)
+    return df.withColumn(to, F.when(_lot(key, seed, ties) <= cut.scalar(), "eval").otherwise("train"))

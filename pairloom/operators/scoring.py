@@ -119,37 +119,58 @@ def judge_accuracy(choices: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
-def compare_verdicts(rm: DataFrame, judge: DataFrame) -> DataFrame:
-    """Both verdicts of every pair id: one shuffle of ids, no join.
+def _last(results: DataFrame, order: list[str], verdict: str, more: list[str]) -> DataFrame:
+    """The last result of every pair id in ``order``; without an order a repeated id stops the job."""
+    held = [F.coalesce(F.col(verdict), F.lit(False)).alias("prefers"), *more]
+    if order:
+        last = F.max(F.struct(*order, *held))
+        return results.groupBy("pair_id").agg(last.alias("_l")).select("pair_id", "_l.prefers", *[f"_l.{c}" for c in more])
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("pair ids repeat: name the columns that order them")))
+    rows = results.select("pair_id", *held)
+    best = rows.groupBy("pair_id").agg(once.cast("string").alias("_once"), *[F.max(c).alias(c) for c in ["prefers", *more]])
+    return best.where("_once IS NULL").drop("_once")
+
+
+def compare_verdicts(rm: DataFrame, judge: DataFrame, order: list[str] = []) -> DataFrame:
+    """Both verdicts of every pair id that both sides know, with what led to them.
 
     ``rm`` has pair_id and correct_preference, ``judge`` pair_id and
-    is_correct. A verdict is null where a side does not know the pair.
+    is_correct; rm's topic and score_difference and the judge's choice come
+    along where they exist. Ids may repeat: the last result in ``order``, which
+    both sides have as columns, counts.
     """
-    none = F.lit(None).cast("boolean")
-    left = rm.select("pair_id", F.coalesce("correct_preference", F.lit(False)).alias("rm"), none.alias("judge"))
-    right = judge.select("pair_id", none.alias("rm"), F.coalesce("is_correct", F.lit(False)).alias("judge"))
-    return left.unionByName(right).groupBy("pair_id").agg(
-        F.bool_or("rm").alias("rm_prefers_chosen"), F.bool_or("judge").alias("judge_prefers_chosen")
-    )
+    more = [c for c in ("topic", "score_difference") if c in rm.columns]
+    left = _last(rm, order, "correct_preference", more).withColumnRenamed("prefers", "rm_prefers_chosen")
+    choice = [c for c in ("choice",) if c in judge.columns]
+    right = _last(judge, order, "is_correct", choice).withColumnRenamed("prefers", "judge_prefers_chosen")
+    agree = F.col("rm_prefers_chosen") == F.col("judge_prefers_chosen")
+    return left.join(right, "pair_id").withColumn("agreement", agree)
 
 
-def agreement(rm: DataFrame, judge: DataFrame) -> DataFrame:
+def agreement(rm: DataFrame, judge: DataFrame, order: list[str] = []) -> DataFrame:
     """How often a reward model and a judge agree on their common pairs.
 
-    Pair ids do not repeat on either side. The accuracies cover all pairs of each side. No common pair gives null
-    rates and zero counts.
+    Of results with one pair id the last in ``order`` is compared; the
+    accuracies cover all results of each side. No common pair gives null rates
+    and zero counts.
     """
-    both = compare_verdicts(rm, judge)
-    agree = F.col("rm_prefers_chosen") == F.col("judge_prefers_chosen")
-    common, agreed = F.count(agree), F.count_if(agree)
-    return both.agg(
+    both = compare_verdicts(rm, judge, order)
+    common, agreed = F.count(F.lit(1)), F.count_if("agreement")
+
+    def accuracy(results: DataFrame, verdict: str, name: str) -> DataFrame:
+        return results.agg(F.avg(F.coalesce(F.col(verdict), F.lit(False)).cast("int")).alias(name))
+
+    counts = both.agg(
         common.alias("total_comparisons"),
         agreed.alias("agreements"),
         (common - agreed).alias("disagreements"),
         F.when(common > 0, agreed / common).alias("agreement_rate"),
-        F.avg(F.col("rm_prefers_chosen").cast("int")).alias("reward_model_accuracy"),
-        F.avg(F.col("judge_prefers_chosen").cast("int")).alias("judge_accuracy"),
     )
+    rates = [
+        accuracy(rm, "correct_preference", "reward_model_accuracy"),
+        accuracy(judge, "is_correct", "judge_accuracy"),
+    ]
+    return counts.select("*", *[r.scalar().alias(r.columns[0]) for r in rates])
 
 
 def binary_summary(evals: DataFrame, feedback: str | None = None) -> DataFrame:

@@ -177,9 +177,12 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("rubric", "source_key").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def dataset_stats(pairs: DataFrame) -> DataFrame:
-    """Pairs per rubric; the row ``total`` adds the sum and mean per rubric."""
-    per_rubric = pairs.groupBy("rubric").agg(F.count(F.lit(1)).alias("n"))
+def dataset_stats(pairs: DataFrame, n: str | None = None) -> DataFrame:
+    """Pairs per rubric; the row ``total`` adds the sum and mean per rubric.
+
+    With ``n`` the rows are counts already and that column holds them.
+    """
+    per_rubric = pairs.groupBy("rubric").agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
     rolled = per_rubric.rollup("rubric").agg(
         F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_rubrics"), F.grouping("rubric").alias("_all")
     )

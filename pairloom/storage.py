@@ -39,14 +39,3 @@ def durable(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Put a table of few files on all cores before costly work per row.
-
-    A file with one row group is read by one task however large the cluster.
-    Tables of at least as many files as cores are left as they are, so large
-    data is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
