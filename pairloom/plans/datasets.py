@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom import values as V
@@ -12,25 +12,38 @@ from pairloom.operators import records as R
 from pairloom.operators import stats as A
 from pairloom.operators.responses import parse_pass_fail, scores_long
 from pairloom.schemas import PAIR
-from pairloom.sources.files import flatten_entries, read_eval_tree, read_pairs, write_jsonl, write_pairs
+from pairloom.sources.files import flatten_entries, read_eval_tree, write_jsonl, write_pairs
 from pairloom.sources.outputs import write_outputs
 from pairloom.storage import new_path
 
 
 def _stored(pairs: DataFrame, root: str) -> DataFrame:
-    """Write pairs and return them as read back, so nothing runs twice."""
-    write_pairs(pairs, root)
-    spark = pairs.sparkSession
-    schema = PAIR if pairs.schema["source_item"].dataType == PAIR["source_item"].dataType else pairs.schema
-    return read_pairs(spark, root, schema)
+    """Write pairs and count them per rubric on the way; nothing runs twice.
+
+    Pairs of other rubrics than the known ones, if any, are counted by line.
+    """
+    spark, seen = pairs.sparkSession, Observation()
+    known = [F.count_if(F.col("rubric") == r).alias(r) for r in V.RUBRICS]
+    write_pairs(pairs.observe(seen, F.count(F.lit(1)).alias("_all"), *known), root)
+    found = seen.get
+    rows = [(r, found[r]) for r in V.RUBRICS if found[r]]
+    counts = spark.createDataFrame(rows, "rubric string, n long")
+    if sum(n for _, n in rows) < found["_all"]:
+        lines = spark.read.text(root).where(~F.col("rubric").isin(V.RUBRICS))
+        counts = counts.unionByName(lines.groupBy("rubric").agg(F.count(F.lit(1)).alias("n")))
+    return A.dataset_stats(counts, "n")
 
 
 def build_spf(
-    responses: DataFrame, passages: DataFrame, root: str, target: int | None = 1000, seed: int = 42, mode: str = "per_rubric"
+    responses: DataFrame,
+    passages: DataFrame,
+    root: str,
+    target: int | None = None,
+    seed: int = 42,
+    mode: str = "per_rubric",
 ) -> DataFrame:
     """Filter based pairs: parse PASS/FAIL answers, draw, write, count."""
-    pairs = J.pairs_by_filter(parse_pass_fail(responses), passages, target, seed, mode)
-    return A.dataset_stats(_stored(pairs, root))
+    return _stored(J.pairs_by_filter(parse_pass_fail(responses), passages, target, seed, mode), root)
 
 
 def build_imp(
@@ -38,13 +51,12 @@ def build_imp(
     low: DataFrame,
     guidelines: DataFrame,
     root: str,
-    cap: int | None = 1000,
+    cap: int | None = None,
     id: str | None = None,
 ) -> DataFrame:
     """Inter-model pairs: add guidelines, pair, write, count."""
     high, low = J.with_guideline(high, guidelines), J.with_guideline(low, guidelines)
-    pairs = J.pairs_inter_model(high, low, cap=cap, id=id)
-    return A.dataset_stats(_stored(pairs, root))
+    return _stored(J.pairs_inter_model(high, low, cap=cap, id=id), root)
 
 
 def build_icp(
@@ -52,8 +64,7 @@ def build_icp(
 ) -> DataFrame:
     """Intra-model contrastive pairs of one rubric."""
     high, low = J.with_guideline(high, guidelines), J.with_guideline(low, guidelines)
-    pairs = J.pairs_intra_model(high, low, rubric, id=id)
-    return A.dataset_stats(_stored(pairs, root))
+    return _stored(J.pairs_intra_model(high, low, rubric, id=id), root)
 
 
 def build_template_pairs(
@@ -144,10 +155,14 @@ def convert_pairs(
     records.withColumn("content", F.md5(F.to_json(F.struct(*texts)))).write.parquet(staged)
     place = ["file_name", "row_index"]
     stored = spark.read.parquet(staged).select("*", *[f"_metadata.{c}" for c in place])
-    split = R.train_eval_split(stored, "pair_id", n_eval, seed, ties=["content", *place])
+    cut = R.split_cut(stored, "pair_id", n_eval, seed, [*["content"], *place])  # reads ids only
+    split = R.split_at(stored, cut, "pair_id", seed, ["content", *place])
+    counts = []
     for name, path in (("train", train_path), ("eval", eval_path)):
-        write_jsonl(split.where(F.col("split") == name).select(*texts), path)
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+        seen = Observation()
+        write_jsonl(split.where(F.col("split") == name).select(*texts).observe(seen, F.count(F.lit(1)).alias("n")), path)
+        counts.append((name, seen.get["n"]))
+    return spark.createDataFrame([c for c in counts if c[1]], "split string, n long")
 
 
 def icp_rubric(template: str) -> str:

@@ -21,6 +21,21 @@ def judge_prompts(samples: DataFrame, seed: int = 42, order: list[str] = ["pos"]
     return S.ab_order(J.pairs_by_label(samples, order), seed)
 
 
+def _judged(
+    samples: DataFrame, responses: DataFrame, make_scorer: Callable[[], S.Scorer], seed: int, order: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Results of the reward model and of the judge, one row per pair and side, from one pass over the pairs."""
+    spark = samples.sparkSession
+    shown = judge_prompts(samples, seed, order).withColumn("chosen_name", F.col("metadata.chosen_name"))
+    keys = [c for c in ("pair_id", "chosen_name") if c in responses.columns]
+    scored = S.compare_with(shown, make_scorer).drop("chosen", "rejected", "text_a", "text_b", "metadata")
+    staged = new_path(spark, "scored-pairs")
+    answered = scored.join(responses.select(*keys, "response"), keys, "left")
+    S.judge_results(parse_ab_choice(answered)).write.parquet(staged)
+    results = spark.read.parquet(staged)
+    return results, results
+
+
 def preference_ranking(
     samples: DataFrame,
     responses: DataFrame,
@@ -30,14 +45,24 @@ def preference_ranking(
 ) -> DataFrame:
     """Agreement of a reward model and a judge on labelled samples.
 
-    ``responses`` holds the judge's answer per pair_id for the order that
-    :func:`judge_prompts` gives; pairs without answer count as wrong.
+    ``responses`` holds the judge's answer per pair for the order that
+    :func:`judge_prompts` gives; pairs without answer count as wrong. Samples
+    of one topic share their pair id: answers then also need ``chosen_name``,
+    and the last sample by name stands for the topic in the comparison, while
+    the accuracies cover all.
     """
-    shown = judge_prompts(samples, seed, order)
-    rm = S.compare_with(shown, make_scorer)
-    answered = shown.select("pair_id", "correct_choice").join(responses, "pair_id", "left")
-    judged = S.judge_results(parse_ab_choice(answered))
-    return S.agreement(rm, judged)
+    return S.agreement(*_judged(samples, responses, make_scorer, seed, order), ["chosen_name"])
+
+
+def preference_details(
+    samples: DataFrame,
+    responses: DataFrame,
+    make_scorer: Callable[[], S.Scorer],
+    seed: int = 42,
+    order: list[str] = ["pos"],
+) -> DataFrame:
+    """The comparison of :func:`preference_ranking`, a row per pair id."""
+    return S.compare_verdicts(*_judged(samples, responses, make_scorer, seed, order), ["chosen_name"])
 
 
 def rank_candidates(

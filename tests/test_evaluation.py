@@ -120,6 +120,37 @@ def test_judge_and_agreement(spark):
     assert (none["total_comparisons"], none["agreement_rate"]) == (0, None)
 
 
+def test_agreement_with_repeated_ids(spark):
+    """The last result of an id is compared, accuracies cover all results; without an order repeats are refused."""
+    rm = spark.createDataFrame([("p", True, 1), ("p", False, 2), ("q", True, 3)], "pair_id string, correct_preference boolean, at int")
+    judge = spark.createDataFrame([("p", False, 1), ("p", True, 2), ("q", True, 3)], "pair_id string, is_correct boolean, at int")
+    r = S.agreement(rm, judge, ["at"]).first()
+    assert (r["total_comparisons"], r["agreements"], r["agreement_rate"]) == (2, 1, 0.5)
+    assert (r["reward_model_accuracy"], r["judge_accuracy"]) == (pytest.approx(2 / 3), pytest.approx(2 / 3))
+    rows = {x["pair_id"]: (x["rm_prefers_chosen"], x["judge_prefers_chosen"], x["agreement"]) for x in S.compare_verdicts(rm, judge, ["at"]).collect()}
+    assert rows == {"p": (False, True, False), "q": (True, True, True)}
+    with pytest.raises(Exception, match="pair ids repeat"):
+        S.agreement(rm, judge).collect()
+
+
+@pytest.mark.parametrize("p", [0.5, 0.9, 0.999])
+def test_rbo_is_its_definition(spark, p):
+    """No depth is left out, however close p is to 1."""
+    import random
+
+    rng = random.Random(4)
+    a, b = rng.sample(range(9000), 5000), rng.sample(range(9000), 4500)
+    overlap, seen, total = 0, set(), 0.0
+    for d in range(1, 5001):
+        for side in (a, b):
+            if d <= len(side):
+                overlap += side[d - 1] in seen
+                seen.add(side[d - 1])
+        total += p ** (d - 1) * overlap / d
+    tables = [spark.createDataFrame([(str(x), i + 1) for i, x in enumerate(s)], "id string, rank int") for s in (a, b)]
+    assert K.rbo(*tables, p=p).first()["rbo"] == pytest.approx((1 - p) * total, rel=1e-9)
+
+
 def test_binary_summary_and_gate(spark):
     schema = "passage_id int, " + ", ".join(f"{r} boolean" for r in RUBRICS)
     df = spark.createDataFrame([(1, *[True] * 6), (2, True, False, True, True, None, True)], schema)

@@ -23,8 +23,8 @@ def test_spread_numbers_equal_window_numbers(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k string, o int, id int").repartition(5)
     order = [F.col("o"), F.col("id").desc()]
-    for limit, id in ((10**6, None), (10, None), (10, "id"), (10**6, "id")):
-        got = number_within(df, ["k"], order, "n", rows_per_task=limit, id=id)
+    for spread in (False, True):
+        got = number_within(df, ["k"], order, "n", spread)
         assert got.columns == ["k", "o", "id", "n"]
         assert {r["id"]: r["n"] for r in got.collect()} == expected(rows)
 
@@ -33,16 +33,23 @@ def test_spread_numbers_without_key(spark):
     rows = [(i % 7, i) for i in range(1000)]
     df = spark.createDataFrame(rows, "o int, id int").repartition(4)
     want = {r[1]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
-    got = number_within(df, [], [F.col("o").desc(), F.col("id")], "n", rows_per_task=1)
+    got = number_within(df, [], [F.col("o").desc(), F.col("id")], "n", spread=True)
     assert {r["id"]: r["n"] for r in got.collect()} == want
 
 
 def test_spread_uses_many_tasks(spark):
     df = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id"))
-    got = number_within(df, ["k"], [F.col("id")], "n", rows_per_task=10)
+    got = number_within(df, ["k"], [F.col("id")], "n", spread=True)
     assert got.select(F.count_if(F.col("n") == F.col("id") + 1)).first()[0] == 2000
 
 
+def test_both_ways_keep_null_and_repeated_rows(spark):
+    rows = [("a", None), ("a", 1), ("a", 1), (None, 2), (None, None)]
+    df = spark.createDataFrame(rows, "k string, id int")
+    got = [sorted(number_within(df, ["k"], [F.col("id")], spread=s).collect(), key=repr) for s in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 5
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, id int")
     assert number_within(df, ["k"], [F.col("id")]).count() == 0
@@ -56,11 +63,7 @@ def test_first_within_limits_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan
     got = {r["id"]: r["pos"] for r in first_within(df, ["k"], order, 3).collect()}
     assert got == {i: n for i, n in expected(hot_rows()).items() if n <= 3}
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
-    try:
-        got = {r["id"]: r["pos"] for r in first_within(df, ["k"], order, 40).collect()}
-    finally:
-        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    got = {r["id"]: r["pos"] for r in first_within(df.repartition(5), ["k"], order, 40).collect()}
     assert got == {i: n for i, n in expected(hot_rows()).items() if n <= 40}
 
 

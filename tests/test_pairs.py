@@ -201,18 +201,19 @@ def test_common_keys(spark):
     assert [r["k"] for r in J.common_keys(a, b, "k").collect()] == ["x"]
 
 
-def test_large_items_pair_alike(spark, monkeypatch):
-    """Pairs do not depend on whether an item's passages fit one task."""
-    from pairloom.operators import numbering
-
+def test_large_items_pair_alike(spark):
+    """Pairs do not depend on how an item's passages are numbered."""
     rows = [("hot" if i % 3 else f"k{i % 5}", "x", f"t{i}", i) for i in range(300)]
-    high, low = (side(spark, rows).withColumn("id", F.col("pos")) for _ in range(2))
-    want = sorted(J.pairs_inter_model(high, low, RUBRICS[:1], cap=None).collect())
-    spread = numbering.number_within
-
-    def small_tasks(*args, **more):
-        return spread(*args, **{**more, "rows_per_task": 10})
-
-    monkeypatch.setattr(numbering, "number_within", small_tasks)
-    for id in (None, "id"):
-        assert sorted(J.pairs_inter_model(high, low, RUBRICS[:1], cap=None, id=id).collect()) == want
+    high, low = (side(spark, rows).withColumn("passage_id", F.col("pos")) for _ in range(2))
+    pairs = [sorted(J.pairs_inter_model(high, low, RUBRICS[:1], spread=s).collect()) for s in (False, True)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 300
+
+
+def test_texts_do_not_move_through_numbering(spark):
+    """No window or single task meets a text."""
+    rows = [("a", "x", f"t{i}", i) for i in range(9)]
+    high, low = (side(spark, rows).withColumn("passage_id", F.col("pos")) for _ in range(2))
+    plan = J.pairs_inter_model(high, low)._jdf.queryExecution().optimizedPlan().toString()
+    for k, line in enumerate(plan.split("\n")):
+        if "Window" in line:
+            assert "generated_passage" not in plan.split("\n")[k + 1] and "_text" not in plan.split("\n")[k + 1]

@@ -18,8 +18,8 @@ def test_strict_prompt(spark):
     assert G.render_prompt(df, "{{가}} {a}-{b}-{n}").first()["prompt"] == "{가} {b}-x-3"
     with pytest.raises(KeyError):
         G.render_prompt(df, "{missing}")
-    raw = spark.createDataFrame([("{1}",)], "problem_json string")
-    assert G.render_prompt(raw, '{"a": {problem_json}} {b}').first()["prompt"] == '{"a": {1}} {b}'
+    raw = spark.createDataFrame([("{1}", 7)], "problem_json string, id int")
+    assert G.render_prompt(raw, '{"a": {problem_json}} {b}', only="problem_json").first()["prompt"] == '{"a": {1}} {b}'
 
 
 def test_loose_prompt(spark):

@@ -6,11 +6,11 @@ from pyspark.sql import types as T
 from pairloom.operators.responses import evaluation_rows, parse_binary_rubric, parse_pass_fail
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
-from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, QUALITY_SAMPLE, RECORD
+from pairloom.schemas import BENCHMARK, CHAT_RESPONSE, PAIR, QUALITY_SAMPLE, RANKED, RECORD
 from pairloom.sources import files as S
 from pairloom.sources import outputs as O
 from pairloom.sources import requests as Q
-from pairloom.streaming.responses import stream_responses, write_responses
+from pairloom.streaming.responses import one_answer, stream_responses, write_responses
 from pairloom.values import RUBRICS
 
 
@@ -37,6 +37,33 @@ def test_jsonl(spark, tmp_path):
     assert sorted(r["name"] for r in S.read_jsonl(spark, str(tmp_path), QUALITY_SAMPLE).collect()) == ["a", "b"]
 
 
+def test_odd_fields_keep_their_records(spark, tmp_path):
+    """The rows are the same whatever columns are read; a field of another type is null."""
+    good = {"passage": "글", "r1_score": 4.5, "rm_ranking": 1}
+    odd = [{**good, "rm_ranking": "2"}, {**good, "r1_score": "x"}, {**good, "rm_ranking": 3.0}, {**good, "rm_ranking": [1]}, {"other": 1}]
+    lines = [json.dumps(x, ensure_ascii=False) for x in [good, *odd]]
+    put(tmp_path / "l" / "a.jsonl", "\n".join([*lines, "{broken", "[1, 2]", ""]))
+    put(tmp_path / "a" / "a.json", [good, *odd])
+    put(tmp_path / "a" / "b.json", "[{broken")
+    for rows in (S.read_jsonl(spark, str(tmp_path / "l"), RANKED), S.read_json_array(spark, str(tmp_path / "a"), RANKED)):
+        assert rows.count() == rows.select("passage").count() == len(rows.collect()) == 6
+        assert len(rows.select("rm_ranking").collect()) == 6
+        got = [(r["passage"], r["r1_score"], r["rm_ranking"]) for r in rows.collect()]
+        want = [("글", 4.5, 1), ("글", 4.5, 2), ("글", None, 1), ("글", 4.5, 3), (None, None, None)]
+        assert all(x in got for x in want)
+    rows = S.read_jsonl(spark, str(tmp_path / "l"), RANKED, corrupt="bad")
+    assert sorted(r["bad"] for r in rows.where("bad IS NOT NULL").select("bad").collect())[-1] == "{broken"
+    counts = S.broken_records(rows, "bad").first()
+    assert counts["n_records"] == 8 and counts["n_broken"] >= 2
+    evals = [evaluation("봄", 5), evaluation("봄", 2)]
+    evals[0]["evaluation"][f"{RUBRICS[0]}_score"] = 4.0
+    evals[1]["evaluation"][f"{RUBRICS[0]}_score"] = "5"
+    put(tmp_path / "e" / "m_evaluation" / "x_eval_rubric.json", evals)
+    rows = S.read_eval_tree(spark, str(tmp_path / "e"))
+    assert sorted(r["evaluation"][f"{RUBRICS[0]}_score"] for r in rows.collect()) == [4, 5]
+    assert rows.count() == rows.select("generated_passage").count() == 2
+
+
 def evaluation(topic, score):
     return {
         "source_item": {"korean_topic": topic, "foreign_topic": "x"},
@@ -140,12 +167,42 @@ def test_arrays_round_trip(spark, tmp_path):
     S.write_json_arrays(rows, str(tmp_path / "a"))
     back = S.read_json_array(spark, str(tmp_path / "a"), T.StructType([T.StructField("name", T.StringType())]))
     assert {r["name"] for r in back.collect()} == {str(i) for i in range(100)}
-    S.write_json_arrays(rows.coalesce(1), str(tmp_path / "b"), ["g"], max_chars=100)
+    S.write_json_arrays(rows.coalesce(1), str(tmp_path / "b"), ["g"], rows_per_file=4)
     assert len(list((tmp_path / "b" / "g=1").glob("part-*"))) > 3
     back = S.read_json_array(spark, str(tmp_path / "b"), T.StructType([T.StructField("name", T.StringType())]))
     assert back.where(F.contains("file_path", F.lit("g=1"))).count() == 33 and back.count() == 100
 
 
+def answered(text):
+    return {"response": {"status_code": 200, "body": {"choices": [{"message": {"content": text}}]}}}
+
+
+def test_causes_of_failures(spark, tmp_path):
+    lines = [
+        {"custom_id": "request_1", **answered("fine")},
+        {"custom_id": "request_2", "error": {"code": "e7", "message": "too long"}},
+        {"custom_id": "request_3", "error": {"code": "e8"}},
+        {"custom_id": "request_4", "response": {"status_code": 429}},
+    ]
+    put(tmp_path / "r.jsonl", "\n".join(map(json.dumps, lines)))
+    requests = spark.createDataFrame([(f"request_{i}",) for i in range(1, 6)], "custom_id string")
+    found = Q.join_responses(requests, S.read_jsonl(spark, str(tmp_path), CHAT_RESPONSE)).collect()
+    assert {r["custom_id"]: r["response"] for r in found} == {
+        "request_1": "fine", "request_2": "오류: too long", "request_3": "오류: e8", "request_4": "오류: status 429", "request_5": "오류: no response",
+    }
+
+
+def test_stream_and_batch_take_the_same_answer(spark, tmp_path):
+    for name, text in (("a", "점수: 2"), ("b", "점수: 4"), ("c", "점수: 4")):
+        put(tmp_path / "in" / f"{name}.json", json.dumps({"custom_id": "request_1", **answered(text)}, ensure_ascii=False))
+    stream = stream_responses(spark, str(tmp_path / "in"), files_per_batch=1)
+    write_responses(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    rows = one_answer(spark.read.parquet(str(tmp_path / "out"))).collect()
+    requests = spark.createDataFrame([("request_1",)], "custom_id string")
+    want = Q.join_responses(requests, spark.read.schema(CHAT_RESPONSE).json(str(tmp_path / "in"))).first()["response"]
+    assert [r["response"] for r in rows] == [want] == ["점수: 4"]
+
+
 def test_flatten_entries(spark):
     raws = ['[{"chosen": "a"}, {"chosen": "b"}]', '{"x": {"chosen": "c"}, "y": [{"chosen": "d"}], "z": 3}', "[]", "3"]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
@@ -193,7 +250,8 @@ def test_stream_goes_on_without_repeating(spark, tmp_path):
 
     def run(**more):
         write_responses(stream_responses(spark, str(tmp_path / "in"), **more), out, check).awaitTermination()
-        return sorted((r["custom_id"], r["score"], r["parse_status"]) for r in spark.read.parquet(out).collect())
+        rows = one_answer(spark.read.parquet(out)).collect()
+        return sorted((r["custom_id"], r["score"], r["parse_status"]) for r in rows)
 
     first = [("request_1", 4, "parsed"), ("request_2", 3, "default")]
     assert run() == first
@@ -258,6 +316,27 @@ def test_preference_ranking_job(spark):
     assert (r["total_comparisons"], r["agreements"], r["reward_model_accuracy"], r["judge_accuracy"]) == (4, 3, 1.0, 0.75)
 
 
+def test_samples_of_one_topic(spark):
+    """They share a pair id: each keeps its own answer, the last by name is compared."""
+    rows = [("고품질_01_봄", "high", "글글글", 0), ("고품질_02_봄", "high", "글", 1), ("저품질_01_봄", "low", "글글", 2)]
+    samples = spark.createDataFrame(rows, "name string, quality string, text string, pos int")
+    shown = E.judge_prompts(samples).select("pair_id", "metadata.chosen_name", F.col("correct_choice").alias("response"))
+    r = E.preference_ranking(samples, shown, lambda: lambda s: s.str.len()).first()
+    assert (r["total_comparisons"], r["agreements"], r["reward_model_accuracy"], r["judge_accuracy"]) == (1, 0, 0.5, 1.0)
+    one = E.preference_details(samples, shown, lambda: lambda s: s.str.len()).collect()
+    assert [(x["topic"], x["rm_prefers_chosen"], x["judge_prefers_chosen"], x["score_difference"], x["choice"] in "AB") for x in one] == [("봄", False, True, -1.0, True)]
+
+
+def test_rewritten_outputs(spark, tmp_path):
+    schema = "date string, model string, template string, benchmark_id int, version string, generated_passage string"
+    df = spark.createDataFrame([("d", "m", "passage_a", 1, "v1", "x"), ("d", "m", "passage_a", 2, "v1", "y")], schema)
+    for _ in range(2):
+        O.write_outputs(df, str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o")).count() == 2
+    O.write_outputs(df.where("benchmark_id = 2").withColumn("generated_passage", F.lit("z")), str(tmp_path / "o"))
+    assert sorted(r[0] for r in spark.read.json(str(tmp_path / "o")).select("generated_passage").collect()) == ["x", "z"]
+
+
 def test_rank_job(spark, tmp_path):
     df = spark.createDataFrame([("a", "가"), ("b", "가나다"), ("c", "가나")], "id string, passage string")
     scorers = {"r1_score": lambda: lambda s: s.str.len(), "r2_score": lambda: lambda s: -s.str.len() * 0.5}

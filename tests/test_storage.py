@@ -39,11 +39,3 @@ def test_durable_cuts_the_plan(spark):
     kept = storage.durable(df)
     assert sorted(kept.collect()) == sorted(kept.collect())
     assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_spread_only_moves_few_files(spark, sf, tmp_path):
-    one = spark.read.parquet(f"{sf}/documents.parquet")
-    assert storage.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.range(100).repartition(16).write.parquet(str(tmp_path / "many"))
-    many = spark.read.parquet(str(tmp_path / "many"))
-    assert storage.spread(many) is many

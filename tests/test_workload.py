@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from workload.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def con(sf):
     return check.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, sf, name):
     state, note = check.compare(spark, con, sf, name)
     assert state == "ok" and "types" not in note, note
@@ -23,4 +24,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -342,7 +342,7 @@ def regenerated(spark, sf):
 def number_within_(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     order = [F.col("n_chars").desc(), F.col("doc_id")]
-    return number_within(rows, ["lang"], order, id="doc_id").select("doc_id", "lang", "pos")
+    return number_within(rows, ["lang"], order).select("doc_id", "lang", "pos")
 
 
 @query(
@@ -353,7 +353,7 @@ def number_within_spread(spark, sf):
     """The same numbers on the way large groups take."""
     rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     order = [F.col("n_chars").desc(), F.col("doc_id")]
-    return number_within(rows, ["lang"], order, rows_per_task=1).select("doc_id", "lang", "pos")
+    return number_within(rows, ["lang"], order, spread=True).select("doc_id", "lang", "pos")
 
 
 @query(

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.functions.text import topic_from_name
 from pairloom.operators.pairs import generation_grid
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
 from pairloom.schemas import TRAIN_RECORD
 from pairloom.sources.files import read_jsonl
 from pairloom.storage import new_path
-from pairloom.streaming.responses import stream_responses, write_responses
+from pairloom.streaming.responses import one_answer, stream_responses, write_responses
 from workload.pairs import _EVALS, SAMPLES, listed, samples
 from workload.parsing import _SCORE, _SCORE_RESPONSES, score_responses
 from workload.records import _SPLIT, TEMPLATES
@@ -30,6 +29,7 @@ from workload.views import (
     imp_pairs,
     length_scorer,
     long_scores,
+    models,
     passages,
     table,
 )
@@ -42,7 +42,7 @@ SELECT 'total', sum(n)::BIGINT, count(*), sum(n) / count(*) FROM c"""
     "build_spf",
     f"""WITH {SCORES}, {_EVALS}, v AS (
   SELECT rubric, count(*) FILTER (result = 'pass') AS p, count(*) FILTER (result = 'fail') AS f FROM evals GROUP BY rubric),
-c AS (SELECT rubric, least(p, f, 1000) AS n FROM v) {_TOTALS}""",
+c AS (SELECT rubric, least(p, f) AS n FROM v) {_TOTALS}""",
 )
 def build_spf(spark, sf):
     answer = F.when(F.col("score") > 2, "PASS").when(F.col("score") == 2, "?").otherwise("Fail: ")
@@ -52,7 +52,7 @@ def build_spf(spark, sf):
 
 @query(
     "build_imp",
-    f"WITH {IMP}, c AS (SELECT rubric, count(*) AS n FROM imp WHERE rn <= 1000 GROUP BY rubric) {_TOTALS}",
+    f"WITH {IMP}, c AS (SELECT rubric, count(*) AS n FROM imp GROUP BY rubric) {_TOTALS}",
 )
 def build_imp(spark, sf):
     high, low = high_low(spark, sf)
@@ -139,27 +139,45 @@ def convert_pairs(spark, sf):
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chosen")).alias("chars"))
 
 
+_VERDICTS = f"""{SAMPLES}, v AS (
+  SELECT topic, chosen_name, length(chosen) % 97 / 7 > length(rejected) % 97 / 7 AS rm, length(chosen) > length(rejected) AS judge
+  FROM labelled), last AS (SELECT DISTINCT ON (topic) * FROM v ORDER BY topic, chosen_name DESC)"""
+
+
+def _answers(spark, sf):
+    """All labelled samples, and a judge's answer to every pair as it was shown."""
+    rows = samples(spark, sf)
+    a, b = F.length("text_a"), F.length("text_b")
+    answer = F.when(a > b, "A: longer").when(a < b, "선택: B").otherwise("같다")
+    shown = E.judge_prompts(rows).select("pair_id", "metadata.chosen_name", answer.alias("response"))
+    return rows, shown
+
+
 @query(
     "preference_ranking",
-    f"""WITH {SAMPLES}, one AS (SELECT DISTINCT ON (topic) * FROM labelled ORDER BY topic, chosen_name),
-v AS (SELECT length(chosen) % 97 / 7 > length(rejected) % 97 / 7 AS rm, length(chosen) > length(rejected) AS judge FROM one)
+    f"""WITH {_VERDICTS}
 SELECT count(*) AS total_comparisons, count(*) FILTER (rm = judge) AS agreements,
        count(*) FILTER (rm <> judge) AS disagreements, round(avg((rm = judge)::INT), 6) AS agreement_rate,
-       round(avg(rm::INT), 6) AS reward_model_accuracy, round(avg(judge::INT), 6) AS judge_accuracy FROM v""",
+       (SELECT round(avg(rm::INT), 6) FROM v) AS reward_model_accuracy, (SELECT round(avg(judge::INT), 6) FROM v) AS judge_accuracy
+FROM last""",
 )
 def preference_ranking(spark, sf):
-    rows = samples(spark, sf)
-    best = rows.where("quality = 'high'")
-    first = best.groupBy(topic_from_name("name").alias("t")).agg(F.min_by(F.struct(*rows.columns), "name").alias("s"))
-    rows = rows.where("quality = 'low'").unionByName(first.select("s.*"))
-    shown = E.judge_prompts(rows)
-    a, b = F.length("text_a"), F.length("text_b")
-    answer = F.when(a > b, "A: longer").when(a < b, "선택: B").otherwise("같다")
-    result = E.preference_ranking(rows, shown.select("pair_id", answer.alias("response")), length_scorer())
+    result = E.preference_ranking(*_answers(spark, sf), length_scorer())
     rates = ["agreement_rate", "reward_model_accuracy", "judge_accuracy"]
     return result.select("total_comparisons", "agreements", "disagreements", *[F.round(c, 6).alias(c) for c in rates])
 
 
+@query(
+    "agreement_details",
+    f"""WITH {_VERDICTS}
+SELECT 'preference_pair_' || topic AS pair_id, topic, rm AS rm_prefers_chosen, judge AS judge_prefers_chosen, rm = judge AS agreement
+FROM last""",
+)
+def agreement_details(spark, sf):
+    rows = E.preference_details(*_answers(spark, sf), length_scorer())
+    return rows.select("pair_id", "topic", "rm_prefers_chosen", "judge_prefers_chosen", "agreement")
+
+
 @query(
     "rank_candidates",
     """
@@ -208,7 +226,7 @@ FROM (SELECT DISTINCT lang FROM passages) l CROSS JOIN (SELECT DISTINCT model FR
 )
 def generation_results(spark, sf):
     langs = table(spark, sf, "documents").select("lang").distinct()
-    items = generation_grid(langs, [f"src{i}" for i in range(20)], ["t"])
+    items = generation_grid(langs, models(spark, sf), ["t"])
     rows = E.generation_results(items, attempts(spark, sf), ["lang", "model"])
     return rows.select("lang", "model", "success", F.md5("generated_passage").alias("body"))
 
@@ -224,4 +242,4 @@ def stream_responses_(spark, sf):
     folder = response_files(spark, sf, rows.unionByName(rows), "doc_id")
     out = new_path(spark, "parsed")
     write_responses(stream_responses(spark, folder), out, new_path(spark, "stream")).awaitTermination()
-    return spark.read.parquet(out).select("custom_id", "score")
+    return one_answer(spark.read.parquet(out)).select("custom_id", "score")

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import prompts as G
 from pairloom.operators import pairs as J
-from pairloom.operators.numbering import number_within
 from pairloom.operators.scoring import with_difference
 from pairloom.values import VIOLATION_TEMPLATES
 from workload.registry import query
 from workload.views import (
+    numbered,
     GUIDELINES,
     HIGH_LOW,
     IMP,
@@ -93,14 +93,14 @@ _LISTS = f"""{PASSAGES}, {GUIDELINES}, c AS (
 
 def listed(rows):
     """Passages with their list position in a benchmark and a short source item."""
-    numbered = number_within(rows.drop("pos"), ["benchmark_id"], [F.col("passage_id")], id="passage_id")
+    places = numbered(rows.drop("pos"), ["benchmark_id"], ["passage_id"], "passage_id")
     item = F.struct(
         F.col("lang").alias("korean_topic"),
         F.lit("k").alias("korean_context"),
         F.lit("w").alias("foreign_topic"),
         F.lit("f").alias("foreign_context"),
     )
-    return numbered.withColumn("pos", F.col("pos") - 1).withColumn("source_item", item)
+    return places.withColumn("pos", F.col("pos") - 1).withColumn("source_item", item)
 
 
 @query(
@@ -244,13 +244,23 @@ def _drawn(pairs):
     return pairs.select("pair_id", "rubric", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
 
 
+def guided(spark, sf):
+    """Passages with problem types and goals beside their source item."""
+    p = passages(spark, sf)
+    return p.join(guidelines(spark, sf), "benchmark_id", "left").select(*p.columns, "problem_types", "eval_goals")
+
+
 @query(
     "pairs_by_filter",
-    f"WITH {SCORES}, {_EVALS}, drawn AS (SELECT passage_id, rubric, result = 'pass' AS passed FROM evals "
-    f"WHERE result <> 'uncertain'), {_DRAW}",
+    f"WITH {SCORES}, {GUIDELINES}, {_EVALS}, drawn AS (SELECT passage_id, rubric, result = 'pass' AS passed FROM evals "
+    "WHERE result <> 'uncertain'), "
+    + _DRAW.replace("AS rejected\n", "AS rejected, array_to_string(gl.problem_types, ',') AS types, array_to_string(gl.eval_goals, ',') AS goals\n")
+    + "\nJOIN guidelines gl ON gl.benchmark_id = p.benchmark_id",
 )
 def pairs_by_filter(spark, sf):
-    return _drawn(J.pairs_by_filter(evals(spark, sf), passages(spark, sf), target=None))
+    pairs = J.pairs_by_filter(evals(spark, sf), guided(spark, sf))
+    item = [F.array_join(f"source_item.{a}", ",").alias(b) for a, b in (("problem_types", "types"), ("eval_goals", "goals"))]
+    return pairs.select("pair_id", "rubric", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), *item)
 
 
 @query(
@@ -258,7 +268,7 @@ def pairs_by_filter(spark, sf):
     f"""WITH {SCORES}, {_EVALS}, {RUBRIC_LIST}, whole AS (
   SELECT passage_id, bool_and(result = 'pass') AS passed FROM evals GROUP BY passage_id),
 drawn AS (SELECT passage_id, rubric, passed FROM whole CROSS JOIN rubrics),
-{_DRAW} WHERE g.n <= 1000""",
+{_DRAW}""",
 )
 def pairs_by_filter_all_six(spark, sf):
     return _drawn(J.pairs_by_filter(evals(spark, sf), passages(spark, sf), mode="all_six"))
@@ -277,7 +287,7 @@ FROM numbered g JOIN numbered b ON g.rubric = b.rubric AND g.lang = b.lang AND g
 JOIN passages p ON p.passage_id = g.passage_id JOIN passages q ON q.passage_id = b.passage_id""",
 )
 def pairs_by_filter_same_source(spark, sf):
-    return _drawn(J.pairs_by_filter(evals(spark, sf), passages(spark, sf), target=None, same_source=True))
+    return _drawn(J.pairs_by_filter(evals(spark, sf), passages(spark, sf), same_source=True))
 
 
 @query(
@@ -409,9 +419,9 @@ FROM high h JOIN low l USING (korean_topic, rn)""",
 )
 def common_source_item(spark, sf):
     high, low = high_low(spark, sf)
-    order = [F.col("benchmark_id"), F.col("pos")]
-    h = number_within(high, ["lang"], order, "rn", id="passage_id").alias("h")
-    lo = number_within(low, ["lang"], order, "rn", id="passage_id").alias("l")
+    order = ["benchmark_id", "pos"]
+    h = numbered(high, ["lang"], order, "passage_id", "rn").alias("h")
+    lo = numbered(low, ["lang"], order, "passage_id", "rn").alias("l")
     names = ["korean_topic", "foreign_topic", "korean_context", "foreign_context"]
     item = J.common_source_item(F.col("h.source_item"), F.col("l.source_item"), names)
     return h.join(lo, ["lang", "rn"]).select(

@@ -259,7 +259,8 @@ def merge_counts(spark, sf):
 @query("concat_benchmarks", f"WITH {PASSAGES} SELECT benchmark_id, count(*) AS n FROM passages GROUP BY benchmark_id")
 def concat_benchmarks(spark, sf):
     p = passages(spark, sf)
-    rows = R.merge_pairs(*[p.where(F.col("benchmark_id") == i) for i in range(1, 6)])
+    odd = F.coalesce(F.col("benchmark_id") % 2 == 1, F.lit(False))
+    rows = R.merge_pairs(p.where(odd), p.where(~odd))
     return rows.groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -229,7 +229,8 @@ def written_outputs(spark, sf) -> str:
         "benchmark_id",
         F.lit("v1.0.0").alias("version"),
     )
-    O.write_outputs(rows.repartition("model", "template"), root)
+    for _ in range(2):  # a rerun changes nothing
+        O.write_outputs(rows.repartition("model", "template"), root)
     return root
 
 
@@ -463,7 +464,8 @@ def read_merged(spark, sf):
 @query(
     "list_files",
     f"""WITH {PASSAGES}, {_OUT}
-SELECT DISTINCT 'date=2025-08-05/output_type=' || output_type || '/model=' || model || '/template=' || template AS folder FROM out""",
+SELECT DISTINCT 'date=2025-08-05/output_type=' || output_type || '/model=' || model || '/template=' || template
+       || '/benchmark_id=' || benchmark_id || '/version=v1.0.0' AS folder FROM out""",
 )
 def list_files(spark, sf):
     files = O.list_files(spark, written_outputs(spark, sf))

@@ -98,18 +98,17 @@ def long_passage_summary(spark, sf):
     return rows.select(*[F.round(c, 6).alias(c) if c.endswith("_mean") else F.col(c) for c in rows.columns])
 
 
-_MODELS = [f"src{i}" for i in range(20)]
-
-
 @query(
     "rubric_means",
-    f"WITH {SCORES} SELECT rubric, "
-    + ", ".join(f"round(coalesce(avg(score) FILTER (model = '{m}'), 0.0), 6) AS {m}" for m in _MODELS)
-    + " FROM long GROUP BY rubric",
+    f"""WITH {SCORES}, cells AS (SELECT r.rubric, m.model FROM (SELECT DISTINCT rubric FROM long) r, (SELECT DISTINCT model FROM long) m)
+SELECT c.rubric, c.model, round(coalesce(avg(score), 0.0), 6) AS mean
+FROM cells c LEFT JOIN long l ON l.rubric = c.rubric AND l.model = c.model GROUP BY ALL""",
 )
 def rubric_means(spark, sf):
-    rows = A.rubric_means(long_scores(spark, sf), _MODELS)
-    return rows.select("rubric", *[F.round(m, 6).alias(m) for m in _MODELS])
+    """The table of means, a row per cell."""
+    rows = A.rubric_means(long_scores(spark, sf))
+    cells = F.explode(F.create_map(*[x for m in rows.columns[1:] for x in (F.lit(m), F.col(m))])).alias("model", "mean")
+    return rows.select("rubric", cells).select("rubric", "model", F.round("mean", 6).alias("mean"))
 
 
 @query(

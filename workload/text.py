@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
-from pairloom.operators.numbering import number_within
 from pairloom.operators.responses import context_block
 from pairloom.operators.stats import distinct_tokens
 from workload.registry import query
-from workload.views import texts
+from workload.views import numbered, texts
 
 # The documents hold no white space beyond blank, tab and line ends, so the
 # ASCII classes of the SQL find what the Unicode ones of the library find.
@@ -202,6 +201,6 @@ def context(spark, sf):
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.col("html").alias("summary"),
     )
-    numbered = number_within(pages, ["topic"], [F.col("page_id")], id="page_id").withColumn("pos", F.col("pos") - 1)
+    places = numbered(pages, ["topic"], ["page_id"], "page_id").withColumn("pos", F.col("pos") - 1)
     topics = pages.select("topic").distinct()
-    return context_block(numbered, topics).select("topic", F.md5("context").alias("context"))
+    return context_block(places, topics).select("topic", F.md5("context").alias("context"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.numbering import number_within
 from pairloom.operators.pairs import pairs_inter_model, with_guideline
-from pairloom.storage import spread
 from pairloom.values import RUBRICS
 
 # Multipliers of doc_id and n_chars that give each rubric its own scores.
@@ -33,9 +32,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents", columns: tuple[str, ...] = ()) -> DataFrame:
-    """A table whose texts are about to be worked on, on all cores."""
+    """A table whose texts are about to be worked on."""
     df = table(spark, sf, name)
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
+
+
+def models(spark: SparkSession, sf: str) -> list[str]:
+    """Names of all models; a handful."""
+    return sorted(r[0] for r in table(spark, sf, "documents").select("source").distinct().collect())
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], id: str, to: str = "pos") -> DataFrame:
+    """Rows with their number inside their key; only ids are numbered, the rest joins them."""
+    narrow = rows.select(*dict.fromkeys([*keys, *order, id]))
+    found = number_within(narrow, keys, [F.col(c) for c in order], to).select(id, to)
+    return rows.join(found, id).select(*rows.columns, to)
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +207,7 @@ TURNS = """turns AS (
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Passages of a language and model as numbered attempts at one item."""
     rows = passages(spark, sf).select("lang", "model", "passage_id", F.col("generated_passage").alias("text"))
-    return number_within(rows, ["lang", "model"], [F.col("passage_id")], "attempt", id="passage_id")
+    return numbered(rows, ["lang", "model"], ["passage_id"], "passage_id", "attempt")
 
 
 ATTEMPTS = """attempts AS (
