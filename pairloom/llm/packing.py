@@ -46,79 +46,61 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Ids:
-    """Ids of texts as little-endian 32-bit numbers, for tokenizers that drop white space and cross no word."""
+class Ids(dict):
+    """Ids of words as little-endian 32-bit numbers, for tokenizers that drop white space and cross no word.
 
-    #: White space to Python but not to Unicode (fixed values).
-    ODD = "\x1c\x1d\x1e\x1f"
-    #: A word between others, to see where the ids of each end.
-    BETWEEN = "\x00"
+    A word met for the first time is encoded and remembered.
+    """
 
-    #: Words that are one stretch of letters and at most one mark: the letters are in normal form, and each
-    #: has one small letter wherever it stands (fixed values).
-    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-    #: Other words that are encoded in one call.
-    TOGETHER = 32
+    #: White space to Python but not to Unicode (fixed values).
+    ODD = re.compile("[\x1c-\x1f]")
+    #: Words that are a stretch of letters, a stretch of marks or one after the other: the letters are in normal
+    #: form, each has one small letter wherever it stands, and neither stretch is ever cut (fixed values).
+    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&*+,./:;=?@^_~|-]*)")
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self.between = self.encode(self.BETWEEN)
-        self.marks = {c: pack_ids(self.encode(c)) for c in ("", *".,;:!?")}
+        self.marks: dict[str, bytes] = {"": b""}
         letters = "".join(map(chr, [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = {ord(c): "".join(part for part, _ in split(c)) for c in letters}
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> bytes:
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def stem(self, letters: str) -> bytes:
         """Ids of small letters, straight from the tokenizer's model: they need no other step."""
         ids = self.stems.get(letters)
         if ids is None:
+            if len(self.stems) >= REMEMBERED:
+                self.stems.clear()
             found = self.tokenizer.model.tokenize(letters if letters.isascii() else letters.translate(self.letters))
             ids = self.stems[letters] = pack_ids([t.id for t in found])
         return ids
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.stems) + len(new) > REMEMBERED:
-            self.stems = {}
-        rest = []
-        for w in new:
-            if m := self.SIMPLE.fullmatch(w):
-                self.known[w] = self.stem(m[1].lower()) + self.marks[m[2]]
-            elif self.BETWEEN in w or len(self.between) != 1:
-                self.known[w] = pack_ids(self.encode(w))
-            else:
-                rest.append(w)
-        groups = [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
-        joined = self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(g) for g in groups], add_special_tokens=False)
-        for group, found in zip(groups, joined, strict=True):
-            ids = found.ids
-            cuts = [-1, *(k for k, i in enumerate(ids) if i == self.between[0]), len(ids)]
-            if len(cuts) == len(group) + 1:
-                self.known.update((w, pack_ids(ids[a + 1 : b])) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
-            else:
-                self.known.update((w, pack_ids(self.encode(w))) for w in group)
-
-    def words(self, text: str) -> list[str]:
-        if any(c in text for c in self.ODD):
-            for c in "\t\n\v\f\r":
-                text = text.replace(c, " ")
-            return text.split(" ")
-        return text.split()
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        cut = [self.words(t) if t else [] for t in texts]
-        here = set().union(*cut)
-        if len(self.known) + len(here) > REMEMBERED:
-            self.known = {}
-        if new := here.difference(self.known):
-            self.learn(new)
-        get = self.known.__getitem__
-        for words in cut:
-            yield b"".join(map(get, words))
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if m := self.SIMPLE.fullmatch(word):
+            letters, marks = m.groups()
+            end = self.marks.get(marks)
+            if end is None:
+                end = self.encode(marks)
+                if len(self.marks) < REMEMBERED:
+                    self.marks[marks] = end
+            ids = self.stem(letters.lower()) + end if letters else end
+        else:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+    def of(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.ODD.search(text):
+            return b"".join([self[w] for w in re.split("[ \t-\r]+", text) if w])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def cut(path: str, end: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -130,8 +112,8 @@ def cut(path: str, end: int, length: int) -> Callable[[Iterator[pa.RecordBatch]]
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 rows = []
-                for k, raw in enumerate(ids(part["text"].to_pylist())):
-                    raw += last
+                for k, text in enumerate(part["text"].to_pylist()):
+                    raw = ids.of(text) + last
                     for piece, a in enumerate(range(0, len(raw), 4 * length)):
                         some = raw[a : a + 4 * length]
                         n = len(some) // 4
