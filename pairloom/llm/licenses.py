@@ -191,7 +191,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """A row per document: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``.
 
     ``labels`` joins base labels with those of templates found; ``score`` is the
-    largest share of a template found, 0 without one. Null and empty texts have
+    largest share of a template found, 1 where a phrase stands as it is, 0
+    where nothing is. Null and empty texts have
     no words and no labels, a null id stays null, rows that repeat id and text
     have the same result, an empty table gives an empty one.
     """
@@ -237,6 +238,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     plain = keyed.select("id", "h", base(F.col("text")).alias("b")).select("id", "h", "b.*")
     own = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.coalesce("more", F.array().cast("array<string>"))))), ",")
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
     return plain.join(proven, on, "left").select(
-        F.col("id").alias(id_col), *FIELDS, labels.alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")
+        F.col("id").alias(id_col), *FIELDS, labels.alias("labels"), score.alias("score")
     )
