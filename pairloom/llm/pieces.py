@@ -16,7 +16,6 @@ import re
 from typing import Any
 
 import ahocorasick
-import numpy as np
 from pyspark.sql import Column
 
 from pairloom.llm.common import Texts, per_text
@@ -57,10 +56,8 @@ class Codec:
         self.find.make_automaton()
         self.own, self.most = set(own), max(map(len, own))
         self.shorter = {self.id[t]: next((self.id[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.own), -1) for t in own}
-        self.length = np.zeros(size, np.int64)
-        self.length[plain] = [len(self.text[i]) for i in plain]
-        self.lengths = self.length.tolist()
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.size, self.length = size, [len(self.text.get(i, "")) for i in range(size)]
+        self.fitting: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merge by the definition: best rank first, of equal ones the leftmost. For short texts."""
@@ -73,18 +70,13 @@ class Codec:
         return parts
 
     def fit(self, a: int, b: int) -> bool:
-        """Whether two pieces stay as they are when their joined text is merged anew."""
-        known = self.fitting.get((a, b))
-        if known is None:
-            if len(self.fitting) > REMEMBERED:
-                self.fitting.clear()
-            known = self.fitting[a, b] = self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        """Whether two pieces stay as they are when their joined text is merged anew; remembered by both ids."""
+        if len(self.fitting) > REMEMBERED:
+            self.fitting.clear()
+        known = self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+        self.fitting[a * self.size + b] = known
         return known
 
-    def run(self, text: str) -> list[int]:
-        """Ids of a text whose characters all are pieces."""
-        return self.refit(text, [i for _, i in self.find.iter_long(text)])
-
     def longest(self, text: str, at: int) -> int:
         """Id of the longest piece that starts at a place."""
         n = self.find.longest_prefix(text[at : at + self.most])
@@ -92,25 +84,34 @@ class Codec:
             n -= 1
         return self.id[text[at : at + n]]
 
-    def refit(self, text: str, greedy: list[int]) -> list[int]:
-        """From longest pieces to pieces that all fit: back to a shorter one wherever two don't."""
-        fit, length = self.fit, self.lengths
-        out, at = greedy[:1], length[greedy[0]]
-        for i in greedy[1:]:
-            if not fit(out[-1], i):
+    def run(self, text: str) -> list[int]:
+        """Ids of a text whose characters all are pieces: longest pieces, and shorter ones wherever two don't fit."""
+        greedy = [i for _, i in self.find.iter_long(text)]
+        fitting, length, size = self.fitting, self.length, self.size
+        last = greedy[0]
+        out, at = [last], length[last]
+        for piece in greedy[1:]:
+            fits = fitting.get(last * size + piece)
+            if not (self.fit(last, piece) if fits is None else fits):
                 break
-            out.append(i)
-            at += length[i]
+            out.append(piece)
+            at += length[piece]
+            last = piece
         else:
             return out
-        piece = greedy[len(out)]
         failed = bytearray(len(text) // 8 + 1)  # a bit for each place from which nothing fits
         while at < len(text):
             end = at + length[piece]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or fit(out[-1], piece)):
+            fits = not failed[end >> 3] >> (end & 7) & 1
+            if fits and out:
+                fits = fitting.get(out[-1] * size + piece)
+                if fits is None:
+                    fits = self.fit(out[-1], piece)
+            if fits:
                 out.append(piece)
                 at = end
-                piece = self.longest(text, at) if at < len(text) else -1
+                if at < len(text):
+                    piece = self.longest(text, at)
             elif (shorter := self.shorter[piece]) >= 0:
                 piece = shorter
             else:
@@ -119,25 +120,6 @@ class Codec:
                 at -= length[piece]
         return out
 
-    def run_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of many short texts: longest matches in one search, then only those whose pieces don't fit one by one."""
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        found = list(self.find.iter_long("\x00".join(texts)))  # no piece holds this character
-        ids = np.fromiter((i for _, i in found), np.int64, len(found))
-        owner = np.searchsorted(ends, np.fromiter((e for e, _ in found), np.int64, len(found)), "right")
-        whole = np.bincount(owner, self.length[ids], len(texts)) == np.diff(ends, prepend=0) - 1
-        pair = np.flatnonzero(owner[1:] == owner[:-1])
-        codes, back = np.unique(ids[pair] * len(self.length) + ids[pair + 1], return_inverse=True)
-        fits = np.array([self.fit(*divmod(c, len(self.length))) for c in codes.tolist()], bool)
-        fine = whole.copy()
-        fine[owner[pair[~fits[back]]]] = False
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-        ids = ids.tolist()
-        out = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        for k in np.flatnonzero(~fine).tolist():
-            out[k] = self.refit(texts[k], out[k]) if whole[k] and out[k] else self.encode_part(texts[k])
-        return out
-
     def encode_part(self, text: str) -> list[int]:
         """Ids of a stretch; characters that are no piece become bytes, and nothing merges across them."""
         if self.chars.issuperset(text):
@@ -165,10 +147,7 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, with the blank put before it and no begin or end."""
-        return [i for p in self.parts(text) for i in self.encode_named(p)] if text else []
-
-    def encode_named(self, part: str) -> list[int]:
-        return self.encode_part(named(part))
+        return [i for p in self.parts(text) for i in self.encode_part(named(p))] if text else []
 
     def decode_raw(self, ids: list[int]) -> bytes:
         return b"".join([self.raw.get(i, b"") for i in ids])
@@ -183,34 +162,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-class Digests:
-    """Ids and decoded texts as digests; parts seen before are looked up."""
+class Parts(dict):
+    """Ids, as text, and decoded bytes of parts; one met for the first time is encoded and, unless long, remembered."""
 
     def __init__(self, path: str):
         self.codec = codec(path)
-        self.number = [str(i).encode() for i in range(len(self.codec.length))]
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def form(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return b",".join([self.number[i] for i in ids]), self.codec.decode_raw(ids)
-
-    def learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.known.update(zip(some, map(self.form, self.codec.run_many([named(p) for p in some])), strict=True))
-
-    def __call__(self, texts: Texts) -> dict[str, Any]:
-        cut = [self.codec.parts(t) if t else [] for t in texts]
-        here = set().union(*cut)
-        if len(self.known) + len(here) > REMEMBERED:
-            self.known = {}
-        new = here.difference(self.known)
-        self.learn([p for p in new if len(p) <= LONGEST and "\x00" not in p[1:]])
-        long = {p: self.form(self.codec.encode_named(p)) for p in new.difference(self.known)}
+        self.number = [str(i).encode() for i in range(self.codec.size)]
+
+    def __missing__(self, part: str) -> tuple[bytes, bytes]:
+        ids = self.codec.encode_part(named(part))
+        out = b",".join([self.number[i] for i in ids]), self.codec.decode_raw(ids)
+        if len(part) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = out
+        return out
+
+    def digests(self, texts: Texts) -> dict[str, Any]:
         out: dict[str, Any] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        get = self.known.__getitem__
-        for parts in cut:
-            found = list(map(get, parts)) if not long else [self.known.get(p) or long[p] for p in parts]
+        get = self.__getitem__
+        for text in texts:
+            found = list(map(get, self.codec.parts(text))) if text else []
             ids = b",".join([f[0] for f in found if f[0]])
             raw = b"".join([f[1] for f in found]).removeprefix(b" ")
             out["n_tokens"].append(ids.count(b",") + 1 if ids else 0)
@@ -221,7 +193,7 @@ class Digests:
 
 def digests(path: str, text: Any) -> Column:
     """Struct of ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of a text column; null counts as empty."""
-    return per_text(lambda: Digests(path), {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})(text)
+    return per_text(lambda: Parts(path).digests, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})(text)
 
 
 def encoded(path: str, text: Any) -> Column:
