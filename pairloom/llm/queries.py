@@ -36,7 +36,63 @@ def op1_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan(documents(spark, sf)).drop("h")
 
 
-@query()
+def quality_sql() -> str:
+    """The same counts, tests and verdicts in SQL."""
+    n_rules = len(quality.RULES)
+    rate = quality.MAX_FALSE_REJECTION / n_rules
+    cutoffs = ", ".join(f"('{r}', {i}, {float(c)}::DOUBLE)" for r, cs in quality.RULES.items() for i, c in enumerate(cs))
+    shares = {
+        "symbol_share": ("n_symbols", "word_chars"),
+        "upper_share": ("n_upper", "word_chars"),
+        "dup_line_share": ("n_dup_lines", "n_lines"),
+        "repeat_share": ("n_repeat_words", "n_words"),
+        "mean_word_chars": ("word_chars", "n_words"),
+    }
+    long = " UNION ALL ".join(
+        f"SELECT doc_id, stratum, '{r}' AS rule, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END AS value FROM counted"
+        for r, (a, b) in shares.items()
+    )
+    return rf"""
+    WITH split AS (
+      SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+             regexp_extract_all(t, '[^ 	-
+]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
+      FROM documents),
+    windows AS (
+      SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split WHERE len(words) > 3)),
+    again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+    inside AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, stratum, len(words)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, len(lines)::BIGINT AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+      FROM split LEFT JOIN inside USING (doc_id)),
+    failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+    long AS ({long}),
+    good AS (
+      SELECT l.* FROM long l JOIN failed f USING (doc_id)
+      JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+    cells AS (
+      SELECT stratum, rule, place, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k
+      FROM good JOIN (VALUES {cutoffs}) c(rule, place, cutoff) USING (rule) GROUP BY ALL),
+    tested AS (
+      SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+               exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) END
+             <= {quality.ERROR} / ((SELECT count(DISTINCT stratum) FROM good) * {n_rules}) AS ok FROM cells),
+    series AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY place) AS holds FROM tested),
+    proven AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM series WHERE holds GROUP BY ALL),
+    hit AS (SELECT DISTINCT doc_id FROM long JOIN proven USING (stratum, rule) WHERE value > cutoff)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept
+    FROM failed"""
+
+
+@query(quality_sql())
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and verdict of every document, by cutoffs that labels prove for each language."""
     measured = staged(quality.measure(documents(spark, sf)), "measures")
@@ -91,7 +147,45 @@ def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("f")).alias("fingerprint"), "component_id")
 
 
-@query()
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a time."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    digits = rf"string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\2\1', 'g'), '')"
+    numbers = f"list_transform({digits}, lambda d: strpos('0123456789ABCDEF', d)::BIGINT - 1)"
+    step = f"xor(({table}::BIGINT[])[(xor(a, d) & 15) + 1], a >> 4)"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor(4294967295, list_reduce({numbers}, lambda a, d: {step}, 4294967295::BIGINT)) END"
+
+
+def shards_sql(k: int, seed: int = 0, buckets: int = shards.BUCKETS) -> str:
+    """The same numbers, network and walk in SQL."""
+    rounds = "SELECT row_number, step, x // b AS l, x % b AS r FROM walk, sides WHERE step = 0 OR x >= n"
+    for i, (add, times) in enumerate(shards.round_keys(seed)):
+        into, side, of = ("l", "a", "r") if i % 2 == 0 else ("r", "b", "l")
+        square = f"(({of} + {add}) % {shards.PRIME}) * (({of} + {add}) % {shards.PRIME}) % {shards.PRIME}"
+        new = f"({into} + {square} * {times} % {shards.PRIME}) % {side}"
+        kept = "r" if into == "l" else "l"
+        rounds = f"SELECT row_number, step, {new} AS {into}, {kept} FROM ({rounds}), sides"
+    return f"""
+    WITH RECURSIVE summed AS (
+      SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, {crc32_sql("coalesce(text, '')")} AS crc FROM documents),
+    numbered AS (
+      SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', doc_id, size, crc)), 1, 8))::BIGINT % {buckets},
+                                   doc_id NULLS FIRST, size, crc) - 1 AS row_number FROM summed),
+    sides AS (
+      SELECT n, a, (n + a - 1) // a AS b
+      FROM (SELECT n, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM (SELECT count(*) AS n FROM documents))),
+    walk AS (
+      SELECT row_number, 0 AS step, row_number AS x FROM numbered
+      UNION ALL SELECT row_number, step + 1, l * b + r FROM ({rounds}), sides)
+    SELECT doc_id, size, crc AS text_crc32, row_number, 'rows' AS law, (x % {k})::INTEGER AS shard, x // {k} AS slot, NULL::INTEGER AS grown_shard
+    FROM numbered JOIN walk USING (row_number), sides WHERE step > 0 AND x < n"""
+
+
+@query(shards_sql(24))
 def op9_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Shard and slot of every document."""
     return shards.shard(documents(spark, sf), 24)

@@ -80,7 +80,7 @@ def places(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """A row per document: id, ``size``, ``text_crc32``, ``row_number``, ``law`` ('rows'), ``shard``, ``slot``, ``grown_shard`` (null).
 
-    Row numbers follow buckets of a hash and, inside them, the id. Rows that
+    Row numbers follow buckets of a digest and, inside them, the id. Rows that
     are alike in id, size and checksum are interchangeable, so the result does
     not hang on how they were read. ``size`` is the number of UTF-8 bytes (null
     text: none) and 8. Null ids are spread by size and checksum.
@@ -91,7 +91,8 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", t
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
     )
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("id", "size", "crc"), F.lit(buckets)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "id", "size", "crc")), 1, 8), 16, 10).cast("long")
+    base = base.withColumn("bucket", drawn % buckets)
     base, seen = staged_with(base, "rows", n=F.count("*"))
     n = seen["n"]
     counts = base.groupBy("bucket").agg(F.count("*").alias("n"))
