@@ -12,6 +12,9 @@ from pairloom.operators.numbering import first_within, number_within, shuffled
 
 CELL_ROWS = 2_000
 
+#: Score levels a source may have; more are no short scale, and their list would ride on every row.
+MAX_LEVELS = 100
+
 
 def common_source_item(high: Column, low: Column, fields: list[str]) -> Column:
     """Fields equal on both sides; types and goals always from the high side."""
@@ -218,13 +221,11 @@ def score_groups(scores: DataFrame) -> DataFrame:
 
 
 def _levels(scores: DataFrame) -> DataFrame:
-    """Per rubric and source key its score levels, a handful, with counts."""
-    level = F.struct("score", "n")
-    return (
-        score_groups(scores)
-        .groupBy("rubric", "source_key")
-        .agg(F.collect_list(level).alias("levels"), F.sum("n").alias("n_all"))
-    )
+    """Per rubric and source key its score levels, at most ``MAX_LEVELS``, with counts."""
+    few = score_groups(scores).groupBy("rubric", "source_key")
+    found = few.agg(F.collect_list(F.struct("score", "n")).alias("levels"), F.sum("n").alias("n_all"))
+    many = F.raise_error(F.lit(f"a source has more than {MAX_LEVELS} score levels"))
+    return found.withColumn("levels", F.when(F.size("levels") <= MAX_LEVELS, F.col("levels")).otherwise(many))
 
 
 def score_gap_counts(scores: DataFrame, min_gap: int = 1) -> DataFrame:

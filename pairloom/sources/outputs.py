@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom import values as V
@@ -203,14 +203,14 @@ def highest_benchmark(files: DataFrame, wanted: str, by: list[str]) -> DataFrame
 
 
 def latest_only(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Per key the row with the greatest order value.
+    """Per key the row with the greatest order value; of rows that tie, one.
 
-    An aggregate with map-side combine, not a window: a key with very many
-    rows never gathers in one task.
+    Rows are ranked inside their key and cut to one before the shuffle
+    (WindowGroupLimit), so a key with very many rows never gathers in one task
+    and only one row per key and task moves.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
+    last = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in order])
+    return df.withColumn("_at", F.row_number().over(last)).where(F.col("_at") == 1).drop("_at")
 
 
 def checkpoint_number(path: Column) -> Column:
