@@ -85,24 +85,60 @@ def build_template_pairs(
     return R.issue_counts(R.validate_pairs(pairs))
 
 
+def _score_rows(evals: DataFrame, rubrics: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(scores by passage, passages with their text and item) of evaluations with a passage_id."""
+    rows = evals.where(F.col("source_item").isNotNull()).select(
+        "passage_id", source_key(F.col("source_item")).alias("source_key"), "evaluation", "generated_passage", "source_item"
+    )
+    scores = scores_long(rows, ["passage_id", "source_key"]).where(F.col("rubric").isin(rubrics))
+    return scores, rows.select("passage_id", F.col("generated_passage").alias("text"), F.col("source_item").alias("item"))
+
+
 def score_gap_records(
     evals: DataFrame, min_gap: int = 1, rubrics: list[str] = V.RUBRICS
 ) -> tuple[DataFrame, DataFrame]:
-    """(counted score levels, records) of evaluations with a passage_id."""
-    body = F.struct(F.col("generated_passage").alias("text"), F.col("source_item").alias("item"))
-    rows = evals.where(F.col("source_item").isNotNull()).select(
-        "passage_id", source_key(F.col("source_item")).alias("source_key"), "evaluation", body.alias("body")
-    )
-    scores = scores_long(rows, ["passage_id", "source_key", "body"]).where(F.col("rubric").isin(rubrics))
-    flat = J.pairs_by_score_gap(scores, min_gap, carry=["body"]).select(
-        "*",
-        F.col("chosen_body.text").alias("chosen_text"),
-        F.col("rejected_body.text").alias("rejected_text"),
-        F.col("chosen_body.item").alias("chosen_item"),
-    )
+    """(counted score levels, records) of evaluations with a passage_id.
+
+    Pairs are made of ids; texts join them last. Evaluations that repeat a
+    passage are paired as often as they come, so each needs an id of its own.
+    """
+    scores, texts = _score_rows(evals, rubrics)
+    pairs = J.pairs_by_score_gap(scores, min_gap)
+    chosen = texts.select(F.col("passage_id").alias("chosen_id"), F.col("text").alias("chosen_text"), F.col("item").alias("chosen_item"))
+    rejected = texts.select(F.col("passage_id").alias("rejected_id"), F.col("text").alias("rejected_text"))
+    flat = pairs.join(chosen, "chosen_id").join(rejected, "rejected_id")
     return J.score_gap_counts(scores, min_gap), R.to_rm_record_with_margin(flat, ["rubric"])
 
 
+def _staged_evaluations(spark: SparkSession, eval_root: str, pattern: str) -> DataFrame:
+    """The evaluation tree parsed once into Parquet, each record with an id of its own."""
+    staged = new_path(spark, "evaluations")
+    read_eval_tree(spark, eval_root, pattern=pattern).write.parquet(staged)
+    place = F.struct("_metadata.file_name", "_metadata.row_index")
+    return spark.read.parquet(staged).withColumn("passage_id", F.concat_ws(":", place["file_name"], place["row_index"]))
+
+
+def build_score_gap_pairs(
+    spark: SparkSession,
+    eval_root: str,
+    root: str,
+    min_gap: int = 1,
+    pattern: str = V.EVALUATION_FILE,
+    rubrics: list[str] = V.RUBRICS,
+) -> DataFrame:
+    """Score-gap pairs in factored form: ids below ``pairs/rubric=…``, every text once below ``passages``.
+
+    Texts are neither paired nor repeated: their size stays that of the input
+    while pairs grow with the square of a source. Returns counts as
+    :func:`build_score_gap` does.
+    """
+    scores, texts = _score_rows(_staged_evaluations(spark, eval_root, pattern), rubrics)
+    pairs = J.pairs_by_score_gap(scores, min_gap)
+    pairs.write.mode("overwrite").partitionBy("rubric").parquet(f"{root}/pairs")
+    texts.write.mode("overwrite").parquet(f"{root}/passages")
+    return A.pair_stats(J.score_gap_counts(scores, min_gap))
+
+
 def build_score_gap(
     spark: SparkSession,
     eval_root: str,
@@ -118,11 +154,7 @@ def build_score_gap(
     ``rubric=…``. Returns the counts by margin, high and low score; they come
     from level sizes and do not touch the pairs.
     """
-    spot = F.xxhash64("file_path", "source_item", "generated_passage")
-    staged = new_path(spark, "evaluations")
-    read_eval_tree(spark, eval_root, pattern=pattern).withColumn("passage_id", spot).write.parquet(staged)
-    levels, records = score_gap_records(spark.read.parquet(staged), min_gap, rubrics)
-    # The join leaves rows sorted by rubric, so writing by rubric needs no sort.
+    levels, records = score_gap_records(_staged_evaluations(spark, eval_root, pattern), min_gap, rubrics)
     records.write.mode("overwrite").partitionBy("rubric").json(root)
     return A.pair_stats(levels)
 

@@ -119,6 +119,25 @@ def build_score_gap(spark, sf):
     )
 
 
+@query(
+    "build_score_gap_pairs",
+    f"""WITH {SCORES}, lengths AS (SELECT passage_id, length(generated_passage) AS n FROM passages)
+SELECT a.rubric, a.score - b.score AS margin, count(*) AS n, sum(p.n)::BIGINT AS chosen_chars, sum(q.n)::BIGINT AS rejected_chars
+FROM long a JOIN long b ON a.rubric = b.rubric AND a.source_key = b.source_key AND a.score - b.score >= 2
+JOIN lengths p ON p.passage_id = a.passage_id JOIN lengths q ON q.passage_id = b.passage_id GROUP BY ALL""",
+)
+def build_score_gap_pairs(spark, sf):
+    """The same pairs as ids and a table of texts; lengths are looked up."""
+    root = new_path(spark, "score-gap")
+    D.build_score_gap_pairs(spark, written_evaluations(spark, sf), root, min_gap=2, pattern="*")
+    n = spark.read.parquet(f"{root}/passages").select("passage_id", F.length("text").alias("n"))
+    chosen, rejected = (n.select(F.col("passage_id").alias(f"{s}_id"), F.col("n").alias(s)) for s in ("chosen", "rejected"))
+    pairs = spark.read.parquet(f"{root}/pairs").join(chosen, "chosen_id").join(rejected, "rejected_id")
+    return pairs.groupBy("rubric", "margin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chosen").alias("chosen_chars"), F.sum("rejected").alias("rejected_chars")
+    )
+
+
 @query("score_gap_report", _PAIR_STATS.replace(">= 1", ">= 2"))
 def score_gap_report(spark, sf):
     """The counts the same job reports."""
