@@ -23,7 +23,7 @@ from pairloom.llm.common import Texts, per_text
 #: Dimensions of the vectors, and the seed of the letters'.
 DIMENSIONS, SEED = 1024, 7
 #: Prototypes go to every task; more languages than this are taken for a mistake in the choice of the column.
-MAX_LANGUAGES = 2_000
+MAX_LANGUAGES = 500
 #: No language found.
 UNKNOWN = "und"
 #: Bits of a code point.

@@ -22,7 +22,7 @@ jumping pointers. No pairs within groups are ever listed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from typing import Any
 
 import numpy as np
@@ -180,7 +180,7 @@ def linked(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in (*batches, None):
+        for batch in chain(batches, [None]):
             if batch is not None:
                 now = [batch[c].to_numpy().view(np.uint64) for c in ("mask", "part", "f")]
                 rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
