@@ -31,39 +31,43 @@ def tokenizer(path: str) -> Any:
     return Tokenizer.from_file(path)
 
 
-class Counter:
-    """Token counts of texts, by stretches that were seen before."""
+class Counts(dict):
+    """Tokens of stretches; one met for the first time is counted and remembered."""
+
+    #: Stretches of letters, of marks, or of letters and then marks: the tokenizer cuts them there and nowhere else
+    #: (fixed values).
+    LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!#$%&*+,./:;=?@^_~|-]"
+    SIMPLE = re.compile(f"( ?{LETTERS}+)({MARKS}*)|( ?{MARKS}+)")
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path)
-        self.known: dict[str, int] = {}
-        self.line = self.encode.encode("\n", add_special_tokens=False).ids
-
-    def learn(self, new: set[str]) -> None:
-        """Count unknown stretches, many in one call: words joined by line ends, which are tokens of their own."""
-        words = [w for w in new if not w.isspace()] if len(self.line) == 1 else []
-        n, counts = 0, []
-        for i in self.encode.encode("\n".join(words), add_special_tokens=False).ids:
-            if i == self.line[0]:
-                counts.append(n)
-                n = 0
-            else:
-                n += 1
-        counts.append(n)
-        if len(counts) == len(words):
-            self.known.update(zip(words, counts, strict=True))
-        for w in new.difference(self.known):
-            self.known[w] = len(self.encode.encode(w, add_special_tokens=False).ids)
-
-    def __call__(self, texts: Texts) -> dict[str, Any]:
-        cut = [STRETCH.findall(t) if t else [] for t in texts]
-        here = set().union(*cut)
-        if len(self.known) + len(here) > REMEMBERED:
-            self.known = {}
-        if new := here.difference(self.known):
-            self.learn(new)
-        get = self.known.__getitem__
-        return {"n_tokens": [sum(map(get, c)) for c in cut]}
+        self.tokenizer = tokenizer(path)
+        self.parts: dict[str, int] = {}
+        letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytes = {ord(c): "".join(part for part, _ in split(c)) for c in [" ", *letters]}
+
+    def part(self, text: str) -> int:
+        """Tokens of letters or marks, straight from the tokenizer's model: they need no other step."""
+        n = self.parts.get(text)
+        if n is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            n = self.parts[text] = len(self.tokenizer.model.tokenize(text.translate(self.bytes)))
+        return n
+
+    def __missing__(self, stretch: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if m := self.SIMPLE.fullmatch(stretch):
+            n = sum(self.part(x) for x in m.groups() if x)
+        else:
+            n = len(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        self[stretch] = n
+        return n
+
+    def of(self, texts: Texts) -> dict[str, Any]:
+        get = self.__getitem__
+        return {"n_tokens": [sum(map(get, STRETCH.findall(t))) if t else 0 for t in texts]}
 
 
 def seams(text: str, chunk: int, overlap: int) -> list[tuple[int, int, int, int]]:
@@ -158,7 +162,7 @@ def count_tokens(
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     base = docs.select(F.col(id_col).alias("id"), size.alias("n_bytes"), F.col(text_col).alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    count = per_text(lambda: Counter(path), {"n_tokens": "bigint"})
+    count = per_text(lambda: Counts(path).of, {"n_tokens": "bigint"})
     short = base.filter(~long).select("id", "n_bytes", count("text").alias("c")).select("id", "n_bytes", "c.n_tokens")
 
     kept = f"id {base.schema['id'].dataType.simpleString()}, n_bytes bigint, row bigint, seq int, n int"
