@@ -92,7 +92,9 @@ def name_pairs(level: DataFrame) -> DataFrame:
     return pairs.join(names, ["a", "b"]).drop("a", "b")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+def identities(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, together: int = TOGETHER
+) -> DataFrame:
     """Every document's row number, id, ``sha`` and its name, which is a pair of ``level`` and ``name``."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
@@ -118,7 +120,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, together: int = TOGETHER
+) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts the row with the largest id stays; of rows that repeat this
@@ -136,7 +140,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, together: int = TOGETHER
+) -> DataFrame:
     """Of equal texts the document with the largest id, with all its columns; of rows that repeat it, one."""
     found = exact_duplicates(docs, id_col, text_col, block, together)
     rows = found.groupBy(id_col, "text_sha256").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))

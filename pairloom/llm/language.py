@@ -103,15 +103,19 @@ def partial_sums(seed: int, dimensions: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def learn(known: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: int = SEED, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
+def learn(
+    known: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: int = SEED, dimensions: int = DIMENSIONS
+) -> dict[str, np.ndarray]:
     """Prototypes from all rows that have a language.
 
     Trigrams are counted per language in Spark; one vector per language comes
     to the driver.
     """
-    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.filter("lang is not null and text is not null")
     counted = rows.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums = counted.mapInArrow(partial_sums(seed, dimensions), "lang string, i int, v bigint").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    sums = counted.mapInArrow(partial_sums(seed, dimensions), "lang string, i int, v bigint")
+    sums = sums.groupBy("lang", "i").agg(F.sum("v").alias("v"))
     found = sums.limit(MAX_LANGUAGES * dimensions + 1).collect()
     if len(found) > MAX_LANGUAGES * dimensions:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -167,7 +171,14 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = SEED, dimensions: int = DIMENSIONS) -> DataFrame:
+def identify(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    seed: int = SEED,
+    dimensions: int = DIMENSIONS,
+) -> DataFrame:
     """A row per document: id, ``held_out``, ``lang_pred``, ``score``.
 
     Learns from rows that are not held out and have a language; predicts from

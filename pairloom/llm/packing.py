@@ -13,13 +13,12 @@ and their number among pieces of that length; they never leave their tasks.
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import staged
+from pairloom.llm.tokens import tokenizer
 
 #: Tokens of a sequence; groups of large lengths; lengths above this share of a sequence are large.
 LENGTH, GROUPS, LARGE = 4096, 48, 1 / 8
@@ -35,13 +35,6 @@ LENGTH, GROUPS, LARGE = 4096, 48, 1 / 8
 REMEMBERED = 700_000
 
 
-@functools.cache
-def tokenizer(path: str) -> Any:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -120,7 +113,8 @@ def cut(path: str, end: int, length: int) -> Callable[[Iterator[pa.RecordBatch]]
                         rows.append((k, piece, a // 4, n, zlib.crc32(some), task, numbers[n]))
                         numbers[n] += 1
                 at, *rest = zip(*rows, strict=True) if rows else ((),) * 7
-                kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int32(), "number": pa.int64()}
+                kinds = dict.fromkeys(("piece", "start", "length", "ids_crc32", "task", "number"), pa.int64())
+                kinds |= {"piece": pa.int32(), "task": pa.int32()}
                 yield pa.RecordBatch.from_pydict(
                     {"id": part["id"].take(pa.array(at, pa.int64()))}
                     | {c: pa.array(v, kind) for (c, kind), v in zip(kinds.items(), rest, strict=True)}

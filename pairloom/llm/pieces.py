@@ -141,7 +141,8 @@ class Codec:
         so line ends, which are no piece, are parted too.
         """
         text = text.replace(BLANK, " ")
-        if "  " not in text and "\x00" not in text and text[:1] != " " and text[-1:] != " " and " \n" not in text and "\n" not in self.chars:
+        plain = text[:1] != " " and text[-1:] != " " and not any(x in text for x in ("  ", "\x00", " \n"))
+        if plain and "\n" not in self.chars:
             return text.replace("\n", " \x00\n \x00").split(" ")
         return ["\x00" + p for p in re.findall(" *[^ ]+| +", " " + text)]
 

@@ -179,7 +179,8 @@ def counts_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         counts: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            columns = {"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
+            batch = pa.RecordBatch.from_pydict(columns)
             counts.clear()
             return batch
 
@@ -234,7 +235,12 @@ def disclosures(mentions: DataFrame, docs: DataFrame, n: int, support: int = SUP
 
 
 def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    support: int = SUPPORT,
+    generalise: float = GENERALISE,
+    remove: float = REMOVE,
 ) -> DataFrame:
     """One row per document: id, ``h`` (hash of the text), ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans``.
 
@@ -246,7 +252,8 @@ def scan(
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), found(F.col(text_col)).alias("f"))
     rows = base.select(F.monotonically_increasing_id().alias("row"), "id", "h", "f.*")
     rows, seen = staged_with(rows, "mentions", n=F.count("*"))
-    zipped = F.arrays_zip(F.col("entities").alias("entity"), F.col("terms").alias("term"), F.col("starts").alias("start"), F.col("ends").alias("end"))
+    parts = {"entities": "entity", "terms": "term", "starts": "start", "ends": "end"}
+    zipped = F.arrays_zip(*[F.col(many).alias(one) for many, one in parts.items()])
     near = rows.filter(F.size("terms") > 0)
     pairs = F.array_distinct(F.transform(zipped, lambda z: F.struct(z["entity"].alias("entity"), z["term"].alias("term"))))
     mentions = near.select(pairs.alias("pairs"), F.array_distinct("entities").alias("who"))

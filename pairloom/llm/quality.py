@@ -129,7 +129,12 @@ class Cutoff(NamedTuple):
     bound: float
 
 
-def fit(labelled: DataFrame, rules: dict[str, tuple[float, ...]] = RULES, rate: float = MAX_FALSE_REJECTION, error: float = ERROR) -> list[Cutoff]:
+def fit(
+    labelled: DataFrame,
+    rules: dict[str, tuple[float, ...]] = RULES,
+    rate: float = MAX_FALSE_REJECTION,
+    error: float = ERROR,
+) -> list[Cutoff]:
     """The strictest cutoff proven for each stratum and rule; none where the labels prove none.
 
     ``labelled`` has ``COUNTS`` and ``stratum`` of documents labelled good that
@@ -186,13 +191,17 @@ def judge(measured: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
     return measured.withColumns({"base_failed": failed, "kept": ~failed & ~rejected(cutoffs, F.col("stratum"))})
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+def measure(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang"
+) -> DataFrame:
     """Id, ``stratum`` and ``COUNTS`` of every whole text. A null text has no words; a null stratum is ''."""
     found = docs.select(F.col(id_col), stratum_of(stratum_col).alias("stratum"), stats(F.col(text_col)).alias("s"))
     return found.select(id_col, "stratum", "s.*")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang"
+) -> DataFrame:
     """The documents that the rules keep, as they came, repeated rows included.
 
     Null, empty and short texts (under 50 words) go by the base rules. Without

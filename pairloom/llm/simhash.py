@@ -105,12 +105,14 @@ class Index:
     def pairs(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of all pairs (a before b) at most ``bits`` apart, some at a time."""
         top = len(self.mask) - 1
-        last = np.array([len(self.items) - 1])
         for q in range(0, len(self.items), FRONTIER // BUCKET):
             a = np.arange(q, min(q + FRONTIER // BUCKET, len(self.items)))
-            yield from self.down(top, a, np.zeros(len(a), np.int64), np.zeros(len(a), np.uint8), bits, last)
+            yield from self.down(top, a, np.zeros(len(a), np.int64), np.zeros(len(a), np.uint8), bits)
 
-    def down(self, level: int, a: np.ndarray, node: np.ndarray, apart: np.ndarray, bits: int, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def down(
+        self, level: int, a: np.ndarray, node: np.ndarray, apart: np.ndarray, bits: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From nodes of a level, each with a query and what they differ by above it, to the leaves."""
         while True:
             apart = apart + np.bitwise_count((self.items[a] ^ self.pattern[level][node]) & self.mask[level][node])
             near = (apart <= bits) & ((node + 1) * WIDTH**level > a + 1)  # nodes that end before the query have had their turn
@@ -121,7 +123,7 @@ class Index:
             level -= 1
             if len(a) * WIDTH > FRONTIER and len(a) > 1:
                 for part in np.array_split(np.arange(len(a)), -(-len(a) * WIDTH // FRONTIER)):
-                    yield from self.down(level, *self.children(level, a[part], node[part], apart[part]), bits, last)
+                    yield from self.down(level, *self.children(level, a[part], node[part], apart[part]), bits)
                 return
             a, node, apart = self.children(level, a, node, apart)
 
