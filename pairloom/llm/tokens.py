@@ -45,6 +45,8 @@ class Counts(dict):
         letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.bytes = {ord(c): "".join(part for part, _ in split(c)) for c in [" ", *letters]}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
 
     def part(self, text: str) -> int:
         """Tokens of letters or marks, straight from the tokenizer's model: they need no other step."""
@@ -65,9 +67,14 @@ class Counts(dict):
         self[stretch] = n
         return n
 
+    def one(self, text: str) -> int:
+        """Tokens of a text; one with an added token is encoded whole: white space before it ends its section."""
+        if self.added and self.added.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return sum(map(self.__getitem__, STRETCH.findall(text)))
+
     def of(self, texts: Texts) -> dict[str, Any]:
-        get = self.__getitem__
-        return {"n_tokens": [sum(map(get, STRETCH.findall(t))) if t else 0 for t in texts]}
+        return {"n_tokens": [self.one(t) if t else 0 for t in texts]}
 
 
 def seams(text: str, chunk: int, overlap: int) -> list[tuple[int, int, int, int]]:

@@ -38,3 +38,15 @@ def test_overlaps_are_widened():
         assert text[low - 1] != " " and text[low] == " "
         assert b >= high
     assert tokens.seams("x" * 100, 20, 2) == [(0, 100, 0, 100)]
+
+
+SPECIAL = ["foo\n\n<|endoftext|>", "  <|endoftext|>", "a\n\n\n<|endoftext|>\n\nb <|endoftext|>x\n\n<|endoftext|>", "\n\n<|endoftext|", "x \t\r\n <|endoftext|>"]
+
+
+@pytest.mark.parametrize("chunk", [tokens.CHUNK, 40])
+def test_white_space_before_a_special_string(make, chunk):
+    texts = SPECIAL + [f"{s} some words follow " * n for s in SPECIAL for n in (1, 7)]
+    texts.append(("word " * 30 + "\n\n<|endoftext|>") * 500)
+    texts.append(("word " * 30 + "\n\n<|endoftext|>") * 390)
+    assert len(texts[-1]) < tokens.CHUNK < len(texts[-2])
+    compare(make(texts), list(enumerate(texts)), chunk=chunk, overlap=8)
