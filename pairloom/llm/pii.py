@@ -6,7 +6,9 @@ term lowers the information of the entity: their pointwise mutual information,
 estimated from the documents of the whole corpus, as a share of the entity's own
 information content. It is 1 for a term that occurs with the entity only, and near
 0 for a word that occurs everywhere. Terms above a first threshold are
-generalised to their kind, above a second one removed.
+generalised to their kind, above a second one removed. ``everywhere``, all terms
+of a document count with its entities, and are replaced at every place in
+documents that hold the entity; those to be removed, in all documents.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Texts, per_text, same, staged, staged_with
+from pairloom.llm.common import Texts, per_text, staged, staged_with
 
 #: Kinds of base spans in their order (fixed values).
 KINDS = ("email", "ip", "card", "phone")
@@ -137,6 +139,24 @@ FIELDS = {f"n_{k}": "bigint" for k in KINDS} | {
     "starts": "array<bigint>",
     "ends": "array<bigint>",
 }
+#: Distinct entities and distinct terms of a text that has base spans.
+WHOLE = {"who": "array<string>", "words": "array<string>"}
+
+
+def blanked(text: str, spans: list[Span]) -> str:
+    """A text with blanks for its base spans, so that words next to them end there."""
+    for s in spans:
+        text = f"{text[: s.start]}{' ' * (s.end - s.start)}{text[s.end :]}"
+    return text
+
+
+def find_whole(text: str | None) -> tuple[Any, ...]:
+    """``FIELDS`` and ``WHOLE`` of one text, without terms near spans: ``words`` holds them all."""
+    spans = base_spans(text)
+    counts, base = Counter(s.kind for s in spans), named(spans)
+    who = {entity(s.kind, text[s.start : s.end]) for s in spans}
+    words = {term(w) for w in blanked(text, spans).split()} - {""} if spans else ()
+    return (*[counts[k] for k in KINDS], base, hashlib.sha256(base.encode()).hexdigest(), [], [], [], [], sorted(who), sorted(words))
 
 
 def find(text: str | None) -> tuple[Any, ...]:
@@ -153,16 +173,17 @@ def find(text: str | None) -> tuple[Any, ...]:
     return (*[counts[k] for k in KINDS], base, hashlib.sha256(base.encode()).hexdigest(), *columns)
 
 
-def found(text: Any) -> Column:
-    """Struct of base spans and the terms around them, of a text column; null counts as empty."""
+def found(text: Any, everywhere: bool = False) -> Column:
+    """Struct of base spans and the terms around them, or all terms, of a text column; null counts as empty."""
+    fields, each = (FIELDS | WHOLE, find_whole) if everywhere else (FIELDS, find)
 
     def make():
         def work(texts: Texts) -> dict[str, Any]:
-            return dict(zip(FIELDS, map(list, zip(*map(find, texts), strict=True)), strict=True))
+            return dict(zip(fields, map(list, zip(*map(each, texts), strict=True)), strict=True))
 
         return work
 
-    return per_text(make, FIELDS)(text)
+    return per_text(make, fields)(text)
 
 
 def place_in_sieve(word: str) -> int:
@@ -171,7 +192,7 @@ def place_in_sieve(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode(), 42) % SIEVE
 
 
-def counts_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def counts_of(sieve: np.ndarray, everywhere: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts to documents per term, for terms whose bit is set; a task adds up before it hands on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +215,8 @@ def counts_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             for text in batch["text"]:
                 if len(asked) > HELD:
                     asked.clear()
-                words = set((text.as_py() or "").split())
+                own = text.as_py() or ""
+                words = set((blanked(own, base_spans(own)) if everywhere else own).split())
                 here = {asked[w] if w in asked else wanted(w) for w in words}
                 here.discard("")
                 counts.update(here)
@@ -205,6 +227,35 @@ def counts_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def hits_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (h, text) to places outside base spans of terms whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[str, str] = {}  # word to the term, or ''
+
+        def wanted(word: str) -> str:
+            t = term(word)
+            place = place_in_sieve(t) if t else 0
+            asked[word] = t = t if t and sieve[place >> 3] >> (place & 7) & 1 else ""
+            return t
+
+        for batch in batches:
+            rows: list[tuple[int, str, int, int]] = []
+            for h, text in zip(batch["h"].to_pylist(), batch["text"], strict=True):
+                if len(asked) > HELD:
+                    asked.clear()
+                own = text.as_py() or ""
+                for m in WORD.finditer(blanked(own, base_spans(own))):
+                    if t := asked[m[0]] if m[0] in asked else wanted(m[0]):
+                        lead, trail = (len(m[0]) - len(x) for x in (m[0].lstrip(EDGES), m[0].rstrip(EDGES)))
+                        rows.append((h, t, m.start() + lead, m.end() - trail))
+            kinds = {"h": pa.int64(), "term": pa.string(), "start": pa.int64(), "end": pa.int64()}
+            columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+            yield pa.RecordBatch.from_pydict({c: pa.array(list(v), k) for (c, k), v in zip(kinds.items(), columns, strict=True)})
+
+    return run
+
+
 def sieve_of(terms: DataFrame) -> np.ndarray:
     """A bit for each ``term``, in a field of fixed size; false hits only cost time."""
     bits = terms.select(F.pmod(F.xxhash64("term"), F.lit(SIEVE)).alias("p"))  # of the unsigned hash too: 2**64 is a multiple
@@ -234,6 +285,43 @@ def disclosures(mentions: DataFrame, docs: DataFrame, n: int, support: int = SUP
     return both.select("entity", "term", F.when(own > 0, tie / own).alias("share"))
 
 
+def disclosures_everywhere(rows: DataFrame, docs: DataFrame, n: int, support: int, generalise: float, text_col: str) -> DataFrame:
+    """``disclosures`` over all terms of the documents that hold an entity; shares below ``generalise`` may be left out.
+
+    ``rows`` has ``row``, ``who`` and ``words``. A term in too many documents
+    can't reach that share whatever it occurs with, and is not paired.
+    """
+    held = rows.select("row", F.explode("who").alias("entity"))
+    entities = staged(held.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support), "entities")
+    held = staged(held.join(entities, "entity"), "held")
+    words = rows.join(held.select("row").distinct(), "row").select("row", F.explode("words").alias("term"))
+    often = words.groupBy("term").agg(F.count("*").alias("here")).filter(F.col("here") >= support).select("term")
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(often))
+    of_task = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: counts_of(sieve.value, True)(b), "term string, n bigint")
+    terms = staged(of_task.groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= support), "terms")
+    # with at most n_entity documents together: n / n_term >= (n / n_entity) ** generalise
+    most = F.lit(float(n)) * F.pow(F.col("n_entity") / F.lit(float(max(n, 1))), F.lit(generalise)) * 1.000001
+    pairs = held.join(words.join(terms, "term"), "row").filter(F.col("n_term") <= most)
+    joint = pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("together"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
+    )
+    own = F.log2(F.lit(float(n)) / F.col("n_entity"))
+    tie = F.log2(F.lit(float(n)) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
+    return joint.filter(F.col("together") >= support).select("entity", "term", F.when(own > 0, tie / own).alias("share"))
+
+
+def places_everywhere(rows: DataFrame, told: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Rows (h, start, end, gone) of told terms: with their entity, and of those to be removed in all documents."""
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(told.select("term").distinct()))
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    hits = texts.mapInArrow(lambda b: hits_of(sieve.value)(b), "h bigint, term string, start bigint, end bigint")
+    hits = staged(hits.distinct(), "hits")
+    gone = hits.join(told.filter("gone").select("term", "gone").distinct(), "term").select("h", "start", "end", "gone")
+    held = rows.select("h", F.explode("who").alias("entity")).distinct()
+    own = hits.join(told, "term").join(held, ["h", "entity"]).select("h", "start", "end", "gone")
+    return gone.unionByName(own).groupBy("h", "start", "end").agg(F.max("gone").alias("gone"))
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -241,33 +329,42 @@ def scan(
     support: int = SUPPORT,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
+    everywhere: bool = False,
 ) -> DataFrame:
     """One row per document: id, ``h`` (hash of the text), ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans``.
 
     ``spans`` holds base spans, then terms to generalise and terms to remove,
-    each by place, as kind:start:end in code points. A document without base
-    span has none. Null and empty texts have none, a null id stays null,
+    each by place, as kind:start:end in code points. Terms near an entity count,
+    and a document without base span has none; ``everywhere``, all terms of a
+    document count, and places in all documents. Null and empty texts have none, a null id stays null,
     repeated rows stay apart, an empty table gives an empty one.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), found(F.col(text_col)).alias("f"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), found(F.col(text_col), everywhere).alias("f"))
     rows = base.select(F.monotonically_increasing_id().alias("row"), "id", "h", "f.*")
     rows, seen = staged_with(rows, "mentions", n=F.count("*"))
-    parts = {"entities": "entity", "terms": "term", "starts": "start", "ends": "end"}
-    zipped = F.arrays_zip(*[F.col(many).alias(one) for many, one in parts.items()])
-    near = rows.filter(F.size("terms") > 0)
-    pairs = F.array_distinct(F.transform(zipped, lambda z: F.struct(z["entity"].alias("entity"), z["term"].alias("term"))))
-    mentions = near.select(pairs.alias("pairs"), F.array_distinct("entities").alias("who"))
-    told = disclosures(mentions, docs, seen["n"], support, text_col).filter(F.col("share") >= generalise)
+    if everywhere:
+        told = disclosures_everywhere(rows.filter(F.size("who") > 0), docs, seen["n"], support, generalise, text_col)
+    else:
+        parts = {"entities": "entity", "terms": "term", "starts": "start", "ends": "end"}
+        zipped = F.arrays_zip(*[F.col(many).alias(one) for many, one in parts.items()])
+        near = rows.filter(F.size("terms") > 0)
+        pairs = F.array_distinct(F.transform(zipped, lambda z: F.struct(z["entity"].alias("entity"), z["term"].alias("term"))))
+        mentions = near.select(pairs.alias("pairs"), F.array_distinct("entities").alias("who"))
+        told = disclosures(mentions, docs, seen["n"], support, text_col)
+    told = told.filter(F.col("share") >= generalise)
     told = staged(told.select("entity", "term", (F.col("share") >= remove).alias("gone")), "disclosures")
 
-    places = near.select("row", F.explode(zipped).alias("z")).select("row", "z.*")
-    hit = places.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("gone").alias("gone"))
+    if everywhere:
+        key, hit = "h", places_everywhere(rows, told, docs, text_col)
+    else:
+        places = near.select("row", F.explode(zipped).alias("z")).select("row", "z.*")
+        key, hit = "row", places.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("gone").alias("gone"))
     kind = F.when(F.col("gone"), "removed").otherwise("generalised")
     listed = F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "end")))  # those of one text
     text = F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    more = hit.groupBy("row").agg(text.alias("more"))
+    more = hit.groupBy(key).agg(text.alias("more"))
     spans = F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), "more")
-    return rows.join(more, "row", "left").select(
+    return rows.join(more, key, "left").select(
         F.col("id").alias(id_col), "h", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans")
     )
 
@@ -295,17 +392,13 @@ def sanitised(text: str | None, spans: str) -> str | None:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: Any) -> DataFrame:
-    """The documents with spans replaced in their texts; all rows and columns stay, repeated ones too.
-
-    Texts without a digit or an @ can have no base span and pass as they are;
-    only the others meet the spans found.
-    """
-    spans = scan(docs, id_col, text_col, **settings).filter("spans <> ''").groupBy(id_col, "h").agg(F.first("spans").alias("spans"))
-    spans = spans.select(F.col(id_col).alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    may = F.coalesce(F.col(f"`{text_col}`").rlike("[0-9@]"), F.lit(False))
+    """The documents with spans replaced in their texts, terms ``everywhere``; all rows and columns stay, repeated ones too."""
+    settings = {"everywhere": True} | settings
+    spans = scan(docs, id_col, text_col, **settings).filter("spans <> ''").groupBy("h").agg(F.first("spans").alias("spans"))
+    spans = spans.select(F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rest = docs.filter(may).select(held, F.xxhash64(text_col).alias("_own"))
-    joined = rest.join(spans, same(F.col(f"_row.{id_col}"), F.col("_id")) & (F.col("_own") == F.col("_h")), "left")
+    rest = docs.select(held, F.xxhash64(text_col).alias("_own"))
+    joined = rest.join(spans, F.col("_own") == F.col("_h"), "left")
 
     def make():
         return lambda rows: {"text": [sanitised(r["text"], r["spans"] or "") for r in rows]}
@@ -313,4 +406,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = per_text(make, {"text": "string"})(F.struct(F.col(f"_row.{text_col}").alias("text"), F.col("_spans").alias("spans")))
     done = joined.select("_row", text.alias("_new"))
     columns = [F.col("_new.text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return docs.filter(~may).unionByName(done.select(columns))
+    return done.select(columns)

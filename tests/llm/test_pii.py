@@ -151,3 +151,58 @@ def test_replacing():
     assert pii.sanitised("0123456789", "card:2:6,phone:4:8") == "01<CARD>89"
     assert pii.sanitised("0123456789", "card:0:4,phone:0:8,ip:8:9") == "<PHONE><IP>9"
     assert pii.sanitised(None, "") is None
+
+
+def everywhere(rows, support, generalise, remove):
+    """Kinds and places of disclosing terms for each text, over whole documents, counted one by one."""
+    n, n_term, n_entity, together, texts = len(rows), Counter(), Counter(), Counter(), []
+    for _, t in rows:
+        t = t or ""
+        spans = pii.base_spans(t)
+        who = {pii.entity(s.kind, t[s.start : s.end]) for s in spans}
+        blank = "".join(" " if any(s.start <= k < s.end for s in spans) else c for k, c in enumerate(t))
+        words = {pii.term(w) for w in blank.split()} - {""}
+        n_term.update(words)
+        n_entity.update(who)
+        together.update((e, w) for e in who for w in words)
+        texts.append((who, blank))
+    share = {}
+    for (e, w), k in together.items():
+        if k >= support and n > n_entity[e]:
+            share[e, w] = math.log2(n * k / (n_term[w] * n_entity[e])) / math.log2(n / n_entity[e])
+    anywhere = {w for (_, w), x in share.items() if x >= remove}
+    out = []
+    for who, blank in texts:
+        found = []
+        for m in re.finditer(r"\S+", blank):
+            w = pii.term(m[0])
+            best = max((share.get((e, w), 0) for e in who), default=0)
+            if w and (w in anywhere or best >= generalise):
+                a = m.start() + m[0].lower().index(w)
+                found.append(("removed" if w in anywhere else "generalised", a, a + len(w)))
+        out.append(sorted(found))
+    return out
+
+
+def far_corpus():
+    texts = [f"{w} Quorx wrote:bob@y.org {'and so on it went '*30}again (Quorx) to Velm{k}" for k, w in enumerate(("one", "two", "three"))]
+    return corpus() + texts + ["no mail here but Quorx, and quorx", "Velm1 is not told"] + [f"filler number {k}" for k in range(20)]
+
+
+@pytest.mark.parametrize(("generalise", "remove"), [(pii.GENERALISE, pii.REMOVE), (0.1, 0.6), (0.5, 1.0)])
+@pytest.mark.parametrize("support", [2, 3])
+def test_terms_everywhere(make, generalise, remove, support):
+    rows = list(enumerate(far_corpus()))
+    found = {r.doc_id: r.spans for r in pii.scan(make(rows), support=support, generalise=generalise, remove=remove, everywhere=True).collect()}
+    for (i, _), want in zip(rows, everywhere(rows, support, generalise, remove), strict=True):
+        spans = [s.split(":") for s in found[i].split(",") if s]
+        assert sorted((k, int(a), int(b)) for k, a, b in spans if k in ("generalised", "removed")) == want
+
+
+def test_sanitise_leaves_no_term_that_is_removed(make):
+    rows = ["a " * 10] * 40 + [f"{w} Quorx has bob@y.org {'and so on '*40}Quorx" for w in ("one", "two", "three", "four")] + ["x y z " * 9] * 9
+    done = [r.text for r in pii.sanitise(make(rows + ["here is " + "some talk " * 9 + "word"])).collect()]
+    assert not any("Quorx" in t or "bob@" in t for t in done)
+    rows = list(enumerate(far_corpus()))
+    spans = {r.doc_id: r.spans for r in pii.scan(make(rows), remove=0.7, everywhere=True).collect()}
+    assert "removed" in spans[19]
