@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,10 @@ def durable(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``df`` as a table in the shared folder, and aggregates taken while its rows are written."""
+    path, seen = new_path(df.sparkSession, name), Observation()
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
