@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import exact, language, licenses, packing, pieces, pii, quality, shards, simhash, tokens
+from pairloom.llm import bpe, exact, language, licenses, merkle, packing, pieces, pii, quality, resampling, shards, simhash, tokens
 from pairloom.llm.common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,117 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
+def resampling_sql(buckets: int = resampling.BUCKETS, seed: int = resampling.SEED) -> str:
+    """The same buckets, gains and draw in SQL, for n-grams of up to two words; each distinct n-gram is hashed once."""
+
+    def grams(table: str, id_: str) -> str:
+        return rf"""
+          SELECT {id_} AS id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS gram
+          FROM (SELECT {id_}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {table} WHERE text IS NOT NULL)"""
+
+    return f"""
+    WITH own AS ({grams("documents", "doc_id")}), aim AS ({grams("benchmark", "item_id")}),
+    each AS (SELECT gram, {crc32_sql("gram")} % {buckets} AS bucket FROM (SELECT gram FROM own UNION SELECT gram FROM aim)),
+    raw AS (SELECT bucket, count(*) AS s FROM own JOIN each USING (gram) GROUP BY bucket),
+    target AS (SELECT bucket, count(*) AS t FROM aim JOIN each USING (gram) GROUP BY bucket),
+    sums AS (SELECT (SELECT count(*) FROM own)::DOUBLE AS s_all, (SELECT count(*) FROM aim)::DOUBLE AS t_all),
+    gains AS (
+      SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + {buckets}) / ((s + 1.0::DOUBLE) * (t_all + {buckets}))))::BIGINT AS gain
+      FROM raw LEFT JOIN target USING (bucket), sums),
+    weights AS (
+      SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight, (count(*) + 1) // 2 AS n_words
+      FROM own JOIN each USING (gram) JOIN gains USING (bucket) GROUP BY id),
+    scored AS (
+      SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(n_words, 0) AS n_words,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                        / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN weights ON doc_id = id),
+    placed AS (
+      SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+      FROM scored WHERE n_words >= {resampling.LEAST})
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank
+    FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+@query(resampling_sql())
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight of every document by what benchmark texts look like, and the rank of those drawn."""
+    return resampling.resample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query()
+def op12_word_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    found = bpe.digests(public_tokenizers.path("word_bpe_49k.json"), F.col("text")).alias("d")
+    return documents(spark, sf).select("doc_id", found).select("doc_id", "d.*")
+
+
+#: Documents whose id has a CRC-32 that this divides are taken for tampered with.
+TAMPERED = 7
+
+
+def manifest_sql(deep: int = 40) -> str:
+    """The same trees in SQL: nodes level by level, then each leaf's siblings and the fold over them."""
+
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', n_chars, 'text']))})"
+
+    return f"""
+    WITH RECURSIVE leaves AS (
+      SELECT doc_id, lang, {leaf("n_chars")} AS leaf,
+             CASE WHEN {crc32_sql("doc_id::VARCHAR")} % {TAMPERED} = 0 THEN {leaf("(n_chars + 1)")} END AS forged FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+    nodes AS (
+      SELECT lang AS g, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM placed
+      UNION ALL
+      SELECT g, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 1) // 2 FROM nodes
+      WHERE n > 1 AND level < {deep} GROUP BY g, level, pos // 2),
+    subroots AS (SELECT g, node, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    uppers AS (
+      SELECT 0 AS level, pos, node, n FROM subroots
+      UNION ALL
+      SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 1) // 2 FROM uppers
+      WHERE n > 1 AND level < {deep} GROUP BY level, pos // 2),
+    steps AS (
+      SELECT doc_id, p.lang, p.pos, l.level, CASE WHEN s.node IS NULL THEN '' WHEN l.pos % 2 = 0 THEN 'R' || s.node ELSE 'L' || s.node END AS step
+      FROM placed p JOIN nodes l ON l.g IS NOT DISTINCT FROM p.lang AND l.n > 1 AND l.pos = p.pos >> l.level
+      LEFT JOIN nodes s ON s.g IS NOT DISTINCT FROM l.g AND s.level = l.level AND s.pos = xor(l.pos, 1::BIGINT)),
+    paths AS (SELECT lang, pos, list(step ORDER BY level) AS path FROM steps GROUP BY lang, pos),
+    upper_steps AS (
+      SELECT g, l.level, CASE WHEN s.node IS NULL THEN '' WHEN l.pos % 2 = 0 THEN 'R' || s.node ELSE 'L' || s.node END AS step
+      FROM subroots r JOIN uppers l ON l.n > 1 AND l.pos = r.pos >> l.level
+      LEFT JOIN uppers s ON s.level = l.level AND s.pos = xor(l.pos, 1::BIGINT)),
+    upper_paths AS (SELECT g, list(step ORDER BY level) AS path FROM upper_steps GROUP BY g),
+    proven AS (
+      SELECT p.doc_id, p.leaf, coalesce(p.forged, p.leaf) AS start, r.node AS subroot, (SELECT node FROM uppers WHERE n = 1) AS root,
+             list_concat(coalesce(a.path, []::VARCHAR[]), coalesce(b.path, []::VARCHAR[])) AS path
+      FROM placed p JOIN subroots r ON r.g IS NOT DISTINCT FROM p.lang
+      LEFT JOIN paths a ON a.lang IS NOT DISTINCT FROM p.lang AND a.pos = p.pos
+      LEFT JOIN upper_paths b ON b.g IS NOT DISTINCT FROM p.lang),
+    done AS (
+      SELECT *, list_reduce(path, lambda own, s: sha256(
+        CASE WHEN s = '' THEN own WHEN s[1] = 'L' THEN substr(s, 2) || own ELSE own || substr(s, 2) END), start) AS folded_root FROM proven)
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256,
+           folded_root, folded_root = root AS verified FROM done"""
+
+
+@query(manifest_sql())
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered one's proof leads to."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns]
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0) & F.col("n_chars").isNotNull()
+    forged = F.when(hit, merkle.digest(*map(merkle.field, changed)))
+    found = merkle.manifest(documents(spark, sf), columns, carry={"forged": forged})
+    folded = merkle.folded(F.coalesce("forged", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
