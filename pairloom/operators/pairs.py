@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from pairloom import values as V
 from pairloom.functions.prompts import group_key, passage_text, source_prompt
 from pairloom.functions.text import topic_from_name
-from pairloom.operators.numbering import first_within, number_within, shuffled
+from pairloom.operators.numbering import draw_within, first_within, number_within, shuffled
 
 CELL_ROWS = 2_000
 
-#: Score levels a source may have; more are no short scale, and their list would ride on every row.
-MAX_LEVELS = 100
-
 
 def common_source_item(high: Column, low: Column, fields: list[str]) -> Column:
     """Fields equal on both sides; types and goals always from the high side."""
@@ -120,7 +117,7 @@ def pairs_inter_model(
     created_at: str | None = None,
     item: str = "source_item",
     id: str | None = None,
-    spread: bool = False,
+    spread: bool = True,
 ) -> DataFrame:
     """Pair the i-th passage of a strong model with the i-th of a weak one.
 
@@ -130,8 +127,8 @@ def pairs_inter_model(
     pairs by ``id``, a column without repeats, or else by key and order. The
     pairs do not depend on the rubric, so they are made once and then repeated
     for every rubric. All passages are paired; ``cap`` bounds the pairs per item
-    (or per rubric with ``cap_scope="rubric"``). ``spread`` numbers a very large
-    item over many tasks.
+    (or per rubric with ``cap_scope="rubric"``). ``spread=False`` numbers every
+    item in one task.
     """
     return _positional(high, low, rubrics, order, cap, cap_scope, "IMP", created_at, item, id, spread)
 
@@ -144,7 +141,7 @@ def pairs_intra_model(
     created_at: str | None = None,
     item: str = "source_item",
     id: str | None = None,
-    spread: bool = False,
+    spread: bool = True,
 ) -> DataFrame:
     """Pair good passages with passages that violate one rubric on purpose."""
     return _positional(high, low, [rubric], order, None, "key", "ICP", created_at, item, id, spread)
@@ -168,7 +165,7 @@ def pairs_by_template(
         "passage_agent.create_passage_with_korean_errors",
     ),
     created_at: str | None = None,
-    spread: bool = False,
+    spread: bool = True,
 ) -> DataFrame:
     """Zip two templates' passages by list position inside a benchmark.
 
@@ -209,47 +206,64 @@ def pairs_by_template(
     )
 
 
+def scored(scores: DataFrame) -> DataFrame:
+    """Rows that can be paired: with a score and a source."""
+    if scores.schema["score"].dataType.typeName() not in ("byte", "short", "integer", "long", "decimal"):
+        raise TypeError("scores are whole numbers or decimals: gaps of floats are not exact")
+    return scores.where(F.col("score").isNotNull() & F.col("source_key").isNotNull())
+
+
 def score_groups(scores: DataFrame) -> DataFrame:
-    """Passages per rubric, source key and score; rows without score are out.
+    """Passages per rubric, source key and score; rows without score are out."""
+    return scored(scores).groupBy("rubric", "source_key", "score").agg(F.count(F.lit(1)).alias("n"))
+
 
-    Scores are whole numbers of a short scale, so a source has few levels.
+def score_levels(scores: DataFrame, min_gap: float = 1) -> DataFrame:
+    """Score levels of a rubric and source in order, with sums over those before and behind.
+
+    ``n`` passages have the ``score`` of a level, ``before`` a smaller one,
+    ``below`` one smaller by ``min_gap`` or more, ``above`` one larger by that,
+    and ``n_all`` any. Sums run over levels, never over passages or pairs.
     """
-    if scores.schema["score"].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        raise TypeError("scores are whole numbers")
-    kept = scores.where(F.col("score").isNotNull() & F.col("source_key").isNotNull())
-    return kept.groupBy("rubric", "source_key", "score").agg(F.count(F.lit(1)).alias("n"))
+    if min_gap <= 0:
+        raise ValueError("min_gap must be positive: chosen has to score higher")
+    own = "OVER (PARTITION BY rubric, source_key ORDER BY score"
+    spans = {
+        "before": f"sum(n) {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "below": f"sum(n) {own} RANGE BETWEEN UNBOUNDED PRECEDING AND {min_gap} PRECEDING)",
+        "above": f"sum(n) {own} RANGE BETWEEN {min_gap} FOLLOWING AND UNBOUNDED FOLLOWING)",
+        "n_all": "sum(n) OVER (PARTITION BY rubric, source_key)",
+    }
+    return score_groups(scores).select("*", *[F.coalesce(F.expr(s), F.lit(0)).alias(c) for c, s in spans.items()])
 
 
-def _levels(scores: DataFrame) -> DataFrame:
-    """Per rubric and source key its score levels, at most ``MAX_LEVELS``, with counts."""
-    few = score_groups(scores).groupBy("rubric", "source_key")
-    found = few.agg(F.collect_list(F.struct("score", "n")).alias("levels"), F.sum("n").alias("n_all"))
-    many = F.raise_error(F.lit(f"a source has more than {MAX_LEVELS} score levels"))
-    return found.withColumn("levels", F.when(F.size("levels") <= MAX_LEVELS, F.col("levels")).otherwise(many))
+def score_gap_totals(scores: DataFrame, min_gap: float = 1) -> DataFrame:
+    """Pairs per rubric, source key and high score: one row per level, from the sums before it."""
+    levels = score_levels(scores, min_gap).where("below > 0")
+    return levels.select("rubric", "source_key", F.col("score").alias("high_score"), (F.col("n") * F.col("below")).alias("n_pairs"))
 
 
-def score_gap_counts(scores: DataFrame, min_gap: int = 1) -> DataFrame:
-    """How many pairs :func:`pairs_by_score_gap` makes, without making them.
+def score_gap_counts(scores: DataFrame, min_gap: float = 1) -> DataFrame:
+    """How many pairs :func:`pairs_by_score_gap` makes, without making them: a row per high and low score.
 
     The number of pairs of two score levels is the product of their sizes, so
-    counts need one row per level instead of one per pair.
+    counts need one row per pair of levels instead of one per pair.
     """
-    levels = _levels(scores)
-    high = levels.select("rubric", "source_key", "levels", F.explode("levels").alias("h"))
-    both = high.select("rubric", "source_key", "h", F.explode("levels").alias("l"))
-    return both.where(F.col("h.score") - F.col("l.score") >= min_gap).select(
-        "rubric",
-        "source_key",
-        F.col("h.score").alias("high_score"),
-        F.col("l.score").alias("low_score"),
-        (F.col("h.score") - F.col("l.score")).alias("margin"),
-        (F.col("h.n") * F.col("l.n")).alias("n_pairs"),
+    if min_gap <= 0:
+        raise ValueError("min_gap must be positive: chosen has to score higher")
+    keys = ["rubric", "source_key"]
+    levels = score_groups(scores)
+    high = levels.select(*keys, F.col("score").alias("high_score"), F.col("n").alias("_high"))
+    low = levels.select(*keys, F.col("score").alias("low_score"), F.col("n").alias("_low"))
+    margin = F.col("high_score") - F.col("low_score")
+    return high.join(low, keys).where(margin >= min_gap).select(
+        *keys, "high_score", "low_score", margin.alias("margin"), (F.col("_high") * F.col("_low")).alias("n_pairs")
     )
 
 
 def pairs_by_score_gap(
     scores: DataFrame,
-    min_gap: int = 1,
+    min_gap: float = 1,
     carry: list[str] = [],
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
@@ -258,47 +272,45 @@ def pairs_by_score_gap(
     ``scores`` holds passage_id, rubric, source_key and score. ``chosen_id``
     always has the higher score; columns named in ``carry`` come along as
     ``chosen_…`` and ``rejected_…``. The result itself grows with the square
-    of a source's passages: ask :func:`score_gap_counts` first. Its rows and
-    the scores say the same in factored form, where no pair need be written.
-
-    The join makes result rows only. A chosen passage is addressed to each
-    lower score level that exists, a rejected one to its own level, and the
-    join key is the level, so no pair is built and thrown away. Large levels
-    are cut into cells: chosen passages fall into rows of a grid, rejected
-    ones into columns, each is copied along its row or column, and a task
-    meets at most ``cell_rows`` of either side at a time. Groups below that
+    of a source's passages: ask :func:`score_gap_counts` first, or draw some by
+    ``sample_score_gap_pairs``.
+
+    The join makes result rows only. A chosen passage meets each lower level of
+    the table of levels, of which there may be any number, a rejected one its
+    own, and the join key is the level, so no pair is built and thrown away.
+    Large levels are cut into cells: chosen passages fall into rows of a grid,
+    rejected ones into columns, each is copied along its row or column, and a
+    task meets at most ``cell_rows`` of either side at a time. Groups below that
     size have one cell and no copies.
     """
-    if min_gap < 1:
-        raise ValueError("min_gap must be at least 1: chosen has to score higher")
     keys = ["rubric", "source_key"]
-    kept = scores.where(F.col("score").isNotNull() & F.col("source_key").isNotNull())
-    rows = kept.select(*keys, "passage_id", "score", *carry).join(_levels(scores), keys)
+    levels = score_levels(scores, min_gap).select(*keys, F.col("score").alias("low_score"), "n", "n_all", "above")
+    lower = levels.where("above > 0")
+    rows = scored(scores).select(*keys, "passage_id", "score", *carry)
     spot = F.xxhash64("passage_id")
 
-    def cells(n: Column) -> Column:
-        return F.ceil(n / cell_rows).cast("int")
+    def cells(n: str) -> Column:
+        return F.ceil(F.col(n) / cell_rows).cast("int")
 
-    lower = F.filter("levels", lambda v: F.col("score") - v["score"] >= min_gap)
     chosen = (
-        rows.select("*", F.explode(lower).alias("lv"))
-        .withColumn("_row", F.pmod(spot, cells(F.col("n_all"))).cast("int"))
+        rows.join(lower, keys)
+        .where(F.col("score") - F.col("low_score") >= min_gap)
+        .withColumn("_row", F.pmod(spot, cells("n_all")).cast("int"))
         .select(
             *keys,
-            F.col("lv.score").alias("low_score"),
+            "low_score",
             "_row",
-            F.explode(F.sequence(F.lit(0), cells(F.col("lv.n")) - 1)).alias("_column"),
+            F.explode(F.sequence(F.lit(0), cells("n") - 1)).alias("_column"),
             F.col("passage_id").alias("chosen_id"),
             F.col("score").alias("high_score"),
             *[F.col(c).alias(f"chosen_{c}") for c in carry],
         )
     )
-    own = F.get(F.filter("levels", lambda v: v["score"] == F.col("score")), F.lit(0))["n"]
-    rejected = rows.where(F.exists("levels", lambda v: v["score"] - F.col("score") >= min_gap)).select(
+    rejected = rows.withColumnRenamed("score", "low_score").join(lower, [*keys, "low_score"]).select(
         *keys,
-        F.col("score").alias("low_score"),
-        F.explode(F.sequence(F.lit(0), cells(F.col("n_all")) - 1)).alias("_row"),
-        F.pmod(spot, cells(own)).cast("int").alias("_column"),
+        "low_score",
+        F.explode(F.sequence(F.lit(0), cells("n_all") - 1)).alias("_row"),
+        F.pmod(spot, cells("n")).cast("int").alias("_column"),
         F.col("passage_id").alias("rejected_id"),
         *[F.col(c).alias(f"rejected_{c}") for c in carry],
     )
@@ -388,15 +400,14 @@ def pairs_by_filter(
     mode: str = "per_rubric",
     same_source: bool = False,
     created_at: str | None = None,
-    spread: bool = False,
 ) -> DataFrame:
     """Sample passed and failed passages without replacement and zip them.
 
     ``evals`` has passage_id, rubric and result; ``passages`` passage_id,
     source_item and a text column. All passages are paired, or up to
     ``target`` pairs per rubric (per rubric and source key with
-    ``same_source``), drawn in a seeded hash order. Only ids are ordered; texts
-    join the drawn pairs afterwards. Problem types and goals that lie beside
+    ``same_source``), drawn in a seeded hash order, whose digests deal a group
+    out over all tasks. Only ids are ordered; texts join the drawn pairs afterwards. Problem types and goals that lie beside
     the source item are put into it where it has none.
     """
     drawn = verdicts(evals, mode)
@@ -406,9 +417,7 @@ def pairs_by_filter(
         drawn = drawn.join(passages.select("passage_id", key), "passage_id").where(F.col("_source").isNotNull())
         groups = ["rubric", "_source"]
     lot = shuffled(seed, F.col("rubric"), F.col("passage_id"))
-    numbered = first_within(
-        drawn.withColumn("_lot", lot), [*groups, "passed"], [F.col("_lot"), F.col("passage_id")], target, "n", spread
-    )
+    numbered = draw_within(drawn.withColumn("_lot", lot), [*groups, "passed"], "_lot", [F.col("passage_id")], target, "n")
     good = numbered.where("passed").select(*groups, "n", F.col("passage_id").alias("good_id"))
     bad = numbered.where("not passed").select(*groups, "n", F.col("passage_id").alias("bad_id"))
     text = passage_text(passages)

@@ -34,12 +34,12 @@ def rank_passages(
     how: str = "sum",
     by: list[str] = [],
     to: str = "rm_ranking",
-    spread: bool = False,
+    spread: bool = True,
 ) -> DataFrame:
     """Rank 1..n by combined score, best first, ties broken by the unique id.
 
-    Ids and scores are ranked, then joined with the other columns. ``spread``
-    ranks a very large group, or the whole table, over many tasks.
+    Ids and scores are ranked, then joined with the other columns. Large
+    groups, or the whole table, are ranked by many tasks (:func:`number_within`).
     """
     total = combine_scores(columns, how).alias("_total")
     narrow = df.select(*by, id, total)
@@ -56,7 +56,7 @@ def top_k_select(
     if by:
         best = first_within(narrow, by, order, k, "rm_ranking")
     else:  # a top-n: k rows are left to be numbered
-        best = number_within(narrow.orderBy(*order).limit(k), [], order, "rm_ranking")
+        best = number_within(narrow.orderBy(*order).limit(k), [], order, "rm_ranking", spread=False)
     return df.join(best.select(id, "rm_ranking"), id).select(*df.columns, "rm_ranking")
 
 

@@ -159,6 +159,14 @@ def build_score_gap(
     return A.pair_stats(levels)
 
 
+def score_gap_report(
+    spark: SparkSession, eval_root: str, min_gap: int = 1, pattern: str = V.EVALUATION_FILE, rubrics: list[str] = V.RUBRICS
+) -> DataFrame:
+    """What :func:`build_score_gap` would report, without pairs, records or texts: the tree is read once, for its scores."""
+    scores, _ = _score_rows(_staged_evaluations(spark, eval_root, pattern), rubrics)
+    return A.pair_stats(J.score_gap_counts(scores, min_gap))
+
+
 def convert_pairs(
     pairs: DataFrame,
     templates: dict[str, str],

@@ -45,5 +45,6 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
     """``df`` as a table in the shared folder, and aggregates taken while its rows are written."""
     path, seen = new_path(df.sparkSession, name), Observation()
-    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+    rows = df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if measures else {}

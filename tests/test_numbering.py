@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators.numbering import first_within, number_within, shuffled
+from pairloom.operators.numbering import draw_within, first_within, number_within, shuffled
 
 
 def hot_rows(n=3000):
@@ -50,6 +51,45 @@ def test_both_ways_keep_null_and_repeated_rows(spark):
     assert got[0] == got[1] and len(got[0]) == 5
 
 
+VALUES = {
+    "string": lambda r: r.choice(["", "a", "a\0", "http://a.example/a/very/long/way/to/" + str(r.randint(0, 9)), "é" * r.randint(0, 9), None]),
+    "double": lambda r: r.choice([float("nan"), float("inf"), float("-inf"), 0.0, -0.0, r.random(), -r.random(), None]),
+    "bigint": lambda r: r.choice([r.randint(-(2**62), 2**62), 2**60 + r.randint(0, 99), None]),
+}
+
+
+@pytest.mark.parametrize("kind, order, keys", [
+    ("string", [lambda: F.col("v").desc(), "id"], ["k"]),
+    ("double", ["v", "id"], []),
+    ("bigint", [lambda: F.col("w").desc(), "v", "id"], ["k"]),
+])
+def test_stretches_give_window_numbers(spark, kind, order, keys):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "b", None]), VALUES[kind](rng), rng.randint(0, 2), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, f"k string, v {kind}, w int, id int").repartition(4)
+    by = [c() if callable(c) else F.col(c) for c in order]
+    found = [number_within(df, keys, by, "n", spread=s, stretch=100) for s in (True, False)]
+    assert len({frozenset((r.id, r.n) for r in f.collect()) for f in found}) == 1
+
+
+def test_a_key_with_half_the_rows_is_dealt_out_evenly(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    found = number_within(df, ["k"], [F.md5(F.col("id").cast("string"))], "n", stretch=100)
+    tasks = sorted(r[1] for r in found.groupBy(F.spark_partition_id()).count().collect())
+    assert len(tasks) == 8 and tasks[-1] < 2 * tasks[4]
+    assert found.where("k = 'hot'").agg(F.max("n"), F.countDistinct("n")).first()[:] == (10_000, 10_000)
+
+
+@pytest.mark.parametrize("n", [None, 1, 40])
+def test_draws_give_window_numbers(spark, n):
+    rows = [(i, ("hot" if i % 3 == 0 else f"k{i % 5}" if i % 7 else None)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, k string").withColumn("lot", shuffled(42, F.col("id")))
+    want = number_within(df, ["k"], [F.col("lot"), F.col("id")], "n", spread=False)
+    want = want if n is None else want.where(F.col("n") <= n)
+    found = draw_within(df, ["k"], "lot", [F.col("id")], n, "n")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, id int")
     assert number_within(df, ["k"], [F.col("id")]).count() == 0

@@ -140,9 +140,8 @@ def build_score_gap_pairs(spark, sf):
 
 @query("score_gap_report", _PAIR_STATS.replace(">= 1", ">= 2"))
 def score_gap_report(spark, sf):
-    """The counts the same job reports."""
-    root = new_path(spark, "score-gap")
-    return D.build_score_gap(spark, written_evaluations(spark, sf), root, min_gap=2, pattern="*")
+    """The counts the same job reports, without its records."""
+    return D.score_gap_report(spark, written_evaluations(spark, sf), min_gap=2, pattern="*")
 
 
 @query(

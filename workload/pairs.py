@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import prompts as G
 from pairloom.operators import pairs as J
+from pairloom.operators.addressed import sample_score_gap_pairs, score_gap_pairs_at
 from pairloom.operators.scoring import with_difference
 from pairloom.values import VIOLATION_TEMPLATES
 from workload.registry import query
@@ -164,6 +165,46 @@ def score_gap_counts(spark, sf):
     return J.score_gap_counts(long_scores(spark, sf), min_gap=2)
 
 
+@query(
+    "score_gap_totals",
+    f"""WITH {SCORES}
+SELECT a.rubric, a.source_key, a.score AS high_score, count(*) AS n_pairs
+FROM long a JOIN long b ON a.rubric = b.rubric AND a.source_key = b.source_key AND a.score - b.score >= 2
+GROUP BY ALL""",
+)
+def score_gap_totals(spark, sf):
+    """Pairs of each level from the sums before it: neither pairs nor pairs of levels are made."""
+    return J.score_gap_totals(long_scores(spark, sf), min_gap=2)
+
+
+_NUMBERED = f"""{SCORES}, numbered AS (
+  SELECT row_number() OVER (ORDER BY substr(md5(a.rubric || ':' || a.source_key), 1, 3), a.rubric, a.source_key, a.score,
+                                     a.passage_id, b.score, b.passage_id) - 1 AS number,
+         a.rubric, a.source_key, a.passage_id AS chosen_id, b.passage_id AS rejected_id, a.score AS high_score,
+         b.score AS low_score, a.score - b.score AS margin
+  FROM long a JOIN long b ON a.rubric = b.rubric AND a.source_key = b.source_key AND a.score - b.score >= 1)"""
+
+
+@query(
+    "sample_score_gap_pairs",
+    f"""WITH {_NUMBERED}, t AS (SELECT count(*) // 1000 AS width, count(*) % 1000 AS rest FROM numbered),
+drawn AS (
+  SELECT i * width + least(i, rest) + ('0x' || substr(md5('42:' || i), 1, 15))::BIGINT % (width + CASE WHEN i < rest THEN 1 ELSE 0 END) AS number
+  FROM range(1000) r(i), t)
+SELECT numbered.* FROM numbered JOIN drawn USING (number)""",
+)
+def sample_score_gap_pairs_(spark, sf):
+    """1,000 of all pairs by their numbers; the others are never made."""
+    return sample_score_gap_pairs(long_scores(spark, sf), 1000)
+
+
+@query("score_gap_pairs_at", f"WITH {_NUMBERED} SELECT * FROM numbered WHERE number BETWEEN 500 AND 1499")
+def score_gap_page(spark, sf):
+    """One page of the pairs."""
+    numbers = spark.range(500, 1500).select(F.col("id").alias("number"))
+    return score_gap_pairs_at(long_scores(spark, sf), numbers)
+
+
 @query(
     "score_groups",
     f"WITH {SCORES} SELECT rubric, source_key, score, count(*) AS n FROM long GROUP BY ALL",

@@ -137,10 +137,10 @@ def score_gap_stats(spark, sf):
     return A.pair_stats(J.score_gap_counts(long_scores(spark, sf)))
 
 
-@query("pair_stats", _PAIR_STATS)
+@query("pair_stats", _PAIR_STATS.replace(">= 1", ">= 2"))
 def pair_stats(spark, sf):
-    """The same statistics counted over the pairs themselves."""
-    return A.pair_stats(A.pair_levels(J.pairs_by_score_gap(long_scores(spark, sf))))
+    """The same statistics as the job that writes pairs reports them: from pairs of levels, for a larger gap."""
+    return A.pair_stats(J.score_gap_counts(long_scores(spark, sf), min_gap=2))
 
 
 @query(
