@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairloom import values as V
-from pairloom.functions.text import normalized_similarity, scale_1_5, strip
+from pairloom.functions.edits import edit_distance_within, similarity_within
+from pairloom.functions.text import scale_1_5, strip
 
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}
 _FULL_WIDTH, _ASCII = "０１２３４５６７８９", "0123456789"
@@ -73,11 +74,14 @@ def corrected_text(response: Column, original: Column) -> Column:
     return F.when((F.length(body) > 0) & (body != original), body)
 
 
-def correction_grade(response: Column, passage: Column) -> Column:
-    """1..5 by how little the correction changed the passage; errors are 5."""
-    original = strip(passage)
-    corrected = F.coalesce(corrected_text(response, original), original)
-    return F.coalesce(scale_1_5(normalized_similarity(original, corrected)), F.lit(5))
+def correction_grade(original: Column, corrected: Column) -> Column:
+    """1..5 by how little a correction changed the passage; 5 if there is none.
+
+    The distance is found as far as a grade depends on it: beyond, the grade is 1.
+    """
+    near = edit_distance_within(F.when(corrected.isNotNull(), original), corrected, 1 - V.GRADES[-1][0])
+    similarity = similarity_within(original, corrected, near)
+    return F.when(corrected.isNull(), F.lit(5)).otherwise(F.coalesce(scale_1_5(similarity), F.lit(1)))
 
 
 def pass_fail(reason: Column) -> Column:

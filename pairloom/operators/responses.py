@@ -75,22 +75,23 @@ def parse_correction(responses: DataFrame, passage: str = "passage", source: str
 
     ``correction`` compares the passage with the corrected text. ``auto``
     falls back to a stated score when there is no corrected text; otherwise
-    an uncorrected passage is graded 5.
+    an uncorrected passage is graded 5. Passages may be long: the distance is
+    found inside the band that grades depend on.
     """
     if source not in ("correction", "auto"):
         raise ValueError("source is correction or auto")
-    corrected = P.corrected_text(F.col("response"), strip(passage))
-    graded = P.correction_grade(F.col("response"), F.col(passage))
+    graded = P.correction_grade(F.col("_o"), F.col("_c"))
     stated = P.score_1_5(F.col("response")) if source == "auto" else F.lit(None).cast("int")
     return (
-        responses.withColumn("_c", corrected)
+        responses.withColumn("_o", strip(passage))
+        .withColumn("_c", P.corrected_text(F.col("response"), F.col("_o")))
         .withColumn("_s", stated)
         .withColumn("score", F.when(F.col("_c").isNull() & F.col("_s").isNotNull(), F.col("_s")).otherwise(graded))
         .withColumn(
             "parse_status",
             F.when(F.col("_c").isNotNull(), "correction").when(F.col("_s").isNotNull(), "score").otherwise("default"),
         )
-        .drop("_c", "_s")
+        .drop("_o", "_c", "_s")
     )
 
 

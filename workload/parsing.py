@@ -12,7 +12,7 @@ from pairloom.functions.parse import score_1_5
 from pairloom.operators import responses as X
 from pairloom.values import RUBRIC_ALIASES, RUBRICS
 from workload.registry import query
-from workload.text import _URL, normal_url
+from workload.text import CORRECTED_SQL, corrected, distance_sql
 from workload.views import BINARY, SCORES, binary, passages, texts
 
 
@@ -177,22 +177,25 @@ def parse_binary_rubric(spark, sf):
 
 @query(
     "parse_correction",
-    f"""WITH r AS (SELECT page_id, url, {_URL} AS b, page_id % 3 AS kind FROM pages),
-s AS (SELECT *, CASE WHEN kind = 0 AND b <> url THEN 1.0::DOUBLE - levenshtein(url, b)::DOUBLE / greatest(length(url), length(b)) END AS sim
-      FROM r)
-SELECT page_id, CASE WHEN sim IS NULL THEN CASE WHEN kind = 2 THEN 2 ELSE 5 END WHEN sim >= 0.99 THEN 5 WHEN sim >= 0.95 THEN 4
+    f"""WITH r AS (SELECT doc_id, doc_id % 3 AS kind, trim(text, E' \\t\\n\\r') AS o,
+  trim(string_split({CORRECTED_SQL} || ' (주소)', E'\\n**')[1], E' \\t\\n\\r') AS body FROM documents),
+c AS (SELECT *, trim(regexp_replace(body, '\\(.*?\\)', '', 'g'), E' \\t\\n\\r') AS b FROM r),
+s AS (SELECT doc_id, kind, CASE WHEN kind = 0 AND b <> '' AND b <> o
+  THEN 1.0::DOUBLE - {distance_sql("o", "b")}::DOUBLE / greatest(length(o), length(b)) END AS sim FROM c)
+SELECT doc_id, CASE WHEN sim IS NULL THEN CASE WHEN kind = 2 THEN 2 ELSE 5 END WHEN sim >= 0.99 THEN 5 WHEN sim >= 0.95 THEN 4
     WHEN sim >= 0.90 THEN 3 WHEN sim >= 0.80 THEN 2 ELSE 1 END::INTEGER AS score,
   CASE WHEN sim IS NOT NULL THEN 'correction' WHEN kind = 2 THEN 'score' ELSE 'default' END AS parse_status FROM s""",
 )
 def parse_correction(spark, sf):
-    kind = F.col("page_id") % 3
+    """Whole texts graded against corrected ones of about their length."""
+    kind = F.col("doc_id") % 3
     response = (
-        F.when(kind == 0, F.concat(lit("검토\n**교정된 문장:** \n"), normal_url(), lit(" (주소)\n**이유:** 통일")))
+        F.when(kind == 0, F.concat(lit("검토\n**교정된 문장:** \n"), corrected(), lit(" (주소)\n**이유:** 통일")))
         .when(kind == 1, lit("오류 없음"))
         .otherwise(lit("2점"))
     )
-    rows = texts(spark, sf, "pages").select("page_id", F.col("url").alias("passage"), response.alias("response"))
-    return X.parse_correction(rows, source="auto").select("page_id", "score", "parse_status")
+    rows = texts(spark, sf).select("doc_id", F.col("text").alias("passage"), response.alias("response"))
+    return X.parse_correction(rows, source="auto").select("doc_id", "score", "parse_status")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.functions import text as T
+from pairloom.functions.edits import edit_distance_within, similarity_within
 from pairloom.operators.responses import context_block
 from pairloom.operators.stats import distinct_tokens
 from workload.registry import query
@@ -120,24 +121,70 @@ def truncate_at_period(spark, sf):
     return t.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("body"))
 
 
+# What a corrected text has instead of a letter; no text holds it.
+NEW = "\ue000"
+
+# By the document's number: nothing changes, full stops, stops and no commas, a fifth or a half of the letters.
+CORRECTED_SQL = f"""CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN translate(text, '.', '{NEW}') WHEN 2 THEN translate(text, '.,', '{NEW}')
+  WHEN 3 THEN translate(text, 'e', '{NEW}') ELSE translate(text, 'aeinr', '{NEW * 5}') END"""
+
+
+def corrected():
+    """A document's text with some letters replaced by one that occurs in no text, and some taken out.
+
+    Each new letter is one edit at least and so is each that is missing, so
+    SQL can tell the distance from counts alone.
+    """
+    letters = [(".", NEW), (".,", NEW), ("e", NEW), ("aeinr", NEW * 5)]
+    out = F.when(F.col("doc_id") % 5 == 0, F.col("text"))
+    for i, (old, new) in enumerate(letters, 1):
+        out = out.when(F.col("doc_id") % 5 == i, F.translate("text", old, new))
+    return out
+
+
+def distance_sql(a: str, b: str) -> str:
+    """Edits between a text and a corrected one: its new letters, and those it has less."""
+    return f"(length({b}) - length(replace({b}, '{NEW}', '')) + length({a}) - length({b}))"
+
+
+@query(
+    "edit_distance",
+    f"""
+SELECT doc_id, CASE WHEN d <= floor(0.2::DOUBLE * n) + 1 THEN d::INTEGER END AS distance,
+  CASE WHEN d <= floor(0.2::DOUBLE * n) + 1 THEN round(s, 6) END AS similarity,
+  CASE WHEN s >= 0.99 THEN 5 WHEN s >= 0.95 THEN 4 WHEN s >= 0.90 THEN 3 WHEN s >= 0.80 THEN 2 ELSE 1 END AS grade
+FROM (SELECT doc_id, d, n, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - d::DOUBLE / n END AS s
+  FROM (SELECT doc_id, {distance_sql("text", "b")} AS d, length(text) AS n FROM (SELECT doc_id, text, {CORRECTED_SQL} AS b FROM documents)))""",
+)
+def edit_distance(spark, sf):
+    """Whole texts and corrected ones, in the band that grades depend on."""
+    docs = texts(spark, sf).select("doc_id", "text", corrected().alias("b"))
+    docs = docs.withColumn("distance", edit_distance_within("text", "b"))
+    s = similarity_within(F.col("text"), F.col("b"), F.col("distance"))
+    return docs.select(
+        "doc_id", "distance", F.round(s, 6).alias("similarity"), F.coalesce(T.scale_1_5(s), F.lit(1)).alias("grade")
+    )
+
+
 # Page addresses are ASCII: DuckDB counts bytes, Spark code points.
 _URL = "regexp_replace(replace(lower(url), 'http://', 'https://'), '[?#].*$', '')"
 
 
 def normal_url():
-    """A page address in one spelling: the corrected text of an address."""
+    """A page address in one spelling."""
     return F.regexp_replace(F.replace(F.lower("url"), F.lit("http://"), F.lit("https://")), "[?#].*$", "")
 
 
 @query(
-    "edit_distance",
+    "edit_distance_short",
     f"""
 SELECT page_id, d AS distance, round(s, 6) AS similarity,
   CASE WHEN s >= 0.99 THEN 5 WHEN s >= 0.95 THEN 4 WHEN s >= 0.90 THEN 3 WHEN s >= 0.80 THEN 2 ELSE 1 END AS grade
 FROM (SELECT page_id, d, 1.0::DOUBLE - d::DOUBLE / n AS s FROM (SELECT page_id,
   levenshtein(url, {_URL})::INTEGER AS d, greatest(length(url), length({_URL})) AS n FROM pages))""",
 )
-def edit_distance(spark, sf):
+def edit_distance_short(spark, sf):
+    """Addresses: short texts, by the built-in matrix."""
     pages = texts(spark, sf, "pages").withColumn("b", normal_url())
     s = T.normalized_similarity("url", "b")
     return pages.select(
