@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from pairloom import values as V
 from pairloom.schemas import EVALUATION
+from pairloom.sources.arrays import array_elements
 
+#: Bytes up to which a file is read as one row; larger ones are cut into elements by ranges.
+WHOLE_FILE = 16 << 20
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -58,17 +61,21 @@ def _records(texts: DataFrame, schema: T.StructType, keep: list[str], corrupt: s
     return rows.select(*found, *keep, F.col("_r._broken").alias(corrupt))
 
 
-def _elements(files: DataFrame, keep: list[str]) -> DataFrame:
-    """The elements of whole files that are a JSON array; any other file is one element."""
-    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>"))
-    return files.select(*keep, F.explode(F.coalesce(listed, F.array("value"))).alias("value"))
-
+def _elements(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """The elements of files that hold a JSON array, as ``value`` with ``file_path``; any other file is one element.
 
-def _whole_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if pattern is not None:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    Both ways give the same elements; of a small file that is no JSON as a
+    whole, the elements that are come through the second one too.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+    place = F.col("_metadata.file_path").alias("file_path")
+    small = files.where(F.col("_metadata.file_size") <= WHOLE_FILE).select("value", place)
+    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>"))
+    out = small.select(F.explode(F.coalesce(listed, F.array("value"))).alias("value"), "file_path")
+    large = files.where(F.col("_metadata.file_size") > WHOLE_FILE)
+    if large.select(place).isEmpty():  # files are left out by their size before one is opened
+        return out
+    return out.unionByName(array_elements(spark, path, pattern, WHOLE_FILE))
 
 
 def read_json_array(
@@ -80,7 +87,7 @@ def read_json_array(
     are. Files that are no JSON add no rows, unless ``corrupt`` names a column
     for the text of what could not be read. Adds the column file_path.
     """
-    return _records(_elements(_whole_files(spark, path), ["file_path"]), schema, ["file_path"], corrupt)
+    return _records(_elements(spark, path), schema, ["file_path"], corrupt)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, corrupt: str | None = None) -> DataFrame:
@@ -108,14 +115,14 @@ def read_merged(
     partition folder ``name=value`` the value. ``pattern`` is matched with
     file names; files Spark wrote need ``"*"``.
     """
-    files = _whole_files(spark, root, pattern).withColumn("_parts", F.split("file_path", "/", -1))
+    files = _elements(spark, root, pattern).withColumn("_parts", F.split("file_path", "/", -1))
 
     def folder(up: int) -> Column:
         return F.regexp_replace(F.try_element_at("_parts", F.lit(-1 - up)), "^[^=]*=", "")
 
     placed = files.select("value", folder(2).alias("model_pair"), folder(1).alias("rubric"))
     keep = ["model_pair", "rubric"]
-    return _records(_elements(placed, keep), schema, keep, corrupt)
+    return _records(placed, schema, keep, corrupt)
 
 
 def evaluation_model(path: Column) -> Column:
@@ -140,8 +147,7 @@ def read_eval_tree(
     under no model folder. ``pattern`` is matched with file names; files Spark
     wrote need ``"*"``.
     """
-    files = _whole_files(spark, root, pattern)
-    rows = _records(_elements(files, ["file_path"]), EVALUATION, ["file_path"], corrupt)
+    rows = _records(_elements(spark, root, pattern), EVALUATION, ["file_path"], corrupt)
     rows = rows.withColumn("model", evaluation_model(F.col("file_path")))
     return rows if keep_unknown else rows.where(F.col("model") != "unknown")
 
