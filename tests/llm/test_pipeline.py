@@ -1,10 +1,10 @@
 import corpus_pipeline
-from pairloom.llm import exact, quality, simhash
+from pairloom.llm import exact, quality, similar
 from tests.llm.conftest import ODD
 from tests.llm.test_packing import PATH, plain, whole
 from tests.llm.test_pii import plain as base_spans
 from tests.llm.test_quality import plain as counts
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain_kept
 
 
 def test_stages_on_odd_rows(spark, odd, sf):
@@ -36,12 +36,7 @@ def test_run_is_what_plain_code_gives(spark, sf, rows, documents):
     for i, t in text.items():
         last[t] = max(i, last.get(t, -1))
     text = {i: t for t, i in last.items()}
-    prints = {i: plain_fingerprint(t) for i, t in text.items()}
-    parts = plain_components(set(prints.values()))
-    first = {}
-    for i in sorted(text):
-        first.setdefault(parts[prints[i]], i)
-    text = {i: text[i] for i in first.values()}
+    text = {i: text[i] for i in plain_kept(list(text.items()))}
 
     found = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in found} == set(text)
@@ -53,4 +48,4 @@ def test_run_is_what_plain_code_gives(spark, sf, rows, documents):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "SimHash near-dedup", "PII", "best-fit packing"]
-    assert exact and simhash
+    assert exact and similar
