@@ -8,7 +8,15 @@ information content. It is 1 for a term that occurs with the entity only, and ne
 0 for a word that occurs everywhere. Terms above a first threshold are
 generalised to their kind, above a second one removed. ``everywhere``, all terms
 of a document count with its entities, and are replaced at every place in
-documents that hold the entity; those to be removed, in all documents.
+documents that hold the entity; those to be removed, in all documents. What is
+removed must be proven: with ``error``, the lower confidence bound of the term's
+conditional probability has to reach the threshold, and copies of a text count
+as one.
+
+Entities of the same documents have the same ties, and so have terms. They are
+put into classes by a digest of their documents, and classes are paired: a list of
+addresses that is posted three times is one class, not as many pairs as it has
+addresses and words.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Texts, per_text, staged, staged_with
+from pairloom.llm.quality import upper_bound
 
 #: Kinds of base spans in their order (fixed values).
 KINDS = ("email", "ip", "card", "phone")
@@ -43,6 +52,8 @@ NEAR, REACH = 8, 240
 SUPPORT = 3
 #: Disclosed share of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.95
+#: Chance that a term is removed which discloses less than its documents say.
+ERROR = 0.05
 #: Bits of the sieve that spares counting terms which stand near no entity.
 SIEVE = 1 << 24
 #: Words and counts held by a task.
@@ -192,18 +203,31 @@ def place_in_sieve(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode(), 42) % SIEVE
 
 
-def counts_of(sieve: np.ndarray, everywhere: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to documents per term, for terms whose bit is set; a task adds up before it hands on."""
+def counts_of(
+    sieve: np.ndarray, everywhere: bool = False, repeated: np.ndarray | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to documents per term, for terms whose bit is set; a task adds up before it hands on.
+
+    With a field of ``repeated`` hashes, terms of texts that may stand again
+    elsewhere come with the text's hash ``h``, once a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[str, str] = {}  # word to the term to count, or ''
         counts: Counter[str] = Counter()
+        apart: list[tuple[int, str]] = []
+        done: set[int] = set()
 
         def out() -> pa.RecordBatch:
-            columns = {"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
-            batch = pa.RecordBatch.from_pydict(columns)
+            own = [h for h, _ in apart]
+            columns = {
+                "h": pa.array([None] * len(counts) + own, pa.int64()),
+                "term": pa.array([*counts, *(t for _, t in apart)], pa.string()),
+                "n": pa.array([*counts.values(), *([1] * len(apart))], pa.int64()),
+            }
             counts.clear()
-            return batch
+            apart.clear()
+            return pa.RecordBatch.from_pydict(columns)
 
         def wanted(word: str) -> str:
             t = term(word)
@@ -212,15 +236,28 @@ def counts_of(sieve: np.ndarray, everywhere: bool = False) -> Callable[[Iterator
             return t
 
         for batch in batches:
-            for text in batch["text"]:
+            hashes = batch["h"].to_pylist() if repeated is not None else [None] * batch.num_rows
+            for h, text in zip(hashes, batch["text"], strict=True):
+                again = False
+                if h is not None:
+                    place = h % SIEVE
+                    again = bool(repeated[place >> 3] >> (place & 7) & 1)
+                    if again and h in done:
+                        continue
                 if len(asked) > HELD:
                     asked.clear()
                 own = text.as_py() or ""
                 words = set((blanked(own, base_spans(own)) if everywhere else own).split())
                 here = {asked[w] if w in asked else wanted(w) for w in words}
                 here.discard("")
-                counts.update(here)
-                if len(counts) > HELD:
+                if again:
+                    if len(done) > HELD:
+                        done.clear()
+                    done.add(h)
+                    apart += [(h, t) for t in here]
+                else:
+                    counts.update(here)
+                if len(counts) + len(apart) > HELD:
                     yield out()
         yield out()
 
@@ -256,9 +293,10 @@ def hits_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def sieve_of(terms: DataFrame) -> np.ndarray:
-    """A bit for each ``term``, in a field of fixed size; false hits only cost time."""
-    bits = terms.select(F.pmod(F.xxhash64("term"), F.lit(SIEVE)).alias("p"))  # of the unsigned hash too: 2**64 is a multiple
+def sieve_of(terms: DataFrame, column: str = "term") -> np.ndarray:
+    """A bit for each ``term`` (or hash ``h``), in a field of fixed size; false hits only cost time."""
+    hashed = F.xxhash64("term") if column == "term" else F.col(column)
+    bits = terms.select(F.pmod(hashed, F.lit(SIEVE)).alias("p"))  # of the unsigned hash too: 2**64 is a multiple
     words = bits.groupBy(F.expr("p div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))
     rows = words.collect()  # at most SIEVE / 32 rows, whatever the corpus
     field = np.zeros(SIEVE // 32, "<u4")
@@ -277,7 +315,7 @@ def disclosures(mentions: DataFrame, docs: DataFrame, n: int, support: int = SUP
     joint = staged(joint.filter(F.col("together") >= support), "joint-counts")
     entities = mentions.select(F.explode("who").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(joint.select("term").distinct()))
-    of_task = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: counts_of(sieve.value)(b), "term string, n bigint")
+    of_task = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: counts_of(sieve.value)(b), COUNTED)
     terms = of_task.groupBy("term").agg(F.sum("n").alias("n_term"))
     own = F.log2(F.lit(float(n)) / F.col("n_entity"))
     tie = F.log2(F.lit(float(n)) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
@@ -285,40 +323,99 @@ def disclosures(mentions: DataFrame, docs: DataFrame, n: int, support: int = SUP
     return both.select("entity", "term", F.when(own > 0, tie / own).alias("share"))
 
 
-def disclosures_everywhere(rows: DataFrame, docs: DataFrame, n: int, support: int, generalise: float, text_col: str) -> DataFrame:
-    """``disclosures`` over all terms of the documents that hold an entity; shares below ``generalise`` may be left out.
+#: Columns of ``counts_of``.
+COUNTED = "h bigint, term string, n bigint"
+
+
+def documents_of(row: str = "row") -> Column:
+    """A name of the set of rows of a group: their number, first, last, and two sums of 64 bits."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), F.col(row))) for k in (1, 2)]
+    return F.concat_ws(":", F.count("*"), F.min(row), F.max(row), *sums)
+
+
+def lower_bounds(pairs: DataFrame, error: float) -> DataFrame:
+    """``together``, ``n_term`` and the smallest rate that is no surprise (Clopper and Pearson), for each pair of counts once."""
 
-    ``rows`` has ``row``, ``who`` and ``words``. A term in too many documents
-    can't reach that share whatever it occurs with, and is not paired.
+    def make():
+        return lambda rows: {"rate": [1 - upper_bound(r["n_term"] - r["together"], r["n_term"], error) for r in rows]}
+
+    once = pairs.select("together", "n_term").distinct()
+    return once.withColumn("low", per_text(make, {"rate": "double"})(F.struct("together", "n_term"))["rate"])
+
+
+def told_everywhere(
+    rows: DataFrame, docs: DataFrame, n: int, support: int, generalise: float, remove: float, error: float | None, text_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of terms that disclose classes of entities, and the members of both.
+
+    ``rows`` has ``row``, ``h``, ``who`` and ``words`` of the documents that
+    hold an entity, of copies one if ``error`` is given. The first table has
+    ``class``, ``terms`` and ``gone``; the others ``entity`` and ``class``, and
+    ``term`` and ``terms``. Terms in too many documents to reach the share with
+    the most frequent entity are left out before they meet one.
     """
     held = rows.select("row", F.explode("who").alias("entity"))
-    entities = staged(held.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support), "entities")
-    held = staged(held.join(entities, "entity"), "held")
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), documents_of().alias("class"))
+    entities, seen = staged_with(entities.filter(F.col("n_entity") >= support), "entities", most=F.max("n_entity"))
+
+    def reach(n_entity: Column) -> Column:
+        """With at most n_entity documents together: n / n_term >= (n / n_entity) ** generalise."""
+        return F.lit(float(n)) * F.pow(n_entity / F.lit(float(max(n, 1))), F.lit(generalise)) * 1.000001
+
+    held = staged(held.join(entities, "entity").select("row", "class", "n_entity").distinct(), "held")
     words = rows.join(held.select("row").distinct(), "row").select("row", F.explode("words").alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("here")).filter(F.col("here") >= support).select("term")
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(often))
-    of_task = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: counts_of(sieve.value, True)(b), "term string, n bigint")
-    terms = staged(of_task.groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= support), "terms")
-    # with at most n_entity documents together: n / n_term >= (n / n_entity) ** generalise
-    most = F.lit(float(n)) * F.pow(F.col("n_entity") / F.lit(float(max(n, 1))), F.lit(generalise)) * 1.000001
-    pairs = held.join(words.join(terms, "term"), "row").filter(F.col("n_term") <= most)
-    joint = pairs.groupBy("entity", "term").agg(
+    context = docs.sparkSession.sparkContext
+    sieve, repeated = context.broadcast(sieve_of(often)), None
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    if error is not None:
+        again = texts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        repeated = context.broadcast(sieve_of(again, "h"))
+    of_task = texts.mapInArrow(lambda b: counts_of(sieve.value, True, repeated and repeated.value)(b), COUNTED)
+    if repeated is not None:  # a text that stands again counts once
+        of_task = staged(of_task, "term-counts")
+        of_task = of_task.filter("h is null").unionByName(of_task.filter("h is not null").distinct())
+    terms = of_task.groupBy("term").agg(F.sum("n").alias("n_term"))
+    terms = terms.filter((F.col("n_term") >= support) & (F.col("n_term") <= reach(F.lit(seen["most"] or 0))))
+    told = words.join(terms, "term").groupBy("term").agg(
+        F.first("n_term").alias("n_term"), F.count("*").alias("here"), documents_of().alias("terms")
+    )
+    told = told.filter(F.col("here") >= support).select("term", "n_term", F.concat_ws(":", "n_term", "terms").alias("terms"))
+    told = staged(told, "term-classes")
+    classes = words.join(told, "term").select("row", "terms", "n_term").distinct()
+    pairs = held.join(classes, "row").filter(F.col("n_term") <= reach(F.col("n_entity")))
+    joint = pairs.groupBy("class", "terms").agg(
         F.count("*").alias("together"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")
     )
     own = F.log2(F.lit(float(n)) / F.col("n_entity"))
+
+    def share(rate: Column) -> Column:
+        """Of the entity's information what knowing the term discloses, at this conditional probability."""
+        return F.when(own > 0, F.log2(F.lit(float(n)) * rate / F.col("n_entity")) / own)
+
     tie = F.log2(F.lit(float(n)) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
-    return joint.filter(F.col("together") >= support).select("entity", "term", F.when(own > 0, tie / own).alias("share"))
+    joint = joint.filter(F.col("together") >= support).withColumn("share", F.when(own > 0, tie / own))
+    joint = staged(joint.filter(F.col("share") >= generalise), "joint-counts")
+    if error is None:
+        gone = joint.withColumn("gone", F.col("share") >= remove)
+    else:
+        gone = joint.join(lower_bounds(joint, error), ["together", "n_term"]).withColumn("gone", share(F.col("low")) >= remove)
+    return staged(gone.select("class", "terms", "gone"), "disclosures"), entities.select("entity", "class"), told.select("term", "terms")
 
 
-def places_everywhere(rows: DataFrame, told: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def places_everywhere(
+    rows: DataFrame, told: DataFrame, entities: DataFrame, terms: DataFrame, docs: DataFrame, text_col: str
+) -> DataFrame:
     """Rows (h, start, end, gone) of told terms: with their entity, and of those to be removed in all documents."""
-    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(told.select("term").distinct()))
+    terms = terms.join(told.select("terms").distinct(), "terms")
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(terms.select("term")))
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     hits = texts.mapInArrow(lambda b: hits_of(sieve.value)(b), "h bigint, term string, start bigint, end bigint")
-    hits = staged(hits.distinct(), "hits")
-    gone = hits.join(told.filter("gone").select("term", "gone").distinct(), "term").select("h", "start", "end", "gone")
-    held = rows.select("h", F.explode("who").alias("entity")).distinct()
-    own = hits.join(told, "term").join(held, ["h", "entity"]).select("h", "start", "end", "gone")
+    hits = staged(hits.distinct().join(terms, "term").drop("term"), "hits")
+    gone = hits.join(told.filter("gone").select("terms", "gone").distinct(), "terms").select("h", "start", "end", "gone")
+    who = rows.select("h", F.explode("who").alias("entity")).distinct().join(entities, "entity").select("h", "class").distinct()
+    ties = told.join(who, "class").groupBy("h", "terms").agg(F.max("gone").alias("gone"))  # classes that a text holds
+    own = hits.join(ties, ["h", "terms"]).select("h", "start", "end", "gone")
     return gone.unionByName(own).groupBy("h", "start", "end").agg(F.max("gone").alias("gone"))
 
 
@@ -330,35 +427,38 @@ def scan(
     generalise: float = GENERALISE,
     remove: float = REMOVE,
     everywhere: bool = False,
+    error: float | None = None,
 ) -> DataFrame:
     """One row per document: id, ``h`` (hash of the text), ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans``.
 
     ``spans`` holds base spans, then terms to generalise and terms to remove,
     each by place, as kind:start:end in code points. Terms near an entity count,
     and a document without base span has none; ``everywhere``, all terms of a
-    document count, and places in all documents. Null and empty texts have none, a null id stays null,
+    document count, and places in all documents; with ``error``, copies of a text
+    count as one, and terms are removed by the lower bound of what they
+    disclose. Null and empty texts have none, a null id stays null,
     repeated rows stay apart, an empty table gives an empty one.
     """
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), found(F.col(text_col), everywhere).alias("f"))
     rows = base.select(F.monotonically_increasing_id().alias("row"), "id", "h", "f.*")
     rows, seen = staged_with(rows, "mentions", n=F.count("*"))
     if everywhere:
-        told = disclosures_everywhere(rows.filter(F.size("who") > 0), docs, seen["n"], support, generalise, text_col)
+        key, some, n = "h", rows.filter(F.size("who") > 0), seen["n"]
+        if error is not None:
+            some, n = some.dropDuplicates(["h"]), rows.select("h").distinct().count()
+        told, entities, terms = told_everywhere(some, docs, n, support, generalise, remove, error, text_col)
+        hit = places_everywhere(some, told, entities, terms, docs, text_col)
     else:
+        key = "row"
         parts = {"entities": "entity", "terms": "term", "starts": "start", "ends": "end"}
         zipped = F.arrays_zip(*[F.col(many).alias(one) for many, one in parts.items()])
         near = rows.filter(F.size("terms") > 0)
         pairs = F.array_distinct(F.transform(zipped, lambda z: F.struct(z["entity"].alias("entity"), z["term"].alias("term"))))
         mentions = near.select(pairs.alias("pairs"), F.array_distinct("entities").alias("who"))
-        told = disclosures(mentions, docs, seen["n"], support, text_col)
-    told = told.filter(F.col("share") >= generalise)
-    told = staged(told.select("entity", "term", (F.col("share") >= remove).alias("gone")), "disclosures")
-
-    if everywhere:
-        key, hit = "h", places_everywhere(rows, told, docs, text_col)
-    else:
+        told = disclosures(mentions, docs, seen["n"], support, text_col).filter(F.col("share") >= generalise)
+        told = staged(told.select("entity", "term", (F.col("share") >= remove).alias("gone")), "disclosures")
         places = near.select("row", F.explode(zipped).alias("z")).select("row", "z.*")
-        key, hit = "row", places.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("gone").alias("gone"))
+        hit = places.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("gone").alias("gone"))
     kind = F.when(F.col("gone"), "removed").otherwise("generalised")
     listed = F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "end")))  # those of one text
     text = F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -392,8 +492,8 @@ def sanitised(text: str | None, spans: str) -> str | None:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: Any) -> DataFrame:
-    """The documents with spans replaced in their texts, terms ``everywhere``; all rows and columns stay, repeated ones too."""
-    settings = {"everywhere": True} | settings
+    """The documents with spans replaced in their texts, terms ``everywhere`` and removed by proof only; all rows and columns stay."""
+    settings = {"everywhere": True, "error": ERROR} | settings
     spans = scan(docs, id_col, text_col, **settings).filter("spans <> ''").groupBy("h").agg(F.first("spans").alias("spans"))
     spans = spans.select(F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
@@ -403,7 +503,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     def make():
         return lambda rows: {"text": [sanitised(r["text"], r["spans"] or "") for r in rows]}
 
-    text = per_text(make, {"text": "string"})(F.struct(F.col(f"_row.{text_col}").alias("text"), F.col("_spans").alias("spans")))
+    text = per_text(make, {"text": "string"})(F.struct(F.col(f"_row.`{text_col}`").alias("text"), F.col("_spans").alias("spans")))
     done = joined.select("_row", text.alias("_new"))
     columns = [F.col("_new.text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return done.select(columns)

@@ -206,3 +206,39 @@ def test_sanitise_leaves_no_term_that_is_removed(make):
     rows = list(enumerate(far_corpus()))
     spans = {r.doc_id: r.spans for r in pii.scan(make(rows), remove=0.7, everywhere=True).collect()}
     assert "removed" in spans[19]
+
+
+def listed(n, words, copies):
+    """Texts that stand several times, with as many addresses, and other texts."""
+    page = " ".join(f"w{i}x user{i}@list.org" if i < n else f"w{i}x" for i in range(words))
+    return [page] * copies + [f"filler text {i % 7} of no use" for i in range(40)]
+
+
+def test_classes_grow_with_the_text_not_with_its_square(make, monkeypatch):
+    made = {}
+
+    def count(df, name):
+        out = staged(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    staged = pii.staged
+    monkeypatch.setattr(pii, "staged", count)
+    texts = listed(300, 600, 3)
+    found = pii.scan(make(texts), everywhere=True).collect()
+    assert max(made.values()) <= 3 * (300 + 600) and made["disclosures"] == 1
+    assert sum("removed" in r.spans for r in found) == 3
+
+
+def test_a_page_that_is_posted_three_times_keeps_its_words(make):
+    texts = listed(5, 60, 3)
+    done = sorted(r.text for r in pii.sanitise(make(texts)).collect())
+    assert done[-3:] == [re.sub(r"user\d@list\.org", "<EMAIL>", texts[0])] * 3
+
+
+def test_removal_needs_proof(make):
+    rows = [f"{w} Quorx has bob@y.org to tell" for w in ("one", "two", "three", "four")] + ["here is Quorx once more"]
+    rows += [f"some other text with number {i}" for i in range(60)]
+    spans = [{r.doc_id: r.spans for r in pii.scan(make(rows), everywhere=True, generalise=0.7, remove=0.8, error=e).collect()} for e in (None, 0.05)]
+    assert "removed" in spans[0][0] and "removed" in spans[0][4]
+    assert "generalised" in spans[1][0] and "removed" not in spans[1][0] and not spans[1][4]
