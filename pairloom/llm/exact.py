@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import one_row_each, staged, staged_with
@@ -101,9 +101,13 @@ def identities(
     schema = f"id {kind}, row bigint, n bigint, pos bigint, number bigint, first bigint, sha string, block binary"
     blocks = staged(base.mapInArrow(cut(block, together), schema), "blocks")
 
-    # of equal blocks, a task sends one: no block has more rows here than there are stretches of input
-    alike = Window.partitionBy("block")
-    named = blocks.filter("block is not null").select("first", F.min("number").over(alike).alias("name"))
+    # bytes give the names, and are put together before they move; a digest only leads from a block to its name
+    sent = blocks.filter("block is not null")
+    names = sent.groupBy("block").agg(F.min("number").alias("name")).select(F.sha2("block", 256).alias("key"), "name")
+    names = names.groupBy("key").agg(F.min("name").alias("name"), F.max("name").alias("other"))
+    clash = F.raise_error(F.lit("two blocks have one SHA-256"))
+    names = names.select("key", F.when(F.col("name") == F.col("other"), F.col("name")).otherwise(clash).cast("long").alias("name"))
+    named = sent.select("first", F.sha2("block", 256).alias("key")).join(names, "key").drop("key")
     level, depth = blocks.drop("block").join(named, "first").drop("first"), 0
     columns = ["id", "sha", "row", "n", "pos", "number", "name"]
     level, seen = staged_with(level.select(columns), "names", longest=F.max("n"))
