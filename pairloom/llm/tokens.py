@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Texts, per_text
+from pairloom.llm.common import Texts, per_text, staged, staged_with
 
 #: White space as Unicode defines it (fixed values); Python's own ``\s`` has four more characters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -158,9 +158,9 @@ def count_tokens(
     Texts up to ``chunk`` characters are counted where they are read. Longer
     ones are cut into overlapping chunks that spread over all tasks; each is
     encoded with offsets, and neighbours are spliced at a boundary that holds
-    in any context. Neighbours must give the same tokens behind their seam,
-    else the job stops; an overlap without a usable boundary is widened
-    beforehand, up to the whole text.
+    in any context. Neighbours must give the same tokens behind their seam;
+    texts where they don't are cut anew with twice the overlap, up to the whole
+    text, and so is an overlap without a usable boundary beforehand.
 
     For tokenizers whose tokens cross no end of a word. A null text has no
     tokens and no bytes, a null id stays null, repeated rows stay apart, an
@@ -172,18 +172,30 @@ def count_tokens(
     count = per_text(lambda: Counts(path).of, {"n_tokens": "bigint"})
     short = base.filter(~long).select("id", "n_bytes", count("text").alias("c")).select("id", "n_bytes", "c.n_tokens")
 
-    kept = f"id {base.schema['id'].dataType.simpleString()}, n_bytes bigint, row bigint, seq int, n int"
-    huge = base.filter(long).withColumn("row", F.monotonically_increasing_id())
+    huge = staged(base.filter(long), "long-texts")  # rows get their number from files: a task that runs again numbers alike
+    parts, todo, wide = [short], huge.withColumn("row", F.monotonically_increasing_id()), overlap
+    todo = staged(todo, "long-texts")
+    while True:
+        found, seen = staged_with(spliced(todo, path, chunk, wide), "spliced", apart=F.count_if(~F.col("fits")))
+        parts.append(found.filter("fits").select("id", "n_bytes", "n_tokens"))
+        if not seen["apart"]:
+            break
+        todo, wide = todo.join(found.filter("not fits").select("row"), "row").select(todo.columns), 2 * wide
+    counted = functools.reduce(DataFrame.unionByName, parts)
+    return counted.withColumnRenamed("id", id_col)
+
+
+def spliced(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """Rows (row, id, n_bytes, n_tokens, fits) of long texts; ``fits`` if all neighbours agree behind their seams."""
+    kept = f"id {huge.schema['id'].dataType.simpleString()}, n_bytes bigint, row bigint, seq int, n int"
     chunks = huge.mapInArrow(cut(chunk, overlap), f"{kept}, part string, low bigint, high bigint")
     counted = chunks.repartition("row", "seq").mapInArrow(
         encode_chunks(path), f"{kept}, tokens bigint, left string, right string"
     )
     sides = F.array_sort(F.collect_list(F.struct("seq", "left", "right")))  # as many as the text has chunks
-    spliced = counted.groupBy("row").agg(
+    whole = counted.groupBy("row").agg(
         *[F.first(c).alias(c) for c in ("id", "n_bytes", "n")], F.sum("tokens").alias("n_tokens"), sides.alias("s")
     )
     agree = F.forall(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.col("s")[i]["right"] == F.col("s")[i + 1]["left"])
     fits = F.when(F.col("n") == 1, True).otherwise(agree)
-    n_tokens = F.when(fits, F.col("n_tokens")).otherwise(F.raise_error(F.lit("chunks don't agree at a seam")))
-    spliced = spliced.select("id", "n_bytes", n_tokens.cast("long").alias("n_tokens"))
-    return short.unionByName(spliced).withColumnRenamed("id", id_col)
+    return whole.select("row", "id", "n_bytes", "n_tokens", fits.alias("fits"))

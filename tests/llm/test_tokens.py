@@ -50,3 +50,34 @@ def test_white_space_before_a_special_string(make, chunk):
     texts.append(("word " * 30 + "\n\n<|endoftext|>") * 390)
     assert len(texts[-1]) < tokens.CHUNK < len(texts[-2])
     compare(make(texts), list(enumerate(texts)), chunk=chunk, overlap=8)
+
+
+def test_texts_whose_chunks_differ_are_cut_anew(make, monkeypatch):
+    wide = []
+
+    def bad(chunk, overlap):
+        wide.append(overlap)
+        return cut(chunk, overlap) if overlap >= 32 else cut_inside(chunk)
+
+    def cut_inside(chunk):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:  # seams inside words, where neighbours can't agree
+                for r in range(batch.num_rows):
+                    text = batch["text"][r].as_py()
+                    half = len(text) // 2 + 7
+                    parts = [text[: half + 50], text[half:]]
+                    columns = {c: batch[c].take(pa.array([r, r])) for c in ("id", "n_bytes", "row")} | {
+                        "seq": pa.array([0, 1], pa.int32()), "n": pa.array([2, 2], pa.int32()), "part": pa.array(parts),
+                        "low": pa.array([0, 0]), "high": pa.array([half, len(parts[1])]),
+                    }
+                    yield pa.RecordBatch.from_pydict(columns)
+
+        return run
+
+    cut = tokens.cut
+    monkeypatch.setattr(tokens, "cut", bad)
+    texts = ["internationalization " * 20 + " x" * k for k in range(5)]
+    compare(make(texts), list(enumerate(texts)), chunk=100, overlap=8)
+    assert wide[:3] == [8, 16, 32] and len(wide) == 3
