@@ -87,6 +87,9 @@ K, FACTOR = 4, np.uint64(0x9E3779B97F4A7C15)
 APART = 8
 #: Share of a template's windows on merged diagonals that makes a span worth a check, and of its words that proves it.
 CANDIDATE, PROOF = 0.3, 0.75
+#: Share of a template's windows that makes a span a part of a broken notice, and the words that may stand between parts
+#: of a short one; between those of others, as many as the template has.
+PART, BREAK = 0.1, 64
 #: Words a worker remembers the hash of.
 REMEMBERED = 400_000
 
@@ -202,15 +205,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     hits = keyed.select("id", "h", F.posexplode(windows(F.col("text"))).alias("at", "hash")).join(places, "hash")
     hits = hits.select("id", "h", "template", "n", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     votes = hits.groupBy("id", "h", "template", "diagonal").agg(
-        F.first("n").alias("n"), F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
+        F.first("n").alias("n"),
+        F.count("*").alias("votes"),
+        F.min("at").alias("low"),
+        F.max("at").alias("high"),
     )
     by = Window.partitionBy("id", "h", "template").orderBy("diagonal")  # diagonals of one text
     step = F.col("diagonal") - F.lag("diagonal").over(by)
     apart = F.least(F.lit(APART), F.expr("(n + 2) div 2"))
     votes = votes.withColumn("new", F.when(step <= apart, 0).otherwise(1)).withColumn("group", F.sum("new").over(by))
     spans = votes.groupBy("id", "h", "template", "group").agg(
+        F.first("n").alias("n"),
+        F.sum("votes").alias("votes"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    # what is left of a broken notice belongs together whatever has been put in between; the check minds the order
+    broken = spans.filter((F.col("votes") < F.lit(PROOF) * F.col("n")) & (F.col("votes") >= F.lit(PART) * F.col("n")))
+    order = Window.partitionBy("id", "h", "template").orderBy("low", "high")  # spans of one text
+    follows = F.col("low") - F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.greatest("n", F.lit(BREAK)) + K
+    broken = broken.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order))
+    chained = broken.groupBy("id", "h", "template", "chain").agg(
         F.first("n").alias("n"), F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high")
     )
+    spans = spans.drop("group").unionByName(chained.drop("chain"))
     spans = spans.filter(F.col("votes") >= F.lit(CANDIDATE) * F.col("n"))
     listed = spans.groupBy("id", "h").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))  # those of one text
     listed = staged(listed.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans"), "spans")

@@ -82,3 +82,23 @@ def test_repeated_notice(make, n):
     text = "Released under the MIT License. " * n
     found = compare(make([text]), [(0, text)])
     assert found[0].labels == "mit"
+
+
+@pytest.mark.parametrize("n", [9, 20, 50])
+def test_notices_with_words_put_in(make, n):
+    put = " ".join(f"inserted{i}" for i in range(n))
+    notices = {label: text for label, text in licenses.TEMPLATES if len(text.split()) >= 25}
+    texts = []
+    for text in notices.values():
+        words = text.split()
+        middle = len(words) // 2
+        texts.append(f"before it {' '.join(words[:middle])} {put} {' '.join(words[middle:])} after it")
+    found = compare(make(texts), list(enumerate(texts)))
+    assert {r.doc_id: label in r.labels.split(",") for r in found for i, label in enumerate(notices) if i == r.doc_id} == dict.fromkeys(range(len(texts)), True)
+    turned = []
+    for text in notices.values():  # halves in the wrong order are no notice
+        words = text.split()
+        middle = len(words) // 2
+        turned.append(" ".join(words[middle:] + put.split() + words[:middle]))
+    for r in compare(make(turned), list(enumerate(turned))):
+        assert r.labels == r.base_labels
