@@ -176,10 +176,9 @@ def pairs_by_template(
     benchmark, counts of benchmarks give the rest, and texts join last.
     """
     place = ["benchmark_id", "pos"]
-    items = chosen.select(*place, F.col("source_item").alias("_c")).join(
-        rejected.select(*place, F.col("source_item").alias("_r")), place
-    )
-    matched = items.where(F.col("_c").eqNullSafe(F.col("_r"))).select(*place)
+    item = F.md5(F.to_json(F.struct("source_item")))  # 128 bits move instead of the items
+    items = chosen.select(*place, item.alias("_c")).join(rejected.select(*place, item.alias("_r")), place)
+    matched = items.where(F.col("_c") == F.col("_r")).select(*place)
     before = F.sum("_n").over(Window.orderBy("benchmark_id")) - F.col("_n")  # a row per benchmark
     sizes = matched.groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("_n")).select("benchmark_id", before.alias("_before"))
     numbered = number_within(matched, ["benchmark_id"], [F.col("pos")], "_at", spread).join(sizes, "benchmark_id")

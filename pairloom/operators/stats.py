@@ -104,15 +104,25 @@ def long_passage_summary(long: DataFrame, by: list[str] = []) -> DataFrame:
     return long.groupBy(*by).agg(*out, F.avg("reduction").alias("reduction_mean"))
 
 
-def rubric_means(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """Mean score of each (rubric, model), one row per rubric.
+def rubric_mean_rows(scores: DataFrame) -> DataFrame:
+    """Mean score of each rubric and model: a row per cell, of any number of models.
 
-    Models are columns, ``_`` in their names shown as ``-``. A rubric a model
-    has no score for counts 0.0.
+    Every model has a row for every rubric that occurs; one it has no score
+    for counts 0.0. ``_`` in names of models is shown as ``-``.
     """
     rows = scores.where(F.col("rubric").isin(V.RUBRICS)).withColumn("model", F.replace("model", F.lit("_"), F.lit("-")))
-    means = rows.groupBy("rubric").pivot("model", models).agg(F.avg("score"))
-    return means.fillna(0.0)
+    means = rows.groupBy("rubric", "model").agg(F.avg("score").alias("_mean"))
+    rubrics = means.agg(F.collect_set("rubric").alias("rubric"))  # one row, a handful of names
+    grid = means.select("model").distinct().join(F.broadcast(rubrics)).select("model", F.explode("rubric").alias("rubric"))
+    return grid.join(means, ["rubric", "model"], "left").select("rubric", "model", F.coalesce("_mean", F.lit(0.0)).alias("mean"))
+
+
+def rubric_means(scores: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """:func:`rubric_mean_rows` as a table for people: one row per rubric, a column per model.
+
+    Name the ``models`` wanted; without, all of them become columns.
+    """
+    return rubric_mean_rows(scores).groupBy("rubric").pivot("model", models).agg(F.first("mean")).fillna(0.0)
 
 
 def overall_means(scores: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pairloom.operators.responses import parse_pass_fail, scores_long
 from pairloom.schemas import PAIR
 from pairloom.sources.files import flatten_entries, read_eval_tree, write_jsonl, write_pairs
 from pairloom.sources.outputs import write_outputs
-from pairloom.storage import new_path
+from pairloom.storage import new_path, written
 
 
 def _stored(pairs: DataFrame, root: str) -> DataFrame:
@@ -191,10 +191,9 @@ def convert_pairs(
     spark = pairs.sparkSession
     texts = ["prompt", "chosen", "rejected"]
     records = R.flatten_rm_record(R.to_rm_record(pairs, templates), ["pair_id"])
-    staged = new_path(spark, "train-records")
-    records.withColumn("content", F.md5(F.to_json(F.struct(*texts)))).write.parquet(staged)
+    stored, _ = written(records.withColumn("content", F.md5(F.to_json(F.struct(*texts)))), "train-records")
     place = ["file_name", "row_index"]
-    stored = spark.read.parquet(staged).select("*", *[f"_metadata.{c}" for c in place])
+    stored = stored.select("*", *[f"_metadata.{c}" for c in place])
     cut = R.split_cut(stored, "pair_id", n_eval, seed, [*["content"], *place])  # reads ids only
     split = R.split_at(stored, cut, "pair_id", seed, ["content", *place])
     counts = []

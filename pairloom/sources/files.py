@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import values as V
 from pairloom.schemas import EVALUATION
 from pairloom.sources.arrays import array_elements
+from pairloom.storage import written
 
 #: Bytes up to which a file is read as one row; larger ones are cut into elements by ranges.
 WHOLE_FILE = 16 << 20
@@ -170,20 +171,28 @@ def flatten_entries(df: DataFrame, raw: str, entry: T.DataType) -> DataFrame:
     ).where(F.col("entry").isNotNull())
 
 
-def write_json_arrays(df: DataFrame, path: str, by: list[str] = [], rows_per_file: int = 10_000) -> None:
+def write_json_arrays(
+    df: DataFrame, path: str, by: list[str] = [], rows_per_file: int = 10_000, bytes_per_file: int = 64 << 20
+) -> None:
     """JSON files that hold one array each, for readers of whole files.
 
-    Every task cuts its own rows into arrays of up to ``rows_per_file`` (below
-    ``by`` folders); no group is gathered and no row leaves the JVM. Rows are
-    numbered as they come, so where they lie decides the cut, not what is read
-    back.
+    An array ends after ``rows_per_file`` rows or ``bytes_per_file`` bytes,
+    below ``by`` folders. Rows are written first, and their places in these
+    files decide the cut, so a task that runs again cuts alike: no row is lost
+    or doubled. A file's rows are cut by one task; no group is gathered.
     """
     row = F.to_json(F.struct(*[c for c in df.columns if c not in by]))
-    at = F.monotonically_increasing_id()
-    chunk = F.struct(F.shiftright(at, 33).alias("task"), F.expr(f"(monotonically_increasing_id() & 8589934591L) div {rows_per_file}").alias("n"))
-    rows = df.select(*by, row.alias("value"), chunk.alias("_chunk"))
-    arrays = rows.groupBy(*by, "_chunk").agg(F.collect_list("value").alias("_list"))
-    text = F.concat(F.lit("["), F.array_join("_list", ","), F.lit("]"))
+    rows, _ = written(df.select(*by, row.alias("value")), "array-rows")
+    at = F.struct("_metadata.file_path", "_metadata.row_index")
+    rows = rows.select(*by, "value", at["file_path"].alias("_file"), at["row_index"].alias("_at"))
+    own = Window.partitionBy(*by, "_file").orderBy("_at")
+    size = F.sum(F.octet_length("value") + 1).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    chunk = F.struct(
+        F.floor(F.coalesce(size, F.lit(0)) / bytes_per_file).alias("bytes"),
+        F.floor((F.row_number().over(own) - 1) / rows_per_file).alias("rows"),
+    )
+    arrays = rows.withColumn("_chunk", chunk).groupBy(*by, "_file", "_chunk").agg(F.sort_array(F.collect_list(F.struct("_at", "value"))).alias("_list"))
+    text = F.concat(F.lit("["), F.array_join("_list.value", ","), F.lit("]"))
     out = arrays.select(*by, text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1)
     (out.partitionBy(*by) if by else out).text(path)
 

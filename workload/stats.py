@@ -105,10 +105,8 @@ SELECT c.rubric, c.model, round(coalesce(avg(score), 0.0), 6) AS mean
 FROM cells c LEFT JOIN long l ON l.rubric = c.rubric AND l.model = c.model GROUP BY ALL""",
 )
 def rubric_means(spark, sf):
-    """The table of means, a row per cell."""
-    rows = A.rubric_means(long_scores(spark, sf))
-    cells = F.explode(F.create_map(*[x for m in rows.columns[1:] for x in (F.lit(m), F.col(m))])).alias("model", "mean")
-    return rows.select("rubric", cells).select("rubric", "model", F.round("mean", 6).alias("mean"))
+    """A row per cell."""
+    return A.rubric_mean_rows(long_scores(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
 @query(
