@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,46 @@ from pairloom.operators.records import complete_pairs, with_text
 
 Scorer = Callable[[pd.Series], pd.Series]
 
+#: Characters of a batch after each text is padded to the longest, and texts of a batch.
+PADDED, BATCH = 1 << 20, 1024
+
+
+def padded_batches(lengths: np.ndarray, padded: int = PADDED, rows: int = BATCH) -> Iterator[np.ndarray]:
+    """Places of texts of similar length, as many at once as the padded size allows; a longer text is alone."""
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    for end in range(1, len(order) + 1):
+        full = end == len(order) or end - start >= rows or (end - start + 1) * max(1, int(lengths[order[end]])) > padded
+        if full:
+            yield order[start:end]
+            start = end
+
+
+def _scored(scorer: Scorer, texts: pd.Series, errors: dict[int, str] | None) -> np.ndarray:
+    """Scores of a batch. If it fails and ``errors`` is given, its halves are tried, down to the text that fails."""
+    try:
+        found = np.asarray(scorer(texts).astype("float64"))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} scores for {len(texts)} texts")
+        return found
+    except Exception as e:
+        if errors is None:
+            raise
+        if len(texts) == 1:
+            errors[texts.index[0]] = f"{type(e).__name__}: {e}"
+            return np.array([np.nan])
+    half = len(texts) // 2
+    return np.concatenate([_scored(scorer, texts.iloc[:half], errors), _scored(scorer, texts.iloc[half:], errors)])
+
+
+def score_all(scorer: Scorer, texts: pd.Series, padded: int, isolate: bool) -> tuple[np.ndarray, list[str | None]]:
+    """Scores of texts in their order, made in batches of similar length, and what went wrong with each."""
+    texts = texts.reset_index(drop=True)
+    out, errors = np.full(len(texts), np.nan), {} if isolate else None
+    for places in padded_batches(texts.str.len().fillna(0).to_numpy("int64"), padded):
+        out[places] = _scored(scorer, texts.iloc[places], errors)
+    return out, [(errors or {}).get(i) for i in range(len(texts))]
+
 
 def score_with(
     df: DataFrame,
@@ -21,43 +62,57 @@ def score_with(
     make_scorer: Callable[[], Scorer],
     to: str = "reward_score",
     model: str | None = None,
+    errors: str | None = None,
+    padded: int = PADDED,
 ) -> DataFrame:
     """Add a user model's score of every non-empty text; empty ones are left out.
 
     ``make_scorer`` builds the scorer once per task, so a model is loaded once
-    and then fed Arrow batches. ``model`` fills the column evaluation_model.
+    and then fed batches. Texts of an Arrow batch are dealt into batches of
+    similar length: padded to the longest, none holds more than ``padded``
+    characters, but for a text that alone is longer. A scorer must score each
+    text by itself. With ``errors``, a batch that fails is halved until the
+    failing text is alone: it gets a null score and its error in that column;
+    without, the job fails. ``model`` fills the column evaluation_model.
     """
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in batches:
-            yield scorer(batch).astype("float64")
-
-    out = with_text(df, text).withColumn(to, F.pandas_udf(score, "double")(F.col(text)))
+            found, wrong = score_all(scorer, batch, padded, errors is not None)
+            yield pd.DataFrame({"score": found, "failed": pd.Series(wrong, dtype="object")})
+
+    both = F.pandas_udf(score, "score double, failed string")
+    out = with_text(df, text).withColumn("_s", both(F.col(text)))
+    value = F.when(F.col("_s.failed").isNull(), F.col("_s.score"))
+    out = out.withColumn(to, value)
+    out = (out if errors is None else out.withColumn(errors, F.col("_s.failed"))).drop("_s")
     return out if model is None else out.withColumn("evaluation_model", F.lit(model))
 
 
-def compare_with(pairs: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFrame:
+def compare_with(
+    pairs: DataFrame, make_scorer: Callable[[], Scorer], errors: str | None = None, padded: int = PADDED
+) -> DataFrame:
     """Score both texts of every complete pair with one loaded model.
 
     Adds chosen_score, rejected_score, score_difference and
-    correct_preference (a tie is not correct).
+    correct_preference (a tie is not correct). Batches and ``errors`` are those
+    of :func:`score_with`; both texts of a batch's pairs are dealt out together.
     """
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for chosen, rejected in batches:
-            yield pd.DataFrame(
-                {"chosen": scorer(chosen).astype("float64"), "rejected": scorer(rejected).astype("float64")}
-            )
+            n = len(chosen)
+            found, wrong = score_all(scorer, pd.concat([chosen, rejected], ignore_index=True), padded, errors is not None)
+            failed = pd.Series([a or b for a, b in zip(wrong[:n], wrong[n:], strict=True)], dtype="object")
+            yield pd.DataFrame({"chosen": found[:n], "rejected": found[n:], "failed": failed})
 
-    both = F.pandas_udf(score, "chosen double, rejected double")
+    both = F.pandas_udf(score, "chosen double, rejected double, failed string")
     scored = complete_pairs(pairs).withColumn("_s", both("chosen", "rejected"))
-    return with_difference(
-        scored.withColumn("chosen_score", F.col("_s.chosen"))
-        .withColumn("rejected_score", F.col("_s.rejected"))
-        .drop("_s")
-    )
+    for side in ("chosen", "rejected"):
+        scored = scored.withColumn(f"{side}_score", F.when(F.col("_s.failed").isNull(), F.col(f"_s.{side}")))
+    return with_difference((scored if errors is None else scored.withColumn(errors, F.col("_s.failed"))).drop("_s"))
 
 
 def with_difference(scored: DataFrame) -> DataFrame:

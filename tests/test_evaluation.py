@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,36 @@ def test_ties_nulls_and_top_k(spark):
 
 
 
+def test_padded_batches():
+    lengths = np.array([5, 900, 3, 4, 100_000, 7, 0, 900])
+    batches = [b.tolist() for b in S.padded_batches(lengths, 2000, 3)]
+    assert sorted(i for b in batches for i in b) == list(range(8))
+    assert [4] in batches
+    for b in batches:
+        assert len(b) <= 3 and (len(b) == 1 or len(b) * lengths[b].max() <= 2000)
+    assert list(S.padded_batches(np.array([], "int64"))) == []
+
+
+def test_a_failing_text_fails_alone(spark):
+    def scorer():
+        def score(s):
+            if s.str.contains("bad").any():
+                raise ValueError("no such text")
+            return s.str.len() * 1.0
+
+        return score
+
+    rows = [(i, ("bad" if i in (3, 50) else "x" * (i * 37 % 101 + 1))) for i in range(100)]
+    df = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    found = {r.i: (r.reward_score, r.why) for r in S.score_with(df, "t", scorer, errors="why", padded=500).collect()}
+    assert found == {i: (None, "ValueError: no such text") if t == "bad" else (float(len(t)), None) for i, t in rows}
+    pairs = spark.createDataFrame([("1", "aa", "b"), ("2", "aa", "bad"), ("3", "a", "bbb")], "pair_id string, chosen string, rejected string")
+    both = {r.pair_id: (r.score_difference, r.why) for r in S.compare_with(pairs, scorer, errors="why").collect()}
+    assert both == {"1": (1.0, None), "2": (None, "ValueError: no such text"), "3": (-2.0, None)}
+    with pytest.raises(Exception, match="no such text"):
+        S.score_with(df, "t", scorer).collect()
+
+
 def test_scores_and_accuracy(spark):
     df = spark.createDataFrame([("1", "가나다", "가"), ("2", "가", "가나"), ("3", "가", "가"), ("4", "", "가"), ("5", None, "가")], "pair_id string, chosen string, rejected string")
     scored = S.score_with(df, "chosen", lambda: lambda s: s.str.len() * 0.5, model="m")

@@ -39,6 +39,25 @@ def score_with(spark, sf):
     return rows.select("doc_id", F.round("reward_score", 6).alias("reward_score"), "evaluation_model")
 
 
+@query(
+    "score_with_errors",
+    "SELECT doc_id, CASE WHEN length(text) <= 3000 THEN round(length(text) % 97 / 7, 6) END AS reward_score, "
+    "CASE WHEN length(text) > 3000 THEN 'ValueError: longer than 3000' END AS score_error FROM documents WHERE length(text) > 0",
+)
+def score_with_errors(spark, sf):
+    """A scorer that can't take long texts: each fails alone."""
+    def scorer():
+        def score(s):
+            if (s.str.len() > 3000).any():
+                raise ValueError("longer than 3000")
+            return s.str.len() % 97 / 7
+
+        return score
+
+    rows = S.score_with(table(spark, sf, "documents"), "text", scorer, errors="score_error")
+    return rows.select("doc_id", F.round("reward_score", 6).alias("reward_score"), "score_error")
+
+
 @query(
     "compare_with",
     f"""WITH {SCORED}
@@ -257,6 +276,22 @@ def rbo_by_language(spark, sf):
     return rows.select("lang", F.round("rbo", 9).alias("rbo"))
 
 
+@query(
+    "rbo_bounds_by_language",
+    f"""WITH {_ranks('lang')}, met AS (SELECT lang, greatest(a, b) AS d, count(*) AS n FROM ranks GROUP BY ALL),
+depths AS (SELECT lang, a AS d FROM ranks),
+known AS (SELECT lang, d, sum(coalesce(n, 0)) OVER (PARTITION BY lang ORDER BY d) AS x FROM depths LEFT JOIN met USING (lang, d)),
+sums AS (SELECT lang, max(d) AS l, max(x) AS x, sum(pow(0.9, d - 1) * x / d) AS s, sum(pow(0.9, d - 1) / d) AS h FROM known GROUP BY lang),
+low AS (SELECT *, 0.1 * (s + x * greatest(-ln(0.1) / 0.9 - h, 0)) AS low FROM sums)
+SELECT lang, round(low, 9) AS rbo_min, round(0.1 * s + pow(0.9, l) - low, 9) AS rbo_res, round(0.1 * s + x / l * pow(0.9, l), 9) AS rbo_ext
+FROM low""",
+)
+def rbo_bounds_by_language(spark, sf):
+    """What the overlap of the two rankings is if they go on."""
+    rows = K.rbo_bounds(*rankings(spark, sf, ["lang"]), by=["lang"])
+    return rows.select("lang", *[F.round(c, 9).alias(c) for c in ("rbo_min", "rbo_res", "rbo_ext")])
+
+
 @query(
     "first_valid_attempt",
     f"""WITH {PASSAGES}, {ATTEMPTS}, tries AS (SELECT * FROM attempts WHERE attempt <= 10),
