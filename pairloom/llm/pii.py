@@ -204,30 +204,22 @@ def place_in_sieve(word: str) -> int:
 
 
 def counts_of(
-    sieve: np.ndarray, everywhere: bool = False, repeated: np.ndarray | None = None
+    sieve: np.ndarray, everywhere: bool = False, apart: np.ndarray | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts to documents per term, for terms whose bit is set; a task adds up before it hands on.
 
-    With a field of ``repeated`` hashes, terms of texts that may stand again
-    elsewhere come with the text's hash ``h``, once a task.
+    Texts whose hash ``h`` is set in the field ``apart`` are left to others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[str, str] = {}  # word to the term to count, or ''
         counts: Counter[str] = Counter()
-        apart: list[tuple[int, str]] = []
-        done: set[int] = set()
 
         def out() -> pa.RecordBatch:
-            own = [h for h, _ in apart]
-            columns = {
-                "h": pa.array([None] * len(counts) + own, pa.int64()),
-                "term": pa.array([*counts, *(t for _, t in apart)], pa.string()),
-                "n": pa.array([*counts.values(), *([1] * len(apart))], pa.int64()),
-            }
+            columns = {"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
+            batch = pa.RecordBatch.from_pydict(columns)
             counts.clear()
-            apart.clear()
-            return pa.RecordBatch.from_pydict(columns)
+            return batch
 
         def wanted(word: str) -> str:
             t = term(word)
@@ -236,34 +228,46 @@ def counts_of(
             return t
 
         for batch in batches:
-            hashes = batch["h"].to_pylist() if repeated is not None else [None] * batch.num_rows
-            for h, text in zip(hashes, batch["text"], strict=True):
-                again = False
-                if h is not None:
-                    place = h % SIEVE
-                    again = bool(repeated[place >> 3] >> (place & 7) & 1)
-                    if again and h in done:
-                        continue
+            texts = batch["text"] if apart is None else batch["text"].filter(pa.array(~is_set(apart, batch["h"])))
+            for text in texts:
                 if len(asked) > HELD:
                     asked.clear()
                 own = text.as_py() or ""
                 words = set((blanked(own, base_spans(own)) if everywhere else own).split())
                 here = {asked[w] if w in asked else wanted(w) for w in words}
                 here.discard("")
-                if again:
-                    if len(done) > HELD:
-                        done.clear()
-                    done.add(h)
-                    apart += [(h, t) for t in here]
-                else:
-                    counts.update(here)
-                if len(counts) + len(apart) > HELD:
+                counts.update(here)
+                if len(counts) > HELD:
                     yield out()
         yield out()
 
     return run
 
 
+def is_set(field: np.ndarray, h: pa.Array) -> np.ndarray:
+    """Whether the bits of these hashes are set."""
+    place = h.to_numpy().view(np.uint64) % np.uint64(SIEVE)
+    return (field[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def once_a_task(field: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (h, text) those whose hash is set in ``field``, each text once as long as a task remembers it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            some = batch.filter(pa.array(is_set(field, batch["h"])))
+            if len(done) > HELD:
+                done.clear()
+            fresh = []
+            for h in some["h"].to_pylist():
+                fresh.append(h not in done)
+                done.add(h)
+            yield some.filter(pa.array(fresh, pa.bool_()))
+
+    return run
+
+
 def hits_of(sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (h, text) to places outside base spans of terms whose bit is set."""
 
@@ -315,7 +319,7 @@ def disclosures(mentions: DataFrame, docs: DataFrame, n: int, support: int = SUP
     joint = staged(joint.filter(F.col("together") >= support), "joint-counts")
     entities = mentions.select(F.explode("who").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(joint.select("term").distinct()))
-    of_task = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: counts_of(sieve.value)(b), COUNTED)
+    of_task = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: counts_of(sieve.value)(b), "term string, n bigint")
     terms = of_task.groupBy("term").agg(F.sum("n").alias("n_term"))
     own = F.log2(F.lit(float(n)) / F.col("n_entity"))
     tie = F.log2(F.lit(float(n)) * F.col("together") / (F.col("n_term") * F.col("n_entity")))
@@ -323,10 +327,6 @@ def disclosures(mentions: DataFrame, docs: DataFrame, n: int, support: int = SUP
     return both.select("entity", "term", F.when(own > 0, tie / own).alias("share"))
 
 
-#: Columns of ``counts_of``.
-COUNTED = "h bigint, term string, n bigint"
-
-
 def documents_of(row: str = "row") -> Column:
     """A name of the set of rows of a group: their number, first, last, and two sums of 64 bits."""
     sums = [F.bit_xor(F.xxhash64(F.lit(k), F.col(row))) for k in (1, 2)]
@@ -366,15 +366,16 @@ def told_everywhere(
     words = rows.join(held.select("row").distinct(), "row").select("row", F.explode("words").alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("here")).filter(F.col("here") >= support).select("term")
     context = docs.sparkSession.sparkContext
-    sieve, repeated = context.broadcast(sieve_of(often)), None
+    sieve, counted = context.broadcast(sieve_of(often)), "term string, n bigint"
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    if error is not None:
-        again = texts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-        repeated = context.broadcast(sieve_of(again, "h"))
-    of_task = texts.mapInArrow(lambda b: counts_of(sieve.value, True, repeated and repeated.value)(b), COUNTED)
-    if repeated is not None:  # a text that stands again counts once
-        of_task = staged(of_task, "term-counts")
-        of_task = of_task.filter("h is null").unionByName(of_task.filter("h is not null").distinct())
+    if error is None:
+        of_task = texts.mapInArrow(lambda b: counts_of(sieve.value, True)(b), counted)
+    else:  # a text that stands again counts once
+        again = context.broadcast(sieve_of(texts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h"))
+        of_task = texts.mapInArrow(lambda b: counts_of(sieve.value, True, again.value)(b), counted)
+        copies = texts.mapInArrow(lambda b: once_a_task(again.value)(b), "h bigint, text string")
+        copies = copies.groupBy("h").agg(F.first("text").alias("text"))
+        of_task = of_task.unionByName(copies.mapInArrow(lambda b: counts_of(sieve.value, True)(b), counted))
     terms = of_task.groupBy("term").agg(F.sum("n").alias("n_term"))
     terms = terms.filter((F.col("n_term") >= support) & (F.col("n_term") <= reach(F.lit(seen["most"] or 0))))
     told = words.join(terms, "term").groupBy("term").agg(
