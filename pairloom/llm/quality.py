@@ -17,7 +17,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Texts, per_text
+from pairloom.llm.common import Texts, per_text, staged
 
 #: Signs counted as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -207,7 +207,8 @@ def keep_good(
     Null, empty and short texts (under 50 words) go by the base rules. Without
     labels, or with too few to prove a cutoff, only the base rules work.
     """
-    cutoffs = learn(measure(docs, id_col, text_col, stratum_col), labels, id_col)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    found = docs.select(held, stratum_of(stratum_col).alias("stratum"), stats(F.col(text_col)).alias("_s"))
-    return judge(found.select("_row", "stratum", "_s.*"), cutoffs).filter("kept").select("_row.*")
+    found = docs.select(held, F.col(id_col).alias("_id"), stratum_of(stratum_col).alias("stratum"), stats(F.col(text_col)).alias("_s"))
+    found = staged(found.select("_row", "_id", "stratum", "_s.*"), "measures")  # texts are measured once
+    cutoffs = learn(found.withColumnRenamed("_id", id_col), labels, id_col)
+    return judge(found, cutoffs).filter("kept").select("_row.*")
