@@ -181,7 +181,7 @@ def rbo_bounds(ranked: DataFrame, gold: DataFrame, p: float = 0.9, by: list[str]
         same = reduce(Column.__and__, [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by])
         full = grid.alias("g").join(kept.alias("k"), same).select("g.*", "_kept")
     else:
-        full = grid.join(F.broadcast(kept))
+        full = grid.withColumn("_kept", kept.scalar())
     beyond = F.greatest(d - F.col("_s"), F.lit(0))
     most = 2 * (F.col("x") + beyond + F.greatest(d - F.col("_l"), F.lit(0))) / F.col("both")
     stays = 2 * (F.col("x") + F.col("_kept") * beyond) / F.col("both")

@@ -112,8 +112,8 @@ def rubric_mean_rows(scores: DataFrame) -> DataFrame:
     """
     rows = scores.where(F.col("rubric").isin(V.RUBRICS)).withColumn("model", F.replace("model", F.lit("_"), F.lit("-")))
     means = rows.groupBy("rubric", "model").agg(F.avg("score").alias("_mean"))
-    rubrics = means.agg(F.collect_set("rubric").alias("rubric"))  # one row, a handful of names
-    grid = means.select("model").distinct().join(F.broadcast(rubrics)).select("model", F.explode("rubric").alias("rubric"))
+    rubrics = means.agg(F.collect_set("rubric").alias("rubric")).scalar()  # a handful of names
+    grid = means.select("model").distinct().withColumn("rubric", rubrics).select("model", F.explode("rubric").alias("rubric"))
     return grid.join(means, ["rubric", "model"], "left").select("rubric", "model", F.coalesce("_mean", F.lit(0.0)).alias("mean"))
 
 
