@@ -25,8 +25,9 @@ from pairloom.llm.common import Texts, per_text
 
 #: Words that a worker remembers, and the longest that it does; longer fragments are merged with a heap.
 REMEMBERED, LONGEST = 300_000, 64
-#: White space to Python but not to Unicode (fixed values).
+#: White space to Python but not to Unicode, and what both call white space (fixed values).
 ODD = re.compile("[\x1c-\x1f]")
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words of plain ASCII, as the pattern below cuts them (fixed values).
 ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Steps of tokenizer files that drop white space and let no token cross it (fixed values).
@@ -172,7 +173,7 @@ class Encoder:
     def section(self, text: str) -> list[int]:
         if not self.by_word:
             return self.mapped(text)
-        words = re.split("[ \t-\r\x85\xa0  -     　]+", text) if ODD.search(text) else text.split()
+        words = SPACES.split(text) if ODD.search(text) else text.split()
         out: list[int] = []
         known, encode, add = self.words.get, self.word, out.extend
         for w in words:

@@ -93,6 +93,7 @@ def test_documents_like_the_target_weigh_more(make, spark):
     assert {"text", "lang", "kept", "rank"} <= set(found[0].asDict())
 
 
-def test_no_python_per_pair(documents, spark, sf):
-    plan = resampling.featured(documents, "doc_id", "text", 2, 10_000).select(F.count("*"))
-    assert plan.first()[0] == documents.count()
+def test_every_document_has_its_features(documents, rows):
+    found = resampling.featured(documents, "doc_id", "text", 2, 10_000).select(F.count("*"), F.sum("n_features"), F.sum(F.length("features"))).first()
+    n = sum(len(plain_buckets(t)) for _, t in rows)
+    assert found[:] == (len(rows), n, 2 * n)
