@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.functions.edits import banded, distance, edit_distance_within, similarity_within
+from pairloom.functions import edits
+from pairloom.functions.edits import banded, distance, edit_distance_within, edits_tried, letters_apart, similarity_within, sparse
 
 
 def plain(a, b):
@@ -43,6 +44,8 @@ def test_thousand_pairs_equal_the_matrix():
             assert distance(a, b, most) == (want if want <= most else None)
         for bound in (1, 3, 9, 64, 100):
             assert banded(a, b, bound) == (want if want <= bound else None)
+            assert sparse(a, b, bound) == (want if want <= bound else None)
+        assert letters_apart(a, b) <= want <= edits_tried(a, b, 200)
 
 
 def test_long_texts():
@@ -52,6 +55,19 @@ def test_long_texts():
     assert distance(a, b, 600) == plain(a, b)
 
 
+def test_no_table_where_letters_or_few_edits_decide(monkeypatch):
+    def table(*_):
+        raise AssertionError("a table was filled")
+
+    monkeypatch.setattr(edits, "banded", table)
+    rng = random.Random(4)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    assert distance(a, a.translate({ord("a"): "x", ord("b"): "y", ord("c"): "z"}), 4_001) is None
+    assert distance(a, a.replace("a", "x"), 4_001) == a.count("a")
+    b = edited(rng, a, 60, "xyz")
+    assert distance(a, b, 4_001) == sparse(a, b, 60) <= 60
+
+
 def test_time_grows_with_the_length():
     rng = random.Random(3)
 
