@@ -198,17 +198,20 @@ def write_json_arrays(
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """Line JSON, text as it is."""
-    df.write.mode("overwrite").json(path)
+    """Line JSON, text as it is, in files compressed by gzip, which Spark reads like plain ones."""
+    df.write.mode("overwrite").json(path, compression="gzip")
 
 
 def write_pairs(pairs: DataFrame, root: str, format: str = "json") -> None:
     """Pairs below ``dataset_type=…/rubric=…``, as line JSON or Parquet.
 
-    Only the folders of types and rubrics in ``pairs`` are replaced. The
+    Every rubric has all texts again, so files of line JSON are compressed by
+    gzip, which Spark reads like plain ones. Only the folders of types and rubrics in ``pairs`` are replaced. The
     complete set is the same table read without a filter.
     """
     writer = pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if format == "json":
+        writer = writer.option("compression", "gzip")
     writer.partitionBy("dataset_type", "rubric").format(format).save(root)
 
 

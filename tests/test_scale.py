@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from pairloom.operators import pairs as J
+from pairloom.sources import files as S
 
 QUERIES = queries()
 
@@ -32,3 +33,23 @@ def test_cells_are_dealt_over_all_tasks(spark):
     df = spark.createDataFrame(rows, "passage_id int, rubric string, source_key string, score int")
     tasks = J.pairs_by_score_gap(df, cell_rows=10).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) == 8 and max(r["count"] for r in tasks) < 16_000 // 3
+
+
+def test_repeated_texts_take_little_room(spark, tmp_path):
+    text = F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(20)])
+    texts = spark.range(50, numPartitions=1).select(text.alias("chosen"), F.lower(text).alias("rejected"))
+    pairs = texts.select("*", F.lit("IMP").alias("dataset_type"), J.one_row_each(["a", "b"]).alias("rubric"))
+    S.write_pairs(pairs, str(tmp_path / "pairs"))
+    S.write_jsonl(texts, str(tmp_path / "lines"))
+
+    def size(name):
+        return sum(f.stat().st_size for f in (tmp_path / name).rglob("part-*"))
+
+    plain = texts.agg(F.sum(F.length("chosen") + F.length("rejected"))).first()[0]
+    assert size("pairs") < plain and size("lines") < plain / 2
+    back = S.read_pairs(spark, str(tmp_path / "pairs"), "chosen string, rejected string, dataset_type string, rubric string")
+    assert sorted(map(tuple, back.select("chosen", "rejected", "rubric").collect())) == sorted(
+        map(tuple, pairs.select("chosen", "rejected", "rubric").collect())
+    )
+    lines = S.read_jsonl(spark, str(tmp_path / "lines"), texts.schema)
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, texts.collect()))
