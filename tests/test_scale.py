@@ -53,3 +53,12 @@ def test_repeated_texts_take_little_room(spark, tmp_path):
     )
     lines = S.read_jsonl(spark, str(tmp_path / "lines"), texts.schema)
     assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, texts.collect()))
+
+
+def test_lengths_meet_passages_not_pairs(spark, docs):
+    found = QUERIES["build_score_gap_pairs"](spark, docs)
+    pairs = found.agg(F.sum("n")).first()[0]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [rubric") == 4  # by passage before lengths are met, then without it, on either side
+    rows = QUERIES["build_score_gap"](spark, docs).collect()
+    assert {tuple(r[c] for c in found.columns) for r in rows} == {tuple(r) for r in found.collect()} and pairs > 0
