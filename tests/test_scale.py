@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from pairloom.operators import pairs as J
+from pairloom.operators import records as R
 from pairloom.sources import files as S
+from pairloom.values import RUBRICS
 
 QUERIES = queries()
 
@@ -62,3 +64,22 @@ def test_lengths_meet_passages_not_pairs(spark, docs):
     assert plan.count("Aggregate [rubric") == 4  # by passage before lengths are met, then without it, on either side
     rows = QUERIES["build_score_gap"](spark, docs).collect()
     assert {tuple(r[c] for c in found.columns) for r in rows} == {tuple(r) for r in found.collect()} and pairs > 0
+
+
+def test_margin_records_digest_passages_not_pairs(spark, docs):
+    """Texts end below the pairing; the records say what those of whole texts say, and a missing text is empty."""
+    found = QUERIES["to_rm_record_with_margin"](spark, docs)
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "md5" not in top and "generated_passage" not in top and "text#" in top
+    texts = ["a", "b", None]
+    rows = [(i, RUBRICS[i % 6], "s", 1 + i // 6 % 5, texts[i % 3], ("k", None, "f", None)) for i in range(90)]
+    item = "struct<korean_topic:string,korean_context:string,foreign_topic:string,foreign_context:string>"
+    df = spark.createDataFrame(rows, f"passage_id int, rubric string, source_key string, score int, text string, item {item}")
+
+    def digests(records, of):
+        turns = F.get("conversations", F.lit(0))["value"], F.col("chosen.value"), F.col("rejected.value")
+        return sorted(records.select(*[of(t) for t in turns], "metadata.rubric", "metadata.margin").collect())
+
+    whole = R.to_rm_record_with_margin(J.pairs_by_score_gap(df, 3, ["text", "item"]))
+    short = J.pairs_by_score_gap(df.withColumn("text", F.md5(R.turn_text("text"))), 3, ["text", "item"])
+    assert digests(R.to_rm_record_with_margin(short, of=F.md5), lambda t: t) == digests(whole, F.md5) != []
