@@ -1,5 +1,9 @@
 """What large tables need: even tasks, little moved and written, whole results."""
 
+import gzip
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +11,7 @@ from __spark_entry__ import queries
 from pairloom.operators import pairs as J
 from pairloom.operators import records as R
 from pairloom.sources import files as S
+from pairloom.storage import shared_dir
 from pairloom.values import RUBRICS
 
 QUERIES = queries()
@@ -83,3 +88,23 @@ def test_margin_records_digest_passages_not_pairs(spark, docs):
     whole = R.to_rm_record_with_margin(J.pairs_by_score_gap(df, 3, ["text", "item"]))
     short = J.pairs_by_score_gap(df.withColumn("text", F.md5(R.turn_text("text"))), 3, ["text", "item"])
     assert digests(R.to_rm_record_with_margin(short, of=F.md5), lambda t: t) == digests(whole, F.md5) != []
+
+
+def test_arrays_are_cut_where_rows_are_made(spark, tmp_path):
+    """Nothing is stored before, files are small, no array is too large, and no row is lost."""
+    rows = spark.range(600, numPartitions=3).selectExpr(
+        "id", "repeat(concat('é', id), 40) AS t", "if(id % 5 = 0, null, concat('g', id % 5)) AS g"
+    )
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    S.write_json_arrays(rows, str(tmp_path / "a"), ["g"], rows_per_file=50, bytes_per_file=9_000)
+    assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
+    arrays = {f: gzip.decompress(f.read_bytes()) for f in (tmp_path / "a").rglob("part-*")}
+    assert all(len(a) <= 9_001 and len(json.loads(a)) <= 50 for a in arrays.values())
+    assert sum(f.stat().st_size for f in arrays) < sum(map(len, arrays.values())) / 2
+    want = sorted((r["id"], r["t"]) for r in rows.collect())
+    assert sorted((x["id"], x["t"]) for a in arrays.values() for x in json.loads(a)) == want
+    assert {f.parent.name for f in arrays} == {"g=__HIVE_DEFAULT_PARTITION__", *[f"g=g{i}" for i in range(1, 5)]}
+    back = S.read_json_array(spark, str(tmp_path / "a"), rows.select("id", "t").schema)
+    assert sorted((r["id"], r["t"]) for r in back.collect()) == want
+    S.write_json_arrays(rows.select("id"), str(tmp_path / "b"), rows_per_file=7)
+    assert S.read_json_array(spark, str(tmp_path / "b"), rows.select("id").schema).count() == 600
