@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,36 @@ def score_all(scorer: Scorer, texts: pd.Series, padded: int, isolate: bool) -> t
     return out, [(errors or {}).get(i) for i in range(len(texts))]
 
 
+def score_each(
+    scorers: list[Scorer], texts: pa.Array, padded: int, isolate: bool
+) -> list[tuple[np.ndarray, list[str | None]]]:
+    """What :func:`score_all` says of each scorer; only one batch of similar length is unpacked at a time, for all of them."""
+    out = [(np.full(len(texts), np.nan), {} if isolate else None) for _ in scorers]
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    for places in padded_batches(lengths, padded):
+        part = pd.Series(texts.take(pa.array(places)).to_pylist(), index=places, dtype="object")
+        for scorer, (found, errors) in zip(scorers, out, strict=True):
+            found[places] = _scored(scorer, part, errors)
+    return [(found, [(errors or {}).get(i) for i in range(len(texts))]) for found, errors in out]
+
+
+def _with_scores(df: DataFrame, text: str, makers: list[Callable[[], Scorer]], padded: int, isolate: bool) -> DataFrame:
+    """Texts that are not empty with ``_s``: a score and an error by each scorer, all of them run by one worker of a task."""
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorers = [make() for make in makers]
+        for batch in batches:
+            columns: dict[str, pa.Array] = {}
+            for i, (found, wrong) in enumerate(score_each(scorers, batch, padded, isolate)):
+                columns |= {f"score{i}": pa.array(found, from_pandas=True), f"failed{i}": pa.array(wrong, pa.string())}
+            del batch
+            yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
+            pa.default_memory_pool().release_unused()
+
+    kind = ", ".join(f"score{i} double, failed{i} string" for i in range(len(makers)))
+    return with_text(df, text).withColumn("_s", F.arrow_udf(score, kind)(F.col(text)))
+
+
 def score_with(
     df: DataFrame,
     text: str,
@@ -75,21 +107,21 @@ def score_with(
     failing text is alone: it gets a null score and its error in that column;
     without, the job fails. ``model`` fills the column evaluation_model.
     """
-
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
-        for batch in batches:
-            found, wrong = score_all(scorer, batch, padded, errors is not None)
-            yield pd.DataFrame({"score": found, "failed": pd.Series(wrong, dtype="object")})
-
-    both = F.pandas_udf(score, "score double, failed string")
-    out = with_text(df, text).withColumn("_s", both(F.col(text)))
-    value = F.when(F.col("_s.failed").isNull(), F.col("_s.score"))
+    out = _with_scores(df, text, [make_scorer], padded, errors is not None)
+    value = F.when(F.col("_s.failed0").isNull(), F.col("_s.score0"))
     out = out.withColumn(to, value)
-    out = (out if errors is None else out.withColumn(errors, F.col("_s.failed"))).drop("_s")
+    out = (out if errors is None else out.withColumn(errors, F.col("_s.failed0"))).drop("_s")
     return out if model is None else out.withColumn("evaluation_model", F.lit(model))
 
 
+def score_with_each(
+    df: DataFrame, text: str, scorers: dict[str, Callable[[], Scorer]], padded: int = PADDED
+) -> DataFrame:
+    """Add the score by each model of every non-empty text, as :func:`score_with` does; texts are sent and unpacked once for all."""
+    out = _with_scores(df, text, list(scorers.values()), padded, False)
+    return out.withColumns({name: F.col(f"_s.score{i}") for i, name in enumerate(scorers)}).drop("_s")
+
+
 def compare_with(
     pairs: DataFrame, make_scorer: Callable[[], Scorer], errors: str | None = None, padded: int = PADDED
 ) -> DataFrame:

@@ -80,9 +80,7 @@ def rank_candidates(
     from a second run of a model.
     """
     spark = passages.sparkSession
-    scored = passages
-    for name, make in scorers.items():
-        scored = S.score_with(scored, text, make, to=name)
+    scored = S.score_with_each(passages, text, scorers)
     staged = new_path(spark, "scored")
     scored.write.parquet(staged)
     ranked = K.rank_passages(spark.read.parquet(staged), id, list(scorers), how)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from pairloom.operators import pairs as J
 from pairloom.operators import records as R
+from pairloom.operators.scoring import score_with, score_with_each
+from pairloom.plans import evaluation as E
 from pairloom.sources import files as S
 from pairloom.storage import shared_dir
 from pairloom.values import RUBRICS
@@ -108,3 +110,23 @@ def test_arrays_are_cut_where_rows_are_made(spark, tmp_path):
     assert sorted((r["id"], r["t"]) for r in back.collect()) == want
     S.write_json_arrays(rows.select("id"), str(tmp_path / "b"), rows_per_file=7)
     assert S.read_json_array(spark, str(tmp_path / "b"), rows.select("id").schema).count() == 600
+
+
+def test_models_share_a_worker(spark, tmp_path):
+    """Every model scores every text, in one process of a task; a score that is no number is null."""
+    rows = spark.range(300, numPartitions=3).selectExpr("id", "if(id % 7 = 0, '', repeat(concat('é', id), cast(id % 50 as int) + 1)) AS passage")
+
+    def process():
+        return lambda s: s.str.len() * 0 + os.getpid()
+
+    def length():
+        return lambda s: (s.str.len() * 1.0).where(s.str.len() != 6)
+
+    scorers = {"a": process, "b": process, "n": length}
+    got = E.rank_candidates(rows, scorers, str(tmp_path / "ranked"), "id").collect()
+    assert len(got) == 257 and all(r["a"] == r["b"] != os.getpid() for r in got)
+    assert all(r["n"] == (len(r["passage"]) if len(r["passage"]) != 6 else None) for r in got)
+    alone = score_with(rows, "passage", length, to="n").select("id", "n").collect()
+    assert sorted(map(tuple, alone), key=str) == sorted(((r["id"], r["n"]) for r in got), key=str)
+    small = score_with_each(rows, "passage", {"n": length}, padded=100).select("id", "n").collect()
+    assert sorted(map(tuple, small), key=str) == sorted(map(tuple, alone), key=str)
