@@ -11,10 +11,12 @@ from __spark_entry__ import queries
 from pairloom.operators import pairs as J
 from pairloom.operators import records as R
 from pairloom.operators.scoring import score_with, score_with_each
+from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
 from pairloom.sources import files as S
 from pairloom.storage import shared_dir
 from pairloom.values import RUBRICS
+from workload.sources import written_evaluations
 
 QUERIES = queries()
 
@@ -130,3 +132,20 @@ def test_models_share_a_worker(spark, tmp_path):
     assert sorted(map(tuple, alone), key=str) == sorted(((r["id"], r["n"]) for r in got), key=str)
     small = score_with_each(rows, "passage", {"n": length}, padded=100).select("id", "n").collect()
     assert sorted(map(tuple, small), key=str) == sorted(map(tuple, alone), key=str)
+
+
+def test_score_gap_records_move_texts_not_pairs(spark, docs, tmp_path):
+    """Pairs are made where their texts lie; Parquet has the records of line JSON and keeps a text once for many."""
+    tree = written_evaluations(spark, docs)
+    records = D.score_gap_records(S.read_eval_tree(spark, tree, pattern="*").withColumn("passage_id", F.monotonically_increasing_id()))[1]
+    plan = records._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert any("RepartitionByExpression" in line for line in plan[last + 1 : last + 3])
+    counts, rows, bytes_ = {}, {}, {}
+    for kind in ("json", "parquet"):
+        stats = D.build_score_gap(spark, tree, str(tmp_path / kind), min_gap=2, pattern="*", format=kind)
+        counts[kind] = sorted(map(tuple, stats.collect()), key=str)
+        rows[kind] = sorted(map(str, spark.read.schema(records.schema).format(kind).load(str(tmp_path / kind)).select(*records.columns).collect()))
+        bytes_[kind] = sum(f.stat().st_size for f in (tmp_path / kind).rglob("part-*"))
+    assert counts["json"] == counts["parquet"] and rows["json"] == rows["parquet"] != []
+    assert bytes_["parquet"] < bytes_["json"] / 5
