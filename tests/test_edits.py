@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,26 @@ def test_no_table_where_letters_or_few_edits_decide(monkeypatch):
     assert distance(a, b, 4_001) == sparse(a, b, 60) <= 60
 
 
+def test_letters_of_long_texts_are_counted_in_an_array(monkeypatch):
+    rng = random.Random(6)
+    pairs = []
+    for letters in ("ab ", "가나다 ab", "a😀b"):
+        for n in (0, 1, 40, 30_000):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            pairs += [(a, edited(rng, a, 30, "xé😀")), (a, a.translate({ord("a"): "é"})), (a, a[::-1])]
+    want = []
+    for a, b in pairs:
+        more = sum((Counter(a) - Counter(b)).values())
+        want.append(max(more, more + len(b) - len(a)))
+    assert [letters_apart(a, b) for a, b in pairs] == want
+
+    def one_by_one(*_):
+        raise AssertionError("letters of a long text were counted one by one")
+
+    monkeypatch.setattr(edits, "Counter", one_by_one)
+    assert [letters_apart(a, b) for a, b in pairs if len(a) == 30_000] == [n for n, (a, _) in zip(want, pairs) if len(a) == 30_000]
+
+
 def test_time_grows_with_the_length():
     rng = random.Random(3)
 
