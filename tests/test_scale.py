@@ -3,6 +3,8 @@
 import gzip
 import json
 import os
+import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,20 @@ def test_repeated_texts_take_little_room(spark, tmp_path):
     assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, texts.collect()))
 
 
+def test_lines_are_compressed_at_the_fastest_level(spark, tmp_path):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    rows = [(" ".join(rng.choices(words, k=400)), "r", "IMP", "a") for _ in range(100)]
+    df = spark.createDataFrame(rows, "chosen string, rejected string, dataset_type string, rubric string").coalesce(1)
+    S.write_pairs(df, str(tmp_path / "pairs"))
+    S.write_jsonl(df, str(tmp_path / "lines"))
+    files = list(tmp_path.rglob("part-*.gz"))
+    assert len(files) == 2
+    for f in files:
+        lines = gzip.decompress(f.read_bytes())
+        assert len(zlib.compress(lines, 2)) < f.stat().st_size < len(lines) * 2 / 3
+
+
 def test_lengths_meet_passages_not_pairs(spark, docs):
     found = QUERIES["build_score_gap_pairs"](spark, docs)
     pairs = found.agg(F.sum("n")).first()[0]
