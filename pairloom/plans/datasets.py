@@ -201,7 +201,7 @@ def convert_pairs(
     spark = pairs.sparkSession
     texts = ["prompt", "chosen", "rejected"]
     records = R.flatten_rm_record(R.to_rm_record(pairs, templates), ["pair_id"])
-    stored, _ = written(records.withColumn("content", F.md5(F.to_json(F.struct(*texts)))), "train-records")
+    stored, _ = written(records.withColumn("content", F.md5(F.to_json(F.struct(*texts)))), "train-records", "zstd")
     place = ["file_name", "row_index"]
     stored = stored.select("*", *[f"_metadata.{c}" for c in place])
     cut = R.split_cut(stored, "pair_id", n_eval, seed, [*["content"], *place])  # reads ids only

@@ -42,9 +42,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
+def written(df: DataFrame, name: str, compression: str | None = None, **measures: Column) -> tuple[DataFrame, dict[str, Any]]:
     """``df`` as a table in the shared folder, and aggregates taken while its rows are written."""
     path, seen = new_path(df.sparkSession, name), Observation()
     rows = df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if measures else {}

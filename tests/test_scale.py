@@ -5,6 +5,7 @@ import json
 import os
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,20 @@ def test_lines_are_compressed_at_the_fastest_level(spark, tmp_path):
         assert len(zlib.compress(lines, 2)) < f.stat().st_size < len(lines) * 2 / 3
 
 
+def test_records_of_several_rubrics_are_stored_close_together(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(f"p{i}", {"korean_topic": "t"}, rng.randbytes(30_000).hex(), rng.randbytes(30_000).hex(), "IMP", None) for i in range(40)]
+    schema = "pair_id string, source_item struct<korean_topic: string>, chosen string, rejected string, dataset_type string, created_at timestamp"
+    texts = spark.createDataFrame(rows, schema).coalesce(1)
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("train-records-*"))
+    pairs = texts.select("*", J.one_row_each(RUBRICS).alias("rubric"))
+    counts = D.convert_pairs(pairs, dict.fromkeys(RUBRICS, "Q"), str(tmp_path / "train"), str(tmp_path / "eval"))
+    (stored,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("train-records-*")) - before
+    plain = 2 * 40 * 60_000  # every text once; hex digits take half of that at best
+    assert sum(f.stat().st_size for f in stored.rglob("*.parquet")) < 0.8 * plain
+    assert {r["split"]: r["n"] for r in counts.collect()} == {"train": 190, "eval": 50}
+
+
 def test_lengths_meet_passages_not_pairs(spark, docs):
     found = QUERIES["build_score_gap_pairs"](spark, docs)
     pairs = found.agg(F.sum("n")).first()[0]
