@@ -18,6 +18,8 @@ from pairloom.sources.arrays import array_elements
 WHOLE_FILE = 16 << 20
 #: Line JSON is compressed by gzip at its fastest: a fifth of the time, for files a tenth larger.
 GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+#: Arrays at a level that takes a third of the usual time, for files a twenty-fifth larger.
+GZIP_ARRAYS = {"compression": "gzip", "zlib.compress.level": "FOUR"}
 #: Rows handled at once while arrays are written.
 SLICE = 256
 
@@ -225,7 +227,7 @@ def write_json_arrays(
     rows = df.select(*by, row.cast("binary").alias("value"))
     arrays = rows.mapInArrow(_in_arrays(rows_per_file, bytes_per_file), rows.schema)
     out = arrays.select(*by, F.col("value").cast("string").alias("value")).write.mode("overwrite")
-    out = out.option("maxRecordsPerFile", 1).option("compression", "gzip")
+    out = out.option("maxRecordsPerFile", 1).options(**GZIP_ARRAYS)
     (out.partitionBy(*by) if by else out).text(path)
 
 

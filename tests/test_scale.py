@@ -83,6 +83,20 @@ def test_lines_are_compressed_at_the_fastest_level(spark, tmp_path):
         assert len(zlib.compress(lines, 2)) < f.stat().st_size < len(lines) * 2 / 3
 
 
+def test_arrays_are_compressed_at_a_fast_level(spark, tmp_path):
+    """Larger than at the level that takes twice the time, smaller than at the fastest."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    rows = [(" ".join(rng.choices(words, k=400)), f"g{i % 2}") for i in range(200)]
+    S.write_json_arrays(spark.createDataFrame(rows, "t string, g string").coalesce(1), str(tmp_path), ["g"])
+    files = list(tmp_path.rglob("part-*.gz"))
+    assert len(files) == 2
+    for f in files:
+        text = gzip.decompress(f.read_bytes())
+        assert len(zlib.compress(text, 5)) < f.stat().st_size < len(zlib.compress(text, 1))
+    assert sorted(r["t"] for r in S.read_json_array(spark, str(tmp_path), spark.createDataFrame(rows[:1], "t string, g string").select("t").schema).collect()) == sorted(t for t, _ in rows)
+
+
 def test_records_of_several_rubrics_are_stored_close_together(spark, tmp_path):
     rng = random.Random(8)
     rows = [(f"p{i}", {"korean_topic": "t"}, rng.randbytes(30_000).hex(), rng.randbytes(30_000).hex(), "IMP", None) for i in range(40)]
