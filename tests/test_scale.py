@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from pairloom.operators import pairs as J
 from pairloom.operators import records as R
+from pairloom.operators import stats as A
 from pairloom.operators.scoring import score_with, score_with_each
 from pairloom.plans import datasets as D
 from pairloom.plans import evaluation as E
@@ -42,6 +43,29 @@ def test_pair_statistics_count_every_gap(spark, docs):
     assert {tuple(r) for r in got} == {tuple(r) for r in pairs} and {r["value"] for r in got} == {1, 2, 3, 4}
 
 
+def test_pairs_in_lists_are_all_pairs(spark):
+    """Repeated and null ids too; pairs are counted in their lists, so no task makes a row for each."""
+    rows = [(None if i % 41 == 0 else i % 150, f"r{i % 2}", f"s{i % 3}", i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "passage_id long, rubric string, source_key string, score int")
+    for gap, cell in ((1, 2000), (2, 7)):
+        lists = J.pairs_by_score_gap(df, gap, cell_rows=cell, together=True)
+        one_by_one = lists.select("*", F.explode("rejected_ids").alias("rejected_id")).drop("rejected_ids")
+        pairs = J.pairs_by_score_gap(df, gap, cell_rows=cell)
+        want = sorted(map(str, pairs.select(sorted(pairs.columns)).collect()))
+        assert sorted(map(str, one_by_one.select(sorted(pairs.columns)).collect())) == want != []
+        assert lists.agg(F.max(F.size("rejected_ids"))).first()[0] <= 2 * cell and lists.count() < len(want)
+        counted = A.pair_levels(lists)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, A.pair_levels(pairs).collect()))
+        assert counted.schema["n_pairs"].dataType == A.pair_levels(pairs).schema["n_pairs"].dataType
+    with pytest.raises(ValueError):
+        J.pairs_by_score_gap(df, carry=["score"], together=True)
+
+
+def test_statistics_count_pairs_in_lists(spark, docs):
+    plan = QUERIES["pair_stats"](spark, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(cast(size(rejected_ids" in plan and plan.count("collect_list") == 2
+
+
 def test_cells_are_dealt_over_all_tasks(spark):
     rows = [(i, "r", "s", i % 5) for i in range(200)]
     df = spark.createDataFrame(rows, "passage_id int, rubric string, source_key string, score int")

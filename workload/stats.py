@@ -137,8 +137,8 @@ def score_gap_stats(spark, sf):
 
 @query("pair_stats", _PAIR_STATS)
 def pair_stats(spark, sf):
-    """The same statistics counted over the pairs themselves."""
-    return A.pair_stats(A.pair_levels(J.pairs_by_score_gap(long_scores(spark, sf))))
+    """The same statistics counted over the pairs themselves, in their lists."""
+    return A.pair_stats(A.pair_levels(J.pairs_by_score_gap(long_scores(spark, sf), together=True)))
 
 
 @query(
