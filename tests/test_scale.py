@@ -49,7 +49,7 @@ def test_pairs_in_lists_are_all_pairs(spark):
     df = spark.createDataFrame(rows, "passage_id long, rubric string, source_key string, score int")
     for gap, cell in ((1, 2000), (2, 7)):
         lists = J.pairs_by_score_gap(df, gap, cell_rows=cell, together=True)
-        one_by_one = lists.select("*", F.explode("rejected_ids").alias("rejected_id")).drop("rejected_ids")
+        one_by_one = J.one_by_one(lists)
         pairs = J.pairs_by_score_gap(df, gap, cell_rows=cell)
         want = sorted(map(str, pairs.select(sorted(pairs.columns)).collect()))
         assert sorted(map(str, one_by_one.select(sorted(pairs.columns)).collect())) == want != []
@@ -144,6 +144,22 @@ def test_lengths_meet_passages_not_pairs(spark, docs):
     assert {tuple(r[c] for c in found.columns) for r in rows} == {tuple(r) for r in found.collect()} and pairs > 0
 
 
+def test_every_pair_is_written_by_its_ids(spark, docs, tmp_path):
+    """Lists of rejected ids hold all pairs once, and take less than a byte for each where they recur."""
+    stats = D.build_score_gap_pairs(spark, written_evaluations(spark, docs), str(tmp_path), min_gap=2, pattern="*")
+    lists = spark.read.parquet(f"{tmp_path}/pairs")
+    pairs = J.one_by_one(lists)
+    assert sorted(pairs.columns) == sorted(["rubric", "source_key", "chosen_id", "rejected_id", "high_score", "low_score", "margin"])
+    found = {(r["rubric"], r["margin"]): r["count"] for r in pairs.groupBy("rubric", "margin").count().collect()}
+    assert found == {(r["rubric"], r["value"]): r["n_pairs"] for r in stats.where("kind = 'margin'").collect()} != {}
+    assert pairs.distinct().count() == pairs.count() > lists.count()
+    texts = spark.read.parquet(f"{tmp_path}/passages").select("passage_id")
+    assert pairs.join(texts, F.col("rejected_id") == F.col("passage_id")).count() == pairs.count()
+    rows = spark.range(1000).selectExpr("id * 8589934592 AS passage_id", "'r' AS rubric", "'s' AS source_key", "cast(id % 2 AS int) AS score")
+    J.pairs_by_score_gap(rows, together=True).write.options(**D.ID_LISTS).parquet(f"{tmp_path}/large")
+    assert sum(f.stat().st_size for f in (tmp_path / "large").rglob("part-*")) < 250_000
+
+
 def test_margin_records_digest_passages_not_pairs(spark, docs):
     """Texts end below the pairing; the records say what those of whole texts say, and a missing text is empty."""
     found = QUERIES["to_rm_record_with_margin"](spark, docs)
